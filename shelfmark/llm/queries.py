@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, simhash
+from . import bpe, langid, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,3 +59,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where(_fold(5) != 0))
     found = langid.predict(docs.select("doc_id", "text"), model, keep_text=False)
     return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(_fold(3) != 1))
+    found = toxicity.score(docs, model, keep_text=False)
+    return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, _table(spark, sf_dir, "labels").where(_fold(3) != 1))
+    found = quality.score(docs, model, keep_text=False)
+    return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
