@@ -1,0 +1,3 @@
+"""Plans on the driver's tables; importing the package registers them."""
+
+from . import aggregates, facets, names, relations  # noqa: F401
