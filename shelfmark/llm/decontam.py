@@ -112,8 +112,8 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
         at = hits.select("id", "size", "pos", "off").distinct()
         both = at.alias("a").join(texts.alias("t"), F.col("a.id").eqNullSafe(F.col("t.id"))).select("a.*", "t.s")
         windows = both.select("id", "size", start.alias("start"), F.slice("s", start + 1, F.col("size")).alias("window"))
-    windows = windows.groupBy("id", "size", "start").agg(F.first("window").alias("window"))
-    windows = staged(windows.select("*", F.xxhash64("size", "window").alias("wid")), "windows")
+    windows = windows.withColumn("wid", F.xxhash64("size", "window"))
+    windows = staged(windows.groupBy("id", "size", "start", "wid").agg(F.first("window").alias("window")), "windows")
     once = staged(windows.groupBy("wid", "size").agg(F.first("window").alias("s")), "once")
 
     found = simhash(once, ["wid", "size"], "s")
