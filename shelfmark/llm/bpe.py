@@ -37,7 +37,7 @@ LETTER, NUMBER, OTHER, SPACE = range(4)
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)
 
 #: Text bytes of a block, at least; a longer document makes a longer block.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 16_000_000
 #: Text bytes whose code points are looked at together.
 SLICE_BYTES = 2_000_000
 
@@ -155,16 +155,17 @@ class _Block:
         while lo < len(documents) - 1:
             hi = max(lo + 1, int(np.searchsorted(documents, documents[lo] + SLICE_BYTES, "right")) - 1)
             a, b = documents[lo], documents[hi]
-            starts.append(token_starts(data[a:b].tobytes(), documents[lo:hi] - a) + a)
+            starts.append(token_starts(data[a:b].tobytes(), documents[lo:hi] - a).astype(np.int32) + np.int32(a))
             lo = hi
-        at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        at = np.concatenate(starts) if starts else np.zeros(0, np.int32)
+        del starts
         self.tokens_of = np.diff(np.searchsorted(at, documents))
-        coded = binary_array(data, np.append(at, len(data))).dictionary_encode() if len(at) else None
+        coded = binary_array(data, np.append(at, np.int32(len(data)))).dictionary_encode() if len(at) else None
         codes = coded.indices.to_numpy() if coded is not None else np.zeros(0, np.int32)
         count = np.bincount(codes)
         order = np.argsort(-count, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         self.codes, self.count = rank[codes], count[order]
         self.words = coded.dictionary.take(pa.array(order)) if coded is not None else pa.array([], pa.binary())
         raw, ends = text_buffers(self.words)
@@ -269,11 +270,13 @@ def with_ids(docs: DataFrame, text: str, ids: str, pages: DataFrame) -> DataFram
 
     def positions(batches):
         for block in _blocks(batches, text):
-            raw, size = varint(block.codes)
-            ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(block.tokens_of)))]
-            table = block.table.drop_columns([text])
-            table = table.append_column(names["block"], pa.array(np.full(table.num_rows or len(block.tokens_of), block.key), pa.int64()))
-            yield from table.append_column(names["codes"], binary_array(raw, ends)).to_batches(max_chunksize=2000)
+            table, first = block.table.drop_columns([text]), np.concatenate(([0], np.cumsum(block.tokens_of)))
+            for lo in range(0, len(block.tokens_of), 1000):
+                own = first[lo : lo + 1001]
+                raw, size = varint(block.codes[own[0] : own[-1]])
+                columns = [c.slice(lo, 1000).combine_chunks() for c in table.columns]
+                codes = binary_array(raw, np.concatenate(([0], np.cumsum(size)))[own - own[0]])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(own) - 1, block.key), pa.int64()), codes], names=[*table.column_names, names["block"], names["codes"]])
 
     def reassemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
         data, ends = text_buffers(left[names["codes"]])
@@ -289,8 +292,9 @@ def with_ids(docs: DataFrame, text: str, ids: str, pages: DataFrame) -> DataFram
                 closed = np.concatenate(([0], np.cumsum(part < 128)))[ends[lo : hi + 1] - ends[lo]]
                 out.append(flat[ragged(n[tokens], at[tokens])])
                 sizes.append(np.diff(np.concatenate(([0], np.cumsum(n[tokens])))[closed]))
-        flat_ids = np.concatenate(out).astype("<u4") if out else np.zeros(0, "<u4")
+        flat_ids = np.concatenate(out).astype("<u4", copy=False) if out else np.zeros(0, "<u4")
         size = np.concatenate(sizes) if sizes else np.zeros(left.num_rows, np.int64)
+        del out
         return left.select([f.name for f in kept]).append_column(ids, binary_array(flat_ids.view(np.uint8), np.concatenate(([0], np.cumsum(size * 4)))))
 
     mid = T.StructType([*kept, T.StructField(names["block"], T.LongType()), T.StructField(names["codes"], T.BinaryType())])
