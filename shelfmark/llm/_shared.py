@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -39,8 +41,22 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+@functools.cache
+def lean() -> None:
+    """Let this process give large arrays back to the system when they are freed, since idle Python workers stay.
+
+    Without it, glibc and Arrow's own pool keep what a worker once held, and executors carry several workers.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its row offsets (one more than rows); null is an empty text."""
+    lean()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     if column.null_count:

@@ -3,7 +3,8 @@
 A language's model is a tree of byte contexts of up to three bytes, with frozen counts. A byte's probability at a
 context is its share of the counts if it was seen there, else the escape probability (distinct bytes seen over
 counts and distinct bytes) times its probability at the next shorter context, with the bytes of the longer context
-excluded; the empty context escapes to equal shares. A text's score is its exact code length under each tree.
+excluded; the empty context escapes to equal shares. A text's score is its exact code length under each tree; A-Z count as
+a-z.
 
 Since the counts are frozen, the trees of all languages become one table of code lengths by longest known context
 and byte, and scoring is two array look-ups a byte. The table's size is bounded by the number of contexts kept.
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import text_buffers
+from ._shared import free_name, text_buffers
 
 #: Bytes before a text, as its context.
 PAD = 3
@@ -125,7 +126,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", id_col: s
     def count(batches):
         for batch in batches:
             names = batch[lang].to_pylist()
-            data, ends = text_buffers(batch[text])
+            data, ends = lowered(batch[text])
             for name in sorted(set(names)):
                 grams = []
                 for k in (i for i, x in enumerate(names) if x == name):
@@ -134,13 +135,19 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", id_col: s
                 code, n = np.unique(np.concatenate(grams).astype(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code), pa.array(n)], names=["lang", "code", "n"])
 
-    grams = picked.select(lang, F.lower(text).alias(text)).mapInArrow(count, "lang string, code long, n long")
+    grams = picked.select(lang, text).mapInArrow(count, "lang string, code long, n long")
     table = grams.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas().sort_values(["lang", "code"])
     table = table[table.lang.isin(langs)]
     number = table.lang.map({x: i for i, x in enumerate(langs)})
     return PpmModel(langs, number.to_numpy(np.int64), table.code.to_numpy(np.int64), table.n.to_numpy(np.int64), max_contexts)
 
 
+def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of texts with A-Z in lower case, and their offsets."""
+    data, ends = text_buffers(column)
+    return np.where((data >= 65) & (data <= 90), data | 32, data), ends
+
+
 def has_letter(text: str) -> Column:
     return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
@@ -153,6 +160,7 @@ def predict(docs: DataFrame, model: PpmModel, text: str = "text", lang_pred: str
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(lang_pred, score)
+    letter = free_name(docs, "_letter")
     fields = [f for f in docs.schema.fields if keep_text or f.name != text]
     schema = T.StructType([*fields, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])
 
@@ -162,14 +170,14 @@ def predict(docs: DataFrame, model: PpmModel, text: str = "text", lang_pred: str
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
-                known = np.array(batch["_letter"].to_pylist(), bool)
+                known = np.array(batch[letter].to_pylist(), bool)
                 best, share = np.full(batch.num_rows, len(m.langs)), np.zeros(batch.num_rows)
                 if m.langs:
-                    bits = m.code_lengths(*text_buffers(batch["_lowered"]))
+                    bits = m.code_lengths(*lowered(batch[text]))
                     best = np.where(known, bits.argmin(axis=1), best)
                     odds = np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000))
                     share = np.where(known, 1 / odds.sum(axis=1), 0)
                 out = [pa.array(names[best], pa.string()), pa.array(share)]
                 yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in fields), *out], names=schema.names)
 
-    return docs.select("*", F.lower(text).alias("_lowered"), has_letter(text).alias("_letter")).mapInArrow(run, schema)
+    return docs.withColumn(letter, has_letter(text)).mapInArrow(run, schema)
