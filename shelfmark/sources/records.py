@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PLAN = T.StructType.fromDDL("path_a string, path_b string, target string, confidence double, reason string, signals array<string>, run_id string, ts string")
-PACKAGE = T.StructType.fromDDL(
+PLAN = "path_a string, path_b string, target string, confidence double, reason string, signals array<string>, run_id string, ts string"
+PACKAGE = (
     "name string, title string, description string, keywords array<string>, homepage string, licenses array<struct<name: string, path: string>>, "
     "contributors array<struct<title: string, path: string, roles: array<string>>>, links array<struct<path: string>>, resources array<struct<name: string, path: string, mediatype: string>>"
 )
 
 
-def json_lines(spark: SparkSession, path: str, schema: T.StructType = PLAN) -> tuple[DataFrame, DataFrame]:
+def json_lines(spark: SparkSession, path: str, schema: str = PLAN) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects): parsed lines, and the texts of lines that are no JSON object. Blank lines are neither."""
+    fields = T.StructType.fromDDL(schema).fields
     lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    parsed = lines.select("value", F.from_json("value", T.StructType([*fields, T.StructField("_bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
-    return parsed.where(~bad).select(*[F.col(f"r.{f.name}") for f in schema.fields]), parsed.where(bad).select("value")
+    return parsed.where(~bad).select(*[F.col(f"r.{f.name}") for f in fields]), parsed.where(bad).select("value")
 
 
 def data_packages(spark: SparkSession, path: str) -> DataFrame:
