@@ -61,7 +61,8 @@ def parent(path: Column) -> Column:
 def ancestors(path: Column) -> Column:
     """All proper ancestors of a path, the nearest last: a/b/c has a and a/b."""
     parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>"))
 
 
 def extension(filename: Column) -> Column:
