@@ -127,8 +127,9 @@ def _forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) ->
             apart = apart + np.bitwise_count(fp[rows, 1][:, None] ^ fp[cols, 1])
         near = apart <= radius
         for k in np.flatnonzero(near.any(axis=1)):
-            roots = np.unique(np.append(label[cols[near[k]]], label[rows[k]]))
-            if len(roots) > 1:
+            found = label[cols[near[k]]]
+            if (found != label[rows[k]]).any():
+                roots = np.unique(np.append(found, label[rows[k]]))
                 joined = np.zeros(len(fp), bool)
                 joined[roots] = True
                 label[joined[label]] = roots[0]
