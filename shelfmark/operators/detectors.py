@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .filters import FILE_CLASSES, file_class, having, lacking
 from ..functions.text import extension
+from .filters import FILE_CLASSES, file_class, lacking
 from .tree import nested
 
 #: The severity of each category unless a user sets another.
@@ -121,6 +121,3 @@ def orphans(checks: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> DataFra
 def repeated(df: DataFrame, key: list[str]) -> DataFrame:
     """Keys that occur more than once, with their counts."""
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
-
-
-__all__ = ["REGISTRY", "SEVERITY", "detect", "detector", "duplicates", "having", "orphans", "repeated", "severity", "update", "worst"]

@@ -1,3 +1,3 @@
 """Plans on the driver's tables; importing the package registers them."""
 
-from . import aggregates, curation, facets, increments, names, relations  # noqa: F401
+from . import aggregates, curation, facets, increments, names, relations, reports  # noqa: F401

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import detectors, ranking
+from ..operators import detectors, merging, ranking
 from .registry import query, table
 
 
@@ -116,10 +116,8 @@ def unique_destination_names(spark, d):
 
 @query("""SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1 AS keep FROM documents""")
 def keep_oldest_duplicate(spark, d):
-    from ..operators.merging import keep_oldest
-
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    return keep_oldest(docs, ["digest"], [F.col("doc_id")]).select("doc_id", "keep")
+    return merging.keep_oldest(docs, ["digest"], [F.col("doc_id")]).select("doc_id", "keep")
 
 
 @query("""WITH w AS (SELECT l_partkey, count(*) AS lines, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1)
