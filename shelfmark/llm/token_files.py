@@ -225,7 +225,7 @@ def write(docs: DataFrame, encoder, path: str, end: int = 2, id_col: str = "doc_
         def row():
             ids, n, lanes, payload = zip(*held)
             start = 8 * np.cumsum([0, *map(len, payload[:-1])])
-            at = np.concatenate([unvarint(np.frombuffer(v, np.uint8)) + s for v, s in zip(lanes, start)])
+            at = unvarint(np.frombuffer(b"".join(lanes), np.uint8)) + np.repeat(start, -(-np.array(n) // LANE))
             lanes, payload = varint(np.diff(at, prepend=0))[0].tobytes(), b"".join(payload)
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "first": first, "doc_id": ids, "n_tokens": n, "lanes": lanes, "payload": payload, "crc": zlib.crc32(payload)}], schema=schema)
 
