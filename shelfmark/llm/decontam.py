@@ -1,26 +1,21 @@
 """Benchmark decontamination with DataFrame operations only.
 
-A window of a document has as many words as a benchmark item. Only windows that hold an anchor are looked at: an
-item's anchors are so many of its shingles, evenly spread, that a window as similar as asked for must share one.
-Equal windows of all documents are fingerprinted once. Window and item fingerprints (SimHash over the shingles) meet
-through multi-index blocks: two within the radius agree in some block but for a few bits, and items are listed under
-all those values, so none within the radius is missed. The exact similarity of the weighted shingles then decides.
+A window of a document has as many words as a benchmark item. The shingles that a document shares with an item are
+gathered, and the shared count of every window is a running sum over them: a shingle adds one from the first window
+that ends at or behind it, until it falls out at the window's front or until as many later copies of it as the item
+holds are in the window. So all windows are looked at exactly, wherever an item's parts lie in them, at a cost in
+proportion to the shared shingles; documents that share too few in all are left out before.
 """
 
 from __future__ import annotations
 
-import itertools
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import free_name, staged
 
 WORDS = 5
 SIMILARITY = 0.8
-#: Differing bits of fingerprints at most. Shingle sets at similarity 0.8 differ in 10 of 64 bits, with a standard deviation of 3.
-RADIUS = 19
-BLOCKS = 7
 #: Longer items are looked for in pieces of so many words.
 PIECE = 4096
 #: Item rows up to which they are sent to every executor; with more, documents are shuffled.
@@ -39,48 +34,15 @@ def shingles(words: str) -> Column:
     return F.when(F.size(words) >= WORDS, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash(df: DataFrame, key: list[str], hashes: str) -> DataFrame:
-    """(key, fp) of each row: a bit is set if over half of the hashes have it.
-
-    Sixteen sums hold four bit counts each, of fifteen bits, which PIECE keeps from running over.
-    """
-    mask = 0x0001000100010001
-    rows = df.select(*key, F.explode(hashes).alias("h"))
-    sums = rows.groupBy(*key).agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(mask))).alias(f"s{k}") for k in range(16)])
-    fp = F.lit(0).cast("long")
-    for k, lane in itertools.product(range(16), range(4)):
-        count = F.shiftrightunsigned(f"s{k}", 16 * lane).bitwiseAND(F.lit(0xFFFF))
-        bit = 1 << (k + 16 * lane)
-        fp = fp.bitwiseOR(F.when(2 * count > F.col("n"), F.lit(bit - (1 << 64) if bit >> 63 else bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    return sums.select(*key, fp.alias("fp"))
-
-
-def _block(k: int) -> Column:
-    lo, hi = 64 * k // BLOCKS, 64 * (k + 1) // BLOCKS
-    return F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-
-
-def _flips(k: int) -> list[int]:
-    """Masks that change a block's value in as many bits as some block of two fingerprints in the radius may differ."""
-    width = 64 * (k + 1) // BLOCKS - 64 * k // BLOCKS
-    return [sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in itertools.combinations(range(width), n)]
-
-
-def _values(k: int) -> Column:
-    """All values of block k under which a fingerprint is listed."""
-    return F.transform(F.array(*map(F.lit, _flips(k))), lambda mask: F.struct(F.lit(k).alias("block"), _block(k).bitwiseXOR(mask.cast("long")).alias("value")))
-
-
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, item_id, start, words, similarity) for each document and item of which a window is similar enough.
 
     start is the first word (from 0) of the most similar window (of equals the first), words its length. Similarity is
-    the sum of the smaller over the sum of the larger shingle counts. Windows lie where an anchor puts them, moved
-    into the document at its ends; a document shorter than an item is one window. Null and empty texts and texts or
+    the sum of the smaller over the sum of the larger shingle counts. Every window of a document is looked at; a
+    document shorter than an item is one window. Null and empty texts and texts or
     items under five words take no part; a null document id is an id like others; rows that repeat an id count as
     one document; equal items are all reported. Items of over 4096 words are looked for in pieces. No documents or no items give no rows.
     """
-    spark = docs.sparkSession
     pieces = (
         items.select(F.col(item_id).alias("item"), words(item_text).alias("w"))
         .where(F.size("w") >= WORDS)
@@ -91,50 +53,33 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
         .withColumn("size", F.size("s"))
     )
     pieces = staged(pieces, "pieces")
-    # Of size shingles, a similar window misses this many at most; one anchor more cannot all be missed.
-    missed = F.floor(F.col("size") * (1 - 2 * similarity / (1 + similarity)) + 1e-9).cast("int")
-    anchors = F.least(F.greatest(missed + 1, F.lit(4)), F.col("size"))
-    anchored = (
-        pieces.withColumn("many", anchors)
-        .select("s", "size", F.explode(F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda j: F.floor(j * F.col("size") / F.col("many")).cast("int"))).alias("off"))
-        .select(F.element_at("s", F.col("off") + 1).alias("h"), "off", "size")
-        .distinct()
-    )
+    wanted = pieces.select("item", "at", "size", F.explode("s").alias("h")).groupBy("item", "at", "size", "h").agg(F.count("*").cast("int").alias("many"))
+    wanted = staged(wanted, "wanted")
     texts = docs.select(F.col(id_col).alias("id"), words(text).alias("w")).select("id", shingles("w").alias("s"))
-    # No filter on s, and outer explosion, which implies none: it would be pushed below the projections and split the
-    # text again for every shingle.
-    start = F.greatest(F.least(F.col("pos") - F.col("off"), F.size("s") - F.col("size")), F.lit(0))
-    if anchored.count() <= BROADCAST_ROWS:
-        hits = texts.select("id", "s", F.posexplode_outer("s").alias("pos", "h")).join(F.broadcast(anchored), "h")
-        windows = hits.select("id", "size", start.alias("start"), F.slice("s", start + 1, F.col("size")).alias("window"))
-    else:
-        hits = texts.select("id", F.size("s").alias("n"), F.posexplode_outer("s").alias("pos", "h")).join(anchored, "h")
-        at = hits.select("id", "size", "pos", "off").distinct()
-        both = at.alias("a").join(texts.alias("t"), F.col("a.id").eqNullSafe(F.col("t.id"))).select("a.*", "t.s")
-        windows = both.select("id", "size", start.alias("start"), F.slice("s", start + 1, F.col("size")).alias("window"))
-    windows = windows.withColumn("wid", F.xxhash64("size", "window"))
-    windows = staged(windows.groupBy("id", "size", "start", "wid").agg(F.first("window").alias("window")), "windows")
-    once = staged(windows.groupBy("wid", "size").agg(F.first("window").alias("s")), "once")
-
-    found = simhash(once, ["wid", "size"], "s")
-    known = simhash(pieces, ["item", "at", "size"], "s")
-    probe = found.select("wid", "size", "fp", F.posexplode(F.array(*[_block(k) for k in range(BLOCKS)])).alias("block", "value"))
-    near = F.explode(F.flatten(F.array(*map(_values, range(BLOCKS)))))
-    listed = known.select("item", "at", "size", F.col("fp").alias("item_fp"), near.alias("b")).select("item", "at", "size", "item_fp", "b.*")
-    pairs = probe.join(listed, ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    pairs = pairs.select("wid", "item", "at", "size").distinct()
-
-    def counted(df: DataFrame, key: list[str]) -> DataFrame:
-        return df.select(*key, F.explode("s").alias("h")).groupBy(*key, "h").agg(F.count("*").alias("n"))
-
-    mine = pairs.join(counted(once, ["wid"]), "wid")
-    theirs = counted(pieces, ["item", "at"]).withColumnRenamed("n", "m")
-    shared = mine.join(theirs, ["item", "at", "h"]).groupBy("wid", "item", "at", "size").agg(F.sum(F.least("n", "m")).alias("shared"))
-    sized = shared.join(once.select("wid", F.size("s").alias("own")), "wid")
-    ratio = F.col("shared") / (F.col("own") + F.col("size") - F.col("shared"))
-    similar = sized.select("wid", "item", "own", ratio.alias("similarity")).where(F.col("similarity") >= similarity)
+    # Rows that repeat an id are told apart by their shingles. No filter on s, and outer explosion, which implies none:
+    # it would be pushed below the projections and split the text again for every shingle.
+    placed = texts.select("id", F.xxhash64("s").alias("row"), F.size("s").alias("n"), F.posexplode_outer("s").alias("pos", "h"))
+    hits = placed.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "h")
+
+    pair = ["id", "row", "item", "at"]
+    own = F.least("n", "size")
+    ratio = F.col("shared") / (own + F.col("size") - F.col("shared"))
+    # One shuffle, by pair, serves all that follows.
+    lists = hits.repartition(*pair).groupBy(*pair, "size", "n", "h", "many").agg(F.array_sort(F.collect_set("pos")).alias("at_pos"))
+    enough = lists.withColumn("shared", F.sum(F.least(F.size("at_pos"), "many")).over(Window.partitionBy(*pair))).where(ratio >= similarity)
+    # A hit counts in windows that end from its position on (no window ends before own - 1) until before its end.
+    spans = F.transform(
+        "at_pos",
+        lambda p, i: F.struct(F.greatest(p, own - 1).alias("first"), F.least(p + F.col("size"), F.coalesce(F.get("at_pos", i + F.col("many")), p + F.col("size"))).alias("end")),
+    )
+    counted = enough.select(*pair, "size", "n", F.explode(spans).alias("span")).where("span.first < span.end")
+    steps = F.explode(F.array(F.struct(F.col("span.first").alias("last"), F.lit(1).alias("step")), F.struct(F.col("span.end").alias("last"), F.lit(-1).alias("step"))))
+    events = counted.select(*pair, "size", "n", steps.alias("e")).select(*pair, "size", "n", "e.last", "e.step")
+    running = events.withColumn("shared", F.sum("step").over(Window.partitionBy(*pair).orderBy("last")))
+    # The first of the most similar windows is the document's first or ends at a hit.
+    similar = running.where((F.col("step") > 0) & (ratio >= similarity)).select("id", "item", (F.col("last") - own + 1).alias("start"), own.alias("own"), ratio.alias("similarity"))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "own")).alias("b")
-    out = windows.select("id", "start", "wid").join(similar, "wid").groupBy("id", "item").agg(best)
+    out = similar.groupBy("id", "item").agg(best)
     return out.select(
         F.col("id").alias(id_col), F.col("item").alias(item_id if item_id != id_col else free_name(docs, item_id)),
         (-F.col("b.start")).alias("start"), (F.col("b.own") + WORDS - 1).alias("words"), F.col("b.similarity").alias("similarity"),

@@ -98,3 +98,26 @@ def test_plan_runs_no_python(spark, planted):
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     plan = decontam.find(d, i)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|CartesianProduct|NestedLoop", plan)
+
+
+@pytest.mark.parametrize("broadcast", [0, decontam.BROADCAST_ROWS])
+def test_swapped_moved_and_repeated_parts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 7)))
+    text = lambda n: [word() for _ in range(n)]
+    items, docs = [], []
+    for k in range(30):
+        own = text(rng.randrange(60, 90))
+        if k % 5 == 4:  # an item that repeats a passage
+            own[40:55] = own[:15]
+        items.append((k, " ".join(own)))
+        cut = rng.randrange(20, 40)
+        swapped = own[cut:] + own[:cut]
+        moved = own[10:cut] + own[:10] + own[cut:]
+        docs += [(10 * k, " ".join(text(70) + swapped + text(80))), (10 * k + 1, " ".join(moved + text(50))), (10 * k + 2, " ".join(text(30) + moved)), (10 * k + 3, " ".join(swapped[: len(own) - 5]))]
+        docs.append((10 * k + 4, " ".join(text(9) + own[:15] * 3 + own + own[:30] + text(9))))
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    assert sum(k % 10 == 0 for k, _ in want) >= 25
+    assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start) for r in decontam.find(d, i).collect()} == {k: (round(j, 9), a) for k, (j, a) in want.items()}
