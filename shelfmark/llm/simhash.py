@@ -26,6 +26,8 @@ from .components import components
 GROUP = 32_768
 #: Cells of a tile's matrix.
 TILE = 2_000_000
+#: Where similarities are verified: rows of fewer shingles are compared by shared shingles, not by fingerprints.
+SHORT = 16
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -81,6 +83,74 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wo
     return docs.select(id_col, text).mapInArrow(run, schema)
 
 
+def _tokens(h: np.ndarray) -> np.ndarray:
+    """The hashes as a sorted set, in which a repeated hash has another value each time."""
+    h = np.sort(h)
+    new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    occurrence = np.arange(len(h)) - np.repeat(new, np.diff(np.append(new, len(h))))
+    return np.sort(h + occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _digest(tokens: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(tokens.tobytes(), 42)).view(np.int64))
+
+
+def _least_tokens(tokens: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of the smallest tokens that sets as similar as asked for have one in common."""
+    return tokens[: len(tokens) - int(np.ceil(similarity * len(tokens) - 1e-9)) + 1]
+
+
+def _exact_prints(docs: DataFrame, text: str, words: int, bits: int, similarity: float) -> DataFrame:
+    """(id, fp, fp2, shingles, digest, least) of each row of (id, text): digest names the shingles with their counts."""
+    schema = T.StructType([docs.schema["id"], *(T.StructField(c, T.LongType()) for c in ("fp", "fp2", "shingles", "digest")), T.StructField("least", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        for batch in batches:
+            data, ends = text_buffers(batch[text])
+            raw, rows, least = data.tobytes(), [], []
+            for lo, hi in zip(ends[:-1], ends[1:]):
+                h = shingle_hashes(raw[lo:hi], words)
+                tokens = _tokens(h)
+                rows.append((majority(h), majority(_mixed(h)) if bits == 128 else 0, len(h), _digest(tokens)))
+                least.append(_least_tokens(tokens, similarity).view(np.int64).tolist() if 0 < len(h) * similarity < SHORT else [])
+            a, b, n, d = zip(*rows) if rows else ((), (), (), ())
+            halves = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]
+            yield pa.RecordBatch.from_arrays([batch["id"], *halves, pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(least, pa.list_(pa.int64()))], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _similar(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
+    """Those pairs (u, v) of digests whose shingles, counted with repeats, are as similar as asked for.
+
+    reps are (rep, digest), docs (id, text).
+    """
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct()
+
+    def tokens(batches):
+        for batch in batches:
+            data, ends = text_buffers(batch[text])
+            raw = data.tobytes()
+            sets = [_tokens(shingle_hashes(raw[lo:hi], words)) for lo, hi in zip(ends[:-1], ends[1:])]
+            # Rows that repeat an id can have other texts.
+            own = [(d, s.tobytes()) for d, s in zip(batch["digest"].to_pylist(), sets) if _digest(s) == d]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], names=["digest", "tokens"])
+
+    def verify(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch["a"], batch["b"]):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    texts = docs.join(reps.join(wanted, "digest", "left_semi"), docs["id"].cast("long") == F.col("rep")).select("digest", text)
+    held = staged(texts.mapInArrow(tokens, "digest long, tokens binary").dropDuplicates(["digest"]), "tokens")
+    a, b = (held.select(F.col("digest").alias(k), F.col("tokens").alias(c)) for k, c in (("u", "a"), ("v", "b")))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+
+
 def _cell(parts: int):
     """A fingerprint's cell: its band and the population counts of its parts, as digits to the base 65."""
     cell, width = F.col("band"), 64 // parts if parts else 0
@@ -137,8 +207,25 @@ def _forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) ->
     return node, label[node]
 
 
-def links(distinct: DataFrame, radius: int, parts: int, banded: bool) -> DataFrame:
-    """(u, v): a spanning set of the links between rows (rep, fp, fp2, band) of distinct fingerprints."""
+def _pairs(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all links between rows left and rows right of fp (n x 2)."""
+    ones = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
+    left, right = left[np.argsort(ones[left], kind="stable")], right[np.argsort(ones[right], kind="stable")]
+    counts, step, u, v = ones[right], max(1, TILE // max(len(right), 1)), [], []
+    for lo in range(0, len(left), step):
+        rows = left[lo : lo + step]
+        a, b = np.searchsorted(counts, [ones[rows[0]] - radius, ones[rows[-1]] + radius + 1])
+        cols = right[a:b]
+        apart = np.bitwise_count(fp[rows, 0][:, None] ^ fp[cols, 0]) + np.bitwise_count(fp[rows, 1][:, None] ^ fp[cols, 1])
+        i, j = np.nonzero(apart <= radius)
+        u.append(rows[i])
+        v.append(cols[j])
+    return np.concatenate(u), np.concatenate(v)
+
+
+def links(distinct: DataFrame, radius: int, parts: int, banded: bool, every: bool = False) -> DataFrame:
+    """(u, v): a spanning set of the links between rows (rep, fp, fp2, band) of distinct fingerprints, or every link."""
+    find = _pairs if every else _forest
     spark = distinct.sparkSession
     cells = distinct.withColumn("cell", _cell(parts))
     plan = _plan({r.cell: r["count"] for r in cells.groupBy("cell").count().collect()}, parts, radius, banded)
@@ -168,7 +255,7 @@ def links(distinct: DataFrame, radius: int, parts: int, banded: bool) -> DataFra
                 left = np.flatnonzero(side[lo:hi] == 0)
                 right = left if same[lo] else np.flatnonzero(side[lo:hi] == 1)
                 if len(right) and hi - lo > 1 and len(left):
-                    node, root = _forest(fp[lo:hi], left, right, radius)
+                    node, root = find(fp[lo:hi], left, right, radius)
                     u.append(rep[lo:hi][node])
                     v.append(rep[lo:hi][root])
             if u:
@@ -193,7 +280,7 @@ def links(distinct: DataFrame, radius: int, parts: int, banded: bool) -> DataFra
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3, bits: int = 64, radius: int = 2, parts: int = 4, length_ratio: float | None = None, few: int = 0
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3, bits: int = 64, radius: int = 2, parts: int = 4, length_ratio: float | None = None, few: int = 0, similarity: float | None = None
 ) -> DataFrame:
     """(id, fp, fp2, component) of each row: its fingerprint and the smallest id that its links reach, itself included.
 
@@ -203,7 +290,13 @@ def near_duplicates(
     few hashes spread too little. Null or empty texts have fingerprint zero and link like any other. Ties and
     repeated rows share a component; a row with a null id keeps its fingerprint, takes no part in links and has a
     null component. No documents give no rows.
+
+    With similarity, links between fingerprints are candidates only, of which those hold whose shingles, counted with
+    repeats, are as similar: the sum of the smaller over the sum of the larger counts. Lengths follow from it, and rows
+    of fewer than SHORT shingles meet by shared shingles instead, so length_ratio and few do not apply.
     """
+    if similarity:
+        return _near_by_similarity(docs, id_col, text, words, bits, radius, parts, similarity)
     prints = staged(fingerprints(docs, id_col, text, words, bits).withColumnRenamed(id_col, "id"), "fingerprints")
     if length_ratio:
         step = F.floor(F.log(F.greatest("shingles", F.lit(1))) / float(np.log(length_ratio))).cast("long")
@@ -219,6 +312,26 @@ def near_duplicates(
     return prints.join(moved, key, "left").select(F.col("id").alias(id_col), "fp", "fp2", own.alias("component"))
 
 
+def _near_by_similarity(docs: DataFrame, id_col: str, text: str, words: int, bits: int, radius: int, parts: int, similarity: float) -> DataFrame:
+    own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    prints = staged(_exact_prints(own, "text", words, bits, similarity), "fingerprints")
+    step = F.floor(F.log(F.greatest("shingles", F.lit(1))) / float(-np.log(similarity))).cast("long")
+    distinct = prints.where("id is not null").groupBy("digest").agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("fp", "fp2", "shingles", "least")])
+    distinct = staged(distinct.withColumn("band", step), "distinct")
+    far = links(distinct.where(F.col("shingles") >= SHORT).select(F.col("digest").alias("rep"), "fp", "fp2", "band"), radius, parts, True, every=True)
+    short = distinct.select("digest", "shingles", F.explode("least").alias("token"))
+    near = short.where(F.col("shingles") < SHORT).select(F.col("digest").alias("u"), "token").join(short.select(F.col("digest").alias("v"), "token"), "token")
+    pairs = far.select("u", "v").union(near.select("u", "v")).where("u <> v")
+    pairs = staged(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    held = staged(_similar(pairs, distinct.select("rep", "digest"), own, "text", words, similarity), "verified")
+    rep = distinct.select("digest", "rep")
+    edges = held.join(rep.select(F.col("digest").alias("u"), F.col("rep").alias("a")), "u").join(rep.select(F.col("digest").alias("v"), F.col("rep").alias("b")), "v")
+    found = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    moved = distinct.join(found.withColumnRenamed("node", "rep"), "rep", "left").where("rows > 1 or root is not null").select("digest", F.coalesce("root", "rep").alias("component"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", F.col("id").cast("long")))
+    return prints.join(moved, "digest", "left").select(F.col("id").alias(id_col), "fp", "fp2", component.alias("component"))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs without all but the first (by id) of each component; options as for near_duplicates().
 

@@ -98,3 +98,26 @@ def test_distance_of_forest_rows():
     fp = np.array([[0, 0], [1, 0], [3, 0], [7, 0], [2**63, 0]], np.uint64)
     node, root = simhash._forest(fp, np.arange(5), np.arange(5), 1)
     assert set(zip(node.tolist(), root.tolist())) == {(1, 0), (2, 0), (3, 0), (4, 0)}
+
+
+def test_pipeline_links_are_verified_and_short_texts_compared(spark):
+    import collections
+
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    texts = []
+    for k in range(40):
+        base = [word() for _ in range(rng.randrange(120, 300))]
+        texts += [base, base[: int(len(base) * 0.82)] + [word() for _ in range(int(len(base) * 0.18))], base[:-3] + [word()]]
+    for n in (5, 8, 9, 10, 11, 12, 14, 19, 22):
+        base = [word() for _ in range(n)]
+        texts += [base, base[:-1], base[1:], [*base, word()], [*base[: n // 2], word(), *base[n // 2 :]]]
+    line = [word() for _ in range(6)]
+    texts += [line * 30 + [word() for _ in range(100)] for _ in range(3)]
+    sets = [collections.Counter(simhash.shingle_hashes(" ".join(t).encode(), 5).tolist()) for t in texts]
+    alike = lambda a, b: (a & b).total() / (a | b).total() >= 0.8
+    want = roots(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])])
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component for r in simhash.near_duplicates(docs, **corpus_pipeline.NEAR).collect()} == want
