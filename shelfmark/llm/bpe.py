@@ -176,13 +176,17 @@ class _Block:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[_Block]:
+    """Blocks of the rows of all batches: one ends with the row that brings its text to BLOCK_BYTES, wherever batches
+    end, since both readings of docs must cut the same blocks and batches depend on the other columns."""
     held, size = [], 0
     for batch in batches:
-        for lo in range(0, max(batch.num_rows, 1), 2000):
-            part = batch.slice(lo, 2000)
-            held.append(part)
-            raw, _ = text_buffers(part[text])
-            size += len(raw)
+        ends = text_buffers(batch[text])[1]
+        lo = 0
+        while lo < batch.num_rows:
+            hi = min(int(np.searchsorted(ends, ends[lo] + BLOCK_BYTES - size)), batch.num_rows)
+            held.append(batch.slice(lo, hi - lo))
+            size += int(ends[hi] - ends[lo])
+            lo = hi
             if size >= BLOCK_BYTES:
                 yield _Block(pa.Table.from_batches(held), text)
                 held, size = [], 0

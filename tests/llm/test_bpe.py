@@ -80,3 +80,20 @@ def test_blocks_smaller_than_the_input(spark, monkeypatch):
     texts = {r[0]: r[1] for r in rows}
     for r in encoded(spark, rows).collect():
         assert bytes(r.decoded).decode() == texts[r.doc_id]
+
+
+def test_blocks_do_not_depend_on_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 3000)
+    rng = random.Random(4)
+    texts = [rng.choice([None, "", "é word " * rng.randrange(60), f"w{k} " * rng.randrange(40)]) for k in range(5000)]
+    table = pa.table({"n": range(len(texts)), "text": texts})
+
+    def cut(rows):
+        blocks = list(bpe._blocks(iter(table.to_batches(max_chunksize=rows)), "text"))
+        assert [n for b in blocks for n in b.table["n"].to_pylist()] == list(range(len(texts)))
+        return [(b.key, b.table.num_rows) for b in blocks]
+
+    assert len(cut(5000)) > 50
+    assert cut(5000) == cut(1) == cut(7) == cut(2003)
