@@ -3,9 +3,9 @@
 Encoding: each input partition is cut into blocks of whole documents. In a block the texts are split into
 pre-tokens, the positions are kept as codes into the block's own word list, and the words are dealt by hash to
 buckets that gather equal words of all blocks. A bucket encodes each distinct word once; the ids go back to the
-blocks, where documents are put together by position. A block is named by a digest of its word list, so a block
-that is computed again (after a lost executor, or for the other branch of the plan) can only meet its own words;
-any other outcome raises an error.
+blocks, where documents are put together by position. Texts are split once: positions and words are written as one
+table in the shared folder, bucketed by block, so that positions are not shuffled to meet their ids and a lost
+executor cannot make a block meet other words. A block is named by a digest of its word list.
 
 No word is a hot key: a block lists a word once, however often it occurs. Decoding joins the token-byte table,
 whose size the vocabulary fixes, and is map-side.
@@ -17,7 +17,9 @@ import base64
 import functools
 import hashlib
 import heapq
+import re
 import unicodedata
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import binary_array, free_name, ragged, text_buffers, unvarint, varint
+from ._shared import binary_array, free_name, ragged, shared_dir, text_buffers, unvarint, varint
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
 
@@ -146,16 +148,32 @@ class RankEncoder:
         return [merge(w, self._ranks) for w in words]
 
 
+def special_spans(data: bytes, documents: np.ndarray, specials: tuple[bytes, ...]) -> np.ndarray:
+    """(start, end) of the special tokens in texts laid end to end: the leftmost first, the longest of those, none across texts."""
+    if not any(x in data for x in specials):
+        return np.zeros((0, 2), np.int64)
+    pattern = re.compile(b"|".join(map(re.escape, sorted(specials, key=len, reverse=True))))
+    ends = np.append(documents, len(data))
+    touched = np.unique(np.searchsorted(ends, [m.start() for x in specials for m in re.finditer(re.escape(x), data)], "right") - 1)
+    return np.array([m.span() for k in touched for m in pattern.finditer(data, ends[k], ends[k + 1])], np.int64).reshape(-1, 2)
+
+
 class _Block:
-    """Whole documents with the words of their texts, the most frequent first."""
+    """Whole documents with the words of their texts, the most frequent first. Special tokens are words of their own."""
 
-    def __init__(self, table: pa.Table, text: str):
+    def __init__(self, table: pa.Table, text: str, specials: tuple[bytes, ...] = ()):
         data, documents = text_buffers(table[text])
         starts, lo = [], 0
         while lo < len(documents) - 1:
             hi = max(lo + 1, int(np.searchsorted(documents, documents[lo] + SLICE_BYTES, "right")) - 1)
             a, b = documents[lo], documents[hi]
-            starts.append(token_starts(data[a:b].tobytes(), documents[lo:hi] - a).astype(np.int32) + np.int32(a))
+            raw, first = data[a:b].tobytes(), documents[lo:hi] - a
+            spans = special_spans(raw, first, specials)
+            own = token_starts(raw, np.union1d(first, spans) if len(spans) else first)
+            if len(spans):  # no start within a special token
+                at = np.searchsorted(spans[:, 0], own, "right") - 1
+                own = own[(at < 0) | (own == spans[at, 0]) | (own >= spans[at, 1])]
+            starts.append(own.astype(np.int32) + np.int32(a))
             lo = hi
         at = np.concatenate(starts) if starts else np.zeros(0, np.int32)
         del starts
@@ -175,26 +193,24 @@ class _Block:
         self.table = table
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[_Block]:
-    """Blocks of the rows of all batches: one ends with the row that brings its text to BLOCK_BYTES, wherever batches
-    end, since both readings of docs must cut the same blocks and batches depend on the other columns."""
+def _blocks(batches: Iterator[pa.RecordBatch], text: str, specials: tuple[bytes, ...] = (), size_bytes: int = BLOCK_BYTES) -> Iterator[_Block]:
+    """Blocks of the rows of all batches: one ends with the row that brings its text to size_bytes, wherever batches end."""
     held, size = [], 0
     for batch in batches:
         ends = text_buffers(batch[text])[1]
         lo = 0
         while lo < batch.num_rows:
-            hi = min(int(np.searchsorted(ends, ends[lo] + BLOCK_BYTES - size)), batch.num_rows)
+            hi = min(int(np.searchsorted(ends, ends[lo] + size_bytes - size)), batch.num_rows)
             held.append(batch.slice(lo, hi - lo))
             size += int(ends[hi] - ends[lo])
             lo = hi
-            if size >= BLOCK_BYTES:
-                yield _Block(pa.Table.from_batches(held), text)
+            if size >= size_bytes:
+                yield _Block(pa.Table.from_batches(held), text, specials)
                 held, size = [], 0
     if held:
-        yield _Block(pa.Table.from_batches(held), text)
+        yield _Block(pa.Table.from_batches(held), text, specials)
 
 
-PAGE = "block long, bucket int, codes binary, words binary, counts binary"
 IDS = "block long, bucket int, codes binary, ids binary, counts binary"
 
 
@@ -212,24 +228,46 @@ def _unpacked(value: bytes) -> list[np.ndarray]:
     return np.split(raw[2 + head :], ends[:-1] - 2 - head)
 
 
-def word_pages(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """One row per block and bucket: the block's words of that bucket, with their codes and counts."""
-
-    def pages(batches):
-        schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("codes", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
-        for block in _blocks(batches, text):
-            raw, ends = text_buffers(block.words)
-            deal = np.fromiter((zlib.crc32(w) % buckets for w in block.words.to_pylist()), np.int64, len(block.words))
-            order = np.argsort(deal, kind="stable")
-            cuts = np.flatnonzero(np.diff(deal[order])) + 1
-            rows = []
-            for at in np.split(order, cuts) if len(order) else []:
-                size = ends[at + 1] - ends[at]
-                rows.append((block.key, int(deal[at[0]]), _packed(np.diff(at, prepend=0)), _packed(size, raw[ragged(size, ends[at])]), _packed(block.count[at])))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-    return docs.select(text).mapInArrow(pages, PAGE)
+class Split:
+    """The split texts of docs: positions (docs without text, with block and codes) and pages (the words of each block by bucket)."""
+
+    def __init__(self, docs: DataFrame, text: str, buckets: int | None = None, specials: tuple[bytes, ...] = (), block_bytes: int = BLOCK_BYTES):
+        spark = docs.sparkSession
+        self.kept = [T.StructField(f.name, f.dataType) for f in docs.schema.fields if f.name != text]
+        names = [free_name(docs, f"_{x}") for x in ("block", "codes", "bucket", "page", "words", "counts")]
+        self.block, self.codes, bucket, page, words, counts = names
+        own = [T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.BinaryType(), T.IntegerType(), T.BinaryType(), T.BinaryType(), T.BinaryType()))]
+        schema, parts = T.StructType([*self.kept, *own]), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = buckets or 4 * parts
+
+        def split(batches):
+            for block in _blocks(batches, text, specials, block_bytes):
+                table, first = block.table.drop_columns([text]), np.concatenate(([0], np.cumsum(block.tokens_of)))
+                for lo in range(0, len(block.tokens_of), 1000):
+                    at = first[lo : lo + 1001]
+                    raw, size = varint(block.codes[at[0] : at[-1]])
+                    n, ends = len(at) - 1, np.concatenate(([0], np.cumsum(size)))[at - at[0]]
+                    empty = [pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in range(3))]
+                    yield pa.RecordBatch.from_arrays([*(c.slice(lo, 1000).combine_chunks() for c in table.columns), pa.array(np.full(n, block.key), pa.int64()), binary_array(raw, ends), *empty], names=schema.names)
+                raw, ends = text_buffers(block.words)
+                deal = np.fromiter((zlib.crc32(w) % buckets for w in block.words.to_pylist()), np.int64, len(block.words))
+                order = np.argsort(deal, kind="stable")
+                rows = []
+                for at in np.split(order, np.flatnonzero(np.diff(deal[order])) + 1) if len(order) else []:
+                    size = ends[at + 1] - ends[at]
+                    rows.append((int(deal[at[0]]), _packed(np.diff(at, prepend=0)), _packed(size, raw[ragged(size, ends[at])]), _packed(block.count[at])))
+                if rows:
+                    n, columns = len(rows), list(zip(*rows))
+                    empty = [*(pa.nulls(n, table.schema.field(f.name).type) for f in self.kept), pa.array(np.full(n, block.key), pa.int64()), pa.nulls(n, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*empty, pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=schema.names)
+
+        name = f"spark_catalog.default.split_{uuid.uuid4().hex}"
+        writer = docs.select(*(f"`{f.name}`" for f in self.kept), text).mapInArrow(split, schema).write.format("parquet").option("compression", "zstd")
+        writer.bucketBy(parts, self.block).option("path", f"{shared_dir(spark)}/shelfmark/{name}").saveAsTable(name)
+        whole = spark.table(name)
+        spark.sql(f"DROP TABLE {name}")  # its files stay, like those of staged()
+        self.positions = whole.where(F.col(bucket).isNull()).select(*(f"`{f.name}`" for f in self.kept), self.block, self.codes)
+        self.pages = whole.where(F.col(bucket).isNotNull()).select(F.col(self.block).alias("block"), F.col(bucket).alias("bucket"), F.col(page).alias("codes"), F.col(words).alias("words"), F.col(counts).alias("counts"))
 
 
 def encoded_pages(pages: DataFrame, encoder: Callable[[list[bytes]], list[list[int]]]) -> DataFrame:
@@ -267,25 +305,12 @@ def _word_table(pages: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return n, at, flat.astype(np.uint32)
 
 
-def with_ids(docs: DataFrame, text: str, ids: str, pages: DataFrame) -> DataFrame:
-    """docs with the text column replaced by ids, from the encoded pages of the same docs."""
-    names = {x: free_name(docs, f"_{x}") for x in ("block", "codes")}
-    kept = [f for f in docs.schema.fields if f.name != text]
-
-    def positions(batches):
-        for block in _blocks(batches, text):
-            table, first = block.table.drop_columns([text]), np.concatenate(([0], np.cumsum(block.tokens_of)))
-            for lo in range(0, len(block.tokens_of), 1000):
-                own = first[lo : lo + 1001]
-                raw, size = varint(block.codes[own[0] : own[-1]])
-                columns = [c.slice(lo, 1000).combine_chunks() for c in table.columns]
-                codes = binary_array(raw, np.concatenate(([0], np.cumsum(size)))[own - own[0]])
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(own) - 1, block.key), pa.int64()), codes], names=[*table.column_names, names["block"], names["codes"]])
+def with_ids(split: Split, ids: str, pages: DataFrame) -> DataFrame:
+    """The split docs with ids instead of their text, from the encoded pages of the same split."""
+    block, codes, kept = split.block, split.codes, split.kept
 
     def reassemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        data, ends = text_buffers(left[names["codes"]])
-        if len(data) and not right.num_rows:
-            raise RuntimeError("a block met no words: its input changed between two readings")
+        data, ends = text_buffers(left[codes])
         out, sizes = [], []
         if len(data):
             n, at, flat = _word_table(right)
@@ -301,26 +326,20 @@ def with_ids(docs: DataFrame, text: str, ids: str, pages: DataFrame) -> DataFram
         del out
         return left.select([f.name for f in kept]).append_column(ids, binary_array(flat_ids.view(np.uint8), np.concatenate(([0], np.cumsum(size * 4)))))
 
-    mid = T.StructType([*kept, T.StructField(names["block"], T.LongType()), T.StructField(names["codes"], T.BinaryType())])
-    left = docs.mapInArrow(positions, mid).groupBy(names["block"])
-    right = pages.select(F.col("block").alias(names["block"]), "codes", "ids").groupBy(names["block"])
-    return left.cogroup(right).applyInArrow(reassemble, T.StructType([*kept, T.StructField(ids, T.BinaryType())]))
-
-
-def default_buckets(docs: DataFrame) -> int:
-    """Word buckets: four for each shuffle partition that the session asks for."""
-    return 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    right = pages.select(F.col("block").alias(block), "codes", "ids").groupBy(block)
+    return split.positions.groupBy(block).cogroup(right).applyInArrow(reassemble, T.StructType([*kept, T.StructField(ids, T.BinaryType())]))
 
 
-def encode(docs: DataFrame, encoder: Callable[[list[bytes]], list[list[int]]], text: str = "text", ids: str = "ids", buckets: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, encoder: Callable[[list[bytes]], list[list[int]]], text: str = "text", ids: str = "ids", buckets: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs without text, with its ids: little-endian unsigned 32-bit integers in a binary column.
 
+    Words are dealt to buckets (four for each shuffle partition, if not given).
     A null or empty text has no ids (an empty value, not null). Other columns, repeated rows and nulls in them
     pass unchanged; a column of docs that is named like ids is replaced. No documents give no rows.
     """
     docs = docs.drop(ids) if ids != text else docs
-    pages = encoded_pages(word_pages(docs, text, buckets or default_buckets(docs)), encoder)
-    return with_ids(docs, text, ids, pages)
+    split = Split(docs, text, buckets, block_bytes=block_bytes)
+    return with_ids(split, ids, encoded_pages(split.pages, encoder))
 
 
 def decode(tokens: DataFrame, table: list[bytes], ids: str = "ids", decoded: str = "decoded") -> DataFrame:

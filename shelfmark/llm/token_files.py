@@ -12,6 +12,7 @@ crc (of the payload), the lanes' offsets within the block as differences; ``code
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -33,13 +34,20 @@ SAMPLE = 20_000
 
 
 class LibraryEncoder:
-    """Encodes words with the tokenizers library, from a tokenizer file's content; special tokens are ordinary text."""
+    """Encodes words with the tokenizers library, from a tokenizer file's content.
+
+    specials are the file's added tokens, which the library takes out of a text before it splits words.
+    """
 
     def __init__(self, content: bytes):
         self.content, self._tokenizer = content, None
+        added = json.loads(content).get("added_tokens", [])
+        if any(x[k] for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that depend on their surroundings are not supported")
+        self.specials = tuple(x["content"].encode() for x in added)
 
     def __getstate__(self):
-        return {"content": self.content, "_tokenizer": None}
+        return self.__dict__ | {"_tokenizer": None}
 
     def __call__(self, words: list[bytes]) -> list[list[int]]:
         if self._tokenizer is None:
@@ -47,7 +55,6 @@ class LibraryEncoder:
             from tokenizers import Tokenizer
 
             self._tokenizer = Tokenizer.from_buffer(self.content)
-            self._tokenizer.encode_special_tokens = True
         out = []
         for lo in range(0, len(words), 5000):
             out += [e.ids for e in self._tokenizer.encode_batch_fast([w.decode("utf-8") for w in words[lo : lo + 5000]], add_special_tokens=False)]
@@ -181,17 +188,19 @@ def write(docs: DataFrame, encoder, path: str, end: int = 2, id_col: str = "doc_
     """Encode every text, append the end id, and write the files under path.
 
     A null text has the end id alone. Ids of documents are cast to long; rows with a null id come first, and ties
-    are ordered by a hash of the text, so that a repeated id is no single range. No documents give empty tables.
+    are ordered by a hash of the text, so that a repeated id is no single range. No documents give empty tables. The
+    encoder's special tokens (``specials``, if it has any) are looked for in texts first, each a word of its own.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    pages = staged(bpe.encoded_pages(bpe.word_pages(docs, "text", bpe.default_buckets(docs)), encoder), "pages")
     docs = docs.withColumn("tie", F.xxhash64("text"))
-    rows = docs.count()
+    split = bpe.Split(docs, "text", specials=getattr(encoder, "specials", ()))
+    pages = staged(bpe.encoded_pages(split.pages, encoder), "pages")
+    rows = split.positions.count()
     length = code_lengths(_counts(pages, rows, end))
     shared = spark.sparkContext.broadcast((length, canonical(length)))
     share = min(1.0, SAMPLE / max(rows, 1))
-    sampled = docs.where(F.pmod(F.xxhash64("id", "tie"), F.lit(1 << 20)) < share * (1 << 20)).select("id", "tie").collect()
+    sampled = split.positions.where(F.pmod(F.xxhash64("id", "tie"), F.lit(1 << 20)) < share * (1 << 20)).select("id", "tie").collect()
     keys = sorted((-1 << 63 if r.id is None else r.id, r.tie) for r in sampled)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = [keys[len(keys) * k // parts] for k in range(1, parts)] if keys else []
@@ -241,7 +250,7 @@ def write(docs: DataFrame, encoder, path: str, end: int = 2, id_col: str = "doc_
         if held:
             yield row()
 
-    ids = bpe.with_ids(docs, "text", "ids", pages)
+    ids = bpe.with_ids(split, "ids", pages)
     coded = ids.mapInArrow(huffman, "part int, id long, tie long, n long, lanes binary, payload binary")
     sorted_ = coded.repartition(parts, "part").sortWithinPartitions("part", F.col("id").asc_nulls_first(), "tie")
     sorted_.mapInArrow(blocks, BLOCK).write.parquet(f"{path}/blocks")

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 import regex
 import tiktoken
 from hypothesis import given, settings
@@ -74,24 +75,49 @@ def test_decoding_null_ids(spark):
     assert {r.decoded for r in bpe.decode(df, bpe.token_table(RANKS)).collect()} == {None, b""}
 
 
-def test_blocks_smaller_than_the_input(spark, monkeypatch):
+def test_slices_smaller_than_the_input(monkeypatch):
+    import pyarrow as pa
+
+    texts = [f"document {k} with the word{k % 7} and é{k}" for k in range(200)]
+    whole = bpe._Block(pa.table({"text": texts}), "text")
     monkeypatch.setattr(bpe, "SLICE_BYTES", 50)
-    rows = [(k, f"document {k} with the word{k % 7} and é{k}", None) for k in range(200)]
+    small = bpe._Block(pa.table({"text": texts}), "text")
+    assert small.key == whole.key and (small.codes == whole.codes).all() and (small.tokens_of == whole.tokens_of).all()
+
+
+@pytest.mark.parametrize("arrow_bytes", ["64m", "20k"])
+def test_many_blocks_in_the_workers(spark, arrow_bytes):
+    rows = [(k, f"document {k} with the word{k % 7} and é{k} " * (1 + k % 50), "w" * 50) for k in range(600)]
     texts = {r[0]: r[1] for r in rows}
-    for r in encoded(spark, rows).collect():
-        assert bytes(r.decoded).decode() == texts[r.doc_id]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, wide string")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", arrow_bytes)
+    try:
+        split = bpe.Split(docs, "text", block_bytes=5000)
+        assert split.pages.select("block").distinct().count() > 20
+        out = bpe.decode(bpe.encode(docs, bpe.RankEncoder(RANKS), block_bytes=5000), bpe.token_table(RANKS)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert sorted(r.doc_id for r in out) == list(range(600))
+    for r in out:
+        assert bytes(r.decoded).decode() == texts[r.doc_id] and r.wide == "w" * 50
+        assert np.frombuffer(r.ids, "<u4").tolist() == TIKTOKEN.encode_ordinary(texts[r.doc_id])
+
+
+def test_positions_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, "two three")], "doc_id long, text string")
+    plan = bpe.encode(docs, bpe.RankEncoder(RANKS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # words to buckets, ids to blocks
 
 
-def test_blocks_do_not_depend_on_batches(monkeypatch):
+def test_blocks_do_not_depend_on_batches():
     import pyarrow as pa
 
-    monkeypatch.setattr(bpe, "BLOCK_BYTES", 3000)
     rng = random.Random(4)
     texts = [rng.choice([None, "", "é word " * rng.randrange(60), f"w{k} " * rng.randrange(40)]) for k in range(5000)]
     table = pa.table({"n": range(len(texts)), "text": texts})
 
     def cut(rows):
-        blocks = list(bpe._blocks(iter(table.to_batches(max_chunksize=rows)), "text"))
+        blocks = list(bpe._blocks(iter(table.to_batches(max_chunksize=rows)), "text", (), 3000))
         assert [n for b in blocks for n in b.table["n"].to_pylist()] == list(range(len(texts)))
         return [(b.key, b.table.num_rows) for b in blocks]
 

@@ -52,13 +52,16 @@ def test_canonical_codes_are_prefix_free():
     assert not any(a != b and b.startswith(a) for a in codes for b in codes)
 
 
-@pytest.mark.parametrize("rows", [[], [(7, None, "x")], [(3, "Hello <|endoftext|> world's\n\n  end", "x"), (1, "", "y"), (None, "naïve 漢字", "z"), (3, "again " * 3000, "v"), (-5, None, "w")]])
+#: Texts around the added token of the file, also where two texts meet.
+SPECIAL = ["<|endoftext|>", "a  <|endoftext|>  b", "<|endof", "text|>", "é<|endoftext|><|endoftext|>don't", "<|<|endoftext|>|> x", "12<|endoftext|>34 \n<|endoftext|>\n", "no"]
+
+
+@pytest.mark.parametrize("rows", [[], [(7, None, "x")], [(k, t, "s") for k, t in enumerate(SPECIAL)], [(3, "Hello <|endoftext|> world's\n\n  end", "x"), (1, "", "y"), (None, "naïve 漢字", "z"), (3, "again " * 3000, "v"), (-5, None, "w")]])
 def test_files_hold_the_librarys_ids_in_order(spark, tmp_path, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, part string")
     tf.write(docs, tf.LibraryEncoder(vocabulary_file("byte_bpe_50k.json")), str(tmp_path / "out"))
     got = sorted(tf.read(spark, str(tmp_path / "out")).collect(), key=lambda r: r.start)
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     want = sorted(((r[0] is not None, r[0] or 0), [*library.encode(r[1] or "", add_special_tokens=False).ids, 2]) for r in rows)
     assert [(r.doc_id is not None, r.doc_id or 0) for r in got] == [w[0] for w in want]
     assert sorted(np.frombuffer(r.ids, "<u4").tolist() for r in got) == sorted(w[1] for w in want)
