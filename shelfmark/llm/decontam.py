@@ -1,10 +1,10 @@
-"""Benchmark decontamination with DataFrame operations only.
+"""Benchmark decontamination by SimHash windows and a multi-index of Hamming blocks, with DataFrame operations only.
 
-A window of a document has as many words as a benchmark item. The shingles that a document shares with an item are
-gathered, and the shared count of every window is a running sum over them: a shingle adds one from the first window
-that ends at or behind it, until it falls out at the window's front or until as many later copies of it as the item
-holds are in the window. So all windows are looked at exactly, wherever an item's parts lie in them, at a cost in
-proportion to the shared shingles; documents that share too few in all are left out before.
+A window of a document has as many words as a benchmark item. A window can be similar to an item only if most of its
+shingles occur in items of that size, which a running sum over a document's known shingles tells for every window; all
+windows of which that holds, at every start, are fingerprinted. Item fingerprints are listed by blocks of bits, with
+every value one bit off: a fingerprint within RADIUS bits has a block at most one bit off, so looking up a window's
+blocks finds every item within the radius. What is found is then verified by the exact similarity of shingle counts.
 """
 
 from __future__ import annotations
@@ -16,9 +16,13 @@ from ._shared import free_name, staged
 
 WORDS = 5
 SIMILARITY = 0.8
-#: Longer items are looked for in pieces of so many words.
+#: Longer items are looked for in equal pieces of at most so many words.
 PIECE = 4096
-#: Item rows up to which they are sent to every executor; with more, documents are shuffled.
+#: Bits by which fingerprints may differ. At similarity 0.8 they differ in 10, with a standard deviation of 3.
+RADIUS = 24
+#: Blocks of a fingerprint: so many that one of them differs in a bit at most.
+BLOCKS = RADIUS // 2 + 1
+#: Rows of tables of items or of found documents up to which they are sent to every executor; with more, documents are shuffled.
 BROADCAST_ROWS = 200_000
 
 
@@ -34,50 +38,95 @@ def shingles(words: str) -> Column:
     return F.when(F.size(words) >= WORDS, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
+def fingerprint(counted: DataFrame, keys: list[str], h: str, many: Column) -> DataFrame:
+    """(keys, fp): a bit of fp is set if it is set in over half of a group's hashes, each counted as often as many says."""
+    ones = [F.sum(F.shiftright(h, b).bitwiseAND(F.lit(1).cast("long")) * many).alias(f"b{b}") for b in range(64)]
+    sums = counted.groupBy(*keys).agg(F.sum(many).alias("all"), *ones)
+    bits = [F.when(2 * F.col(f"b{b}") > F.col("all"), F.lit((1 << b) - ((1 << 64) if b == 63 else 0))).otherwise(F.lit(0)).cast("long") for b in range(64)]
+    fp = bits[0]
+    for bit in bits[1:]:
+        fp = fp.bitwiseOR(bit)
+    return sums.select(*keys, fp.alias("fp"))
+
+
+def blocks(fp: str, off: int) -> Column:
+    """Structs (block, value) of a fingerprint's blocks, with the values that are so many bits off at most (0 or 1)."""
+    out = []
+    for k in range(BLOCKS):
+        lo, hi = 64 * k // BLOCKS, 64 * (k + 1) // BLOCKS
+        value = F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
+        for flip in (0, *(1 << j for j in range(hi - lo) if off)):
+            out.append(F.struct(F.lit(k).alias("block"), value.bitwiseXOR(F.lit(flip).cast("long")).alias("value")))
+    return F.array(*out)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be sent to every executor if it is small enough; df is staged, so that counting it is cheap."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, item_id, start, words, similarity) for each document and item of which a window is similar enough.
 
     start is the first word (from 0) of the most similar window (of equals the first), words its length. Similarity is
-    the sum of the smaller over the sum of the larger shingle counts. Every window of a document is looked at; a
+    the sum of the smaller over the sum of the larger shingle counts. Windows at every start are looked at; a
     document shorter than an item is one window. Null and empty texts and texts or
     items under five words take no part; a null document id is an id like others; rows that repeat an id count as
-    one document; equal items are all reported. Items of over 4096 words are looked for in pieces. No documents or no items give no rows.
+    one document; equal items are all reported. Items of over 4096 words are looked for in equal pieces, of which any
+    counts. No documents or no items give no rows. A similar window whose fingerprint differs in more than RADIUS bits
+    is missed; at similarity 0.8 that is five standard deviations away.
     """
-    pieces = (
-        items.select(F.col(item_id).alias("item"), words(item_text).alias("w"))
-        .where(F.size("w") >= WORDS)
-        .select("item", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(PIECE))).alias("at"))
-        .select("item", "at", F.slice("w", F.col("at") + 1, PIECE).alias("w"))
-        .select("item", "at", shingles("w").alias("s"))
-        .where(F.size("s") > 0)
-        .withColumn("size", F.size("s"))
-    )
-    pieces = staged(pieces, "pieces")
-    wanted = pieces.select("item", "at", "size", F.explode("s").alias("h")).groupBy("item", "at", "size", "h").agg(F.count("*").cast("int").alias("many"))
+    w = items.select(F.col(item_id).alias("item"), words(item_text).alias("w")).where(F.size("w") >= WORDS)
+    many = F.ceil(F.size("w") / PIECE).cast("int")
+    cut = w.select("item", "w", many.alias("many"), F.explode(F.sequence(F.lit(0), many - 1)).alias("at"))
+    border = lambda k: F.floor(F.size("w") * k / F.col("many")).cast("int")
+    cut = cut.select("item", "at", F.slice("w", border(F.col("at")) + 1, border(F.col("at") + 1) - border(F.col("at"))).alias("w"))
+    shingled = cut.select("item", "at", shingles("w").alias("s")).withColumn("size", F.size("s"))
+    wanted = shingled.select("item", "at", "size", F.explode("s").alias("h")).groupBy("item", "at", "size", "h").agg(F.count("*").cast("int").alias("many"))
     wanted = staged(wanted, "wanted")
+    prints = staged(fingerprint(wanted, ["item", "at", "size"], "h", F.col("many").cast("long")), "prints")
+    known = staged(wanted.groupBy("h").agg(F.collect_set("size").alias("sizes")), "known")
+
     texts = docs.select(F.col(id_col).alias("id"), words(text).alias("w")).select("id", shingles("w").alias("s"))
     # Rows that repeat an id are told apart by their shingles. No filter on s, and outer explosion, which implies none:
     # it would be pushed below the projections and split the text again for every shingle.
     placed = texts.select("id", F.xxhash64("s").alias("row"), F.size("s").alias("n"), F.posexplode_outer("s").alias("pos", "h"))
-    hits = placed.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "h")
-
-    pair = ["id", "row", "item", "at"]
-    own = F.least("n", "size")
-    ratio = F.col("shared") / (own + F.col("size") - F.col("shared"))
-    # One shuffle, by pair, serves all that follows.
-    lists = hits.repartition(*pair).groupBy(*pair, "size", "n", "h", "many").agg(F.array_sort(F.collect_set("pos")).alias("at_pos"))
-    enough = lists.withColumn("shared", F.sum(F.least(F.size("at_pos"), "many")).over(Window.partitionBy(*pair))).where(ratio >= similarity)
-    # A hit counts in windows that end from its position on (no window ends before own - 1) until before its end.
-    spans = F.transform(
-        "at_pos",
-        lambda p, i: F.struct(F.greatest(p, own - 1).alias("first"), F.least(p + F.col("size"), F.coalesce(F.get("at_pos", i + F.col("many")), p + F.col("size"))).alias("end")),
-    )
-    counted = enough.select(*pair, "size", "n", F.explode(spans).alias("span")).where("span.first < span.end")
-    steps = F.explode(F.array(F.struct(F.col("span.first").alias("last"), F.lit(1).alias("step")), F.struct(F.col("span.end").alias("last"), F.lit(-1).alias("step"))))
-    events = counted.select(*pair, "size", "n", steps.alias("e")).select(*pair, "size", "n", "e.last", "e.step")
-    running = events.withColumn("shared", F.sum("step").over(Window.partitionBy(*pair).orderBy("last")))
-    # The first of the most similar windows is the document's first or ends at a hit.
-    similar = running.where((F.col("step") > 0) & (ratio >= similarity)).select("id", "item", (F.col("last") - own + 1).alias("start"), own.alias("own"), ratio.alias("similarity"))
+    hits = placed.join(_small(known), "h").select("id", "row", "n", "pos", F.explode("sizes").alias("size"))
+
+    # A known shingle counts in windows that end from its position on (none ends before own - 1) until it falls out.
+    group, own = ["id", "row", "size"], F.least("n", "size")
+    need = similarity * (own + F.col("size")) / (1 + similarity) - 1e-9
+    hits = hits.repartition(*group).dropDuplicates([*group, "pos"]).withColumn("all", F.count("*").over(Window.partitionBy(*group))).where(F.col("all") >= need)
+    event = F.explode(F.array(F.struct(F.greatest("pos", own - 1).alias("last"), F.lit(1).alias("step")), F.struct((F.col("pos") + own).alias("last"), F.lit(-1).alias("step"))))
+    order = Window.partitionBy(*group).orderBy("last")
+    running = hits.select(*group, "n", event.alias("e")).select(*group, "n", "e.last", "e.step").withColumn("held", F.sum("step").over(order)).withColumn("next", F.lead("last").over(order))
+    stop = F.least("next", "n") - 1  # the last event takes the last shingle out
+    ranges = staged(running.where((F.col("held") >= need) & (stop >= F.col("last"))).select(*group, "n", own.alias("own"), F.col("last").alias("first"), stop.alias("stop")), "ranges")
+
+    # The shingles of the few documents that have such windows.
+    found = staged(ranges.select(F.col("id").alias("_id"), F.col("row").alias("_row")).distinct(), "found")
+    again = docs.join(_small(found.select("_id").distinct()), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    again = again.select(F.col(id_col).alias("_id"), words(text).alias("w")).select("_id", shingles("w").alias("s")).withColumn("_row", F.xxhash64("s")).dropDuplicates(["_id", "_row"])
+    start = F.explode(F.sequence(F.col("first") - F.col("own") + 1, F.col("stop") - F.col("own") + 1)).alias("start")
+    spans = ranges.join(again, (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))).select(*group, "own", "s", start)
+    spans = staged(spans.select(*group, "own", "start", F.slice("s", F.col("start") + 1, F.col("own")).alias("s")), "windows")
+
+    window = [*group, "own", "start"]
+    printed = fingerprint(spans.select(*window, F.explode("s").alias("h")), window, "h", F.lit(1).cast("long"))
+    asked = printed.select(*window, "fp", F.inline(blocks("fp", 0)))
+    listed = prints.select("item", "at", "size", F.col("fp").alias("item_fp"), F.inline(blocks("fp", 1)))
+    near = asked.join(_small(listed) if prints.count() <= BROADCAST_ROWS else listed, ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    near = staged(near.select(*window, "item", "at").distinct(), "near")
+
+    same = (F.col("c.row") == F.col("t.row")) & F.col("c.id").eqNullSafe(F.col("t.id")) & (F.col("c.size") == F.col("t.size")) & (F.col("c.start") == F.col("t.start"))
+    pair = [*window, "item", "at"]
+    counts = near.alias("c").join(spans.alias("t"), same).select(*(f"c.{x}" for x in pair), F.explode("t.s").alias("h")).groupBy(*pair, "h").agg(F.count("*").cast("int").alias("own_many"))
+    kept = [F.col(f"c.{x}").alias(x) for x in pair]
+    of_item = _small(wanted).alias("i")
+    shared = counts.alias("c").join(of_item, (F.col("c.h") == F.col("i.h")) & F.col("c.item").eqNullSafe(F.col("i.item")) & (F.col("c.at") == F.col("i.at"))).select(*kept, F.least("own_many", "many").alias("both"))
+    total = shared.groupBy(*pair).agg(F.sum("both").alias("shared"))
+    ratio = F.col("shared") / (F.col("own") + F.col("size") - F.col("shared"))
+    similar = total.select("id", "item", "start", "own", ratio.alias("similarity")).where(F.col("similarity") >= similarity)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "own")).alias("b")
     out = similar.groupBy("id", "item").agg(best)
     return out.select(

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.llm import decontam
 
@@ -88,9 +89,38 @@ def test_empty_tables(spark, planted):
 
 def test_an_item_longer_than_a_piece(spark, monkeypatch):
     monkeypatch.setattr(decontam, "PIECE", 30)
-    item = " ".join(f"w{k}" for k in range(100))
-    docs = spark.createDataFrame([(1, "before " + " ".join(f"w{k}" for k in range(30, 60)) + " after"), (2, "nothing of it " * 20)], "doc_id long, text string")
-    assert {r.doc_id for r in decontam.find(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()} == {1}
+    items = [(1, " ".join(f"w{k}" for k in range(100))), (2, " ".join(f"v{k}" for k in range(31)))]  # pieces of 25, of 15 and 16 words
+    docs = [(1, "before " + " ".join(f"w{k}" for k in range(25, 50)) + " after"), (2, "nothing of it " * 20), (3, "only the tail v26 v27 v28 v29 v30 of an item"), (4, " ".join(f"v{k}" for k in range(31)))]
+    found = decontam.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (4, 2)}
+
+
+def test_inserted_and_deleted_words_and_a_long_text(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 7)))
+    text = lambda n: [word() for _ in range(n)]
+    items = [(k, " ".join(text(rng.randrange(50, 100)))) for k in range(60)]
+    docs = []
+    for k, t in items:
+        own = t.split()
+        at, n = rng.randrange(0, 12), rng.randrange(1, 6)
+        docs.append((2 * k, " ".join(text(rng.randrange(40)) + own[:at] + text(n) + own[at:] + text(20))))
+        docs.append((2 * k + 1, " ".join(text(rng.randrange(40)) + own[:at] + own[at + n :] + text(20))))
+    docs.append((1000, " ".join(text(30_000) + items[5][1].split() + text(30_000))))
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.find(d, i).collect()}
+    assert got.pop((1000, 5)) == 1.0
+    want = {k: round(j, 9) for k, (j, _) in brute(docs[:-1], items).items()}
+    assert got == want and len(want) > 60
+
+
+def test_blocks_find_every_fingerprint_within_the_radius(spark):
+    rng = random.Random(3)
+    flips = [rng.sample(range(64), n) for n in (0, 1, decontam.RADIUS, decontam.RADIUS) for _ in range(50)]
+    rows = [(k, x := rng.getrandbits(63), x ^ sum(1 << b for b in f if b < 63)) for k, f in enumerate(flips)]
+    df = spark.createDataFrame(rows, "k long, a long, b long")
+    a, b = (df.selectExpr("k", f"{c} AS fp").select("k", F.inline(decontam.blocks("fp", off))) for c, off in (("a", 0), ("b", 1)))
+    assert a.join(b, ["k", "block", "value"]).select("k").distinct().count() == len(rows)
 
 
 def test_plan_runs_no_python(spark, planted):
