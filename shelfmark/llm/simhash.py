@@ -22,12 +22,18 @@ from pyspark.sql import types as T
 from ._shared import staged, text_buffers
 from .components import components
 
-#: Fingerprints of a group: the rows of one side of a task's comparison, about.
-GROUP = 32_768
+#: Fingerprints of a group: the rows of one side of a task's comparison, at least and at most, about.
+GROUP = (2_048, 32_768)
+#: Groups that a large cell is cut into at least, so that no task has a whole one.
+CUTS = 8
 #: Cells of a tile's matrix.
 TILE = 2_000_000
-#: Where similarities are verified: rows of fewer shingles are compared by shared shingles, not by fingerprints.
-SHORT = 16
+#: Where similarities are verified: rows of fewer shingles meet by what is left of their shingles without a few.
+SHORT = 10
+#: Where similarities are verified: candidates that a row has in each component that it meets.
+TRIES = 4
+#: Where similarities are verified: shares of the radius by which links are taken, the nearest first.
+STEPS = (0.4, 0.55, 0.7, 0.85, 1)
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -95,27 +101,48 @@ def _digest(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(tokens.tobytes(), 42)).view(np.int64))
 
 
-def _least_tokens(tokens: np.ndarray, similarity: float) -> np.ndarray:
-    """So many of the smallest tokens that sets as similar as asked for have one in common."""
-    return tokens[: len(tokens) - int(np.ceil(similarity * len(tokens) - 1e-9)) + 1]
+def _most_gone(size: int, similarity: float) -> int:
+    """How many shingles two sets may have in all besides size common ones, to be as similar as asked for."""
+    return int(size * (1 - similarity) / similarity + 1e-9)
+
+
+def _subsets(tokens: np.ndarray, similarity: float) -> list[dict]:
+    """What is left of a small set of shingles without a few, for all choices of those by which similar sets can differ.
+
+    Two sets are similar exactly if one of their common subsets is left of both without more shingles gone, in sum,
+    than _most_gone() allows. A subset is named by the sum of its members' hashes.
+    """
+    own, out = _mixed(tokens), []
+    total, size = int(own.sum(dtype=np.uint64)), len(tokens)
+    for gone in range(size):
+        room = _most_gone(size - gone, similarity)
+        if gone > room:
+            break
+        for drop in itertools.combinations(map(int, own), gone):
+            left = (total - sum(drop)) & 0xFFFFFFFFFFFFFFFF
+            out.append({"subset": left - (left >> 63 << 64), "gone": gone, "room": room})
+    return out
 
 
 def _exact_prints(docs: DataFrame, text: str, words: int, bits: int, similarity: float) -> DataFrame:
-    """(id, fp, fp2, shingles, digest, least) of each row of (id, text): digest names the shingles with their counts."""
-    schema = T.StructType([docs.schema["id"], *(T.StructField(c, T.LongType()) for c in ("fp", "fp2", "shingles", "digest")), T.StructField("least", T.ArrayType(T.LongType()))])
+    """(id, fp, fp2, shingles, digest, subsets) of each row of (id, text): digest names the shingles with their counts."""
+    longs = [T.StructField(c, T.LongType()) for c in ("fp", "fp2", "shingles", "digest")]
+    subset = T.StructType([T.StructField("subset", T.LongType()), T.StructField("gone", T.IntegerType()), T.StructField("room", T.IntegerType())])
+    schema = T.StructType([docs.schema["id"], *longs, T.StructField("subsets", T.ArrayType(subset))])
+    kind = pa.list_(pa.struct([("subset", pa.int64()), ("gone", pa.int32()), ("room", pa.int32())]))
 
     def run(batches):
         for batch in batches:
             data, ends = text_buffers(batch[text])
-            raw, rows, least = data.tobytes(), [], []
+            raw, rows, subsets = data.tobytes(), [], []
             for lo, hi in zip(ends[:-1], ends[1:]):
                 h = shingle_hashes(raw[lo:hi], words)
                 tokens = _tokens(h)
                 rows.append((majority(h), majority(_mixed(h)) if bits == 128 else 0, len(h), _digest(tokens)))
-                least.append(_least_tokens(tokens, similarity).view(np.int64).tolist() if 0 < len(h) * similarity < SHORT else [])
+                subsets.append(_subsets(tokens, similarity) if 0 < len(h) * similarity < SHORT else [])
             a, b, n, d = zip(*rows) if rows else ((), (), (), ())
             halves = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays([batch["id"], *halves, pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(least, pa.list_(pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch["id"], *halves, pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(subsets, kind)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -165,7 +192,8 @@ def _plan(counts: dict[int, int], parts: int, radius: int, banded: bool) -> list
 
     Roles: 0 left, 1 right, 2 both. The number of cells is bounded by the possible counts, not by the input.
     """
-    groups = {c: -(-n // GROUP) for c, n in counts.items()}
+    size = min(max(max(counts.values(), default=0) // CUTS, GROUP[0]), GROUP[1])
+    groups = {c: -(-n // size) for c, n in counts.items()}
     steps = [s for s in itertools.product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, s)) <= radius]
     powers = [65 ** (parts - 1 - k) for k in range(parts)]
     rows, key = [], 0
@@ -181,51 +209,58 @@ def _plan(counts: dict[int, int], parts: int, radius: int, banded: bool) -> list
     return rows
 
 
-def _forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (node, root) of a spanning forest of the links between rows left and rows right of fp (n x 2)."""
-    ones = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
+def _tiles(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int):
+    """(rows, columns, bits apart) of the tiles of left x right, without those whose population counts differ beyond the radius."""
+    ones, two = np.bitwise_count(fp).sum(axis=1, dtype=np.int64), bool(fp[:, 1].any())
     left, right = left[np.argsort(ones[left], kind="stable")], right[np.argsort(ones[right], kind="stable")]
-    counts, label, two = ones[right], np.arange(len(fp)), bool(fp[:, 1].any())
-    step = max(1, TILE // max(len(right), 1))
+    counts, step = ones[right], max(1, TILE // max(len(right), 1))
     for lo in range(0, len(left), step):
         rows = left[lo : lo + step]
-        # Tiles of which the population counts differ beyond the radius hold no link.
         a, b = np.searchsorted(counts, [ones[rows[0]] - radius, ones[rows[-1]] + radius + 1])
         cols = right[a:b]
         apart = np.bitwise_count(fp[rows, 0][:, None] ^ fp[cols, 0])
         if two:
             apart = apart + np.bitwise_count(fp[rows, 1][:, None] ^ fp[cols, 1])
-        near = apart <= radius
-        for k in np.flatnonzero(near.any(axis=1)):
-            found = label[cols[near[k]]]
-            if (found != label[rows[k]]).any():
-                roots = np.unique(np.append(found, label[rows[k]]))
-                joined = np.zeros(len(fp), bool)
-                joined[roots] = True
-                label[joined[label]] = roots[0]
-    node = np.flatnonzero(label != np.arange(len(fp)))
-    return node, label[node]
+        yield rows, cols, apart
 
 
-def _pairs(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all links between rows left and rows right of fp (n x 2)."""
-    ones = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
-    left, right = left[np.argsort(ones[left], kind="stable")], right[np.argsort(ones[right], kind="stable")]
-    counts, step, u, v = ones[right], max(1, TILE // max(len(right), 1)), [], []
-    for lo in range(0, len(left), step):
-        rows = left[lo : lo + step]
-        a, b = np.searchsorted(counts, [ones[rows[0]] - radius, ones[rows[-1]] + radius + 1])
-        cols = right[a:b]
-        apart = np.bitwise_count(fp[rows, 0][:, None] ^ fp[cols, 0]) + np.bitwise_count(fp[rows, 1][:, None] ^ fp[cols, 1])
-        i, j = np.nonzero(apart <= radius)
-        u.append(rows[i])
-        v.append(cols[j])
-    return np.concatenate(u), np.concatenate(v)
+def _forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray, steps: tuple[int, ...], tries: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of links between rows left and rows right of fp (n x 2) that connect what all links within steps[-1] connect.
+
+    Links are taken by rising distance, a step at a time; a row links to the nearest rows, so many as tries, of each
+    component that it meets, so that what lies between two components does not hide their own nearest links.
+    """
+    if len(steps) > 1:  # rows that meet no other are left out of the further readings
+        meets = np.zeros(len(fp), bool)
+        for rows, cols, apart in _tiles(fp, left, right, steps[-1]):
+            near = (apart <= steps[-1]) & (rows[:, None] != cols)
+            meets[rows[near.any(axis=1)]] = meets[cols[near.any(axis=0)]] = True
+        left, right = left[meets[left]], right[meets[right]]
+    label, u, v = np.arange(len(fp)), [], []
+    for radius in steps:
+        for rows, cols, apart in _tiles(fp, left, right, radius):
+            near = (apart <= radius) & (label[rows][:, None] != label[cols])
+            for k in np.flatnonzero(near.any(axis=1)):
+                at = np.flatnonzero(near[k])
+                at = at[label[cols[at]] != label[rows[k]]]  # earlier rows of the tile may have joined some
+                if not len(at):
+                    continue
+                at = at[np.lexsort((apart[k, at], label[cols[at]]))]
+                found = label[cols[at]]
+                first = np.flatnonzero(np.diff(found, prepend=-1))
+                taken = at[np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at)))) < tries]
+                u.append(np.full(len(taken), rows[k]))
+                v.append(cols[taken])
+                joined = np.zeros(len(fp), bool)
+                joined[found[first]] = joined[label[rows[k]]] = True
+                label[joined[label]] = min(found[0], label[rows[k]])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *u]), np.concatenate([none, *v])
 
 
-def links(distinct: DataFrame, radius: int, parts: int, banded: bool, every: bool = False) -> DataFrame:
-    """(u, v): a spanning set of the links between rows (rep, fp, fp2, band) of distinct fingerprints, or every link."""
-    find = _pairs if every else _forest
+def links(distinct: DataFrame, radius: int, parts: int, banded: bool, tries: int = 0) -> DataFrame:
+    """(u, v): a spanning set of the links between rows (rep, fp, fp2, band) of distinct fingerprints; with tries, more of them, see _forest()."""
+    steps = tuple(sorted({round(radius * x) for x in STEPS})) if tries else (radius,)
     spark = distinct.sparkSession
     cells = distinct.withColumn("cell", _cell(parts))
     plan = _plan({r.cell: r["count"] for r in cells.groupBy("cell").count().collect()}, parts, radius, banded)
@@ -255,7 +290,7 @@ def links(distinct: DataFrame, radius: int, parts: int, banded: bool, every: boo
                 left = np.flatnonzero(side[lo:hi] == 0)
                 right = left if same[lo] else np.flatnonzero(side[lo:hi] == 1)
                 if len(right) and hi - lo > 1 and len(left):
-                    node, root = find(fp[lo:hi], left, right, radius)
+                    node, root = _forest(fp[lo:hi], left, right, steps, max(tries, 1))
                     u.append(rep[lo:hi][node])
                     v.append(rep[lo:hi][root])
             if u:
@@ -292,8 +327,11 @@ def near_duplicates(
     null component. No documents give no rows.
 
     With similarity, links between fingerprints are candidates only, of which those hold whose shingles, counted with
-    repeats, are as similar: the sum of the smaller over the sum of the larger counts. Lengths follow from it, and rows
-    of fewer than SHORT shingles meet by shared shingles instead, so length_ratio and few do not apply.
+    repeats, are as similar: the sum of the smaller over the sum of the larger counts. Lengths follow from it, so
+    length_ratio and few do not apply. A task proposes, for each row, its TRIES nearest rows of each component that it
+    meets there, the nearest components first, so candidates grow with the rows, not with the square of a family of
+    near copies; two parts of a family stay apart only if none of those is similar. Rows of fewer than SHORT shingles link exactly, by what is
+    left of their shingles without a few.
     """
     if similarity:
         return _near_by_similarity(docs, id_col, text, words, bits, radius, parts, similarity)
@@ -316,14 +354,16 @@ def _near_by_similarity(docs: DataFrame, id_col: str, text: str, words: int, bit
     own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     prints = staged(_exact_prints(own, "text", words, bits, similarity), "fingerprints")
     step = F.floor(F.log(F.greatest("shingles", F.lit(1))) / float(-np.log(similarity))).cast("long")
-    distinct = prints.where("id is not null").groupBy("digest").agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("fp", "fp2", "shingles", "least")])
+    distinct = prints.where("id is not null").groupBy("digest").agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("fp", "fp2", "shingles", "subsets")])
     distinct = staged(distinct.withColumn("band", step), "distinct")
-    far = links(distinct.where(F.col("shingles") >= SHORT).select(F.col("digest").alias("rep"), "fp", "fp2", "band"), radius, parts, True, every=True)
-    short = distinct.select("digest", "shingles", F.explode("least").alias("token"))
-    near = short.where(F.col("shingles") < SHORT).select(F.col("digest").alias("u"), "token").join(short.select(F.col("digest").alias("v"), "token"), "token")
-    pairs = far.select("u", "v").union(near.select("u", "v")).where("u <> v")
-    pairs = staged(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    held = staged(_similar(pairs, distinct.select("rep", "digest"), own, "text", words, similarity), "verified")
+    far = links(distinct.where(F.col("shingles") >= SHORT).select(F.col("digest").alias("rep"), "fp", "fp2", "band"), radius, parts, True, TRIES)
+    pairs = staged(far.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    held = _similar(pairs, distinct.select("rep", "digest"), own, "text", words, similarity)
+    # Of those that have a subset in common, all link to the one that lost least for it, if they link to any.
+    short = staged(distinct.select("digest", "shingles", F.inline("subsets")), "subsets")
+    hub = short.groupBy("subset").agg(F.min(F.struct("gone", "digest")).alias("hub"), F.count("*").alias("members"), F.min("shingles").alias("least")).where((F.col("members") > 1) & (F.col("least") < SHORT))
+    near = short.join(hub, "subset").where("digest <> hub.digest and gone + hub.gone <= room").select(F.col("digest").alias("u"), F.col("hub.digest").alias("v"))
+    held = staged(held.union(near).distinct(), "verified")
     rep = distinct.select("digest", "rep")
     edges = held.join(rep.select(F.col("digest").alias("u"), F.col("rep").alias("a")), "u").join(rep.select(F.col("digest").alias("v"), F.col("rep").alias("b")), "v")
     found = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))

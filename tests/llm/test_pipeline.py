@@ -12,32 +12,16 @@ from shelfmark.llm import langid, simhash, toxicity
 from shelfmark.llm.queries import _fold
 from tests.llm.test_bpe import TIKTOKEN
 from tests.llm.test_decontam import brute
+from tests.llm.test_simhash import roots
 
 SF = "/root/testdata/sf0.001"
 
 
 def near_groups(texts):
-    """Smallest id that each id reaches over links of 128-bit fingerprints, by comparing all pairs."""
-    seen = {}
-    for i, t in texts.items():
-        h = simhash.shingle_hashes(t.encode(), 5)
-        seen[i] = (simhash.majority(h), simhash.majority(simhash._mixed(h)), len(h))
-    step = lambda n: int(np.floor(np.log(max(n, 1)) / np.log(1.25)))
-    up = {i: i for i in texts}
-
-    def top(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for i in texts:
-        for j in texts:
-            a, b = seen[i], seen[j]
-            near = (a[0] ^ b[0]).bit_count() + (a[1] ^ b[1]).bit_count() <= 26 and abs(step(a[2]) - step(b[2])) <= 1
-            if i < j and (a == b or (near and min(a[2], b[2]) >= 8)):
-                x, y = top(i), top(j)
-                up[max(x, y)] = min(x, y)
-    return {i: top(i) for i in texts}
+    """Smallest id that each id reaches over pairs at similarity 0.8, by comparing the shingles of all pairs."""
+    seen = {i: collections.Counter(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in texts.items()}
+    alike = lambda a, b: a == b or (a & b).total() >= 0.8 * (a | b).total() > 0
+    return roots(texts, [(i, j) for i in texts for j in texts if i < j and alike(seen[i], seen[j])])
 
 
 def test_stages_equal_brute_force(spark):

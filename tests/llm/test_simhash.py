@@ -36,11 +36,10 @@ def test_fingerprints(text):
     assert simhash.majority(simhash.shingle_hashes((text or "").encode(), 3)) == brute_fingerprint(text)
 
 
-@pytest.mark.parametrize("group", [3, 32_768])
+@pytest.mark.parametrize("group", [(3, 3), simhash.GROUP])
 def test_links_equal_brute_force_on_planted_fingerprints(spark, monkeypatch, group):
-    monkeypatch.setattr(simhash, "GROUP", group)
-    monkeypatch.setattr(simhash, "TILE", 20)
-    rng = random.Random(group)
+    monkeypatch.setattr(simhash, "GROUP", group)  # the driver cuts groups
+    rng = random.Random(group[0])
     fps = set()
     for _ in range(40):
         f = rng.getrandbits(64)
@@ -94,10 +93,31 @@ def test_components_of_a_long_path_and_a_hub(spark):
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
-def test_distance_of_forest_rows():
+@pytest.mark.parametrize("tile", [20, 2_000_000])
+def test_forest_links_the_nearest_of_each_component(monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
     fp = np.array([[0, 0], [1, 0], [3, 0], [7, 0], [2**63, 0]], np.uint64)
-    node, root = simhash._forest(fp, np.arange(5), np.arange(5), 1)
-    assert set(zip(node.tolist(), root.tolist())) == {(1, 0), (2, 0), (3, 0), (4, 0)}
+    node, root = simhash._forest(fp, np.arange(5), np.arange(5), (1,), 1)
+    assert {frozenset(x) for x in zip(node.tolist(), root.tolist())} == {frozenset(x) for x in [(1, 0), (1, 2), (2, 3), (0, 4)]}
+    rng = np.random.default_rng(1)
+    fp = rng.integers(0, 1 << 60, (300, 2), np.uint64) & np.uint64(0xF3)
+    for tries, steps in ((1, (2,)), (3, (2,)), (2, (0, 1, 2))):
+        u, v = simhash._forest(fp, np.arange(200), np.arange(100, 300), steps, tries)
+        near = lambda a, b: int(np.bitwise_count(fp[a] ^ fp[b]).sum()) <= 2
+        assert all(near(a, b) for a, b in zip(u, v))
+        assert roots(range(300), zip(u.tolist(), v.tolist())) == roots(range(300), [(a, b) for a in range(200) for b in range(100, 300) if near(a, b)])
+        assert len(u) <= tries * 300
+
+
+def test_a_family_of_near_copies_gives_few_candidates(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    base = [f"w{rng.random()}" for _ in range(150)]
+    texts = [[*base[:k], f"x{k}", *base[k + 1 :]] for k in range(0, 150, 1)] + [[f"y{k}", *base[:4]] for k in range(50)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.component for r in simhash.near_duplicates(docs, **corpus_pipeline.NEAR).collect()}
+    assert {found[k] for k in range(150)} == {0} and all(found[k] == k for k in range(150, 200))
 
 
 def test_pipeline_links_are_verified_and_short_texts_compared(spark):
