@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,16 @@ def cosine(a: Column, b: Column) -> Column:
         return F.aggregate(p, F.lit(0.0), lambda s, c: s + F.size(F.filter(q, lambda d: d == c)))
 
     return F.when((F.length(a) > 0) & (F.length(b) > 0), dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))).otherwise(0.0)
+
+
+def best_in_group(left: DataFrame, right: DataFrame, group: list[str], key: str, name: str, least: float = 0.95) -> DataFrame:
+    """(key, match, score): for each row of left the row of right in its group whose name has the largest cosine over least.
+
+    Names are compared lower-cased. Equal names of a group are compared once, so that copies cost no more; ties go to the
+    smaller key.
+    """
+    a = left.select(*group, F.lower(name).alias("_a")).distinct()
+    b = right.groupBy(*group, F.lower(name).alias("_b")).agg(F.min(key).alias("match"))
+    scored = a.join(b, group).withColumn("score", cosine(F.col("_a"), F.col("_b"))).where(F.col("score") > least)
+    best = scored.groupBy(*group, "_a").agg(F.min(F.struct((-F.col("score")).alias("s"), "match")).alias("b"))
+    return left.withColumn("_a", F.lower(name)).join(best, [*group, "_a"]).select(key, F.col("b.match").alias("match"), (-F.col("b.s")).alias("score"))

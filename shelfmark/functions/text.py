@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,12 @@ def is_copy_name(name: Column) -> Column:
     return name.rlike(r"(?i)(^copy of\s|\(\d+\)\s*$|\scopy(\s\d+)?$)")
 
 
+def original_name(filename: Column) -> Column:
+    """A file's name without the marks of a copy: a leading ``Copy of``, a trailing `` (n)`` or `` copy n`` of the stem."""
+    stem, ending = F.regexp_replace(filename, r"\.[^.]*$", ""), F.regexp_extract(filename, r"(\.[^.]*)$", 1)
+    return F.concat(F.regexp_replace(without_copy_prefix(stem), r"(?i)\s*\(\d+\)\s*$|\scopy(\s\d+)?$", ""), ending)
+
+
 def dashed(name: Column) -> Column:
     """Lower case, with one dash for each run of other characters and none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-|-$", "")
@@ -92,6 +98,75 @@ def site(url: Column) -> Column:
     return F.when(F.size(labels) >= 2, F.element_at(labels, -2)).otherwise(F.element_at(labels, -1))
 
 
+def renamed(filename: Column, pattern: str, replacement: str) -> Column:
+    """The name with a pattern replaced in what stands before the ending, which stays."""
+    stem, ending = F.regexp_replace(filename, r"\.[^.]*$", ""), F.regexp_extract(filename, r"(\.[^.]*)$", 1)
+    return F.concat(F.regexp_replace(stem, pattern, replacement), ending)
+
+
+def relative_path(path: Column, base: Column) -> Column:
+    """path as seen from the folder base, with ``..`` for each step up; ``.`` for base itself."""
+    p, b = F.split(path, "/"), F.split(base, "/")
+    at = F.sequence(F.lit(1), F.greatest(F.least(F.size(p), F.size(b)), F.lit(1)))
+    same = F.size(F.filter(at, lambda n: F.slice(p, 1, n) == F.slice(b, 1, n)))
+    parts = F.concat(F.array_repeat(F.lit(".."), F.size(b) - same), F.slice(p, same + 1, F.greatest(F.size(p) - same, F.lit(0))))
+    return F.when(F.size(parts) == 0, ".").otherwise(F.array_join(parts, "/"))
+
+
+def merge_prefix(target: Column, source: Column, same_library: Column) -> Column:
+    """Where a merged item's files go under the target: the relative path if both share a root, else the source folder's name."""
+    shared = same_library & (F.split(target, "/")[0] == F.split(source, "/")[0])
+    return F.when(shared, relative_path(source, target)).otherwise(F.element_at(F.split(source, "/"), -1))
+
+
+def format_note(extension: Column, head: Column) -> Column:
+    """Why a mesh format is inefficient, from its extension and its first bytes as text; null if it is not."""
+    ascii_ply = head.startswith("ply\rformat ascii")
+    return F.when((extension == "stl") & head.startswith("solid "), "ASCII STL").when(extension == "obj", "Wavefront OBJ").when((extension == "ply") & ascii_ply, "ASCII PLY")
+
+
+#: The two forms of a download site's readme.
+README_SHORT = r"(.*) by (.*) on Thingiverse: (https?://www\.thingiverse\.com/thing:[0-9]+)"
+README_LONG = r"(https?://www\.thingiverse\.com/thing:[0-9]+)\n(.*) by (.*) is licensed under the (.*) license\.\n(https?://.*)\n\n# Summary\n\n(.*)"
+
+
+def readme_fields(text: Column) -> Column:
+    """A struct (name, creator, url, license_url, notes) of a readme; one of another form is all notes."""
+    plain = F.regexp_replace(text, r"(?i)\{(.+?) %!S\(Bool=True\)\}", "$1")
+    short, long = text.rlike(README_SHORT), text.rlike(README_LONG)
+    by_short, by_long = (lambda k: F.regexp_extract(plain, README_SHORT, k)), (lambda k: F.regexp_extract(plain, README_LONG, k))
+    pick = lambda s, g: F.when(short, by_short(s)).when(long, by_long(g))
+    return F.struct(
+        pick(1, 2).alias("name"), pick(2, 3).alias("creator"), pick(3, 1).alias("url"), F.when(~short & long, by_long(5)).alias("license_url"),
+        F.when(short, F.lit(None).cast("string")).when(long, by_long(6)).otherwise(text).alias("notes"),
+    )
+
+
+def license_of_url(df: DataFrame, url: str, known: DataFrame, out: str = "license") -> DataFrame:
+    """df with the identifier of the licence with that address, http or https, and ``legalcode`` left out of known ones.
+
+    known has license and url; of more licences at one address the first name counts.
+    """
+    names = known.groupBy(F.regexp_replace("url", "legalcode", "").alias("_at")).agg(F.min("license").alias(out))
+    return df.join(names, F.regexp_replace(F.col(url), "^http:", "https:") == F.col("_at"), "left").drop("_at")
+
+
+def guessed_category(name: Column, rules: list[tuple[str, str]], default: str = "Unknown") -> Column:
+    """The category of the first pattern that the name matches, whatever its case."""
+    out = None
+    for pattern, category in rules:
+        out = (F if out is None else out).when(name.rlike(f"(?i){pattern}"), category)
+    return F.lit(default) if out is None else out.otherwise(default)
+
+
+def leading_components(paths: Column) -> Column:
+    """At how many positions all of an array of paths hold the same part."""
+    parts = F.transform(paths, lambda p: F.split(p, "/"))
+    least = F.array_min(F.transform(parts, lambda p: F.size(p)))
+    at = F.sequence(F.lit(1), F.greatest(least, F.lit(1)))
+    return F.size(F.filter(at, lambda n: F.size(F.array_distinct(F.transform(parts, lambda p: F.slice(p, n, 1)))) == 1))
+
+
 def server_and_port(url: Column) -> Column:
     """Host, with the port unless it is 80 or 443."""
     port = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#:]+:(\d+)", 1)

@@ -49,6 +49,28 @@ def searchable(items: DataFrame, actors: DataFrame) -> DataFrame:
     return items.join(a, "actor_id").where(F.col("local") | F.coalesce(F.col("indexable") == "yes", F.lit(False))).drop("local")
 
 
+def local_only(items: DataFrame, actors: DataFrame) -> DataFrame:
+    """Items whose actor (item column actor_id; actors id, local) is local."""
+    return having(items, actors.where("local"), "actor_id", "id")
+
+
+def remote_only(items: DataFrame, actors: DataFrame) -> DataFrame:
+    """Items whose actor is remote."""
+    return having(items, actors.where("not local"), "actor_id", "id")
+
+
+def mergeable(items: DataFrame, actors: DataFrame) -> DataFrame:
+    """Items that may be merged: those of local actors and those without an actor."""
+    return lacking(items, actors.where("not local"), "actor_id", "id")
+
+
+def repaired_actors(actors: DataFrame, hostname: str) -> DataFrame:
+    """actors (server, local, entity_type, entity_id), of which those of other servers are remote and those that own nothing have no type."""
+    foreign = F.col("server").isNotNull() & (F.col("server") != hostname)
+    fixed = actors.withColumn("local", F.col("local") & ~foreign)
+    return fixed.withColumn("entity_type", F.when(F.col("entity_id").isNotNull(), F.col("entity_type")))
+
+
 def visible_files(files: DataFrame, full: DataFrame, preview_only: DataFrame, previewable: str) -> DataFrame:
     """All files of items in full, and of items in preview_only those with the flag previewable. Items are in column id."""
     whole = having(files, full, "item_id", "id")

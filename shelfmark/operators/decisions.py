@@ -83,17 +83,40 @@ def import_plan(incoming: DataFrame, present: DataFrame, key: list[str]) -> Data
     return joined.withColumn("action", action).drop("_held")
 
 
+def still_to_do(folders: DataFrame, files: DataFrame, done: str = "preview.jpg", open_category: str = "Unknown") -> DataFrame:
+    """folders (folder, category) without those that are done: they hold the done file and have a known category; files has folder and name."""
+    good = files.where(F.lower("name") == done).select("folder").distinct().withColumn("_good", F.lit(True))
+    return folders.join(good, "folder", "left").where(F.col("_good").isNull() | F.coalesce(F.col("category") == open_category, F.lit(True))).drop("_good")
+
+
+def import_by_url(requests: DataFrame, links: DataFrame, kinds: list[tuple[str, str]], default: str = "item") -> DataFrame:
+    """(url, kind): requested addresses that no link has yet, each once, with the kind of the first pattern that fits."""
+    new = requests.select("url").where(F.col("url").isNotNull()).distinct().join(links.select("url"), "url", "left_anti")
+    return new.select("url", fn.guessed_category(F.col("url"), kinds, default).alias("kind"))
+
+
 def present_by_name(wanted: DataFrame, have: DataFrame, name: str, least: int = 12) -> DataFrame:
     """wanted with found: whether have holds the name, its key, or a name that contains it or lies in it, both longer than least.
 
-    Equality is an equi-join; containment compares only names that share a trigram block: their longest word.
+    Equality is an equi-join. A key that lies in another shares all its pieces of least + 1 letters with it: keys with a
+    piece that the other side lacks are out, the others meet at their rarest piece, and what meets is compared.
     """
     own = have.select(fn.name_key(F.col(name)).alias("_k")).where("_k <> ''").distinct()
     keyed = wanted.withColumn("_key", fn.name_key(F.col(name)))
     exact = keyed.join(own, F.col("_key") == F.col("_k"), "left_semi").select("_key").distinct()
-    longest = lambda c: F.array_max(F.transform(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    left = keyed.where(F.length("_key") > least).select("_key", longest(F.col(name)).alias("_w"))
-    right = have.select(fn.name_key(F.col(name)).alias("_k"), longest(F.col(name)).alias("_w")).where(F.length("_k") > least)
-    close = left.join(right, "_w").where(F.col("_k").contains(F.col("_key")) | F.col("_key").contains(F.col("_k"))).select("_key").distinct()
+    long = lambda df: df.where(F.length("k") > least).distinct()
+    left, right = long(keyed.select(F.col("_key").alias("k"))), long(own.select(F.col("_k").alias("k")))
+    close = _inside(left, right, least + 1).select("short").union(_inside(right, left, least + 1).select("long")).toDF("_key")
     found = exact.union(close).distinct().withColumn("_f", F.lit(True))
     return keyed.join(found, "_key", "left").withColumn("found", F.coalesce("_f", F.lit(False))).drop("_key", "_f")
+
+
+def _inside(shorter: DataFrame, longer: DataFrame, size: int) -> DataFrame:
+    """(short, long): keys (k) of shorter that lie in keys of longer."""
+    piece = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("k") - (size - 1)), lambda i: F.substr("k", i, F.lit(size))))).alias("piece")
+    of_long = longer.select(F.col("k").alias("long"), piece)
+    many = of_long.groupBy("piece").agg(F.count("*").alias("n"))
+    of_short = shorter.select(F.col("k").alias("short"), piece).join(many, "piece", "left")
+    rarest = of_short.groupBy("short").agg(F.min(F.struct("n", "piece")).alias("r"), F.count_if(F.col("n").isNull()).alias("lacks")).where("lacks = 0")
+    met = rarest.select("short", F.col("r.piece").alias("piece")).join(of_long, "piece")
+    return met.where(F.col("long").contains(F.col("short"))).select("short", "long")

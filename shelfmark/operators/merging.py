@@ -5,36 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import name_key
+from ..functions.text import is_copy_name, name_key, original_name
 
 LEAST_OVERLAP = 3
 LEAST_CONFIDENCE = 0.80
 
 
-def _pairs(df: DataFrame, on: list[str], key: str) -> DataFrame:
-    left, right = df.select(*on, F.col(key).alias("a")), df.select(*on, F.col(key).alias("b"))
-    return left.join(right, on).where("a < b")
+def class_pairs(df: DataFrame, on: list[str], key: str) -> DataFrame:
+    """(a, b): each key of a class of equal values with the class's smallest, a. All links of a class follow from them,
+    and their number grows with the rows, not with the square of a class."""
+    first = df.groupBy(*on).agg(F.min(key).alias("a"), F.count("*").alias("_many")).where("_many > 1")
+    return df.select(*on, F.col(key).alias("b")).join(first, on).where("a < b").select("a", "b")
 
 
 def name_pairs(items: DataFrame, key: str, name: str, category: str) -> DataFrame:
-    """(a, b): items of one category with the same name key. Names without letters or digits pair with none."""
+    """(a, b): items of one category with the same name key, as class_pairs(). Names without letters or digits pair with none."""
     keyed = items.select(key, F.lower(category).alias("_category"), name_key(F.col(name)).alias("_name")).where("_name <> ''")
-    return _pairs(keyed, ["_category", "_name"], key).select("a", "b")
+    return class_pairs(keyed, ["_category", "_name"], key).distinct()
 
 
 def overlap_pairs(facts: DataFrame, key: str, on: list[str], least: int = LEAST_OVERLAP) -> DataFrame:
-    """(a, b, overlap): items that share so many facts. An inverted index on the facts, not a comparison of all pairs."""
-    return _pairs(facts.select(key, *on).distinct(), on, key).groupBy("a", "b").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= least)
+    """(a, b, overlap): all pairs of items that share so many facts.
+
+    Items that share enough facts share one besides the least - 1 commonest of either, so those are left out of the
+    inverted index, and a fact that nearly all items have proposes no pairs. The overlap is then counted over all facts.
+    """
+    rows = facts.select(F.col(key).alias("_item"), *on).where(F.col(key).isNotNull()).na.drop(subset=on).distinct()
+    common = rows.groupBy(*on).agg(F.count("*").alias("_many"))
+    rank = F.row_number().over(Window.partitionBy("_item").orderBy(F.desc("_many"), *on))
+    rare = rows.join(common.where("_many > 1"), on).withColumn("_k", rank).where(F.col("_k") >= least)
+    left, right = rare.select(*on, F.col("_item").alias("a")), rare.select(*on, F.col("_item").alias("b"))
+    pairs = left.join(right, on).where("a < b").select("a", "b").distinct()
+    first = pairs.join(rows.withColumnRenamed("_item", "a"), "a")
+    both = first.join(rows.withColumnRenamed("_item", "b"), ["b", *on])
+    return both.groupBy("a", "b").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= least)
 
 
 def candidates(items: DataFrame, files: DataFrame, key: str = "id", name: str = "name", category: str = "category") -> DataFrame:
     """(a, b, signals, overlap): unordered pairs with their evidence, each once.
 
-    files has item, name, size and digest. Signals: name_near_dupe, shared_digest and file_overlap, sorted.
+    files has item, name, size and digest. Signals: name_near_dupe, shared_digest and file_overlap, sorted. Names and
+    digests pair each item with the first of its class.
     """
     named = name_pairs(items, key, name, category).select("a", "b", F.lit("name_near_dupe").alias("signal"), F.lit(0).cast("long").alias("overlap"))
     own = files.select(F.col("item").alias(key), F.lower("name").alias("_n"), F.col("size").alias("_s"), F.col("digest").alias("_d"))
-    same = overlap_pairs(own.where("_d is not null"), key, ["_d"], 1).select("a", "b", F.lit("shared_digest").alias("signal"), F.lit(0).cast("long").alias("overlap"))
+    same = class_pairs(own.where("_d is not null").select(key, "_d").distinct(), ["_d"], key).distinct().select("a", "b", F.lit("shared_digest").alias("signal"), F.lit(0).cast("long").alias("overlap"))
     most = overlap_pairs(own, key, ["_n", "_s"]).select("a", "b", F.lit("file_overlap").alias("signal"), "overlap")
     both = named.unionByName(same).unionByName(most)
     return both.groupBy("a", "b").agg(F.sort_array(F.collect_set("signal")).alias("signals"), F.max("overlap").alias("overlap"))
@@ -90,6 +105,38 @@ def apply_status(plan: DataFrame, paths: DataFrame, least: float = LEAST_CONFIDE
     return joined.withColumn("status", status).drop("_a", "_b")
 
 
+def split_plan(files: DataFrame, chosen: DataFrame, previews: DataFrame, new_item: Column) -> tuple[DataFrame, DataFrame]:
+    """(files, previews) after chosen files (column id) moved to new items; new_item names an item's copy by column item.
+
+    A preview (item, preview_id) that moves becomes the copy's, and its old item has none.
+    """
+    picked = chosen.select("id").distinct().withColumn("_moves", F.lit(True))
+    moved = files.join(picked, "id", "left").withColumn("item", F.when(F.col("_moves"), new_item).otherwise(F.col("item"))).drop("_moves")
+    shown = previews.join(picked.withColumnRenamed("id", "preview_id"), "preview_id", "left")
+    kept = shown.select("item", F.when(F.col("_moves").isNull(), F.col("preview_id")).alias("preview_id"))
+    return moved, kept.unionByName(shown.where("_moves").select(new_item.alias("item"), "preview_id"))
+
+
+def copy_passes(files: DataFrame, least: int = 1024) -> DataFrame:
+    """(id, reason, keep_id): files that are copies, each by the first of three passes that finds it.
+
+    files has id, folder, name, size, modified and digest. The passes: a name that says so; the same folder, bare name
+    and size; the same size and digest, of so many bytes at least. The oldest of a group stays.
+    """
+    named = files.where(is_copy_name(F.regexp_replace("name", r"\.[^.]*$", ""))).select("id", F.lit("copy-name").alias("reason"), F.lit(None).cast("long").alias("keep_id"))
+    rest = files.join(named, "id", "left_anti")
+
+    def repeats(df: DataFrame, group: list[Column], reason: str) -> DataFrame:
+        keyed = df.select("id", F.struct("modified", "folder", "name", "id").alias("age"), *[g.alias(f"_g{k}") for k, g in enumerate(group)])
+        on = [f"_g{k}" for k in range(len(group))]
+        first = keyed.groupBy(*on).agg(F.min("age").alias("first"), F.count("*").alias("n")).where("n > 1")
+        return keyed.join(first, on).where("id <> first.id").select("id", F.lit(reason).alias("reason"), F.col("first.id").cast("long").alias("keep_id"))
+
+    same = repeats(rest, [F.col("folder"), F.lower(original_name(F.col("name"))), F.col("size")], "same-name-size")
+    rest = rest.join(same, "id", "left_anti").where(F.col("digest").isNotNull() & (F.col("size") >= least))
+    return named.unionByName(same).unionByName(repeats(rest, [F.col("size"), F.col("digest")], "sha256"))
+
+
 def keep_oldest(files: DataFrame, group: list[str], by: list[Column]) -> DataFrame:
     """files with keep: true for the first of each group, by an order that ends in a key."""
     return files.withColumn("keep", F.row_number().over(Window.partitionBy(*group).orderBy(*by)) == 1)

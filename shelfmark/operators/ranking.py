@@ -46,3 +46,24 @@ def prefix_sections(df: DataFrame, group: str, name: str, least_length: int = 3)
     enough = many.join(sizes, group).where(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("rows") * 0.05))).select(group, "section")
     longest = prefixes.join(enough, [group, "section"]).groupBy(group, name).agg(F.max_by("section", F.length("section")).alias("section"))
     return rows.join(longest, [group, name], "left")
+
+
+def healed_previews(items: DataFrame, files: DataFrame) -> DataFrame:
+    """(item_id, reason, preview_id): new previews for items (id, preview_id) whose own is broken, unset or no image.
+
+    files has id, item_id, filename and on_disk; the best file on disk is picked. A broken preview without a successor
+    becomes null; one that is no image stays unless another file is better. All three passes are one plan.
+    """
+    pick = first(files.where("on_disk"), ["item_id"], [preview_priority(F.col("filename")), F.col("id")]).select("item_id", F.col("id").alias("_pick"))
+    own = files.select(F.col("id").alias("preview_id"), F.col("on_disk").alias("_there"), (file_class(extension(F.col("filename"))) == "image").alias("_image"))
+    joined = items.select(F.col("id").alias("item_id"), "preview_id").join(pick, "item_id", "left").join(own, "preview_id", "left")
+    broken, image = F.col("_there") == F.lit(False), F.coalesce("_image", F.lit(False))
+    reason = F.when(F.col("preview_id").isNull(), F.when(F.col("_pick").isNotNull(), "unset")).when(broken, "broken")
+    reason = reason.when(F.col("_there") & ~image & F.col("_pick").isNotNull() & (F.col("_pick") != F.col("preview_id")), "no_image")
+    return joined.select("item_id", reason.alias("reason"), F.col("_pick").alias("preview_id")).where(F.col("reason").isNotNull())
+
+
+def random_top(df: DataFrame, n: int, prefer: Column | None = None, seed: int | None = None) -> DataFrame:
+    """n rows at random; of those that prefer names first, so that others only fill up."""
+    order = [F.desc(F.coalesce(prefer, F.lit(False)))] if prefer is not None else []
+    return df.orderBy(*order, F.rand(seed)).limit(n)

@@ -1,11 +1,12 @@
 """Boolean search over an item's own fields and its related rows, fuzzy candidates and ranking.
 
-A query is built from the classes below, not parsed from a text. Related rows become one flag per condition by a
-semi-join-like aggregation, so that items are never multiplied.
+A query is built from the classes below, by hand or from what a user typed. Related rows become one array per field,
+so that items are never multiplied.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,7 +25,8 @@ class Word:
 
 @dataclass(frozen=True)
 class Field:
-    """A condition on one field: ``=`` equality, ``~`` containment, both whatever their case, or ``set``."""
+    """A condition on one field: ``=`` equality, ``~`` containment, both whatever their case, their negations ``!=`` and
+    ``!~``, which a field without a value meets, or ``set``."""
 
     name: str
     op: str
@@ -46,6 +48,84 @@ class Or:
     parts: tuple
 
 
+_TYPED = re.compile(r'\s*(?:(?P<sign>\(|\)|-(?=\S)|!(?![=~]))|(?P<op>!=|!~|=|~)|"(?P<quoted>[^"]*)"?|(?P<bare>(?:(?!!=|!~)[^\s()=~"])+))')
+
+
+def typed(text: str, aliases: dict[str, str] | None = None):
+    """The query that a user typed, or None if there is nothing to search for.
+
+    Words must all occur, unless ``or`` stands between them, which binds less than ``and``; ``not``, ``-`` and ``!`` exclude;
+    quotes make a phrase, parentheses group; ``field = x``, ``!=``, ``~`` and ``!~`` ask one field, ``set field`` for any value.
+    What is left open at the end counts as closed; an operator without a field or a value is taken as a word.
+    """
+    marks = [m for m in _TYPED.finditer(text) if m[0].strip()]
+    at = 0
+
+    def word(k: int, *wanted: str) -> bool:
+        return k < len(marks) and (marks[k]["bare"] or marks[k]["sign"] or "").lower() in wanted
+
+    def is_term(k: int) -> bool:
+        return k < len(marks) and marks[k]["sign"] is None and marks[k]["op"] is None
+
+    def value(k: int) -> str:
+        return marks[k]["quoted"] if marks[k]["quoted"] is not None else marks[k]["bare"]
+
+    def one():
+        nonlocal at
+        if word(at, "not", "-", "!") and at + 1 < len(marks):
+            at += 1
+            inner = one()
+            return inner and Not(inner)
+        if word(at, "("):
+            at += 1
+            inner = any_of()
+            at += word(at, ")")
+            return inner
+        if word(at, "set") and is_term(at + 1):
+            at += 2
+            return Field(named(value(at - 1)), "set")
+        if is_term(at) and at + 2 < len(marks) and marks[at + 1]["op"] and is_term(at + 2):
+            at += 3
+            return Field(named(value(at - 3)), marks[at - 2]["op"], value(at - 1))
+        at += 1
+        return Word(value(at - 1) if is_term(at - 1) else marks[at - 1][0].strip())
+
+    def named(name: str) -> str:
+        return (aliases or {}).get(name.lower(), name.lower())
+
+    def all_of():
+        nonlocal at
+        parts = []
+        while at < len(marks) and not word(at, "or", ")"):
+            if word(at, "and"):
+                at += 1
+            elif part := one():
+                parts.append(part)
+        return And(tuple(parts)) if len(parts) > 1 else parts[0] if parts else None
+
+    def any_of():
+        nonlocal at
+        parts = [all_of()]
+        while word(at, "or"):
+            at += 1
+            parts.append(all_of())
+        parts = [p for p in parts if p]
+        return Or(tuple(parts)) if len(parts) > 1 else parts[0] if parts else None
+
+    found = []
+    while at < len(marks):
+        found.append(any_of())
+        at += word(at, ")")  # one that closes nothing
+    found = [p for p in found if p]
+    return And(tuple(found)) if len(found) > 1 else found[0] if found else None
+
+
+def fuzzy_term(text: str) -> str | None:
+    """The single plain word of three letters at least that a fuzzy search can take, else None."""
+    low = text.strip().lower()
+    return low if len(low) >= 3 and low.isalnum() and low not in ("and", "not") else None
+
+
 def _test(column: Column, op: str, value: str) -> Column:
     low = F.lower(column)
     hit = {"=": low == value.lower(), "~": low.contains(value.lower()), "set": column.isNotNull() & (column != "")}[op]
@@ -56,6 +136,8 @@ def condition(query, columns: dict[str, str], related: dict[str, str], free: lis
     """The query as a predicate. columns: field to column; related: field to array column; free: fields that words look in."""
 
     def one(name: str, op: str, value: str) -> Column:
+        if op[0] == "!":
+            return ~one(name, op[1:], value)
         if name in related:
             return F.coalesce(F.exists(related[name], lambda x: _test(x, op, value)), F.lit(False))
         return _test(F.col(columns[name]), op, value)
@@ -86,8 +168,13 @@ def fuzzy_score(term: str, name: Column, path: Column | None = None) -> Column:
     return F.greatest(edits, *scores)
 
 
-def fuzzy(items: DataFrame, term: str, name: str, least: float = 0.5, score: str = "score") -> DataFrame:
-    """Items that fit the term at least so well, with their score. Terms under three letters find nothing."""
-    if len(term) < 3 or not term.isalnum():
+def fuzzy(items: DataFrame, term: str, name: str, least: float = 0.5, score: str = "score", path: str | None = None, first: int | None = None, key: str = "id") -> DataFrame:
+    """Items that fit the term at least so well, with their score. Terms that fuzzy_term() rejects find nothing.
+
+    With first, only so many hits are kept, those with the smallest keys, whatever their score.
+    """
+    word = fuzzy_term(term)
+    if word is None:
         return items.where(F.lit(False)).withColumn(score, F.lit(0.0))
-    return items.withColumn(score, fuzzy_score(term.lower(), F.col(name))).where(F.col(score) >= least)
+    found = items.withColumn(score, fuzzy_score(word, F.col(name), F.col(path) if path else None)).where(F.col(score) >= least)
+    return found if first is None else found.orderBy(key).limit(first)

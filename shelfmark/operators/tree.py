@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from ..staging import staged
 
 
-def below(nodes: DataFrame, roots: DataFrame, key: str, parent: str, most: int = 100) -> DataFrame:
+def below(nodes: DataFrame, roots: DataFrame, key: str, parent: str) -> DataFrame:
     """(key, depth): the roots (depth 0) and all nodes under them, each once, at its least depth.
 
-    Each level joins the frontier with its children and drops what is known, so a loop of any length ends. The
-    known nodes are checkpointed every few levels to keep the plan short.
+    Each level joins the frontier with its children and drops what is known, so it ends at any depth and with loops of
+    any length. Each frontier is staged, so that no level computes an earlier one again.
     """
     edges = nodes.select(F.col(key), F.col(parent)).where(F.col(parent).isNotNull())
-    frontier = roots.select(key).distinct().withColumn("depth", F.lit(0))
-    known = frontier
-    for depth in range(1, most + 1):
+    frontier = known = staged(roots.select(key).distinct().withColumn("depth", F.lit(0)), "roots")
+    depth = 0
+    while not frontier.isEmpty():
+        depth += 1
         found = edges.join(frontier.select(F.col(key).alias("_up")), F.col(parent) == F.col("_up"), "left_semi").select(key).distinct()
-        frontier = found.join(known.select(key), key, "left_anti").withColumn("depth", F.lit(depth))
-        if depth % 3 == 0 and known.sparkSession.sparkContext.getCheckpointDir():
-            frontier = frontier.checkpoint()
-        if frontier.isEmpty():
-            break
+        frontier = staged(found.join(known.select(key), key, "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         known = known.unionByName(frontier)
     return known
 
@@ -61,3 +59,17 @@ def common_root(items: DataFrame, group: list[str], path: str, root: str = "root
     run = F.filter("a", lambda x, i: x["pos"] == i)
     out = parts.select(*group, F.array_join(F.transform(run, lambda x: x["part"]), "/").alias(root))
     return least.select(*group).join(out, group, "left").select(*group, F.coalesce(root, F.lit("")).alias(root))
+
+
+def deletion_order(items: DataFrame, chosen: DataFrame, key: str, path: str, group: list[str]) -> DataFrame:
+    """(root, key, step): what goes with each chosen item: all items under its path, the longest paths first, itself last."""
+    under = nested(items, key, path, group).join(chosen.select(F.col(key).alias("outer")).distinct(), "outer", "left_semi")
+    rows = under.select(F.col("outer").alias("root"), F.col("inner").alias(key)).unionByName(chosen.select(F.col(key).alias("root"), key).distinct())
+    sized = rows.join(items.select(key, F.length(path).alias("_n")), key)
+    order = Window.partitionBy("root").orderBy(F.desc("_n"), key)
+    return sized.withColumn("step", F.row_number().over(order)).select("root", key, "step")
+
+
+def without_self_parents(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """nodes, of which none is its own parent."""
+    return nodes.withColumn(parent, F.when(F.col(parent) != F.col(key), F.col(parent)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import access, decisions
@@ -56,12 +59,12 @@ def ranked_images(spark, d):
     return decisions.ranked_images(images, "l_orderkey", "path", "size", 2).select("l_orderkey", "path", "score", "rank")
 
 
-@query("""SELECT lower(p_name) AS title, p_type AS creator, count(*) AS rows FROM part GROUP BY ALL""")
+@query("""WITH b AS (SELECT lower(p_name) AS title, lower(p_type) AS creator, count(*) AS rows, max(p_size) AS most, max(struct_pack(s := p_size, b := p_brand)).b AS richest, max(CASE WHEN p_brand = 'Brand#11' THEN p_size END) AS own FROM part GROUP BY ALL)
+SELECT title, creator, CASE WHEN own >= 0.95 * most THEN 'Brand#11' ELSE richest END AS source, rows FROM b""")
 def cross_source_titles(spark, d):
+    """Which source's pack of a title stays: the preferred one if it is nearly as rich."""
     packs = table(spark, d, "part").select(F.col("p_type").alias("creator"), F.upper("p_name").alias("title"), F.col("p_brand").alias("source"), F.col("p_size").cast("long").alias("bytes"), F.lit(1).alias("files"), F.lit(True).alias("image"))
-    out = decisions.cross_source(packs, "Brand#11")
-    upper = table(spark, d, "part").select(F.lower("p_type").alias("creator"), F.col("p_type").alias("_as")).distinct()
-    return out.join(upper, "creator").select("title", F.col("_as").alias("creator"), "rows")
+    return decisions.cross_source(packs, "Brand#11").select("title", "creator", "source", "rows")
 
 
 @query("""SELECT a.o_orderkey AS k, CASE WHEN b.o_orderkey IS NULL THEN 'move' WHEN a.o_totalprice > b.o_totalprice THEN 'replace_with_richer' ELSE 'quarantine_loser' END AS action
@@ -90,7 +93,73 @@ def sensitive_decision(spark, d):
     return table(spark, d, "events").select("event_id", decisions.is_sensitive(found, ["HOT"]).alias("sensitive"))
 
 
-@query("""SELECT p_partkey, p_brand IN (SELECT p_brand FROM part WHERE p_size > 48) AS found FROM part""")
+_KEY = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
+
+
+@query(f"""WITH h AS (SELECT DISTINCT {_KEY.format("CASE WHEN p_size % 2 = 0 THEN p_name || ' ' || p_type ELSE p_type || ' ' || p_brand || ' large' END")} AS k FROM part WHERE p_size > 46),
+w AS (SELECT p_partkey, {_KEY.format("p_name || ' ' || p_type || ' ' || p_brand")} AS k FROM part)
+SELECT p_partkey, EXISTS (SELECT 1 FROM h WHERE h.k = w.k OR (length(h.k) > 12 AND length(w.k) > 12 AND (contains(h.k, w.k) OR contains(w.k, h.k)))) AS found FROM w""")
 def present_by_name(spark, d):
-    parts = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("name"), "p_size")
-    return decisions.present_by_name(parts, parts.where("p_size > 48"), "name").select("p_partkey", "found")
+    """Whether a name is there, or one that it contains or that contains it."""
+    parts = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("name"), "p_name", "p_type", "p_brand", "p_size")
+    other = F.when(F.col("p_size") % 2 == 0, F.concat_ws(" ", "p_name", "p_type")).otherwise(F.concat_ws(" ", "p_type", "p_brand", F.lit("large")))
+    return decisions.present_by_name(parts, parts.where("p_size > 46").select(other.alias("name")), "name").select("p_partkey", "found")
+
+
+@query("""WITH i AS (SELECT c_custkey AS id, c_nationkey AS actor FROM customer), a AS (SELECT n_nationkey AS id, n_regionkey < 2 AS local FROM nation WHERE n_nationkey < 20)
+SELECT 'local' AS scope, count(*) AS n FROM i JOIN a ON actor = a.id WHERE local UNION ALL SELECT 'remote', count(*) FROM i JOIN a ON actor = a.id WHERE NOT local
+UNION ALL SELECT 'mergeable', count(*) FROM i LEFT JOIN a ON actor = a.id WHERE coalesce(local, true)
+UNION ALL SELECT 'searchable', count(*) FROM i JOIN a ON actor = a.id WHERE local OR i.id % 3 = 0""")
+def actor_scopes(spark, d):
+    """Items of local and of remote actors, and those that may be merged or searched."""
+    items = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("actor_id"), F.when(F.col("c_custkey") % 3 == 0, "yes").otherwise("no").alias("indexable"))
+    actors = table(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("id"), (F.col("n_regionkey") < 2).alias("local"))
+    scopes = {"local": access.local_only, "remote": access.remote_only, "mergeable": access.mergeable, "searchable": access.searchable}
+    return reduce(DataFrame.union, [f(items, actors).agg(F.count("*").alias("n")).select(F.lit(k).alias("scope"), "n") for k, f in scopes.items()])
+
+
+@query("""SELECT s_suppkey, s_suppkey % 2 = 0 AND s_suppkey % 3 = 0 AS local, CASE WHEN s_suppkey % 5 > 0 THEN 'User' END AS entity_type FROM supplier""")
+def repaired_actors(spark, d):
+    k = F.col("s_suppkey")
+    actors = table(spark, d, "supplier").select("s_suppkey", (k % 2 == 0).alias("local"), F.when(k % 3 > 0, "far.example.org").otherwise("here.example.org").alias("server"), F.lit("User").alias("entity_type"), F.when(k % 5 > 0, k).alias("entity_id"))
+    return access.repaired_actors(actors, "here.example.org").select("s_suppkey", "local", "entity_type")
+
+
+@query("""SELECT o_orderkey AS folder FROM orders WHERE o_orderstatus = 'F' OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
+def still_to_do(spark, d):
+    """Folders without a preview or a known category."""
+    folders = table(spark, d, "orders").select(F.col("o_orderkey").alias("folder"), F.when(F.col("o_orderstatus") == "F", "Unknown").otherwise("Cars").alias("category"))
+    files = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("folder"), F.when(F.col("l_returnflag") == "R", "Preview.jpg").otherwise("x.stl").alias("name"))
+    return decisions.still_to_do(folders, files).select("folder")
+
+
+@query(r"""SELECT DISTINCT url, CASE WHEN contains(url, '/es/') THEN 'item' WHEN contains(url, '/fr/') THEN 'collection' ELSE 'creator' END AS kind FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)""")
+def import_by_url(spark, d):
+    """Addresses that no link has yet, with the kind of item that they stand for."""
+    pages = table(spark, d, "pages")
+    return decisions.import_by_url(pages, pages.where("page_id % 3 = 0"), [("/es/", "item"), ("/fr/", "collection")], "creator")
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_acctbal >= 0 OR c_acctbal IS NULL""")
+def without_sensitive(spark, d):
+    items = table(spark, d, "customer").withColumn("sensitive", F.col("c_acctbal") < 0)
+    return access.without_sensitive(items, "hide").select("c_custkey")
+
+
+@query("""WITH w AS (SELECT p_partkey AS id, CASE WHEN p_size < 20 THEN 'move' WHEN p_size < 40 THEN 'rename' ELSE 'keep' END AS action, p_type || '/' || p_name AS target, p_size / 50.0 AS c FROM part),
+h AS (SELECT lower('promo/' || p_name) AS t, 1 AS held FROM part GROUP BY 1),
+n AS (SELECT id, action, target, c, row_number() OVER (PARTITION BY lower(target) ORDER BY id) + coalesce(held, 0) AS n FROM w LEFT JOIN h ON t = lower(target) WHERE action <> 'keep')
+SELECT id, action, CASE WHEN n = 1 THEN target ELSE target || ' (' || n || ')' END AS destination, CASE WHEN c >= 0.5 THEN 'planned' ELSE 'low_confidence' END AS status FROM n""")
+def move_plan(spark, d):
+    """Moves and renames with destinations that meet neither each other nor what is there."""
+    size = F.col("p_size")
+    parts = table(spark, d, "part")
+    decided = parts.select(F.col("p_partkey").alias("id"), F.when(size < 20, "move").when(size < 40, "rename").otherwise("keep").alias("action"), F.concat_ws("/", "p_type", "p_name").alias("target"), (size / 50).alias("confidence"))
+    return decisions.move_plan(decided, parts.select(F.concat(F.lit("promo/"), "p_name").alias("target")), 0.5)
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) / 100 AS top, 'HOT,ARM_EXPOSED' AS labels FROM events""")
+def detection_summary(spark, d):
+    k = F.get_json_object("props", "$.k").cast("double") / 100
+    found = F.array(F.struct(F.lit("HOT").alias("label"), k.alias("score")), F.struct(F.lit("ARM_EXPOSED").alias("label"), (k - 1).alias("score")))
+    return table(spark, d, "events").select("event_id", decisions.detection_summary(found).alias("s")).select("event_id", F.col("s.top").alias("top"), F.array_join("s.labels", ",").alias("labels"))

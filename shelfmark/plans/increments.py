@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..sources import records
+from ..staging import shared_dir
 from ..streaming import incremental
 from .registry import query, table
 
@@ -48,8 +47,7 @@ def retention_sweep(spark, d):
 @query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def streamed_debounce(spark, d):
     """A file stream, one row per user and type, applied once per batch and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "shelfmark")
-    at = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     stream = incremental.file_stream(spark, d, schema, "events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
     once = incremental.debounced(stream, ["user_id", "event_type"], "ts", "10000 days")
@@ -57,12 +55,14 @@ def streamed_debounce(spark, d):
     return spark.read.parquet(f"{at}/out").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
 
 
-@query("""SELECT o_orderkey AS id, len(list(l_linenumber)) AS files FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 500 GROUP BY 1""")
+@query("""WITH l AS (SELECT l_orderkey AS id, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS tags, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY CAST(l_linenumber AS VARCHAR)) AS files FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS id, o_orderpriority AS name, tags, files FROM orders LEFT JOIN l ON id = o_orderkey""")
 def export_packages(spark, d):
-    items = table(spark, d, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.lit(None).cast("string").alias("notes"), F.lit(None).cast("string").alias("license"))
-    lines = table(spark, d, "lineitem").where("l_orderkey < 500")
+    """Data packages of all orders, read back: names, tags and files."""
+    items = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.lit(None).cast("string").alias("notes"), F.lit(None).cast("string").alias("license"))
+    lines = table(spark, d, "lineitem")
     tags = lines.select(F.col("l_orderkey").alias("item_id"), F.col("l_returnflag").alias("tag"))
     files = lines.select(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").cast("string").alias("filename"))
-    out = records.export_packages(items, tags, files)
-    read = F.from_json("json", records.PACKAGE)
-    return out.select("id", F.size(read["resources"]).cast("long").alias("files")).where("files > 0")
+    p = F.from_json("json", records.PACKAGE)
+    read = records.export_packages(items, tags, files).select("id", p.alias("p"))
+    return read.select("id", F.col("p.title").alias("name"), F.array_join("p.keywords", ",").alias("tags"), F.array_join(F.transform("p.resources", lambda r: r["path"]), ",").alias("files"))

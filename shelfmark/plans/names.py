@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import similarity
 from ..functions import text as fn
 from ..operators import search
-from ..operators.search import And, Field, Not, Or, Word
 from .registry import query, table
 
 
@@ -82,7 +81,7 @@ def text_digest(spark, d):
 
 @query(r"""SELECT p_partkey FROM part WHERE (contains(lower(p_name), 'cold') OR contains(lower(p_name), 'warm')) AND NOT contains(lower(p_name), 'widget') AND lower(p_type) <> 'promo'""")
 def search_boolean(spark, d):
-    q = And((Or((Word("cold"), Word("Warm"))), Not(Word("widget")), Not(Field("type", "=", "promo"))))
+    q = search.typed("(cold or Warm) -widget type != promo")
     return table(spark, d, "part").where(search.condition(q, {"name": "p_name", "type": "p_type"}, {}, ["name"])).select("p_partkey")
 
 
@@ -91,7 +90,7 @@ def search_boolean(spark, d):
  AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'A')""")
 def search_related_tags(spark, d):
     o = search.with_related(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", flags=(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag"))
-    q = And((Word("urgent"), Field("tag", "=", "r"), Not(Field("tag", "=", "a"))))
+    q = search.typed("urgent tag = r and not tag=a")
     return o.where(search.condition(q, {"priority": "o_orderpriority"}, {"tag": "flags"}, ["priority"])).select("o_orderkey")
 
 
@@ -113,8 +112,85 @@ def search_trigram(spark, d):
     return table(spark, d, "part").select("p_partkey", score.alias("score")).where("score >= 0.5")
 
 
-@query(r"""SELECT p_partkey, p_name, rank FROM (SELECT p_partkey, p_name, CASE WHEN contains(lower(p_name), 'widget') THEN 1.0 ELSE 0.0 END AS rank FROM part) ORDER BY rank DESC, p_partkey LIMIT 20""")
+_WORD = "list_distinct(list_transform(range(1, length('  ' || x || ' ') - 1), lambda i: substr('  ' || x || ' ', i, 3)))"
+
+
+@query(f"""WITH g AS (SELECT p_partkey, p_name, {_GRAMS.format("'wigdet'")} AS a, {_GRAMS.format("p_name")} AS b, string_split_regex(lower(p_name), '[^a-z0-9]+') AS w FROM part),
+s AS (SELECT p_partkey, p_name, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS t,
+ list_max(list_transform(list_filter(w, lambda x: x <> ''), lambda x: len(list_intersect(a, {_WORD})) / (len(a) + len({_WORD}) - len(list_intersect(a, {_WORD}))))) AS ws,
+ list_min(list_transform(list_filter(w, lambda x: x[1] = 'w' AND length(x) BETWEEN 5 AND 7), lambda x: levenshtein(x, 'wigdet'))) AS e FROM g)
+SELECT p_partkey, p_name, round(greatest(t, ws, CASE e WHEN 0 THEN 1 WHEN 1 THEN 0.85 WHEN 2 THEN 0.7 ELSE 0 END), 6) AS rank FROM s
+WHERE greatest(t, ws, CASE e WHEN 0 THEN 1 WHEN 1 THEN 0.85 WHEN 2 THEN 0.7 ELSE 0 END) >= 0.5 ORDER BY rank DESC, p_partkey LIMIT 20""")
 def search_ranked(spark, d):
-    distance = similarity.nearest_word("widget", F.col("p_name"))
-    rank = F.when(distance == 0, 1.0).otherwise(0.0)
-    return table(spark, d, "part").select("p_partkey", "p_name", rank.alias("rank")).orderBy(F.desc("rank"), "p_partkey").limit(20)
+    """The twenty best fits of a mistyped word."""
+    found = search.fuzzy(table(spark, d, "part").select("p_partkey", "p_name"), "wigdet", "p_name", 0.5, "rank")
+    return found.withColumn("rank", F.round("rank", 6)).orderBy(F.desc("rank"), "p_partkey").limit(20)
+
+
+@query(r"""SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM (SELECT unnest(string_split_regex(lower(p_name), '[^a-z0-9]+')) AS w) WHERE w[1] = 'w' AND length(w) BETWEEN 5 AND 7 AND levenshtein(w, 'wigdet') <= 2)
+ORDER BY p_partkey LIMIT 200""")
+def search_fuzzy_first_by_key(spark, d):
+    """Fuzzy hits cut by key before any ranking, as an option."""
+    return search.fuzzy(table(spark, d, "part").select("p_partkey", "p_name"), "Wigdet", "p_name", 0.6, first=200, key="p_partkey").select("p_partkey")
+
+
+@query(r"""SELECT p_partkey FROM part WHERE (contains(lower(p_name), 'cold') AND lower(p_brand) = 'brand#11') OR (contains(lower(p_name), 'warm widget') AND NOT contains(lower(p_type), 'eco')) OR p_size > 48""")
+def search_typed_fields(spark, d):
+    """Phrases, fields asked for explicitly, negated containment and a field that has any value."""
+    parts = table(spark, d, "part").withColumn("flag", F.when(F.col("p_size") > 48, "big"))
+    q = search.typed('(cold brand="Brand#11") or ("warm widget" and type !~ eco) or set flag')
+    return parts.where(search.condition(q, {"name": "p_name", "brand": "p_brand", "type": "p_type", "flag": "flag"}, {}, ["name"])).select("p_partkey")
+
+
+@query(r"""SELECT p_partkey, regexp_replace(regexp_replace(CASE WHEN p_partkey % 2 = 0 THEN 'Copy of ' ELSE '' END || p_name || CASE WHEN p_partkey % 3 = 0 THEN ' (2)' ELSE '' END, '^Copy of ', ''), ' \(2\)$', '') || '.stl' AS original FROM part""")
+def text_original_name(spark, d):
+    k = F.col("p_partkey")
+    name = F.concat(F.when(k % 2 == 0, "Copy of ").otherwise(""), "p_name", F.when(k % 3 == 0, " (2)").otherwise(""), F.lit(".stl"))
+    return table(spark, d, "part").select("p_partkey", fn.original_name(name).alias("original"))
+
+
+@query(r"SELECT p_partkey, regexp_replace(p_name, 'w(.)', 'v\1', 'g') || '.Tar' AS renamed FROM part")
+def text_renamed(spark, d):
+    return table(spark, d, "part").select("p_partkey", fn.renamed(F.concat("p_name", F.lit(".Tar")), "w(.)", "v$1").alias("renamed"))
+
+
+@query(r"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'sub/' || p_brand WHEN 1 THEN '../' || p_brand WHEN 2 THEN p_brand ELSE '.' END AS prefix FROM part""")
+def text_merge_prefix(spark, d):
+    """Where merged files go: under the target, beside it, from another root, and into the target itself."""
+    k, brand = F.col("p_partkey"), F.col("p_brand")
+    target = F.concat(F.col("p_type"), F.lit("/x"))
+    source = F.when(k % 4 == 0, F.concat(target, F.lit("/sub/"), brand)).when(k % 4 == 1, F.concat("p_type", F.lit("/"), brand)).when(k % 4 == 2, F.concat(F.lit("other/"), brand)).otherwise(target)
+    return table(spark, d, "part").select("p_partkey", fn.merge_prefix(target, source, F.lit(True)).alias("prefix"))
+
+
+@query(r"""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 2 THEN NULL ELSE s_name END AS creator, CASE s_suppkey % 3 WHEN 2 THEN NULL ELSE 'https://www.thingiverse.com/thing:' || s_suppkey END AS url,
+CASE s_suppkey % 3 WHEN 1 THEN 'CC-BY-4.0' END AS license, CASE s_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'A note' ELSE 'Just text by hand' END AS notes FROM supplier""")
+def text_readme(spark, d):
+    """Readmes in both forms and a free one, with the licence behind the address."""
+    s, url = table(spark, d, "supplier"), F.concat(F.lit("https://www.thingiverse.com/thing:"), F.col("s_suppkey").cast("string"))
+    short = F.concat(F.lit("Cup by "), "s_name", F.lit(" on Thingiverse: "), url)
+    long = F.concat(url, F.lit("\nCup by "), "s_name", F.lit(" is licensed under the Attribution license.\nhttp://creativecommons.org/licenses/by/4.0/\n\n# Summary\n\nA {note %!S(Bool=True)}"))
+    read = F.when(F.col("s_suppkey") % 3 == 0, short).when(F.col("s_suppkey") % 3 == 1, long).otherwise("Just text by hand")
+    known = spark.createDataFrame([("CC-BY-4.0", "https://creativecommons.org/licenses/by/4.0/legalcode"), ("MIT", "https://opensource.org/license/mit/")], "license string, url string")
+    fields = s.select("s_suppkey", fn.readme_fields(read).alias("f")).select("s_suppkey", "f.creator", "f.url", "f.license_url", "f.notes")
+    return fn.license_of_url(fields, "license_url", known).select("s_suppkey", "creator", "url", "license", "notes")
+
+
+@query(r"""SELECT p_type, CASE WHEN regexp_matches(p_name, '(?i)COLD') THEN 'Winter' WHEN regexp_matches(p_name, '(?i)^warm') THEN 'Summer' ELSE 'Unknown' END AS category, count(*) AS n FROM part GROUP BY ALL""")
+def text_guessed_category(spark, d):
+    rules = [("COLD", "Winter"), ("^warm", "Summer")]
+    return table(spark, d, "part").select("p_type", fn.guessed_category(F.col("p_name"), rules).alias("category")).groupBy("p_type", "category").agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT p_brand, p_size, (CASE WHEN count(DISTINCT p_type) = 1 THEN 1 ELSE 0 END + 1 + CASE WHEN count(*) = 1 THEN 1 ELSE 0 END) AS same FROM part GROUP BY ALL""")
+def text_leading_components(spark, d):
+    path = F.concat_ws("/", "p_type", "p_brand", F.col("p_partkey").cast("string"))
+    return table(spark, d, "part").groupBy("p_brand", "p_size").agg(fn.leading_components(F.collect_list(path)).alias("same"))
+
+
+@query(r"""WITH c AS (SELECT p_partkey AS id, p_type AS g, lower(p_name) AS n, p_partkey % 2 AS side FROM part),
+m AS (SELECT g, n, min(id) AS match FROM c WHERE side = 1 GROUP BY ALL) SELECT id, match FROM c JOIN m USING (g, n) WHERE side = 0""")
+def supported_version(spark, d):
+    """The most similar name in the same group; here equal names, which have cosine 1."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("g"), F.col("p_name").alias("name"))
+    return similarity.best_in_group(parts.where("id % 2 = 0"), parts.where("id % 2 = 1"), ["g"], "id", "name", 0.999999).select("id", "match")

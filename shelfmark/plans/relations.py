@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import detectors, merging, tree
+from ..staging import staged
 from .registry import query, table
 
 
@@ -43,14 +44,34 @@ def tree_rollup(spark, d):
     return under.join(c, "node", "left").groupBy("depth").agg(F.count("*").alias("nodes"), F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("balance"))
 
 
-_PATHS = "SELECT p_partkey AS id, p_type || '/' || p_brand || CASE WHEN p_partkey % 3 = 0 THEN '/' || p_size ELSE '' END AS path FROM part WHERE p_size <= 10"
+_PATHS = "SELECT DISTINCT p_type || '/' || p_brand AS path FROM part UNION ALL SELECT p_type || '/' || p_brand || '/' || p_partkey FROM part UNION ALL SELECT DISTINCT p_type FROM part"
 
 
-@query(f"WITH i AS ({_PATHS}) SELECT o.id AS outer, n.id AS inner FROM i o JOIN i n ON starts_with(n.path, o.path || '/')")
+def _paths(spark, d):
+    """Parts as folders, with the folders above them as items of their own."""
+    parts = table(spark, d, "part")
+    two = parts.select(F.concat_ws("/", "p_type", "p_brand").alias("path")).distinct()
+    return two.union(parts.select(F.concat_ws("/", "p_type", "p_brand", F.col("p_partkey").cast("string")))).union(parts.select("p_type").distinct()).withColumn("library", F.lit(1))
+
+
+@query("""SELECT p_type || '/' || p_brand AS outer, p_type || '/' || p_brand || '/' || p_partkey AS inner FROM part UNION ALL SELECT p_type, p_type || '/' || p_brand || '/' || p_partkey FROM part
+UNION ALL SELECT DISTINCT p_type, p_type || '/' || p_brand FROM part""")
 def nested_paths(spark, d):
-    path = F.concat("p_type", F.lit("/"), "p_brand", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("/"), F.col("p_size").cast("string"))).otherwise(""))
-    items = table(spark, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("id"), path.alias("path"), F.lit(1).alias("library"))
-    return tree.nested(items, "id", "path", ["library"])
+    return tree.nested(_paths(spark, d), "path", "path", ["library"])
+
+
+@query(f"""WITH i AS ({_PATHS}), r AS (SELECT path FROM i WHERE path LIKE 'P%/%' AND path NOT LIKE '%/%/%'), u AS (SELECT r.path AS root, i.path, length(i.path) AS n FROM r JOIN i ON i.path = r.path OR starts_with(i.path, r.path || '/'))
+SELECT root, path, row_number() OVER (PARTITION BY root ORDER BY n DESC, path) AS step FROM u""")
+def deletion_order(spark, d):
+    """What goes with each folder of the second level under P..., deepest first."""
+    items = _paths(spark, d)
+    chosen = items.where("path like 'P%/%' and path not like '%/%/%'")
+    return tree.deletion_order(items, chosen, "path", "path", ["library"])
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_custkey <> o_orderkey THEN o_custkey END AS parent FROM orders")
+def self_parents(spark, d):
+    return tree.without_self_parents(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("parent")), "id", "parent")
 
 
 @query("""SELECT p_type, CASE WHEN count(DISTINCT p_brand) = 1 THEN p_type || '/' || min(p_brand) ELSE p_type END AS root FROM part GROUP BY 1""")
@@ -60,8 +81,7 @@ def common_roots(spark, d):
     return found
 
 
-@query("""SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand
- AND regexp_replace(lower(a.p_name), '[^a-z0-9]', '', 'g') = regexp_replace(lower(b.p_name), '[^a-z0-9]', '', 'g') AND a.p_partkey < b.p_partkey""")
+@query("""WITH k AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g')) AS a FROM part) SELECT a, p_partkey AS b FROM k WHERE a < p_partkey""")
 def name_pairs(spark, d):
     return merging.name_pairs(table(spark, d, "part"), "p_partkey", "p_name", "p_brand")
 
@@ -74,37 +94,65 @@ def overlap_pairs(spark, d):
     return merging.overlap_pairs(facts, "l_orderkey", ["l_partkey", "l_linenumber"], 2)
 
 
-@query("""WITH f AS (SELECT p_partkey AS id, p_name AS name, p_type AS category FROM part WHERE p_partkey <= 100000),
-n AS (SELECT a.id AS a, b.id AS b FROM f a JOIN f b ON lower(a.category) = lower(b.category) AND lower(a.name) = lower(b.name) AND a.id < b.id),
-s AS (SELECT DISTINCT l_partkey AS item, l_suppkey AS s, l_quantity AS q FROM lineitem),
-o AS (SELECT a.item AS a, b.item AS b, count(*) AS overlap FROM s a JOIN s b ON a.s = b.s AND a.q = b.q AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= 3),
-u AS (SELECT a, b, 'name_near_dupe' AS signal, 0 AS overlap FROM n UNION ALL SELECT a, b, 'file_overlap', overlap FROM o),
+@query("""WITH n AS (SELECT a, p_partkey AS b FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY lower(p_type), lower(p_name)) AS a FROM part) WHERE a < p_partkey),
+s AS (SELECT DISTINCT l_partkey AS item, l_suppkey AS s, l_quantity AS q, CASE WHEN l_tax = 0.08 AND l_discount = 0.1 THEN l_suppkey || ':' || l_quantity END AS d FROM lineitem),
+h AS (SELECT DISTINCT a, item AS b FROM (SELECT item, min(item) OVER (PARTITION BY d) AS a FROM s WHERE d IS NOT NULL) WHERE a < item),
+o AS (SELECT a.item AS a, b.item AS b, count(*) AS overlap FROM (SELECT DISTINCT item, s, q FROM s) a JOIN (SELECT DISTINCT item, s, q FROM s) b ON a.s = b.s AND a.q = b.q AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= 3),
+u AS (SELECT a, b, 'name_near_dupe' AS signal, 0 AS overlap FROM n UNION ALL SELECT a, b, 'shared_digest', 0 FROM h UNION ALL SELECT a, b, 'file_overlap', overlap FROM o),
 g AS (SELECT a, b, string_agg(DISTINCT signal, ',' ORDER BY signal) AS signals, max(overlap) AS overlap FROM u GROUP BY 1, 2)
-SELECT a, b, signals, 'merge' AS decision, 0.82 AS confidence FROM g WHERE contains(signals, 'name_near_dupe')
-UNION ALL SELECT a, b, signals, 'separate', 0.0 FROM g WHERE NOT contains(signals, 'name_near_dupe')""")
+SELECT a, b, signals, CASE WHEN a % 5 = 0 THEN CASE WHEN b % 2 = 0 THEN 'merge' ELSE 'separate' END WHEN contains(signals, 'name_near_dupe') OR contains(signals, 'shared_digest') THEN 'merge' ELSE 'separate' END AS decision,
+CASE WHEN a % 5 = 0 THEN 0.9 WHEN contains(signals, 'shared_digest') THEN 0.85 WHEN contains(signals, 'name_near_dupe') THEN 0.82 ELSE 0.0 END AS confidence FROM g""")
 def merge_candidates_gated(spark, d):
+    """Candidates by name, digest and files; every fifth has previews and a verdict."""
     items = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("category"))
-    files = table(spark, d, "lineitem").select(F.col("l_partkey").alias("item"), F.col("l_suppkey").cast("string").alias("name"), F.col("l_quantity").alias("size"), F.lit(None).cast("string").alias("digest"))
+    digest = F.when((F.col("l_tax") == 0.08) & (F.col("l_discount") == 0.1), F.concat_ws(":", F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("string")))
+    files = table(spark, d, "lineitem").select(F.col("l_partkey").alias("item"), F.col("l_suppkey").cast("string").alias("name"), F.col("l_quantity").alias("size"), digest.alias("digest"))
     pairs = merging.candidates(items, files)
-    gated = merging.decide(pairs, F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("double"), 0.8)
+    gated = merging.decide(pairs, F.col("a") % 5 == 0, F.when(F.col("b") % 2 == 0, "merge").otherwise("separate"), F.lit(0.9), 0.8)
     return gated.select("a", "b", F.array_join("signals", ",").alias("signals"), "decision", "confidence")
 
 
-@query("""SELECT a.doc_id AS a, b.doc_id AS b FROM (SELECT doc_id, sha256(text) AS h FROM documents) a JOIN (SELECT doc_id, sha256(text) AS h FROM documents) b ON a.h = b.h AND a.doc_id < b.doc_id""")
+@query("""WITH h AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS a FROM documents WHERE text IS NOT NULL) SELECT a, doc_id AS b FROM h WHERE a < doc_id""")
 def digest_pairs(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    return merging.overlap_pairs(docs, "doc_id", ["h"], 1).select("a", "b")
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h")).where("h is not null")
+    return merging.class_pairs(docs, ["h"], "doc_id")
 
 
 @query("""WITH f AS (SELECT l_orderkey, l_linenumber AS line, l_partkey AS name, l_suppkey AS digest FROM lineitem),
-m AS (SELECT o_orderkey AS source, o_orderkey + 1 AS target FROM orders WHERE o_orderkey % 2 = 0)
-SELECT m.source, m.target, s.line, CASE WHEN t.name IS NULL THEN 'adopt' WHEN t.digest = s.digest THEN 'drop' ELSE 'rename' END AS action
+m AS (SELECT o_orderkey AS source, o_orderkey + 1 AS target FROM orders)
+SELECT m.source, m.target, s.line, CASE WHEN t.name IS NULL THEN 'adopt' WHEN t.digest = s.digest THEN 'drop' ELSE 'rename' END AS action,
+CASE WHEN t.name IS NULL THEN s.name || '.stl' WHEN t.digest <> s.digest THEN s.name || '-' || s.digest || '.stl' END AS new_name
 FROM m JOIN f s ON s.l_orderkey = m.source LEFT JOIN f t ON t.l_orderkey = m.target AND t.name = s.name""")
 def merge_plan(spark, d):
     text = lambda c: F.col(c).cast("string")
-    files = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("id"), F.col("l_orderkey").alias("item"), text("l_partkey").alias("name"), text("l_suppkey").alias("digest"))
-    merges = table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("source"), (F.col("o_orderkey") + 1).alias("target"))
-    return merging.merge_plan(files, merges).select("source", "target", F.col("file_id").alias("line"), "action")
+    files = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("id"), F.col("l_orderkey").alias("item"), F.concat(text("l_partkey"), F.lit(".stl")).alias("name"), text("l_suppkey").alias("digest"))
+    merges = table(spark, d, "orders").select(F.col("o_orderkey").alias("source"), (F.col("o_orderkey") + 1).alias("target"))
+    return merging.merge_plan(files, merges).select("source", "target", F.col("file_id").alias("line"), "action", "new_name")
+
+
+@query("""WITH m AS (SELECT o_orderkey AS source, o_orderkey + 1 AS target, o_orderdate AS merged, o_custkey % 7 = 0 AS undone FROM orders),
+f AS (SELECT DISTINCT l_orderkey, l_linenumber * 100000 + l_partkey AS id, l_partkey AS name, l_suppkey AS digest FROM lineitem)
+SELECT source, target, s.id AS file_id, max(CASE WHEN t.name IS NOT NULL AND t.digest = s.digest THEN 'create' ELSE 'move' END) AS action FROM m JOIN f s ON s.l_orderkey = source LEFT JOIN f t ON t.l_orderkey = target AND t.name = s.name
+WHERE NOT undone AND merged >= TIMESTAMP '1998-01-01' - INTERVAL 90 DAY GROUP BY ALL""")
+def unmerge_plan(spark, d):
+    """What undoing recent merges does with each file, from the histories that the merges left."""
+    text = lambda c: F.col(c).cast("string")
+    files = table(spark, d, "lineitem").select((F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("id"), F.col("l_orderkey").alias("item"), text("l_partkey").alias("name"), text("l_suppkey").alias("digest")).distinct()
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("source"), (F.col("o_orderkey") + 1).alias("target"), F.col("o_orderdate").alias("merged_at"), F.when(F.col("o_custkey") % 7 == 0, F.col("o_orderdate")).alias("undone_at"))
+    histories = merging.history(merging.merge_plan(files, o.select("source", "target"))).join(o, ["source", "target"])
+    plan = merging.unmerge_plan(histories, F.expr("timestamp_ntz'1998-01-01'"), 90)
+    return plan.groupBy("source", "target", "file_id").agg(F.max("action").alias("action"))
+
+
+@query("""SELECT l_orderkey AS item, count(*) FILTER (l_returnflag <> 'R') AS stays, count(*) FILTER (l_returnflag = 'R') AS moves FROM lineitem GROUP BY 1""")
+def split_items(spark, d):
+    """Returned lines split off their order into a copy of it."""
+    rows = table(spark, d, "lineitem").select(F.monotonically_increasing_id().alias("id"), F.col("l_orderkey").alias("item"), "l_returnflag")
+    rows = staged(rows, "rows")
+    previews = rows.groupBy("item").agg(F.min("id").alias("preview_id"))
+    files, _ = merging.split_plan(rows, rows.where("l_returnflag = 'R'"), previews, -F.col("item") - 1)
+    of = F.when(F.col("item") < 0, -F.col("item") - 1).otherwise(F.col("item"))
+    return files.groupBy(of.alias("item")).agg(F.count_if(F.col("item") >= 0).alias("stays"), F.count_if(F.col("item") < 0).alias("moves"))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_totalprice / 500000 < 0.8 THEN 'low_confidence' WHEN c_custkey IS NULL THEN 'unknown_path' ELSE 'apply' END AS status

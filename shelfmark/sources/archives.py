@@ -17,11 +17,12 @@ ENTRIES = "archive string, pathname string, size long, compressed_size long, sta
 MOST = 100_000
 
 
-def entries(spark: SparkSession, root: str, most: int = MOST, longest: int = 100 * 2**20) -> DataFrame:
+def entries(spark: SparkSession, root: str, most: int = MOST, longest: int = 100 * 2**20, largest: int = 2**30) -> DataFrame:
     """(archive, pathname, size, compressed_size, status, kind) of each file in each zip under root.
 
     Unsafe paths and system entries are left out; status is ``listed`` or ``too_large``. An archive with more files
-    has one row ``truncated``, an unreadable one ``unreadable``, another kind than zip ``unsupported``.
+    has one row ``truncated``, an unreadable one ``unreadable``, another kind than zip ``unsupported``; one of over
+    ``largest`` bytes is not opened, since a row holds a whole archive, and has one row ``oversized``.
     """
 
     def run(frames):
@@ -42,7 +43,9 @@ def entries(spark: SparkSession, root: str, most: int = MOST, longest: int = 100
             yield pd.DataFrame(rows, columns=["archive", "pathname", "size", "compressed_size", "status"])
 
     content = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{zip,7z,rar}").load(root)
-    raw = content.select("path", "content").mapInPandas(run, ENTRIES)
+    fits = content.where(F.col("length") <= largest).select("path", "content")  # pushed down: larger ones are not read
+    none = [F.lit(None).cast(x) for x in ("string", "long", "long")]
+    raw = fits.mapInPandas(run, ENTRIES).union(content.where(F.col("length") > largest).select("path", *none, F.lit("oversized")))
     listed = raw.withColumn("pathname", fn.safe_entry(F.col("pathname")))
     kept = listed.where(~F.col("status").isin("listed", "too_large") | (F.col("pathname").isNotNull() & ~F.col("pathname").rlike(r"(^|/)(__MACOSX/|\._|\.DS_Store$)")))
     kind = F.when(file_class(fn.extension(F.col("pathname"))).isin("image", "mesh"), file_class(fn.extension(F.col("pathname")))).otherwise("other")

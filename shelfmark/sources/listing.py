@@ -59,15 +59,38 @@ def category_models(listing: DataFrame) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, root: str, most: int = 80, largest: int = 2_000_000) -> DataFrame:
-    """(folder, name, size, digest): the first files of each folder by path; digests of small files that are no archives."""
+    """(folder, name, size, digest): the first files of each folder by path; digests of small files of known kinds that are no archives."""
     listed = files(spark, root).withColumn("folder", fn.parent(F.col("path")))
     rank = F.row_number().over(Window.partitionBy("folder").orderBy("path"))
     listed = listed.withColumn("_n", rank).where(F.col("_n") <= most)
     small = ~fn.extension(F.col("path")).isin(FILE_CLASSES["archive"]) & F.col("size").between(1, largest)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length").between(1, largest))
+    # Archives and large files are not read: names are matched by the listing, lengths before contents are opened.
+    kinds = ",".join(e for c, known in FILE_CLASSES.items() if c != "archive" for x in known for e in (x, x.upper()))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{kinds}}}")
+    content = reader.load(root).where(F.col("length").between(1, largest))
     relative = F.element_at(F.split(F.col("path"), F.lit(base.replace(".", r"\.") + "/"), 2), -1)
     digests = content.select(relative.alias("path"), F.substring(F.sha2("content", 256), 1, 16).alias("digest"))
     joined = listed.withColumn("_small", small).join(digests, "path", "left")
     name = F.lower(F.regexp_extract("path", "([^/]*)$", 1))
     return joined.select("folder", name.alias("name"), "size", F.when(F.col("_small"), F.col("digest")).alias("digest"))
+
+
+def shallow(listing: DataFrame, folder: str) -> DataFrame:
+    """Files of a folder and of the common sub-folders one level below it, whatever their case."""
+    rest = F.substr("path", F.lit(len(folder) + 2))
+    parts = F.split(rest, "/")
+    near = (F.size(parts) == 1) | ((F.size(parts) == 2) & F.lower(parts[0]).isin(COMMON_SUBFOLDERS))
+    return listing.where(F.col("path").startswith(f"{folder}/") & near)
+
+
+def folders_with_changes(listing: DataFrame, known: DataFrame) -> DataFrame:
+    """(folder): model folders of files that are not known."""
+    new, _ = changes(listing, known)
+    return new.select(model_folder().alias("folder")).distinct().where("folder <> ''")
+
+
+def models_with_new_files(listing: DataFrame, known: DataFrame, models: DataFrame, since) -> DataFrame:
+    """Known models (folder) that hold unknown files changed at or after a time."""
+    new, _ = changes(listing.where(F.col("modified") >= since), known)
+    return models.join(new.select(model_folder().alias("folder")), "folder", "left_semi")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 def since(df: DataFrame, marks: DataFrame, group: list[str], at: str) -> DataFrame:
     """Rows at or after their group's mark (columns group and mark); groups without a mark are whole."""
-    return df.join(F.broadcast(marks.select(*group, "mark")), group, "left").where(F.col("mark").isNull() | (F.col(at) >= F.col("mark"))).drop("mark")
+    return df.join(marks.select(*group, "mark"), group, "left").where(F.col("mark").isNull() | (F.col(at) >= F.col("mark"))).drop("mark")
 
 
 def next_marks(df: DataFrame, marks: DataFrame, group: list[str], at: str) -> DataFrame:

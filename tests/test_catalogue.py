@@ -86,12 +86,36 @@ FREE = ["name", "caption", "creator", "collection", "tag"]
     ],
 )
 def test_search(spark, catalogue, query, names):
+    assert found(spark, catalogue, query) == names
+
+
+#: Queries as users type them, and the items that they find.
+TYPED = [
+    ("cat", {A, B}), ("dog", {A, B}), ("seuss", {A, B}), ("chiro", {C, D}), ("cat or in or the or hat", {A, B, D}), ("the hat", {A, B}), ('"the hat"', {A}),
+    ("hat and not cat", {D}), ("not cat and not hat", {C}), ("not cat or not hat", {C, D}), ("(cat or hat) and not on", {A}), ("(cat or bat) and hat", {A, B, D}),
+    ("cat hat", {A, B}), ("hat tag=cat", {A}), ("bat tag != frog", {C}), ("on tag=frog", {D}), ("tag=frog tag=dog", {A}), ("tag=frog or tag=dog", {A, B, D}),
+    ("hat creator~dr", {A, B}), ("hat collection~chiro", {D}), ("description ~ lorem", {A}), ("dolor", {B}), ("filename ~ big", {D}), ("set collection", {C, D}),
+    ("-cat bat", {C, D}), ("hat !on", {A}), ("notes ~ lorem", {A}), ('(hat "on a', {D}),
+]
+
+
+@pytest.mark.parametrize(("text", "names"), TYPED)
+def test_typed_search(spark, catalogue, text, names):
+    assert found(spark, catalogue, search.typed(text, {"notes": "description"})) == names
+
+
+def test_nothing_typed():
+    assert all(search.typed(t) is None for t in ("", "  ", "((", "or", "and"))
+    assert search.fuzzy_term(" Rouge ") == "rouge" and not any(map(search.fuzzy_term, ("ro", "two words", "a=b", "not")))
+
+
+def found(spark, catalogue, query):
     tags = catalogue.tags.where("not (item_id = 2)").union(spark.createDataFrame([(2, "dog")], "item_id long, tag string"))
     items = catalogue.items.withColumn("creator", F.when(F.col("creator_id") == 10, "Dr Seuss")).withColumn("collection", F.when(F.col("collection_id") == 20, "Chiroptera"))
     items = search.with_related(items, "id", tag_list=(tags, "item_id", "tag"), file_list=(catalogue.files, "item_id", "filename"))
     columns = {"name": "name", "caption": "caption", "creator": "creator", "collection": "collection", "description": "notes"}
     hit = search.condition(query, columns, {"tag": "tag_list", "filename": "file_list"}, FREE)
-    assert {r.name for r in items.where(hit).collect()} == names
+    return {r.name for r in items.where(hit).collect()}
 
 
 def test_typo_is_found_and_ranked_after_the_exact_word(spark):

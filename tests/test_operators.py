@@ -80,7 +80,7 @@ def test_detectors_and_their_update(spark):
     found = {}
     for r in detectors.detect(tables).collect():
         found.setdefault(r.category, set()).add(r.id)
-    assert found == {"missing": {3}, "empty": {3}, "nesting": {1}, "duplicate": {1, 2}, "no_image": {1, 3}, "no_mesh": {2, 3}, "no_license": {2, 3}, "no_creator": {2}, "no_links": {2, 3}, "no_tags": {1, 3}}
+    assert found == {"missing": {3}, "empty": {3}, "nesting": {1}, "duplicate": {1, 2}, "no_image": {1, 3}, "no_mesh": {2, 3}, "no_license": {2, 3}, "no_creator": {2}, "no_links": {2, 3}, "no_tags": {1, 3}, "missing_item": {3}, "empty_file": {4}}
     stored = spark.createDataFrame([(1, "resolving", True), (9, "detected", False)], "id long, state string, ignored boolean")
     now = detectors.update(stored, spark.createDataFrame([(1,), (2,)], "id long"), ["id"])
     assert {(r.id, r.state, r.ignored, r.known) for r in now.collect()} == {(1, "resolving", False, True), (2, "detected", False, False)}
@@ -151,3 +151,64 @@ def test_a_stream_applies_each_file_once(spark, tmp_path):
         once = incremental.debounced(stream, ["id"], "ts", "1 day")
         incremental.apply_once(once, lambda b: b, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_a_tree_of_any_depth_and_a_loop(spark):
+    rows = [(k, k - 1 if k else None) for k in range(12)] + [(100, 102), (101, 100), (102, 101)]
+    nodes = spark.createDataFrame(rows, "id long, up long")
+    found = {r.id: r.depth for r in tree.below(nodes, nodes.where("id in (0, 100)"), "id", "up").collect()}
+    assert found == {**{k: k for k in range(12)}, 100: 0, 101: 1, 102: 2}
+    assert tree.below(nodes, nodes.limit(0), "id", "up").count() == 0
+
+
+def test_overlaps_with_a_fact_that_all_items_have(spark):
+    import itertools
+    import random
+
+    rng = random.Random(1)
+    own = {k: {"readme", "license", *rng.sample("abcdefghijkl", rng.randrange(6))} for k in range(60)}
+    facts = spark.createDataFrame([(k, f) for k, fs in own.items() for f in fs] + [(None, "readme"), (1, None)], "item long, name string")
+    for least in (1, 2, 3, 5):
+        want = {(a, b): len(own[a] & own[b]) for a, b in itertools.combinations(own, 2) if len(own[a] & own[b]) >= least}
+        assert {(r.a, r.b): r.overlap for r in merging.overlap_pairs(facts, "item", ["name"], least).collect()} == want
+
+
+def test_a_split_takes_the_preview_along(spark):
+    files = spark.createDataFrame([(1, 10), (2, 10), (3, 20)], "id long, item long")
+    previews = spark.createDataFrame([(10, 2), (20, 3)], "item long, preview_id long")
+    moved, shown = merging.split_plan(files, files.where("id = 2").select("id"), previews, F.col("item") + 1000)
+    assert {(r.id, r.item) for r in moved.collect()} == {(1, 10), (2, 1010), (3, 20)}
+    assert {(r.item, r.preview_id) for r in shown.collect()} == {(10, None), (1010, 2), (20, 3)}
+
+
+def test_random_picks_prefer(spark):
+    df = spark.range(50)
+    assert {r.id for r in ranking.random_top(df, 5, F.col("id") >= 45).collect()} == set(range(45, 50))
+    assert len({r.id for r in ranking.random_top(df, 8).collect()}) == 8
+
+
+def test_shallow_listing_and_new_files(spark):
+    at = datetime.datetime(2024, 1, 2)
+    rows = [("m/a.stl", at), ("m/STL/b.stl", at), ("m/other/c.stl", at), ("m2/d.stl", datetime.datetime(2023, 1, 1))]
+    files = spark.createDataFrame(rows, "path string, modified timestamp")
+    assert {r.path for r in listing.shallow(files, "m").collect()} == {"m/a.stl", "m/STL/b.stl"}
+    known = spark.createDataFrame([("m/a.stl",)], "path string")
+    assert {r.folder for r in listing.folders_with_changes(files, known).collect()} == {"m", "m/other", "m2"}
+    models = spark.createDataFrame([("m",), ("m2",), ("m3",)], "folder string")
+    assert {r.folder for r in listing.models_with_new_files(files, known, models, datetime.datetime(2024, 1, 1)).collect()} == {"m"}
+
+
+def test_oversized_archives_are_not_opened(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "small.zip", "w") as z:
+        z.writestr("a.png", b"x" * 10)
+    (tmp_path / "large.zip").write_bytes(b"x" * 5000)
+    found = {r.archive.rsplit("/", 1)[1]: r.status for r in archives.entries(spark, str(tmp_path), largest=1000).collect()}
+    assert found == {"small.zip": "listed", "large.zip": "oversized"}
+
+
+def test_most_similar_name_of_a_group(spark):
+    from shelfmark.functions import similarity
+
+    left = spark.createDataFrame([(1, "a", "head left"), (2, "a", "base"), (3, "b", "head left")], "id long, g string, name string")
+    right = spark.createDataFrame([(10, "a", "Head Lefty"), (11, "a", "head right"), (12, "a", "Head Lefty")], "id long, g string, name string")
+    assert [(r.id, r.match) for r in similarity.best_in_group(left, right, ["g"], "id", "name", 0.9).collect()] == [(1, 10)]
