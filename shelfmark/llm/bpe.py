@@ -20,7 +20,6 @@ import heapq
 import re
 import unicodedata
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -143,9 +142,11 @@ class RankEncoder:
     def __getstate__(self):
         return {"lines": self.lines, "_ranks": None}
 
-    def __call__(self, words: list[bytes]) -> list[list[int]]:
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and the ids of all words."""
         self._ranks = self._ranks or read_ranks(self.lines)
-        return [merge(w, self._ranks) for w in words]
+        ids = [merge(w, self._ranks) for w in words]
+        return np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((i for x in ids for i in x), np.int64)
 
 
 def special_spans(data: bytes, documents: np.ndarray, specials: tuple[bytes, ...]) -> np.ndarray:
@@ -228,6 +229,16 @@ def _unpacked(value: bytes) -> list[np.ndarray]:
     return np.split(raw[2 + head :], ends[:-1] - 2 - head)
 
 
+def dealt(raw: np.ndarray, ends: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket for each word raw[ends[i]:ends[i + 1]], from a polynomial hash of its bytes."""
+    if len(ends) < 2:
+        return np.zeros(0, np.int64)
+    size = np.diff(ends)  # no word is empty
+    power = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
+    own = np.add.reduceat(raw.astype(np.uint64) * power[ragged(size, np.zeros(len(size), np.int64))], ends[:-1])
+    return ((own ^ (own >> np.uint64(29))) % np.uint64(buckets)).astype(np.int64)
+
+
 class Split:
     """The split texts of docs: positions (docs without text, with block and codes) and pages (the words of each block by bucket)."""
 
@@ -245,12 +256,11 @@ class Split:
                 table, first = block.table.drop_columns([text]), np.concatenate(([0], np.cumsum(block.tokens_of)))
                 for lo in range(0, len(block.tokens_of), 1000):
                     at = first[lo : lo + 1001]
-                    raw, size = varint(block.codes[at[0] : at[-1]])
-                    n, ends = len(at) - 1, np.concatenate(([0], np.cumsum(size)))[at - at[0]]
+                    n, raw, ends = len(at) - 1, block.codes[at[0] : at[-1]].astype("<u4").view(np.uint8), 4 * (at - at[0])
                     empty = [pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in range(3))]
                     yield pa.RecordBatch.from_arrays([*(c.slice(lo, 1000).combine_chunks() for c in table.columns), pa.array(np.full(n, block.key), pa.int64()), binary_array(raw, ends), *empty], names=schema.names)
                 raw, ends = text_buffers(block.words)
-                deal = np.fromiter((zlib.crc32(w) % buckets for w in block.words.to_pylist()), np.int64, len(block.words))
+                deal = dealt(raw, ends, buckets)
                 order = np.argsort(deal, kind="stable")
                 rows = []
                 for at in np.split(order, np.flatnonzero(np.diff(deal[order])) + 1) if len(order) else []:
@@ -270,7 +280,7 @@ class Split:
         self.pages = whole.where(F.col(bucket).isNotNull()).select(F.col(self.block).alias("block"), F.col(bucket).alias("bucket"), F.col(page).alias("codes"), F.col(words).alias("words"), F.col(counts).alias("counts"))
 
 
-def encoded_pages(pages: DataFrame, encoder: Callable[[list[bytes]], list[list[int]]]) -> DataFrame:
+def encoded_pages(pages: DataFrame, encoder: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """The pages with ids for words: equal words of all blocks meet in their bucket and are encoded once."""
     shared = pages.sparkSession.sparkContext.broadcast(encoder)
 
@@ -278,9 +288,8 @@ def encoded_pages(pages: DataFrame, encoder: Callable[[list[bytes]], list[list[i
         unpacked = [_unpacked(v) for v in group["words"].to_pylist()]
         sizes = [unvarint(s) for s, _ in unpacked]
         words = binary_array(np.concatenate([d for _, d in unpacked]), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))).dictionary_encode()
-        ids = shared.value(words.dictionary.to_pylist())
-        length = np.array([len(x) for x in ids], np.int64)
-        flat, at = np.array([i for x in ids for i in x], np.int64), np.cumsum(length) - length
+        length, flat = shared.value(words.dictionary.to_pylist())
+        at = np.cumsum(length) - length
         out, lo, which = [], 0, words.indices.to_numpy()
         for size in sizes:
             own = which[lo : lo + len(size)]
@@ -316,11 +325,10 @@ def with_ids(split: Split, ids: str, pages: DataFrame) -> DataFrame:
             n, at, flat = _word_table(right)
             for lo in range(0, left.num_rows, 500):
                 hi = min(lo + 500, left.num_rows)
-                part = data[ends[lo] : ends[hi]]
-                tokens = unvarint(part)
-                closed = np.concatenate(([0], np.cumsum(part < 128)))[ends[lo : hi + 1] - ends[lo]]
-                out.append(flat[ragged(n[tokens], at[tokens])])
-                sizes.append(np.diff(np.concatenate(([0], np.cumsum(n[tokens])))[closed]))
+                tokens = np.frombuffer(data[ends[lo] : ends[hi]].tobytes(), "<u4")
+                own = n[tokens]
+                out.append(flat[ragged(own, at[tokens])])
+                sizes.append(np.diff(np.concatenate(([0], np.cumsum(own)))[(ends[lo : hi + 1] - ends[lo]) // 4]))
         flat_ids = np.concatenate(out).astype("<u4", copy=False) if out else np.zeros(0, "<u4")
         size = np.concatenate(sizes) if sizes else np.zeros(left.num_rows, np.int64)
         del out
@@ -330,7 +338,7 @@ def with_ids(split: Split, ids: str, pages: DataFrame) -> DataFrame:
     return split.positions.groupBy(block).cogroup(right).applyInArrow(reassemble, T.StructType([*kept, T.StructField(ids, T.BinaryType())]))
 
 
-def encode(docs: DataFrame, encoder: Callable[[list[bytes]], list[list[int]]], text: str = "text", ids: str = "ids", buckets: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, encoder: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], text: str = "text", ids: str = "ids", buckets: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs without text, with its ids: little-endian unsigned 32-bit integers in a binary column.
 
     Words are dealt to buckets (four for each shuffle partition, if not given).

@@ -49,16 +49,20 @@ class LibraryEncoder:
     def __getstate__(self):
         return self.__dict__ | {"_tokenizer": None}
 
-    def __call__(self, words: list[bytes]) -> list[list[int]]:
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and the ids of all words."""
         if self._tokenizer is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             self._tokenizer = Tokenizer.from_buffer(self.content)
-        out = []
+        length, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo in range(0, len(words), 5000):
-            out += [e.ids for e in self._tokenizer.encode_batch_fast([w.decode("utf-8") for w in words[lo : lo + 5000]], add_special_tokens=False)]
-        return out
+            part = [w.decode("utf-8") for w in words[lo : lo + 5000]]
+            encoded = self._tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            length.append(np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(part)))
+            flat.append(np.array(encoded.ids, np.int64))
+        return np.concatenate(length), np.concatenate(flat)
 
 
 def code_lengths(count: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -103,21 +107,20 @@ def pack(ids: np.ndarray, n: np.ndarray, length: np.ndarray, code: np.ndarray) -
     """Bits of documents of n ids each: bytes, byte offsets of documents, and each lane's bit offset in its document."""
     size = length[ids]
     ends = np.cumsum(size)
-    at = ends - size
     last = np.cumsum(n)
-    bits = ends[last - 1] - at[last - n]
-    byte = np.concatenate(([0], np.cumsum(-(-bits // 8))))
-    own = at - np.repeat(at[last - n], n)
-    place = own + np.repeat(byte[:-1] * 8, n)
-    word, shift = place >> 5, place & 31
-    value = code[ids] << (64 - shift - size).astype(np.uint64)
+    begin = ends[last - n] - size[last - n]
+    byte = np.concatenate(([0], np.cumsum(-(-(ends[last - 1] - begin) // 8))))
+    place = ends - size + np.repeat(byte[:-1] * 8 - begin, n)
+    value = (code << (64 - length).astype(np.uint64))[ids] >> (place & 31).astype(np.uint64)
+    word = place >> 5
     starts = np.flatnonzero(np.diff(word, prepend=-1))
+    word = word[starts]
     out = np.zeros((byte[-1] >> 2) + 3, np.uint64)
-    out[word[starts]] += np.add.reduceat(value >> np.uint64(32), starts)
-    out[word[starts] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), starts)
+    out[word] += np.add.reduceat(value >> np.uint64(32), starts)
+    out[word + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), starts)
     lane_n = -(-n // LANE)
     lane = ragged(lane_n, np.zeros(len(n), np.int64)) * LANE + np.repeat(last - n, lane_n)
-    return out.astype(">u4").view(np.uint8)[: byte[-1]], byte, own[lane]
+    return out.astype(">u4").view(np.uint8)[: byte[-1]], byte, place[lane] - np.repeat(byte[:-1] * 8, lane_n)
 
 
 class Decoder:

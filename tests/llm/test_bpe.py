@@ -43,6 +43,17 @@ def test_merges_are_the_librarys():
         assert bpe.merge(w, TABLE) == TIKTOKEN._core_bpe.encode_single_piece(w)
 
 
+def test_equal_words_are_dealt_alike():
+    from shelfmark.llm._shared import text_buffers
+    import pyarrow as pa
+
+    words = [b"a", b"the", b" the", b"x" * 5000, "é".encode(), b"eht"]
+    bucket = {w: bpe.dealt(*text_buffers(pa.array([w, b"other"], pa.binary())), 64)[0] for w in words}
+    assert bpe.dealt(*text_buffers(pa.array(words, pa.binary())), 64).tolist() == [bucket[w] for w in words] and len(set(bucket.values())) > 3
+    many = bpe.dealt(*text_buffers(pa.array([f" w{k}".encode() for k in range(20_000)], pa.binary())), 16)
+    assert np.bincount(many, minlength=16).min() > 1000
+
+
 def test_varint_round_trip():
     x = np.array([0, 1, 127, 128, 16383, 16384, 2**28, 2**34])
     assert (unvarint(varint(x)[0]) == x).all()
