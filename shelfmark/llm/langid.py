@@ -6,8 +6,9 @@ counts and distinct bytes) times its probability at the next shorter context, wi
 excluded; the empty context escapes to equal shares. A text's score is its exact code length under each tree; A-Z count as
 a-z.
 
-Since the counts are frozen, the trees of all languages become one table of code lengths by longest known context
-and byte, and scoring is two array look-ups a byte. The table's size is bounded by the number of contexts kept.
+Since the counts are frozen, the trees of all languages become one table of contexts: each has the code lengths of the
+bytes that it was seen with, and the bits of its escape. Scoring looks up a byte at its longest known context, and at
+shorter ones as far as it escapes. All contexts of the sample are kept; the sample bounds the table's size.
 """
 
 from __future__ import annotations
@@ -29,6 +30,36 @@ WINDOW = 500_000
 UNKNOWN = "und"
 
 
+@dataclass
+class Contexts:
+    """The contexts of all orders. Of bytes that any language saw at a context, bits holds the code lengths; others add
+    the context's escape and go on at its parent. Entries lie in order of context and byte: a context's four words of
+    bits tell which bytes it has, starts where each word's entries begin."""
+
+    node_of: np.ndarray  # by context of three bytes: its longest known one
+    words: np.ndarray
+    starts: np.ndarray
+    parent: np.ndarray
+    escape: np.ndarray
+    bits: np.ndarray
+
+    def look_up(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """Code lengths of bytes at contexts, by language."""
+        at, low = node * 4 + (byte >> 6), (byte & 63).astype(np.uint64)
+        word = self.words[at]
+        entry = self.starts[at] + np.bitwise_count(word & ((np.uint64(1) << low) - np.uint64(1)))
+        missing = np.flatnonzero(~(word >> low & np.uint64(1)).astype(bool))
+        entry[missing] = 0
+        out = self.bits[entry]
+        if len(missing):
+            top = node[missing] == 0
+            rest = np.full((len(missing), out.shape[1]), 8.0, np.float32)  # the empty context escapes to equal shares
+            if not top.all():
+                rest[~top] = self.look_up(self.parent[node[missing][~top]], byte[missing][~top])
+            out[missing] = self.escape[node[missing]] + rest
+        return out
+
+
 @dataclass
 class PpmModel:
     """Counts of (context of three bytes, byte) by language; codes are the four bytes, the context first."""
@@ -37,59 +68,61 @@ class PpmModel:
     lang: np.ndarray
     code: np.ndarray
     count: np.ndarray
-    max_contexts: int = 20_000
-    _tables: tuple | None = field(default=None, repr=False)
+    _tables: Contexts | None = field(default=None, repr=False)
 
     def __getstate__(self):
         return self.__dict__ | {"_tables": None}
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """(node by context of three bytes, bits by node * 256 + byte and language)."""
+    def tables(self) -> Contexts:
         if self._tables is None:
             self._tables = self._build()
         return self._tables
 
-    def _build(self) -> tuple[np.ndarray, np.ndarray]:
-        context, byte = self.code >> 8, self.code & 255
-        # Contexts by order; those of order 3 are kept in order of their counts as far as the bound goes.
-        known, totals = [np.zeros(1, np.int64)], None
-        for order in (1, 2, 3):
-            own, at = np.unique(context & ((1 << 8 * order) - 1), return_inverse=True)
-            totals = np.bincount(at, self.count, len(own))
-            room = max(0, self.max_contexts - sum(map(len, known)))
-            own = own[totals >= 2] if len(own) <= room else np.sort(own[np.lexsort((own, -totals))[:room]])
-            if order > 1:  # a context's shorter ones are known too
-                own = own[np.isin(own & ((1 << 8 * (order - 1)) - 1), known[order - 1])]
-            known.append(own)
-        first = np.concatenate(([0], np.cumsum([len(k) for k in known])))
-        node_of = np.zeros((256, 256, 256), np.uint16)
-        node_of[:, :, known[1]] = np.arange(len(known[1])) + first[1]
-        node_of[:, known[2] >> 8, known[2] & 255] = np.arange(len(known[2])) + first[2]
-        node_of[known[3] >> 16, known[3] >> 8 & 255, known[3] & 255] = np.arange(len(known[3])) + first[3]
-        p = np.empty((first[-1], 256, len(self.langs)), np.float32)
-        for k in range(len(self.langs)):
-            mine = self.lang == k
-            for order, own in enumerate(known):
-                at = np.searchsorted(own, c := context[mine] & ((1 << 8 * order) - 1))
-                fits = at < len(own)
-                fits[fits] = own[at[fits]] == c[fits]
-                seen = np.bincount(at[fits] * 256 + byte[mine][fits], self.count[mine][fits], len(own) * 256).reshape(-1, 256)
-                if order:
-                    up = np.searchsorted(known[order - 1], own & ((1 << 8 * (order - 1)) - 1)) + first[order - 1]
-                    shorter = p[up, :, k].astype(np.float64)
-                else:
-                    shorter = np.full((1, 256), 1 / 256)
-                n, distinct = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True)
-                rest = np.where(seen > 0, 0, shorter)
-                left = rest.sum(axis=1, keepdims=True)
-                escaped = np.where(left > 0, distinct / np.maximum(n + distinct, 1) * rest / np.maximum(left, 1e-300), 0)
-                full = np.where(distinct == 256, seen / np.maximum(n, 1), np.where(seen > 0, seen / np.maximum(n + distinct, 1), escaped))
-                p[first[order] : first[order + 1], :, k] = np.where(n > 0, full, shorter)
-        return node_of.reshape(-1), -np.log2(np.maximum(p, 1e-30)).reshape(-1, len(self.langs))
+    def _build(self) -> Contexts:
+        context, byte, many = self.code >> 8, self.code & 255, len(self.langs)
+        node_of = np.zeros((256, 256, 256), np.int32)
+        words, parent, escape, bits, first, size = [], [], [], [], 0, []
+        for order in range(4):
+            mask, short = (1 << 8 * order) - 1, (1 << 8 * max(order - 1, 0)) - 1
+            entry, at = np.unique((context & mask) << 8 | byte, return_inverse=True)
+            count = np.bincount(at * many + self.lang, self.count, len(entry) * many).reshape(-1, many)
+            own, node = np.unique(entry >> 8, return_inverse=True)
+            total = lambda v: np.stack([np.bincount(node, v[:, k], len(own)) for k in range(many)], axis=1)  # noqa: B023, E731
+            if order:
+                up = np.searchsorted(known, own & short)  # noqa: F821
+                shorter, mass = p[np.searchsorted(entries, (entry >> 8 & short) << 8 | entry & 255)], masses[up]  # noqa: F821
+                parent.append(first - size[-1] + up)
+            else:
+                shorter, mass = np.full((len(entry), many), 1 / 256), np.ones((len(own), many))
+                parent.append(np.zeros(len(own), np.int64))
+            seen, n, distinct = count > 0, total(count), total(count > 0)
+            left = mass - total(np.where(seen, shorter, 0))
+            escapes = (distinct < 256) & (left > 1e-12)
+            whole = np.maximum(n + np.where(distinct < 256, distinct, 0), 1)
+            share = np.where(n > 0, np.where(escapes, distinct / whole / np.where(escapes, left, 1), 0), 1)
+            p = np.where(seen, count / whole[node], share[node] * shorter)
+            masses = np.where(n > 0, n / whole + np.where(escapes, distinct / whole, 0), mass)
+            word = np.zeros(4 * len(own), np.uint64)
+            np.bitwise_or.at(word, node * 4 + (entry & 255) // 64, np.uint64(1) << (entry & 63).astype(np.uint64))
+            if order == 1:
+                node_of[:, :, own] = np.arange(len(own)) + first
+            elif order == 2:
+                node_of[:, own >> 8, own & 255] = np.arange(len(own)) + first
+            elif order == 3:
+                node_of[own >> 16, own >> 8 & 255, own & 255] = np.arange(len(own)) + first
+            words.append(word)
+            escape.append(-np.log2(np.maximum(share, 1e-30)).astype(np.float32))
+            bits.append(-np.log2(np.maximum(p, 1e-30)).astype(np.float32))
+            known, entries = own, entry
+            first += len(own)
+            size.append(len(own))
+        words = np.concatenate(words)
+        held = np.bitwise_count(words).astype(np.int64)
+        return Contexts(node_of.reshape(-1), words, np.cumsum(held) - held, np.concatenate(parent), np.concatenate(escape), np.concatenate(bits))
 
     def code_lengths(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Bits of each text under each language; texts are data[ends[i]:ends[i + 1]]."""
-        node_of, bits = self.tables()
+        tables = self.tables()
         docs = len(ends) - 1
         buffer = np.zeros(len(data) + PAD * docs, np.uint8)
         lo, hi = ends[:-1] + PAD * np.arange(1, docs + 1), ends[1:] + PAD * np.arange(1, docs + 1)
@@ -101,27 +134,29 @@ class PpmModel:
         for a in range(PAD, len(buffer), WINDOW):
             b = min(a + WINDOW, len(buffer))
             part = buffer[a - PAD : b].astype(np.uint32)
-            node = node_of[part[:-3] << 16 | part[1:-2] << 8 | part[2:-1]]
+            node = tables.node_of[part[:-3] << 16 | part[1:-2] << 8 | part[2:-1]].astype(np.int64)
             total = np.zeros((b - a + 1, len(self.langs)))
-            np.cumsum(bits[node.astype(np.int64) * 256 + part[3:]], axis=0, dtype=np.float64, out=total[1:])
+            np.cumsum(tables.look_up(node, part[3:].astype(np.int64)), axis=0, dtype=np.float64, out=total[1:])
             d, e = np.searchsorted(hi, a, "right"), np.searchsorted(lo, b)
             out[d:e] += total[np.minimum(hi[d:e], b) - a] - total[np.maximum(lo[d:e], a) - a]
         return out
 
 
-def train(labelled: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "doc_id", max_bytes: int = 1_500_000, max_contexts: int = 20_000) -> PpmModel:
+def train(labelled: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "doc_id", max_bytes: int = 1_500_000) -> PpmModel:
     """A model from rows with a text and a language.
 
     The sample is bounded by max_bytes of text a language, about: a hash of id and text picks rows, whole, in the
-    share that the bound leaves. It holds whatever the input's size; the number of languages is taken as small.
+    share that the bound leaves, and at least the row with the smallest hash, so that a language of a few very long
+    texts is learned too. It holds whatever the input's size; the number of languages is taken as small.
     """
-    labelled = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(id_col, lang, text)
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang).agg(F.sum(F.octet_length(text))).collect()}
-    langs = sorted(x for x, n in sizes.items() if n)
+    labelled = labelled.where(F.col(text).isNotNull() & (F.col(text) != "") & F.col(lang).isNotNull()).select(id_col, lang, text)
+    place = F.pmod(F.xxhash64(id_col, text), F.lit(1 << 40))
+    sizes = {r[0]: r[1:] for r in labelled.groupBy(lang).agg(F.sum(F.octet_length(text)), F.min(place)).collect()}
+    langs = sorted(sizes)
     if not langs:
         return PpmModel([], *(np.zeros(0, np.int64),) * 3)
-    share = F.create_map(*[F.lit(v) for x in langs for v in (x, min(1.0, max_bytes / sizes[x]))])
-    picked = labelled.where(F.pmod(F.xxhash64(id_col, text), F.lit(1 << 20)) < share[F.col(lang)] * (1 << 20))
+    border = F.create_map(*[F.lit(v) for x in langs for v in (x, max(int(min(1.0, max_bytes / sizes[x][0]) * (1 << 40)), sizes[x][1] + 1))])
+    picked = labelled.where(place < border[F.col(lang)])
 
     def count(batches):
         for batch in batches:
@@ -139,7 +174,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", id_col: s
     table = grams.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas().sort_values(["lang", "code"])
     table = table[table.lang.isin(langs)]
     number = table.lang.map({x: i for i, x in enumerate(langs)})
-    return PpmModel(langs, number.to_numpy(np.int64), table.code.to_numpy(np.int64), table.n.to_numpy(np.int64), max_contexts)
+    return PpmModel(langs, number.to_numpy(np.int64), table.code.to_numpy(np.int64), table.n.to_numpy(np.int64))
 
 
 def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

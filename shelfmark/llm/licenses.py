@@ -3,21 +3,25 @@
 Texts are cut into sentences, which are normalised and looked up among known licence sentences; the identifiers found
 in a document, in their order, are then matched against rules, each an ordered sequence of identifiers. Of rules that
 match, the one with most identifiers takes its sentences first; what it leaves can match shorter rules.
+
+A sentence may be wrapped over lines, or stand on a line of its own without an end mark: where no sentence end lies
+between lines, every run of them is looked up, the longest known one first. A text without any of a few words, of
+which every known sentence has one, holds none of them; it is told by a built-in expression and not read further.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._shared import free_name
-
-#: Known licence sentences by identifier, as their licences have them.
+#: Known licence sentences by identifier, as their licences have them; some in several forms.
 SENTENCES = {
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
+    "apache-2.0-notice": ("Licensed under the Apache License, Version 2.0", 'Licensed under the Apache License, Version 2.0 (the "License")'),
     "apache-2.0-comply": "you may not use this file except in compliance with the License",
     "apache-2.0-obtain": "You may obtain a copy of the License at",
     "apache-2.0-basis": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',
@@ -27,26 +31,54 @@ SENTENCES = {
     "mit-include": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     "mit-as-is": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
     "gpl-3.0-work": "This work is licensed under the GNU General Public License, version 3",
+    "gpl-3.0-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3",
     "gpl-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "gpl-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "lgpl-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "agpl-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-as-is": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
+    "bsd-notice": ("Released under the BSD License", "Licensed under the BSD License"),
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0",
-    "cc-by-4.0-notice": "Licensed under CC BY 4.0",
-    "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0",
+    "isc-as-is": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS',
+    "cc-by-nc-4.0-notice": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "cc-by-4.0-notice": ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    "cc-by-sa-4.0-notice": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "cc-by-nd-4.0-notice": ("Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
     "cc0-notice": "Released under CC0 1.0",
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "mpl-2.0-obtain": "If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "boost-notice": "Distributed under the Boost Software License, Version 1.0",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
     "unlicense-domain": "This is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    "spdx-mit": "SPDX-License-Identifier: MIT",
+    "spdx-apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "spdx-bsd-3-clause": "SPDX-License-Identifier: BSD-3-Clause",
+    "spdx-bsd-2-clause": "SPDX-License-Identifier: BSD-2-Clause",
+    "spdx-gpl-2.0-only": "SPDX-License-Identifier: GPL-2.0-only",
+    "spdx-gpl-3.0-or-later": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "spdx-mpl-2.0": "SPDX-License-Identifier: MPL-2.0",
+    "spdx-isc": "SPDX-License-Identifier: ISC",
 }
 #: Rules: a licence holds where these identifiers follow each other among those found.
 RULES = [
     ("Apache-2.0", ("apache-2.0-notice", "apache-2.0-comply", "apache-2.0-obtain", "apache-2.0-basis")),
     ("MIT", ("mit-grant", "mit-include", "mit-as-is")),
+    ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is")),
+    ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-as-is")),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("LGPL-2.1-or-later", ("lgpl-2.1-or-later", "lgpl-hope")),
+    ("AGPL-3.0-or-later", ("agpl-3.0-or-later", "gpl-hope")),
+    ("GPL-3.0-only", ("gpl-3.0-only", "gpl-hope")),
+    ("ISC", ("isc-grant", "isc-as-is")),
+    ("MPL-2.0", ("mpl-2.0-notice", "mpl-2.0-obtain")),
+    ("Unlicense", ("unlicense-domain", "unlicense-anyone")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("GPL-3.0-or-later", ("gpl-3.0-or-later", "gpl-hope")),
     ("GPL-2.0-or-later", ("gpl-2.0-or-later", "gpl-hope")),
@@ -66,15 +98,80 @@ RULES = [
     ("CC0-1.0", ("cc0-notice",)),
     ("MPL-2.0", ("mpl-2.0-notice",)),
     ("Unlicense", ("unlicense-domain",)),
+    ("LGPL-2.1-or-later", ("lgpl-2.1-or-later",)),
+    ("AGPL-3.0-or-later", ("agpl-3.0-or-later",)),
+    ("GPL-3.0-only", ("gpl-3.0-only",)),
+    ("BSD", ("bsd-notice",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-4.0-notice",)),
+    ("BSL-1.0", ("boost-notice",)),
+    ("Zlib", ("zlib-grant",)),
+    ("MIT", ("spdx-mit",)),
+    ("Apache-2.0", ("spdx-apache-2.0",)),
+    ("BSD-3-Clause", ("spdx-bsd-3-clause",)),
+    ("BSD-2-Clause", ("spdx-bsd-2-clause",)),
+    ("GPL-2.0-only", ("spdx-gpl-2.0-only",)),
+    ("GPL-3.0-or-later", ("spdx-gpl-3.0-or-later",)),
+    ("MPL-2.0", ("spdx-mpl-2.0",)),
+    ("ISC", ("spdx-isc",)),
 ]
-#: A sentence ends at a line end, or at one of .;:!? before white space.
-SENTENCE_END = r"\n|[.;:!?](?=\s)"
-_NOISE = r"[\s\p{Punct}]+"
+#: A sentence ends at a blank line, or at one of .;:!? before white space or the end.
+SENTENCE_END = r"\n[^\S\n]*\n|[.;:!?](?=\s|$)"
 
 
 def normalised(sentence: str) -> str:
-    """Lower case, with runs of ASCII punctuation and white space as one blank; what the plan does to texts."""
-    return re.sub(r"[\s!-/:-@\[-`{-~]+", " ", sentence.lower(), flags=re.ASCII).strip()
+    """Lower case, with runs of ASCII punctuation and white space as one blank."""
+    return re.sub(r"[\s!-/:-@\[-`{-~]+", " ", sentence.lower()).strip()
+
+
+class Known:
+    """Known sentences by their pieces: a licence's sentence can hold sentence ends."""
+
+    def __init__(self, sentences: dict[str, str | tuple[str, ...]]):
+        self.forms = []
+        for name, known in sentences.items():
+            for form in (known,) if isinstance(known, str) else known:
+                self.forms.append((name, tuple(p for p in map(normalised, re.split(SENTENCE_END, form)) if p)))
+        self.by_first: dict[str, list] = {}
+        for name, pieces in sorted(self.forms, key=lambda f: -len(f[1])):
+            self.by_first.setdefault(pieces[0], []).append((name, pieces))
+        self.pieces = {p for _, pieces in self.forms for p in pieces}
+        self.longest = max(map(len, self.pieces), default=0)
+
+    def words(self) -> list[str]:
+        """A few words of which every known sentence has one, long ones first, since those are rare elsewhere."""
+        left, out = [" ".join(pieces) for _, pieces in self.forms], []
+        while left:
+            out.append(max({w for form in left for w in form.split()}, key=lambda w: (sum(w in form for form in left) * len(w) ** 2, w)))
+            left = [form for form in left if out[-1] not in form]
+        return out
+
+    def units(self, text: str) -> list[str]:
+        """The text's sentences, normalised; where lines are not ended, known runs of lines, else single lines."""
+        out = []
+        for sentence in re.split(SENTENCE_END, text):
+            lines = [x for x in map(normalised, sentence.split("\n")) if x]
+            at = 0
+            while at < len(lines):
+                run, end, size = lines[at], at + 1, 1
+                while len(run) <= self.longest:
+                    if run in self.pieces:
+                        end = at + size
+                    if at + size == len(lines):
+                        break
+                    run, size = f"{run} {lines[at + size]}", size + 1
+                out.append(" ".join(lines[at:end]))
+                at = end
+        return out
+
+    def found(self, text: str) -> list[str]:
+        """Identifiers of the known sentences in a text, in their order."""
+        units, out = self.units(text), []
+        for k, unit in enumerate(units):
+            for name, pieces in self.by_first.get(unit, ()):
+                if tuple(units[k : k + len(pieces)]) == pieces:
+                    out.append(name)
+                    break
+        return out
 
 
 def match(found: list[str], rules: list[tuple[str, tuple[str, ...]]]) -> list[tuple[str, int, int]]:
@@ -89,42 +186,31 @@ def match(found: list[str], rules: list[tuple[str, tuple[str, ...]]]) -> list[tu
     return sorted(out, key=lambda m: m[1])
 
 
-def sentences(text: str) -> Column:
-    """Normalised sentences of a text column."""
-    return F.transform(F.split(F.lower(text), SENTENCE_END), lambda s: F.trim(F.regexp_replace(s, _NOISE, " ")))
+def may_hold(text: str, words: list[str]) -> Column:
+    """Whether a text column holds one of the words."""
+    return F.coalesce(reduce(Column.__or__, [F.lower(text).contains(w) for w in words], F.lit(False)), F.lit(False))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", known: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", known: dict[str, str | tuple[str, ...]] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> DataFrame:
     """(id, licenses, sentences, matches) of every document.
 
     licenses are the sorted distinct licences, comma-separated (empty if none); sentences the identifiers found in
     their order, comma-separated; matches the number of rule matches. A repeated sentence counts each time. Null or
-    empty texts have none; each row counts for itself, whatever ids it shares. No documents give no rows.
+    empty texts have none; each row counts for itself, whatever ids it shares. No documents give no rows. All work is
+    local to a row, so nothing is shuffled.
     """
-    spark = docs.sparkSession
-    row, n = free_name(docs, "_row"), free_name(docs, "_n")
-    # A sentence of a licence can hold sentence ends; it is then known by its pieces, of which only the first is looked up.
-    pieces = []
-    for name, sentence in known.items():
-        parts = [p for p in (normalised(x) for x in re.split(SENTENCE_END, sentence.lower())) if p]
-        pieces += [(p, name, k, len(parts)) for k, p in enumerate(parts)]
-    table = spark.createDataFrame(pieces, "sentence string, name string, piece int, pieces int")
-    keyed = docs.select(F.col(id_col), F.monotonically_increasing_id().alias(row), F.col(text).alias("_text"))
-    parts = keyed.select(id_col, row, F.posexplode_outer(sentences("_text")).alias(n, "_sentence"))
-    hits = parts.join(F.broadcast(table), F.col("_sentence") == F.col("sentence"))
-    found = hits.groupBy(id_col, row).agg(F.array_sort(F.collect_list(F.struct(n, "name", "piece", "pieces"))).alias("found"))
+    table = Known(known)
+    words = table.words()
+    schema = T.StructType([docs.schema[id_col], T.StructField("licenses", T.StringType()), T.StructField("sentences", T.StringType()), T.StructField("matches", T.IntegerType())])
 
     def rule(batches):
         for batch in batches:
             out = []
-            for hits in batch["found"].to_pylist():
-                at = {(h[n], h["name"], h["piece"]) for h in hits}
-                names = [h["name"] for h in hits if h["piece"] == 0 and all((h[n] + k, h["name"], k) in at for k in range(h["pieces"]))]
+            for value in batch["candidate"].to_pylist():
+                names = table.found(value) if value else []
                 matches = match(names, rules)
                 out.append((",".join(sorted({m[0] for m in matches})), ",".join(names), len(matches)))
             cols = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch[row], pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], names=[row, "licenses", "sentences", "matches"])
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], names=schema.names)
 
-    matched = found.select(row, "found").mapInArrow(rule, f"`{row}` long, licenses string, sentences string, matches int")
-    out = keyed.select(id_col, row).join(matched, row, "left")
-    return out.select(id_col, F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("sentences", F.lit("")).alias("sentences"), F.coalesce("matches", F.lit(0)).alias("matches"))
+    return docs.select(F.col(id_col).alias("id"), F.when(may_hold(text, words), F.col(text)).alias("candidate")).mapInArrow(rule, schema)

@@ -67,25 +67,33 @@ def _measured(batch, text: str) -> np.ndarray:
     return np.array([statistics(raw[a:b]) for a, b in zip(ends[:-1], ends[1:])]).reshape(-1, len(STATISTICS))
 
 
+def measured(docs: DataFrame, text: str = "text", out: str = "statistics") -> DataFrame:
+    """docs with the statistics of the text instead of the text; a null text counts as empty."""
+    fields = [f for f in docs.drop(out).schema.fields if f.name != text]
+    schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for batch in batches:
+            x = _measured(batch, text)
+            yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in fields), pa.array(x.tolist(), pa.list_(pa.float64()))], names=schema.names)
+
+    return docs.select(*(f"`{f.name}`" for f in fields), text).mapInArrow(run, schema)
+
+
 def train(
-    docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text: str = "text", features: int = 256, width: float = 4.0, ridge: float = 1e-3, seed: int = 7
-) -> QualityModel:
+    docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text: str = "text", features: int = 256, width: float = 4.0, ridge: float = 1e-3, seed: int = 7,
+    statistics_col: str | None = None,
+) -> QualityModel:
     """A model from all labelled documents: four fifths fit the scores, the others the calibration.
 
     An id that is labelled more than once has its largest label; null labels, ids and texts are left out. Without
-    labelled rows the model scores 0.5.
+    labelled rows the model scores 0.5. Documents that are measured already have their statistics in statistics_col
+    (null where the text is null) and need no text.
     """
     labels = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("label"))
-    texts = docs.select(id_col, text).where(F.col(text).isNotNull())
-
-    def measure(batches):
-        for batch in batches:
-            x = _measured(batch, text)
-            yield pa.RecordBatch.from_arrays([batch[id_col], pa.array(x.tolist(), pa.list_(pa.float64()))], names=[id_col, "x"])
-
     # Texts become statistics before they meet the labels: the join moves sixteen numbers a row, no text.
-    schema = T.StructType([docs.schema[id_col], T.StructField("x", T.ArrayType(T.DoubleType()))])
-    rows = texts.mapInArrow(measure, schema).join(labels, id_col)
+    held = docs.select(id_col, F.col(statistics_col).alias("x")) if statistics_col else measured(docs.select(id_col, text).where(F.col(text).isNotNull()), text, "x")
+    rows = held.where("x is not null").join(labels, id_col)
     rows = staged(rows.select(F.pmod(F.xxhash64(id_col), F.lit(5)).cast("int").alias("fold"), (F.col("label") == 1).cast("double").alias("y"), "x"), "measured")
     d = len(STATISTICS)
     sums = rows.agg(F.count("*"), *[f(F.col("x")[k]) for f in (F.mean, F.stddev_pop) for k in range(d)]).first()
@@ -127,21 +135,22 @@ def train(
     return model
 
 
-def score(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "score", keep_text: bool = True) -> DataFrame:
+def score(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "score", keep_text: bool = True, statistics_col: str | None = None) -> DataFrame:
     """docs with a calibrated score from 0 to 1.
 
-    A null text counts as empty, and empty texts have the score of their statistics. A model without labelled rows
-    gives 0.5. Other columns and repeated rows pass unchanged; a column of docs that is named like the result is replaced.
+    A null text counts as empty, and empty texts have the score of their statistics, which can also be given in
+    statistics_col instead of a text. A model without labelled rows gives 0.5. Other columns and repeated rows pass unchanged; a column of docs that is named like the result is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(out)
-    fields = [f for f in docs.schema.fields if keep_text or f.name != text]
+    fields = [f for f in docs.schema.fields if keep_text or f.name != (statistics_col or text)]
     schema = T.StructType([*fields, T.StructField(out, T.DoubleType())])
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            s = m.curve(m.raw(_measured(batch, text))) if m.curve else np.full(batch.num_rows, 0.5)
+            x = np.array(batch[statistics_col].to_pylist()).reshape(-1, len(STATISTICS)) if statistics_col else _measured(batch, text)
+            s = m.curve(m.raw(x)) if m.curve else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in fields), pa.array(s, pa.float64())], names=schema.names)
 
     return docs.mapInArrow(run, schema)

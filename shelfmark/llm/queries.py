@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, decontam, langid, licenses, quality, sharding, simhash, token_files, toxicity
-from ._shared import shared_dir
+from ._shared import shared_dir, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -73,9 +73,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.train(docs, _table(spark, sf_dir, "labels").where(_fold(3) != 1))
-    found = quality.score(docs, model, keep_text=False)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").isNotNull().alias("has_text"))
+    x = staged(quality.measured(docs, out="x"), "statistics")  # measured once, for training and for scores
+    known = x.withColumn("x", F.when(F.col("has_text"), F.col("x")))
+    model = quality.train(known, _table(spark, sf_dir, "labels").where(_fold(3) != 1), statistics_col="x")
+    found = quality.score(x, model, keep_text=False, statistics_col="x")
     return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -1,8 +1,8 @@
 """Toxicity: gradient-boosted trees over dense features of a text, with isotonic calibration.
 
 The lexicon is a short fixed list and what the labelled sample adds: words, and beginnings of words, that occur in
-far more toxic than other documents. Copies in the sample count once (by their smallest shingle hash), so that the
-words of one toxic text with many copies do not become lexicon entries.
+far more toxic than other documents. Copies in the sample count once, by all of their words, so that the words of one
+toxic text with many copies do not become lexicon entries.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from pyspark.sql import types as T
 
 from ._shared import staged, text_buffers
 from .learning import Isotonic, Trees, boosted_trees, isotonic, labelled_sample
-from .simhash import shingle_hashes
 
 #: Insults that count without any label.
 INSULTS = "clown disgusting dumb dumbass fool idiot imbecile jerk loser moron pathetic scum stupid trash worthless".split()
@@ -55,11 +54,9 @@ class ToxicityModel:
         kind = HIT * (low in self.words) | PERSON * (low in SECOND_PERSON)
         kind |= BEGINNING * any(low[:n] in self.beginnings for n in PREFIXES)
         kind |= CAPITALS * (len(word) > 2 and word.isupper())
-        if len(low) < 40:
-            if not kind & HIT and _INNER.search(low) and low.translate(DISGUISES) in self.words:
-                kind |= HIT | DISGUISED
-            kind |= STRETCHED * bool(_STRETCH.search(low))
-        return kind
+        if not kind & HIT and _INNER.search(low) and low.translate(DISGUISES) in self.words:
+            kind |= HIT | DISGUISED
+        return kind | STRETCHED * bool(_STRETCH.search(low))
 
     def features(self, text: bytes) -> list[float]:
         """The features of a whole text, in the order of FEATURES."""
@@ -82,7 +79,7 @@ class ToxicityModel:
             gap = np.minimum(np.abs(person[np.minimum(after, len(person) - 1)] - hit), np.abs(person[np.maximum(after - 1, 0)] - hit))
             near = float((gap <= 5).mean())
         share = [float(np.count_nonzero(codes & bit)) for bit in (HIT, BEGINNING, PERSON, DISGUISED, STRETCHED, CAPITALS)]
-        distinct = len({words[k].strip(EDGES).lower() for k in hit[:1000]})
+        distinct = len({words[k].strip(EDGES).lower() for k in hit})
         byte = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
         size = max(len(text), 1)
         return [
@@ -102,18 +99,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
 
     A word or beginning joins the lexicon if it occurs in least_share of the toxic sample (five documents at least)
     and, by smoothed share, ratio times as often as in the rest. Two thirds of the sample fit the trees, the others
-    the calibration. Without labels of both kinds, only the fixed insults and an even curve remain.
+    the calibration. Texts of the same words, whatever their case, are copies: they count once, as toxic if one of them
+    is. Without labels of both kinds, only the fixed insults and an even curve remain.
     """
 
-    def keyed(batches):
-        for batch in batches:
-            data, ends = text_buffers(batch[text])
-            raw = data.tobytes()
-            key = [int(h.min()) if len(h := shingle_hashes(raw[a:b], 5)) else 0 for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64)), batch[text], batch["label"]], names=["key", text, "label"])
-
-    sample = labelled_sample(docs, labels, label, max_rows, id_col, text).select(text, F.col("label").cast("int").alias("label"))
-    sample = staged(sample.mapInArrow(keyed, f"key long, `{text}` string, label int").dropDuplicates(["key"]), "sample")
+    sample = labelled_sample(docs, labels, label, max_rows, id_col, text).select(F.col(text), F.col("label").cast("int").alias("label"))
+    words = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    sample = sample.groupBy(F.sha2(words, 256).alias("digest")).agg(F.min(text).alias(text), F.max("label").alias("label"))
+    sample = staged(sample.select(F.conv(F.substring("digest", 1, 15), 16, 10).cast("long").alias("key"), text, "label"), "sample")
     sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     positive, negative = sizes.get(1, 0), sum(n for x, n in sizes.items() if x != 1)
     model = ToxicityModel(frozenset(INSULTS), frozenset())
@@ -131,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
 
     counts = sample.mapInArrow(terms, "term string, rest long, toxic long").groupBy("term").agg(F.sum("rest").alias("rest"), F.sum("toxic").alias("toxic"))
     often = (F.col("toxic") + 0.5) / (positive + 1) >= ratio * (F.col("rest") + 0.5) / (negative + 1)
-    found = [r.term for r in counts.where((F.col("toxic") >= max(5, least_share * positive)) & often).orderBy(F.desc("toxic"), "term").limit(2000).collect()]
+    found = [r.term for r in counts.where((F.col("toxic") >= max(5, least_share * positive)) & often).collect()]  # the sample bounds them
     model = ToxicityModel(frozenset([*INSULTS, *(x for x in found if x and x[-1] != " ")]), frozenset(x[:-1] for x in found if x[-1:] == " "))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -45,8 +45,7 @@ def test_code_lengths_equal_the_recursive_definition():
                 counts[k].setdefault(c, {}).setdefault(b[i], 0)
                 counts[k][c][b[i]] += 1
                 total[c] = total.get(c, 0) + 1
-    known = {c for c, n in total.items() if n >= 2}
-    known |= {b""}
+    known = {*total}
     probes = ["the hut", "", "zebra", "und that"]
     data = np.frombuffer("".join(probes).encode(), np.uint8)
     ends = np.cumsum([0, *(len(p) for p in probes)])
@@ -59,8 +58,19 @@ def test_code_lengths_equal_the_recursive_definition():
 
 
 def test_probabilities_sum_to_one():
-    _, bits = model([(0, "abracadabra" * 5), (1, "simsalabim" * 4)]).tables()
-    assert np.allclose((2.0 ** -bits.astype(float)).reshape(-1, 256, 2).sum(axis=1), 1, atol=1e-5)
+    tables = model([(0, "abracadabra" * 5 + "".join(map(chr, range(1, 128)))), (1, "simsalabim" * 4)]).tables()
+    for node in range(len(tables.parent)):
+        bits = tables.look_up(np.full(256, node), np.arange(256))
+        assert np.allclose((2.0 ** -bits.astype(float)).sum(axis=0), 1, atol=1e-4)
+
+
+def test_a_language_of_one_very_long_text_is_learned(spark):
+    rows = [(k, "the cat and the hat on the mat", "en") for k in range(50)] + [(1000, "der hund und die katze " * 5000, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.train(docs, max_bytes=200)
+    assert m.langs == ["de", "en"] and set(m.lang.tolist()) == {0, 1}
+    asked = spark.createDataFrame([(1, "die katze und der hund"), (2, "the hat"), (3, "der hund " * 100_000)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(asked, m).collect()} == {1: "de", 2: "en", 3: "de"}
 
 
 def test_windows_do_not_change_lengths(monkeypatch):
