@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by multi-index hashing over learned rotated binary codes.
 
-The rotation (principal axes turned to fit their signs) and the radius are learned from a bounded sample; every
-vector is indexed. The index is cut into shards of bounded size. A shard keeps, for each substring of the codes, the
-positions listed by substring value; a query probes the values within so many bits of its own that, by the
-pigeonhole principle, no code within the radius is missed, and codes within the radius are reranked by their floats.
-Queries stream through each shard and leave their best rows there, exact for the shard, which are merged at the end.
+The rotation (principal axes turned to fit their signs), the radius and the cells are learned from a bounded sample; every
+vector is indexed. The index is cut into shards of bounded size, each a part of one cell, so that near codes lie
+together. A shard keeps, for each substring of the codes, the positions listed by substring value; a query probes the
+values within so many bits of its own that, by the pigeonhole principle, no code within the radius is missed, and codes
+within the radius are reranked by their floats. A query goes only to shards that hold a value that it probes. Queries
+stream through each shard and leave their best rows there, which are merged at the end; a query with fewer
+than k codes within the radius is then compared with all vectors.
 """
 
 from __future__ import annotations
@@ -18,10 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import staged
+
 #: Vectors that the rotation and the radius are learned from, at most, about.
 SAMPLE = 6_000
-#: Vectors of a shard, about.
+#: Vectors of a shard, about; more, if there would be more shards than MOST_SHARDS.
 SHARD = 25_000
+#: Bounds the table by which queries find shards: a bit for each substring value and shard, 512 bytes a shard, 32 MB in all.
+MOST_SHARDS = 65_536
+#: Cells of near vectors, at most.
+CELLS = 256
 #: Below that, shards of so many keep the partitions busy.
 SMALL_SHARD = 2_000
 #: Bits of a substring.
@@ -40,6 +48,17 @@ class Rotation:
     axes: np.ndarray
     norm: float
     radius: int = 0
+    cells: np.ndarray | None = None
+
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        """The number of the nearest cell of each vector."""
+        return (x @ self.cells.T - (self.cells**2).sum(axis=1) / 2).argmax(axis=1)
+
+    def probes(self, substrings: int) -> list[np.ndarray]:
+        """The masks by which a query's value in each substring is changed: within the radius, one of the first `more`
+        substrings differs in `bits` at most, or a later one in fewer."""
+        bits, more = divmod(self.radius, substrings)
+        return [MASKS[: WITHIN[min(bits if k <= more else bits - 1, WIDTH)]] if k <= more or bits else MASKS[:0] for k in range(substrings)]
 
     def codes(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """Substrings of each vector's code, as bytes."""
@@ -49,8 +68,20 @@ class Rotation:
         return np.packbits((np.hstack([x, more]) / scale - self.mean) @ self.axes > 0, axis=1)
 
 
-def fit(x: np.ndarray, norm: float, bits: int = 128, k: int = 20, seed: int = 5) -> Rotation:
-    """Learn a rotation from vectors x, and the smallest radius that holds TARGET of their own nearest neighbours."""
+def means(x: np.ndarray, many: int, rng: np.random.Generator) -> np.ndarray:
+    """So many centres of x at most, by a few rounds of k-means."""
+    centres = x[rng.permutation(len(x))[:many]]
+    for _ in range(8):
+        own = (x @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
+        n = np.bincount(own, minlength=len(centres))
+        total = np.zeros_like(centres)
+        np.add.at(total, own, x)
+        centres = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres)
+    return centres
+
+
+def fit(x: np.ndarray, norm: float, bits: int = 128, k: int = 20, seed: int = 5, cells: int = 1) -> Rotation:
+    """Learn a rotation from vectors x, the smallest radius that holds TARGET of their own nearest neighbours, and cells."""
     rng = np.random.default_rng(seed)
     full = np.hstack([x, np.sqrt(np.maximum(norm**2 - (x**2).sum(axis=1, keepdims=True), 0))]) / norm
     mean = full.mean(axis=0)
@@ -69,6 +100,7 @@ def fit(x: np.ndarray, norm: float, bits: int = 128, k: int = 20, seed: int = 5)
     near = np.argsort(-product, axis=1)[:, : min(k, len(x) - 1)]
     apart = np.bitwise_count(model.codes(x[asked], query=True)[:, None] ^ model.codes(x)[near]).sum(axis=2) if near.size else np.zeros(1)
     model.radius = int(np.quantile(apart, TARGET, method="higher"))
+    model.cells = means(x, cells, rng)
     return model
 
 
@@ -83,12 +115,10 @@ class Shard:
         m = self.codes.shape[1]
         self.order = [np.argsort(self.codes[:, k], kind="stable") for k in range(m)]
         self.first = [np.searchsorted(self.codes[o, k], np.arange(257)) for k, o in enumerate(self.order)]
-        # Within the radius, one of the first `more` substrings differs in `bits` at most, or a later one in fewer.
-        bits, more = divmod(model.radius, m)
-        self.probes = [MASKS[: WITHIN[min(bits if k <= more else bits - 1, WIDTH)]] if k <= more or bits else MASKS[:0] for k in range(m)]
+        self.probes = model.probes(m)
 
-    def search(self, query: np.ndarray, code: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best of the shard, best first."""
+    def within(self, code: np.ndarray) -> np.ndarray:
+        """Positions of all codes within the radius."""
         hit = np.zeros(len(self.x), bool)
         for order, first, masks, value in zip(self.order, self.first, self.probes, code):
             values = masks ^ value
@@ -96,9 +126,11 @@ class Shard:
             total = int(n.sum())
             hit[order[np.repeat(first[values] - (np.cumsum(n) - n), n) + np.arange(total)]] = True
         found = np.flatnonzero(hit)
-        found = found[np.bitwise_count(self.codes[found] ^ code).sum(axis=1) <= self.model.radius]
-        if self.length[found].sum() <= k:  # too few within the radius: every vector of the shard is a candidate
-            found = np.arange(len(self.x))
+        return found[np.bitwise_count(self.codes[found] ^ code).sum(axis=1) <= self.model.radius]
+
+    def search(self, query: np.ndarray, code: np.ndarray | None, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best of the shard's codes within the radius, or of all its vectors if no code is given, best first."""
+        found = np.arange(len(self.x)) if code is None else self.within(code)
         score = (self.x[found] * query).sum(axis=1)
         if len(found) > k + 1:  # ties of the last stay
             keep = score >= np.partition(score, -k - 1)[-k - 1]
@@ -131,6 +163,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     if lengths is None:
         return spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
     rows = rows.where(F.size("x") == lengths.n)
+    rows = staged(rows, "rows")
     # Equal vectors are one index entry, with as many ids as a result can use.
     numbered = rows.select("id", "x").distinct().withColumn("n", F.row_number().over(Window.partitionBy("x").orderBy("id"))).where(F.col("n") <= k + 1)
     index = numbered.groupBy("x").agg(F.sort_array(F.collect_list("id")).alias("ids"))
@@ -138,38 +171,99 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     share = min(1.0, SAMPLE / lengths.rows)
     sample = rows.where(F.pmod(F.xxhash64("x"), F.lit(1 << 20)) < share * (1 << 20)).select("x").distinct().collect()
     sample = sample or rows.select("x").limit(100).collect()
-    model = spark.sparkContext.broadcast(fit(np.array([r.x for r in sorted(sample)]), norm, bits, k))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(-(-lengths.rows // SHARD), min(parts, -(-lengths.rows // SMALL_SHARD)))
-    stored = index.select(F.pmod(F.xxhash64("x"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), "x", "ids")
-    asked = rows.where("asks").select("id", "x").distinct()
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "x", F.array().cast("array<long>").alias("ids"))
+    size = max(min(SHARD, max(lengths.rows // parts, SMALL_SHARD)), -(-lengths.rows // MOST_SHARDS))
+    model = spark.sparkContext.broadcast(fit(np.array([r.x for r in sorted(sample)]), norm, bits, k, cells=int(min(CELLS, -(-lengths.rows // size)))))
+
+    def place(batches):
+        for batch in batches:
+            x = batch["x"].flatten().to_numpy().reshape(batch.num_rows, -1)
+            codes = model.value.codes(x)
+            yield pa.RecordBatch.from_arrays([pa.array(model.value.cell(x)), *batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=["cell", *batch.schema.names, "code"])
+
+    index = staged(index.mapInArrow(place, "cell long, x array<double>, ids array<long>, code binary"), "index")
+    # A cell of many vectors is cut by hash, so that no shard is large.
+    cuts, shards = {}, 0
+    for r in index.groupBy("cell").count().collect():
+        cuts[r.cell] = (shards, -(-r["count"] // size))
+        shards += cuts[r.cell][1]
+    table = spark.createDataFrame([(c, *v) for c, v in cuts.items()], "cell long, first long, many long")
+    index = index.join(F.broadcast(table), "cell").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("x"), F.col("many"))).cast("int")).select("shard", "x", "ids", "code")
 
-    def probe(batches):
-        number, held, shard = None, [], None
+    def values(batches):
         for batch in batches:
-            at = batch["shard"].to_numpy()
-            kinds = batch["kind"].to_numpy()
-            flat = batch["x"].flatten().to_numpy().reshape(batch.num_rows, -1)
-            cuts = np.flatnonzero((np.diff(at) != 0) | (np.diff(kinds) != 0)) + 1
-            for lo, hi in itertools.pairwise([0, *cuts, len(at)]):
-                if hi == lo:
-                    continue
-                if at[lo] != number:
-                    number, held, shard = at[lo], [], None
-                if kinds[lo] == 0:
-                    held.append((flat[lo:hi], batch["ids"].slice(lo, hi - lo).to_pylist()))
-                    continue
-                if shard is None:
-                    if not held:
+            codes = np.frombuffer(b"".join(batch["code"].to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            m = codes.shape[1]
+            keys = np.unique((batch["shard"].to_numpy().astype(np.int64)[:, None] * m + np.arange(m)) * 256 + codes)
+            yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
+
+    substrings = bits // WIDTH
+    keys = index.select("shard", "code").mapInArrow(values, "key long").distinct()
+    held = np.zeros((substrings, 256, -(-shards // 8)), np.uint8)  # bit s of held[m, v]: shard s has value v in substring m
+    for r in keys.groupBy(F.shiftright("key", 8).alias("at")).agg(F.collect_set(F.col("key").bitwiseAND(255)).alias("v")).toLocalIterator():
+        held[r["at"] % substrings, r["v"], r["at"] // substrings // 8] |= 1 << (r["at"] // substrings % 8)
+    reach = np.zeros_like(held)
+    fitted = model.value
+    for m, masks in enumerate(fitted.probes(substrings)):
+        for mask in masks:
+            reach[m] |= held[m, np.arange(256) ^ mask]
+    routes = spark.sparkContext.broadcast(reach)
+
+    def route(batches):
+        for batch in batches:
+            x = batch["x"].flatten().to_numpy().reshape(batch.num_rows, -1)
+            codes = model.value.codes(x, query=True)
+            for at in range(batch.num_rows):
+                bit = np.bitwise_or.reduce(routes.value[np.arange(codes.shape[1]), codes[at]], axis=0)
+                to = np.flatnonzero(np.unpackbits(bit, bitorder="little"))
+                row = batch.slice(at, 1).take(pa.array(np.zeros(len(to), np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), row["id"], row["x"]], names=["shard", "id", "x"])
+
+    def probe(everything: bool):
+        def run(batches):
+            number, held, shard = None, [], None
+            for batch in batches:
+                at = batch["shard"].to_numpy()
+                kinds = batch["kind"].to_numpy()
+                flat = batch["x"].flatten().to_numpy().reshape(batch.num_rows, -1)
+                cuts = np.flatnonzero((np.diff(at) != 0) | (np.diff(kinds) != 0)) + 1
+                for lo, hi in itertools.pairwise([0, *cuts, len(at)]):
+                    if hi == lo:
                         continue
-                    shard = Shard(model.value, np.concatenate([h[0] for h in held]), [i for h in held for i in h[1]])
-                own, codes = batch["id"].to_numpy()[lo:hi], model.value.codes(flat[lo:hi], query=True)
-                found = [shard.search(q, c, o, k) for q, c, o in zip(flat[lo:hi], codes, own)]
-                n = [len(f[0]) for f in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], names=["query_id", "id", "score"])
+                    if at[lo] != number:
+                        number, held, shard = at[lo], [], None
+                    if kinds[lo] == 0:
+                        held.append((flat[lo:hi], batch["ids"].slice(lo, hi - lo).to_pylist()))
+                        continue
+                    if shard is None:
+                        if not held:
+                            continue
+                        shard = Shard(model.value, np.concatenate([h[0] for h in held]), [i for h in held for i in h[1]])
+                    own = batch["id"].to_numpy()[lo:hi]
+                    codes = [None] * len(own) if everything else model.value.codes(flat[lo:hi], query=True)
+                    found = [shard.search(q, c, o, k) for q, c, o in zip(flat[lo:hi], codes, own)]
+                    n = [len(f[0]) for f in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], names=["query_id", "id", "score"])
+
+        return run
 
-    local = stored.union(asked).repartition(parts, "shard").sortWithinPartitions("shard", "kind").mapInArrow(probe, "query_id long, id long, score double")
+    none = F.array().cast("array<long>")
+    stored = index.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), "x", "ids")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    best = local.groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+    def best(sent: DataFrame, everything: bool) -> DataFrame:
+        both = staged(stored.union(sent.select("shard", F.lit(1).alias("kind"), "id", "x", none.alias("ids"))), "dealt")
+        local = both.repartitionByRange(parts, "shard").sortWithinPartitions("shard", "kind").mapInArrow(probe(everything), "query_id long, id long, score double")
+        top = local.groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return staged(top.select("query_id", "rank", F.col("id").alias(id_col), "score"), "best")
+
+    asked = staged(rows.where("asks").select("id", "x").distinct(), "asked")
+    first = best(asked.mapInArrow(route, "shard int, id long, x array<double>"), False)
+    enough = min(k, numbered.select("id").distinct().limit(k + 1).count() - 1)
+    full = first.where(F.col("rank") == enough).select(F.col("query_id").alias("id"))
+    short = asked.join(full, "id", "left_anti") if enough > 0 else asked.limit(0)
+    if short.isEmpty():
+        return first
+    all_shards = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    second = best(short.select("id", "x", all_shards).select("shard", "id", "x"), True)
+    return first.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(second)

@@ -63,6 +63,34 @@ def test_larger_norms_win(spark):
     assert sum(len(got[q] & {i for _, i in w}) for q, w in want.items()) / (10 * len(want)) >= 0.9
 
 
+def test_clustered_vectors_and_outliers_are_routed_and_found(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SMALL_SHARD", 100)  # the driver cuts shards
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 32))
+    x = np.concatenate([centres[k % 20] + 0.15 * rng.normal(size=32) for k in range(3000)]).reshape(-1, 32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::500] = rng.normal(size=(6, 32))  # far from all others: fewer than k codes within the radius
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    want, got = brute(rows, 20), {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(len(v) == 20 for v in got.values()) and set(got) == set(want)
+    assert sum(len(got[q] & {i for _, i in w}) for q, w in want.items()) / (20 * len(want)) >= 0.95
+
+
+def test_within_holds_every_code_of_the_radius():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 24))
+    m = ann.fit(x, float(np.linalg.norm(x, axis=1).max()))
+    shard = ann.Shard(m, x, [[k] for k in range(500)])
+    for r in (0, 5, 17, 40):
+        m.radius = r
+        shard.probes = m.probes(16)
+        for code in m.codes(x[:20], query=True):
+            want = np.flatnonzero(np.bitwise_count(shard.codes ^ code).sum(axis=1) <= r)
+            assert shard.within(code).tolist() == want.tolist()
+
+
 def plain_jump(key, n):
     b, j = -1, 0
     while j < n:
