@@ -22,10 +22,8 @@ from pyspark.sql import types as T
 from ._shared import staged, text_buffers
 from .components import components
 
-#: Fingerprints of a group: the rows of one side of a task's comparison, at least and at most, about.
-GROUP = (2_048, 32_768)
-#: Groups that a large cell is cut into at least, so that no task has a whole one.
-CUTS = 8
+#: A group, the rows of one side of a task's comparison, has this share of all fingerprints at most, and so many at most.
+SHARE, GROUP = 64, 131_072
 #: Cells of a tile's matrix.
 TILE = 2_000_000
 #: Where similarities are verified: rows of fewer shingles meet by what is left of their shingles without a few.
@@ -192,7 +190,7 @@ def _plan(counts: dict[int, int], parts: int, radius: int, banded: bool) -> list
 
     Roles: 0 left, 1 right, 2 both. The number of cells is bounded by the possible counts, not by the input.
     """
-    size = min(max(max(counts.values(), default=0) // CUTS, GROUP[0]), GROUP[1])
+    size = min(-(-sum(counts.values()) // SHARE) or 1, GROUP)
     groups = {c: -(-n // size) for c, n in counts.items()}
     steps = [s for s in itertools.product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, s)) <= radius]
     powers = [65 ** (parts - 1 - k) for k in range(parts)]
