@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity
 from ..functions import text as fn
 from ..operators import search
+from ..sources import listing
 from .registry import query, table
 
 
@@ -194,3 +195,83 @@ def supported_version(spark, d):
     """The most similar name in the same group; here equal names, which have cosine 1."""
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("g"), F.col("p_name").alias("name"))
     return similarity.best_in_group(parts.where("id % 2 = 0"), parts.where("id % 2 = 1"), ["g"], "id", "name", 0.999999).select("id", "match")
+
+
+@query(r"""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'Unnamed' ELSE substr(replace(p_name, ' ', ' ') || ' ' || p_type, 1, 100) END AS name FROM part""")
+def text_display_name(spark, d):
+    k = F.col("p_partkey")
+    raw = F.when(k % 5 == 0, "Copy of  ??").otherwise(F.concat(F.lit("Copy of copy of "), "p_name", F.lit("  /"), "p_type", F.lit("_20240102_030405")))
+    return table(spark, d, "part").select("p_partkey", fn.display_name(raw).alias("name"))
+
+
+@query(r"""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS INT) END AS number, p_partkey % 2 = 0 OR p_partkey % 3 = 0 AS copy, p_name || CASE WHEN p_partkey % 2 = 0 THEN ' (' || p_size || ')' ELSE '' END AS bare FROM part""")
+def text_copy_marks(spark, d):
+    """Numbers and marks of copies in names, and names without repeated prefixes."""
+    k = F.col("p_partkey")
+    end = F.concat("p_name", F.when(k % 2 == 0, F.concat(F.lit(" ("), F.col("p_size").cast("string"), F.lit(")"))).otherwise(""))
+    name = F.concat(F.when(k % 3 == 0, "Copy of copy OF ").otherwise(""), end)
+    return table(spark, d, "part").select("p_partkey", fn.copy_number(name).alias("number"), fn.is_copy_name(name).alias("copy"), fn.without_copy_prefix(name).alias("bare"))
+
+
+@query(r"""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '/' END || p_type || '/' || p_brand AS trimmed FROM part""")
+def text_trim_slashes(spark, d):
+    path = F.concat(F.when(F.col("p_partkey") % 2 == 0, "/").otherwise("//"), "p_type", F.lit("/"), "p_brand", F.lit("/"))
+    return table(spark, d, "part").select("p_partkey", fn.trim_slashes(path).alias("trimmed"))
+
+
+@query(r"""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '@unattributed' ELSE replace(lower(p_brand), '#', '-') END || '/' || CASE WHEN p_size % 2 = 0 THEN '@untagged' ELSE replace(p_name, ' ', '/') END || '/' || replace(p_name, ' ', '-') || '#' || p_partkey AS path FROM part""")
+def text_path_format(spark, d):
+    size = F.col("p_size")
+    creator, tags = F.when(size % 3 > 0, F.col("p_brand")), F.when(size % 2 == 0, F.array().cast("array<string>")).otherwise(F.split("p_name", " "))
+    path = fn.PathTemplate("{creator}/{tags}/{model_name}").format(creator, F.lit(None).cast("string"), F.col("p_name"), tags, F.col("p_partkey"))
+    return table(spark, d, "part").select("p_partkey", path.alias("path"))
+
+
+@query(r"""SELECT p_partkey FROM part WHERE regexp_matches(lower(p_type || '/' || p_name || '.stl'), '(^|[\s/._()\[\]-])(cold|promo)($|[\s/._()\[\]-])')""")
+def text_has_keyword(spark, d):
+    return table(spark, d, "part").where(fn.has_keyword(F.concat("p_type", F.lit("/"), "p_name", F.lit(".stl")), ["cold", "promo"])).select("p_partkey")
+
+
+_COUNTS = "list_transform(range(97, 123), lambda c: length({0}) - length(replace({0}, chr(c::INTEGER), '')))"
+
+
+@query(f"""WITH v AS (SELECT p_partkey, {_COUNTS.format("lower(replace(p_name, ' ', ''))")} AS x, {_COUNTS.format("lower(p_type)")} AS y FROM part)
+SELECT p_partkey, round(list_dot_product(x::DOUBLE[], y::DOUBLE[]) / sqrt(list_dot_product(x::DOUBLE[], x::DOUBLE[]) * list_dot_product(y::DOUBLE[], y::DOUBLE[])), 6) AS score FROM v""")
+def text_cosine(spark, d):
+    score = similarity.cosine(F.lower(F.replace("p_name", F.lit(" "))), F.lower("p_type"))
+    return table(spark, d, "part").select("p_partkey", F.round(score, 6).alias("score"))
+
+
+@query(r"""SELECT count(*) AS n, count(*) AS distinct_ids, true AS plain FROM customer""")
+def text_public_id(spark, d):
+    ids = table(spark, d, "customer").select(fn.public_id(F.col("c_custkey")).alias("id"))
+    return ids.agg(F.count("*").alias("n"), F.count_distinct("id").alias("distinct_ids"), F.bool_and(F.col("id").rlike("^[0-9b-df-hj-np-tv-z]{12}$")).alias("plain"))
+
+
+@query(r"""SELECT s_suppkey, 'host' || s_suppkey || '.example.org' || CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN ':8080' ELSE '' END AS server FROM supplier""")
+def text_server_and_port(spark, d):
+    k = F.col("s_suppkey")
+    url = F.concat(F.lit("https://Host"), k.cast("string"), F.lit(".example.org"), F.when(k % 3 == 0, "").when(k % 3 == 1, ":8080").otherwise(":443"), F.lit("/a?b"))
+    return table(spark, d, "supplier").select("s_suppkey", fn.server_and_port(url).alias("server"))
+
+
+@query(r"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_type || '/' || p_name WHEN 1 THEN p_type || '/' || p_name END AS entry FROM part""")
+def text_safe_entry(spark, d):
+    k = F.col("p_partkey")
+    path = F.when(k % 4 == 0, F.concat(F.lit("./"), "p_type", F.lit("/"), "p_name")).when(k % 4 == 1, F.concat("p_type", F.lit("\\"), "p_name")).when(k % 4 == 2, F.concat(F.lit("a/../"), "p_name")).otherwise(F.concat(F.lit("C:\\"), "p_name"))
+    return table(spark, d, "part").select("p_partkey", fn.safe_entry(path).alias("entry"))
+
+
+@query(r"""SELECT CASE o_orderkey % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'role' WHEN 2 THEN 'group' ELSE 'user' END AS kind, count(*) AS n FROM orders GROUP BY 1""")
+def text_subject_kind(spark, d):
+    k = F.col("o_orderkey")
+    token = F.when(k % 4 == 0, "role::public").when(k % 4 == 1, "role::member").when(k % 4 == 2, F.concat(F.lit("group::"), k.cast("string"))).otherwise(k.cast("string"))
+    return table(spark, d, "orders").select(fn.subject_kind(token).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT DISTINCT p_type || CASE WHEN p_size % 3 = 2 THEN '/other' ELSE '' END AS folder FROM part""")
+def text_model_folder(spark, d):
+    """The folders of models, without a common sub-folder at the end."""
+    size = F.col("p_size")
+    path = F.concat("p_type", F.when(size % 3 == 0, "/").when(size % 3 == 1, "/STL/").otherwise("/other/"), "p_name", F.lit(".stl"))
+    return table(spark, d, "part").select(path.alias("path")).select(listing.model_folder().alias("folder")).distinct()

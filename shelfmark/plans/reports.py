@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import detectors, filters, merging, ranking, tree
+from ..sources import archives
 from .registry import query, table
 
 _FILES = """f AS (SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id, l_partkey AS item_id, 'File' || l_linenumber || CASE l_returnflag WHEN 'A' THEN '.STL' WHEN 'N' THEN '.png' ELSE '.pdf' END AS filename,
@@ -207,3 +208,30 @@ def shown_problems(spark, d):
 def pack_scores(spark, d):
     lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("item_id"))
     return lines.agg(F.sum(F.floor("l_quantity")).alias("bytes"), F.count("*").alias("files"), F.max(F.col("l_returnflag") == "N").alias("image")).where("files >= 6")
+
+
+@query("""SELECT CASE WHEN p_size % 3 = 0 THEN 'delete' WHEN p_size % 3 = 1 THEN 'update' ELSE 'insert' END AS action, count(*) AS n FROM part WHERE p_size % 3 > 0 OR p_size % 2 = 0 GROUP BY 1""")
+def archive_changes(spark, d):
+    """What brings stored archive entries to what an archive now lists."""
+    size = F.col("p_size")
+    parts = table(spark, d, "part").select(F.col("p_brand").alias("archive"), F.col("p_partkey").cast("string").alias("pathname"), size)
+    stored = parts.where((size % 3 == 1) | ((size % 3 == 0) & (size % 2 == 0))).select("archive", "pathname", F.col("p_size").alias("size"))
+    listed = parts.where(size % 3 > 0).select("archive", "pathname", (F.col("p_size") + 1).alias("size"))
+    return archives.synchronise(stored, listed).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey AS id FROM part WHERE p_size IN (3, 5, 8) AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N')""")
+def filter_collection_subtree(spark, d):
+    """Items of a collection and those below it, with an image since no word is searched and that is the default."""
+    t = _catalogue(spark, d)
+    items = t["items"].drop("collection_id").join(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("collection_id")), "id")
+    collections = spark.createDataFrame([(3, None), (5, 3), (8, 5), (9, None)], "node int, up int")
+    below = tuple(r.node for r in tree.below(collections, collections.where("node = 3"), "node", "up").collect())
+    spec = filters.FilterSpec.of({"collections": below}, default_has_image=True)
+    return filters.Catalogue(items, t["tags"], t["links"], None, t["files"]).filtered(spec).select("id")
+
+
+@query("""SELECT o_custkey, o_orderpriority AS role, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1""")
+def duplicate_roles(spark, d):
+    roles = table(spark, d, "orders").select("o_custkey", F.col("o_orderpriority").alias("role"))
+    return detectors.repeated(roles, ["o_custkey", "role"])
