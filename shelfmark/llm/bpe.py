@@ -314,8 +314,11 @@ def _word_table(pages: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return n, at, flat.astype(np.uint32)
 
 
-def with_ids(split: Split, ids: str, pages: DataFrame) -> DataFrame:
-    """The split docs with ids instead of their text, from the encoded pages of the same split."""
+def with_ids(split: Split, ids: str, pages: DataFrame, then: tuple[Callable[[pa.Table], pa.Table], str] | None = None) -> DataFrame:
+    """The split docs with ids instead of their text, from the encoded pages of the same split.
+
+    then, a function of a block's rows and the schema of what it makes of them, runs in the same Python worker.
+    """
     block, codes, kept = split.block, split.codes, split.kept
 
     def reassemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -332,10 +335,11 @@ def with_ids(split: Split, ids: str, pages: DataFrame) -> DataFrame:
         flat_ids = np.concatenate(out).astype("<u4", copy=False) if out else np.zeros(0, "<u4")
         size = np.concatenate(sizes) if sizes else np.zeros(left.num_rows, np.int64)
         del out
-        return left.select([f.name for f in kept]).append_column(ids, binary_array(flat_ids.view(np.uint8), np.concatenate(([0], np.cumsum(size * 4)))))
+        table = left.select([f.name for f in kept]).append_column(ids, binary_array(flat_ids.view(np.uint8), np.concatenate(([0], np.cumsum(size * 4)))))
+        return then[0](table) if then else table
 
     right = pages.select(F.col("block").alias(block), "codes", "ids").groupBy(block)
-    return split.positions.groupBy(block).cogroup(right).applyInArrow(reassemble, T.StructType([*kept, T.StructField(ids, T.BinaryType())]))
+    return split.positions.groupBy(block).cogroup(right).applyInArrow(reassemble, then[1] if then else T.StructType([*kept, T.StructField(ids, T.BinaryType())]))
 
 
 def encode(docs: DataFrame, encoder: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], text: str = "text", ids: str = "ids", buckets: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:

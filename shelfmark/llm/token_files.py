@@ -209,26 +209,26 @@ def write(docs: DataFrame, encoder, path: str, end: int = 2, id_col: str = "doc_
     cuts = [keys[len(keys) * k // parts] for k in range(1, parts)] if keys else []
     cut = spark.sparkContext.broadcast((np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)))
 
-    def huffman(batches):
+    def huffman(whole: pa.Table) -> pa.Table:
         size, code = shared.value
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                raw, ends = text_buffers(batch["ids"])
-                n = np.diff(ends) // 4
-                ids = np.insert(np.frombuffer(raw.tobytes(), "<u4").astype(np.int64), np.cumsum(n), end)
-                data, byte, lane = pack(ids, n + 1, size, code)
-                packed, width = varint(lane)
-                many = -(-(n + 1) // LANE)
-                lanes = np.concatenate(([0], np.cumsum(width)))[np.concatenate(([0], np.cumsum(many)))]
-                key = batch["id"].fill_null(-1 << 63).to_numpy()
-                tie, (a, t) = batch["tie"].to_numpy(), cut.value
-                part = np.searchsorted(a, key, "left")
-                for k in np.flatnonzero(np.isin(key, a)):  # ids at which ranges are cut
-                    part[k] += np.searchsorted(t[a == key[k]], tie[k], "right")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.int32()), batch["id"], batch["tie"], pa.array(n + 1), binary_array(packed, lanes), binary_array(data, byte)], names=["part", "id", "tie", "n", "lanes", "payload"]
-                )
+        out = [pa.schema([("part", pa.int32()), ("id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("lanes", pa.binary()), ("payload", pa.binary())]).empty_table()]
+        for lo in range(0, whole.num_rows, 500):
+            batch = whole.slice(lo, 500).combine_chunks()
+            raw, ends = text_buffers(batch["ids"])
+            n = np.diff(ends) // 4
+            ids = np.insert(np.frombuffer(raw.tobytes(), "<u4").astype(np.int64), np.cumsum(n), end)
+            data, byte, lane = pack(ids, n + 1, size, code)
+            packed, width = varint(lane)
+            many = -(-(n + 1) // LANE)
+            lanes = np.concatenate(([0], np.cumsum(width)))[np.concatenate(([0], np.cumsum(many)))]
+            key = batch["id"].fill_null(-1 << 63).to_numpy()
+            tie, (a, t) = batch["tie"].to_numpy(), cut.value
+            part = np.searchsorted(a, key, "left")
+            for k in np.flatnonzero(np.isin(key, a)):  # ids at which ranges are cut
+                part[k] += np.searchsorted(t[a == key[k]], tie[k], "right")
+            columns = [pa.array(part, pa.int32()), batch["id"], batch["tie"], pa.array(n + 1), binary_array(packed, lanes), binary_array(data, byte)]
+            out.append(pa.table(columns, ["part", "id", "tie", "n", "lanes", "payload"]))
+        return pa.concat_tables(out)
 
     def blocks(batches):
         part, block, first, held, size = None, 0, 0, [], 0
@@ -253,8 +253,7 @@ def write(docs: DataFrame, encoder, path: str, end: int = 2, id_col: str = "doc_
         if held:
             yield row()
 
-    ids = bpe.with_ids(split, "ids", pages)
-    coded = ids.mapInArrow(huffman, "part int, id long, tie long, n long, lanes binary, payload binary")
+    coded = bpe.with_ids(split, "ids", pages, (huffman, "part int, id long, tie long, n long, lanes binary, payload binary"))
     sorted_ = coded.repartition(parts, "part").sortWithinPartitions("part", F.col("id").asc_nulls_first(), "tie")
     sorted_.mapInArrow(blocks, BLOCK).write.parquet(f"{path}/blocks")
     code = [(int(i), int(length[i])) for i in np.flatnonzero(length)]
