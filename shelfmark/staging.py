@@ -22,8 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: it is computed once, and lost executors cost no recomputation.
 
-    The files stay until the owner of the shared folder removes them, since the results that read them are lazy.
+    The files stay until clear() is called, since the results that read them are lazy.
     """
     path = f"{shared_dir(df.sparkSession)}/shelfmark/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> bool:
+    """Remove all staged tables of the shared folder, once no result that reads them is needed; whether there were any."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/shelfmark")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
