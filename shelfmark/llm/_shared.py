@@ -4,33 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Only in local mode, as in tests, an unset one is made here."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="shelfmark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: it is computed once, and lost executors cost no recomputation.
-
-    The files stay until the owner of the shared folder removes them, since the results that read them are lazy.
-    """
-    path = f"{shared_dir(df.sparkSession)}/shelfmark/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..staging import shared_dir, staged  # noqa: F401
 
 
 def free_name(df: DataFrame, base: str) -> str:
