@@ -214,14 +214,10 @@ def test_most_similar_name_of_a_group(spark):
     assert [(r.id, r.match) for r in similarity.best_in_group(left, right, ["g"], "id", "name", 0.9).collect()] == [(1, 10)]
 
 
-def test_staged_tables_can_be_cleared(spark, tmp_path):
+def test_staged_tables_can_be_cleared(spark, tmp_path, monkeypatch):
     from shelfmark import staging
 
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        df = staging.staged(spark.range(3), "rows")
-        assert df.count() == 3 and (tmp_path / "shelfmark").exists()
-        assert staging.clear(spark) and not (tmp_path / "shelfmark").exists() and not staging.clear(spark)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+    monkeypatch.setattr(staging, "shared_dir", lambda _: f"file://{tmp_path}")
+    df = staging.staged(spark.range(3), "rows")
+    assert df.count() == 3 and (tmp_path / "shelfmark").exists()
+    assert staging.clear(spark) and not (tmp_path / "shelfmark").exists() and not staging.clear(spark)
