@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 
 
-def image_score(path: Column, size: Column, hints: str = "preview|render|cover|main", junk: str = "logo|icon|thumb|banner", cap: int = 2_000_000) -> Column:
+#: The bonus for telling names, the penalties for junk names and for a level of depth, and the cap of the size.
+TELLING, JUNK, DEPTH, LARGEST = 1_000_000, 1_500_000, 50_000, 2_000_000
+
+
+def image_score(path: Column, size: Column, hints: str = "preview|render|cover|main", junk: str = "logo|icon|thumb|banner", cap: int = LARGEST) -> Column:
     """Capped size with a bonus for telling names, and penalties for junk names and depth."""
     low = F.lower(path)
     depth = F.size(F.split(path, "/")) - 1
-    return F.least(size, F.lit(cap)) + F.when(low.rlike(hints), 1_000_000).otherwise(0) - F.when(low.rlike(junk), 1_500_000).otherwise(0) - depth * 50_000
+    return F.least(size, F.lit(cap)) + F.when(low.rlike(hints), TELLING).otherwise(0) - F.when(low.rlike(junk), JUNK).otherwise(0) - depth * DEPTH
 
 
 def ranked_images(images: DataFrame, group: str, path: str, size: str, n: int = 3) -> DataFrame:

@@ -30,6 +30,12 @@ def lacking(df: DataFrame, other: DataFrame, key: str, other_key: str | None = N
     return df.join(other, F.col(key) == F.col("_key"), "left_anti")
 
 
+def meeting_or_having(df: DataFrame, test: Column, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
+    """Rows that meet a test or have a match in other, each once: the semi join sees only rows that fail the test."""
+    met = F.coalesce(test, F.lit(False))
+    return df.where(met).unionByName(having(df.where(~met), other, key, other_key))
+
+
 def having_all(df: DataFrame, tags: DataFrame, values: list, key: str, tag: str, other_key: str | None = None) -> DataFrame:
     """Rows that have every value: relational division by one aggregation, so one shuffle however many values."""
     other = other_key or key

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_copy_name, name_key, original_name
 
+#: The shared files that count as evidence, the confidence from which a plan is applied, and what evidence alone is worth.
 LEAST_OVERLAP = 3
 LEAST_CONFIDENCE = 0.80
+DIGEST_CONFIDENCE, NAME_CONFIDENCE = 0.85, 0.82
 
 
 def class_pairs(df: DataFrame, on: list[str], key: str) -> DataFrame:
@@ -64,7 +66,7 @@ def decide(pairs: DataFrame, previews: Column, verdict: Column, confidence: Colu
     has = {s: F.array_contains("signals", s) for s in ("name_near_dupe", "shared_digest", "file_overlap")}
     weak = ~has["name_near_dupe"] & ~has["shared_digest"] & (F.col("overlap") < LEAST_OVERLAP)
     decision = F.when((F.size("signals") == 0) | weak, "separate").when(previews, verdict).when(has["shared_digest"] | has["name_near_dupe"], "merge").otherwise("separate")
-    sure = F.when((F.size("signals") == 0) | weak, 0.0).when(previews, confidence).when(has["shared_digest"], 0.85).when(has["name_near_dupe"], 0.82).otherwise(0.0)
+    sure = F.when((F.size("signals") == 0) | weak, 0.0).when(previews, confidence).when(has["shared_digest"], DIGEST_CONFIDENCE).when(has["name_near_dupe"], NAME_CONFIDENCE).otherwise(0.0)
     out = pairs.withColumn("decision", decision).withColumn("confidence", sure)
     return out.withColumn("approved", (F.col("decision") == "merge") & (F.col("confidence") >= threshold))
 

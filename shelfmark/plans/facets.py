@@ -77,9 +77,8 @@ def filter_not_in_list(spark, d):
 @query("""SELECT c_custkey FROM customer c WHERE c_acctbal > 9000
   OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)""")
 def filter_or_of_exists(spark, d):
-    table(spark, d, "customer").createOrReplaceTempView("_customer")
-    table(spark, d, "orders").createOrReplaceTempView("_orders")
-    return spark.sql("SELECT c_custkey FROM _customer WHERE c_acctbal > 9000 OR EXISTS (SELECT 1 FROM _orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
+    large = table(spark, d, "orders").where("o_totalprice > 400000")
+    return filters.meeting_or_having(table(spark, d, "customer"), F.col("c_acctbal") > 9000, large, "c_custkey", "o_custkey").select("c_custkey")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) > 50")
