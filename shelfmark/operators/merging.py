@@ -11,6 +11,8 @@ from ..functions.text import is_copy_name, name_key, original_name
 LEAST_OVERLAP = 3
 LEAST_CONFIDENCE = 0.80
 DIGEST_CONFIDENCE, NAME_CONFIDENCE = 0.85, 0.82
+#: Items from which on a shared fact is common: it is then not what pairs are found by, if that can be avoided.
+COMMON = 1000
 
 
 def class_pairs(df: DataFrame, on: list[str], key: str) -> DataFrame:
@@ -27,20 +29,28 @@ def name_pairs(items: DataFrame, key: str, name: str, category: str) -> DataFram
 
 
 def overlap_pairs(facts: DataFrame, key: str, on: list[str], least: int = LEAST_OVERLAP) -> DataFrame:
-    """(a, b, overlap): all pairs of items that share so many facts.
+    """(a, b, overlap): all pairs of items that share so many facts, by an inverted index on the facts.
 
-    Items that share enough facts share one besides the least - 1 commonest of either, so those are left out of the
-    inverted index, and a fact that nearly all items have proposes no pairs. The overlap is then counted over all facts.
+    Facts that over COMMON items have are counted apart: items that share enough of them share one besides the least - 1
+    commonest of either, so those propose no pairs, and what pairs share of them is counted from each item's few.
     """
-    rows = facts.select(F.col(key).alias("_item"), *on).where(F.col(key).isNotNull()).na.drop(subset=on).distinct()
-    common = rows.groupBy(*on).agg(F.count("*").alias("_many"))
+    rows = facts.select(F.col(key).alias("_item"), *on).na.drop().distinct()
+    known = rows.join(rows.groupBy(*on).agg(F.count("*").alias("_many")).where("_many > 1"), on)
+
+    def met(df: DataFrame) -> DataFrame:
+        return df.select(*on, F.col("_item").alias("a")).join(df.select(*on, F.col("_item").alias("b")), on).where("a < b")
+
+    direct = met(known.where(F.col("_many") <= COMMON)).groupBy("a", "b").agg(F.count("*").alias("overlap"))
+    common = known.where(F.col("_many") > COMMON)
+    if common.isEmpty():
+        return direct.where(F.col("overlap") >= least)
     rank = F.row_number().over(Window.partitionBy("_item").orderBy(F.desc("_many"), *on))
-    rare = rows.join(common.where("_many > 1"), on).withColumn("_k", rank).where(F.col("_k") >= least)
-    left, right = rare.select(*on, F.col("_item").alias("a")), rare.select(*on, F.col("_item").alias("b"))
-    pairs = left.join(right, on).where("a < b").select("a", "b").distinct()
-    first = pairs.join(rows.withColumnRenamed("_item", "a"), "a")
-    both = first.join(rows.withColumnRenamed("_item", "b"), ["b", *on])
-    return both.groupBy("a", "b").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= least)
+    proposed = met(common.withColumn("_k", rank).where(F.col("_k") >= least)).select("a", "b", F.lit(0).cast("long").alias("overlap"))
+    pairs = direct.unionByName(proposed).groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
+    held = common.groupBy("_item").agg(F.collect_list(F.struct(*on)).alias("_facts"))
+    a, b = (held.select(F.col("_item").alias(k), F.col("_facts").alias(f"_{k}")) for k in ("a", "b"))
+    shared = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.size(F.array_intersect("_a", "_b"))).otherwise(0)
+    return pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", (F.col("overlap") + shared).alias("overlap")).where(F.col("overlap") >= least)
 
 
 def candidates(items: DataFrame, files: DataFrame, key: str = "id", name: str = "name", category: str = "category") -> DataFrame:

@@ -161,7 +161,9 @@ def test_a_tree_of_any_depth_and_a_loop(spark):
     assert tree.below(nodes, nodes.limit(0), "id", "up").count() == 0
 
 
-def test_overlaps_with_a_fact_that_all_items_have(spark):
+@pytest.mark.parametrize("common", [5, 1000])
+def test_overlaps_with_a_fact_that_all_items_have(spark, monkeypatch, common):
+    monkeypatch.setattr(merging, "COMMON", common)
     import itertools
     import random
 
