@@ -130,9 +130,7 @@ def test_plan_runs_no_python(spark, planted):
     assert not re.search("Python|Arrow|Pandas|CartesianProduct|NestedLoop", plan)
 
 
-@pytest.mark.parametrize("broadcast", [0, decontam.BROADCAST_ROWS])
-def test_swapped_moved_and_repeated_parts(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", broadcast)
+def test_swapped_moved_and_repeated_parts(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 7)))
     text = lambda n: [word() for _ in range(n)]
