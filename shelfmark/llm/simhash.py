@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 from ._shared import staged, text_buffers
 from .components import components
 
-#: A group, the rows of one side of a task's comparison, has this share of all fingerprints at most, and so many at most.
-SHARE, GROUP = 64, 131_072
+#: A group, the rows of one side of a task's comparison, has an eighth of all fingerprints at most, and so many at most.
+#: More groups would split a large cell finer, but each pair of groups proposes links of its own.
+SHARE, GROUP = 8, 131_072
 #: Cells of a tile's matrix.
 TILE = 2_000_000
 #: Where similarities are verified: rows of fewer shingles meet by what is left of their shingles without a few.
@@ -185,26 +186,11 @@ def _cell(parts: int):
     return cell
 
 
-def _plan(counts: dict[int, int], parts: int, radius: int, banded: bool) -> list[tuple[int, int, int, int, int]]:
-    """(cell, first key, role, groups left, groups right) for each cell pair within the radius.
-
-    Roles: 0 left, 1 right, 2 both. The number of cells is bounded by the possible counts, not by the input.
-    """
-    size = min(-(-sum(counts.values()) // SHARE) or 1, GROUP)
-    groups = {c: -(-n // size) for c, n in counts.items()}
-    steps = [s for s in itertools.product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, s)) <= radius]
+def _steps(parts: int, radius: int, banded: bool) -> list[int]:
+    """By how much the cells differ that fingerprints within the radius can lie in; each with its opposite."""
     powers = [65 ** (parts - 1 - k) for k in range(parts)]
-    rows, key = [], 0
-    for c, n in groups.items():
-        rows.append((c, key, 2, n, n))
-        key += n * n
-        for band in (0, 1) if banded else (0,):
-            for s in steps:
-                other = c + band * 65**parts + sum(p * x for p, x in zip(powers, s))
-                if (band or other > c) and other in groups and all(0 <= c // p % 65 + x <= 64 for p, x in zip(powers, s)):
-                    rows += [(c, key, 0, n, groups[other]), (other, key, 1, n, groups[other])]
-                    key += n * groups[other]
-    return rows
+    near = [sum(p * x for p, x in zip(powers, s)) for s in itertools.product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, s)) <= radius]
+    return sorted({band * 65**parts + n for n in near for band in ((-1, 0, 1) if banded else (0,))})
 
 
 def _tiles(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int):
@@ -261,19 +247,21 @@ def links(distinct: DataFrame, radius: int, parts: int, banded: bool, tries: int
     steps = tuple(sorted({round(radius * x) for x in STEPS})) if tries else (radius,)
     spark = distinct.sparkSession
     cells = distinct.withColumn("cell", _cell(parts))
-    plan = _plan({r.cell: r["count"] for r in cells.groupBy("cell").count().collect()}, parts, radius, banded)
-    table = spark.createDataFrame(plan or [(0, 0, 0, 1, 1)], "cell long, base long, role int, lefts long, rights long")
-    own, other, role = F.col("own"), F.col("other"), F.col("role")
-    dealt = (
-        cells.join(F.broadcast(table), "cell")
-        .withColumn("own", F.pmod(F.xxhash64("fp", "fp2"), F.when(role == 1, F.col("rights")).otherwise(F.col("lefts"))))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(role == 1, F.col("lefts")).otherwise(F.col("rights")) - 1)))
-        .select(
-            (F.col("base") + F.when(role == 0, own * F.col("rights") + other).when(role == 1, other * F.col("rights") + own).otherwise(F.least(own, other) * F.col("rights") + F.greatest(own, other))).alias("key"),
-            F.when(role == 2, (own > other).cast("int")).otherwise(role).alias("side"),
-            ((role == 2) & (own == other)).alias("same"),
-            "rep", "fp", "fp2",
-        )
+    counts = staged(cells.groupBy("cell").agg(F.count("*").alias("n")), "cells")  # as many as there are population counts or lengths
+    size = min(-(-(counts.agg(F.sum("n")).first()[0] or 1) // SHARE), GROUP)
+    groups = F.ceil(F.col("n") / size).cast("long")
+    mine = F.broadcast(counts.select("cell", groups.alias("own_groups")))
+    theirs = F.broadcast(counts.select(F.col("cell").alias("to"), groups.alias("to_groups")))
+    reach = F.explode(F.array(*[F.lit(x).cast("long") for x in _steps(parts, radius, banded)]))
+    paired = cells.join(mine, "cell").withColumn("own", F.pmod(F.xxhash64("fp", "fp2"), F.col("own_groups"))).withColumn("step", reach).withColumn("to", F.col("cell") + F.col("step")).join(theirs, "to")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("to_groups") - 1))
+    same_cell, first = F.col("cell") == F.col("to"), F.col("cell") < F.col("to")
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    dealt = paired.withColumn("other", other).select(
+        F.when(same_cell, F.xxhash64("cell", "to", low, high)).when(first, F.xxhash64("cell", "to", "own", "other")).otherwise(F.xxhash64("to", "cell", "other", "own")).alias("key"),
+        F.when(same_cell, (F.col("own") > F.col("other")).cast("int")).otherwise((~first).cast("int")).alias("side"),
+        (same_cell & (F.col("own") == F.col("other"))).alias("same"),
+        "rep", "fp", "fp2",
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
