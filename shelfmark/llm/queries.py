@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage: op1 to op10 and the pipeline, with SQL where SQL can express one."""
+"""The registered queries of this subpackage: op1 to op13 and the pipeline, with SQL where SQL can express one."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, langid, licenses, quality, sharding, simhash, token_files, toxicity
+from . import ann, bpe, decontam, langid, licenses, periodic, phrases, quality, sharding, simhash, token_files, toxicity
 from ._shared import shared_dir, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,6 +109,16 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+@query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(_table(spark, sf_dir, "documents"), plant=True)
+
+
+@query(phrases.SQL)
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository's top; it takes helpers from here
