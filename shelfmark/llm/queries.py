@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, langid, licenses, periodic, phrases, quality, sharding, simhash, token_files, toxicity
+from . import ann, bpe, decontam, jaccard, langid, licenses, periodic, phrases, quality, sharding, simhash, token_files, toxicity
 from ._shared import shared_dir, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,6 +114,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_report(_table(spark, sf_dir, "documents"), plant=True)
 
 
+@query()
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.similar_groups(_table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("component", "component_id")
+
+
 @query(phrases.SQL)
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(_table(spark, sf_dir, "documents"))
