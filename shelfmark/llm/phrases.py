@@ -1,7 +1,7 @@
 """Phrase collocations: word sequences that occur far more often than their parts would let expect, by language.
 
-Frequent words get ids, and pieces of text break at all other words, since no frequent phrase holds one. Ids of two or
-three words are packed into a key of fixed width; each task sorts its keys by radix and counts runs of equal ones, so
+Frequent words get ids, from a table of their 64-bit hashes, and pieces of text break at all other words, since no
+frequent phrase holds one. Ids of two or three words are packed into a key of fixed width; each task sorts its keys by radix and counts runs of equal ones, so
 that a common phrase is one row a task. Keys are dealt out by ranges that the words' counts divide evenly, then sorted
 and counted again. All that follows, on phrases that are frequent, are joins and aggregations.
 """
@@ -13,59 +13,49 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import staged, text_buffers
+from ._shared import staged
+from .shingling import mixed, slices, word_hashes
 
 LEAST, COVERED, TOP = 10, 50, 2000
-#: Words that get an id and are sent to every executor, the most frequent first. Phrases of other frequent words are counted by their text.
-MOST_WORDS = 1 << 18
+#: Words that get an id and are sent to every executor as their hashes (32 MB), the most frequent first. Phrases with other frequent words are counted by a shuffle of their hashes.
+MOST_WORDS = 1 << 22
 #: Keys that a task holds until it counts them, and about how many a range has.
 HELD, RANGE = 1 << 22, 1 << 20
 #: Distinct words that a task holds until it passes their counts on.
-HELD_WORDS = 1 << 18
+HELD_WORDS = 1 << 19
 #: Parts of a language whose best phrases are picked apart first.
-PARTS = 64
+PARTS = 16
 UNKNOWN = "und"
 
-#: Small letters, and one separator for all that ends a piece; words are what blanks then separate.
-_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
-
-
-def _tokens(batches):
-    """(language, words) of parts of batches, about two megabytes of text each; pieces are set apart by a line end, and some words are empty."""
-    for batch in batches:
-        data, ends = text_buffers(batch["text"])
-        langs = np.array(batch["lang"].to_pylist(), object)
-        for lang in dict.fromkeys(langs.tolist()):
-            part, size = [], 0
-            for k in np.flatnonzero(langs == lang).tolist():
-                part.append(data[ends[k] : ends[k + 1]].tobytes())
-                size += len(part[-1])
-                if size > 2_000_000:
-                    yield lang, b"\n".join(part).translate(_FOLD).replace(b"\n", b" \n ").split(b" ")
-                    part, size = [], 0
-            if part:
-                yield lang, b"\n".join(part).translate(_FOLD).replace(b"\n", b" \n ").split(b" ")
+#: What separates words, and of it what ends a piece.
+_BREAKS = b".,;:!?\n\x0b\x0c\r"
+_CUTS, _GAPS = (np.isin(np.arange(256), list(x)) for x in (_BREAKS, _BREAKS + b" \t"))
+#: Small letters, and a blank for all that separates words.
+_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _BREAKS + b"\t", b"abcdefghijklmnopqrstuvwxyz" + b" " * (len(_BREAKS) + 1))
 
 
 def _count_words(batches):
+    """(lang, word, n): the words of a task; word is null for all words of a language."""
     held: dict[str, collections.Counter] = {}
 
     def flush():
         for lang, count in held.items():
-            total = sum(count.values())
             words = [w.decode() for w in count]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(words) + 1)), pa.array([*words, None], pa.string()), pa.array([*count.values(), total], pa.int64())], names=["lang", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(words) + 1)), pa.array([*words, None], pa.string()), pa.array([*count.values(), sum(count.values())], pa.int64())], names=["lang", "word", "n"])
         held.clear()
 
-    for lang, words in _tokens(batches):
-        held.setdefault(lang, collections.Counter()).update(words)
-        for none in (b"", b"\n"):
-            held[lang].pop(none, None)
-        if sum(map(len, held.values())) > HELD_WORDS:
-            yield from flush()
+    for batch in batches:
+        langs = batch["lang"].to_pylist()
+        for lo, hi, data, ends in slices(batch, "text"):
+            raw = data.tobytes().translate(_FOLD)
+            for k in range(lo, hi):
+                held.setdefault(langs[k], collections.Counter()).update(raw[ends[k - lo] : ends[k - lo + 1]].split())
+            if sum(map(len, held.values())) > HELD_WORDS:
+                yield from flush()
     yield from flush()
 
 
@@ -89,92 +79,123 @@ def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[first], np.add.reduceat(rest[0], first) if rest and len(first) else np.diff(np.append(first, len(keys)))
 
 
-def _ranges(lang: np.ndarray, n: np.ndarray, width: int, ranges: int) -> np.ndarray:
+def _ranges(n: np.ndarray, width: int, ranges: int) -> np.ndarray:
     """Keys that divide all keys, by their first word's count, into about so many equal ranges; also the keys of one word, by the second's."""
     share = n * (ranges / max(n.sum(), 1))
-    cut = []
-    whole = np.floor(np.cumsum(share))
-    first = np.arange(1, len(n) + 1)
-    cut.append(first[1:][(whole[1:] > whole[:-1]) | (share[1:] >= 1)].astype(np.uint64) << np.uint64(2 * width))
+    whole, first = np.floor(np.cumsum(share)), np.arange(1, len(n) + 1)
+    cut = [first[1:][(whole[1:] > whole[:-1]) | (share[1:] >= 1)].astype(np.uint64) << np.uint64(2 * width)]
+    sums = np.cumsum(n)
     for i in np.flatnonzero(share >= 2).tolist():
-        own = np.flatnonzero(lang == lang[i])
-        at = np.searchsorted(np.cumsum(n[own]), n[own].sum() * np.arange(1, int(share[i]) + 1) / (int(share[i]) + 1))
-        second = (own[np.minimum(at, len(own) - 1)] + 1).astype(np.uint64)
+        parts = int(share[i]) + 1
+        second = np.searchsorted(sums, sums[-1] * np.arange(1, parts) / parts).astype(np.uint64) + np.uint64(1)
         cut.append((np.uint64(i + 1) << np.uint64(2 * width)) | (second << np.uint64(width)))
     return np.unique(np.concatenate(cut))
 
 
-def _phrases(rows: DataFrame, words: DataFrame, least: int, most_words: int) -> DataFrame:
-    """(lang, w1, w2, w3, a): phrases of two (w3 is null) and three words that occur so often; words are (lang, word, n)."""
+def _words(batch: pa.RecordBatch, seed: int):
+    """(hashes of words with their languages, whether a word follows the one before in a piece, bytes, first and last byte) of slices of a batch."""
+    langs = [str(x).encode() for x in batch["lang"].to_pylist()]
+    of = {x: np.uint64(xxhash.xxh64_intdigest(x, seed)) for x in set(langs)}
+    seeds = np.array([of[x] for x in langs], np.uint64)
+    for lo, hi, data, ends in slices(batch, "text"):
+        h, begin, first = word_hashes(data, ends, _GAPS)
+        cuts = np.cumsum(_CUTS[data], dtype=np.int64)
+        follows = np.append(False, cuts[begin[1:]] == cuts[begin[:-1]])[: len(begin)]
+        follows[first[:-1][first[:-1] < len(begin)]] = False
+        yield mixed(h + np.repeat(seeds[lo:hi], np.diff(first))), follows, data, begin
+
+
+def _named(words: DataFrame, seed: int) -> DataFrame:
+    """words (lang, word, n) with the hash that stands for a word of a language."""
+
+    def run(batches):
+        for batch in batches:
+            part = pa.RecordBatch.from_arrays([batch["lang"], batch["word"]], names=["lang", "text"])
+            h = [x[0] for x in _words(part, seed)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0, np.uint64), *h]).view(np.int64))], names=["lang", "word", "n", "h"])
+
+    return words.mapInArrow(run, "lang string, word string, n long, h long")
+
+
+def _phrases(rows: DataFrame, words: DataFrame, least: int, most_words: int) -> tuple[DataFrame, DataFrame]:
+    """(h1, h2, h3, a): phrases of two (h3 is null) and three words that occur so often, by the words' hashes; and words with these."""
     spark = rows.sparkSession
-    many = words.count()
-    listed = words.orderBy(F.desc("n"), "lang", "word").limit(most_words).toPandas()  # at most MOST_WORDS, whatever the input
-    whole, width = many <= most_words, max(1, len(listed).bit_length())
-    lang, n = listed["lang"].to_numpy(), listed["n"].to_numpy().astype(np.int64)
-    table = spark.sparkContext.broadcast((lang.tolist(), listed["word"].tolist()))
-    cuts = _ranges(lang, n, width, int(2 * n.sum() // RANGE) + 1)
-
-    def dictionary() -> dict[str, dict[bytes, int]]:
-        of: dict[str, dict[bytes, int]] = {}
-        for k, (own, word) in enumerate(zip(*table.value), 1):
-            of.setdefault(own, {})[word.encode()] = k
-        return of
+    for seed in itertools.count():
+        named = staged(_named(words, seed), "named")
+        twice = named.groupBy("h").count().where("count > 1")
+        if twice.isEmpty():  # else two words have one hash
+            break
+    many = named.count()
+    top = named.select("h", "n")
+    top = (top if many <= most_words else top.orderBy(F.desc("n"), "h").limit(most_words)).toPandas()  # at most MOST_WORDS, whatever the input
+    h, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    ids = spark.sparkContext.broadcast(h[order])  # a word's id is its place among them
+    width = max(1, len(h).bit_length())
+    cuts = _ranges(n[order], width, int(2 * n.sum() // RANGE) + 1)
+
+    def coded(h: np.ndarray) -> np.ndarray:
+        own, at = np.unique(h, return_inverse=True)
+        place = np.minimum(np.searchsorted(ids.value, own), max(len(ids.value) - 1, 0))
+        return np.where(ids.value[place] == own, place + 1, 0)[at.reshape(-1)] if len(ids.value) else np.zeros(len(h), np.int64)
 
     def pack(batches):
         """(range, keys, counts): what the words of a task come to, in pages."""
-        of, held, size = dictionary(), [], 0
+        held, size = [], 0
 
         def flush():
             keys, counts = counted(np.concatenate(held))
             at = np.concatenate(([0], np.searchsorted(keys, cuts), [len(keys)]))
-            pages = [(k, keys[a:b].tobytes(), counts[a:b].astype(np.int64).tobytes()) for k, (a, b) in enumerate(itertools.pairwise(at.tolist())) if b > a]
+            pages = [(k, keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for k, (a, b) in enumerate(itertools.pairwise(at.tolist())) if b > a]
             held.clear()
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pages], pa.int64()), *(pa.array([p[k] for p in pages], pa.binary()) for k in (1, 2))], names=["range", "keys", "counts"])
 
-        for own, tokens in _tokens(batches):
-            get = of.get(own, {})
-            ids = np.fromiter(map((get | {b"": -1}).get, tokens, itertools.repeat(0)), np.int64, len(tokens)) if get else np.zeros(0, np.int64)
-            ids = ids[ids >= 0].astype(np.uint64)
-            a, b, c = ids[:-1], ids[1:], ids[2:]
-            two = (a > 0) & (b > 0)
-            pair = (a << np.uint64(2 * width)) | (b << np.uint64(width))
-            held += [pair[two], (pair[:-1] | c)[two[:-1] & (c > 0)]]
-            size += len(held[-1]) + len(held[-2])
-            if size > HELD:
-                yield from flush()
-                size = 0
+        for batch in batches:
+            for h, follows, _, _ in _words(batch, seed):
+                word = coded(h).astype(np.uint64)
+                a, b, c = word[:-1], word[1:], word[2:]
+                two = (a > 0) & (b > 0) & follows[1:]
+                pair = (a << np.uint64(2 * width)) | (b << np.uint64(width))
+                held += [pair[two], (pair[:-1] | c)[two[:-1] & (c > 0) & follows[2:]]]
+                size += len(held[-1]) + len(held[-2])
+                if size > HELD:
+                    yield from flush()
+                    size = 0
         if size:
             yield from flush()
 
     def merge(pages: pa.Table) -> pa.Table:
-        keys, counts = (np.frombuffer(b"".join(pages[c].to_pylist()), t) for c, t in (("keys", np.uint64), ("counts", np.int64)))
-        keys, counts = counted(keys, counts)
+        keys, counts = (np.frombuffer(b"".join(pages[c].to_pylist()), t) for c, t in (("keys", np.uint64), ("counts", np.uint32)))
+        keys, counts = counted(keys, counts.astype(np.int64))
         keys, counts = keys[counts >= least], counts[counts >= least]
-        own, word = table.value
         mask = np.uint64((1 << width) - 1)
         one, two, three = ((keys >> np.uint64(s * width) & mask).astype(np.int64) - 1 for s in (2, 1, 0))
-        named = lambda ids: pa.array([word[i] if i >= 0 else None for i in ids.tolist()], pa.string())
-        return pa.table([pa.array([own[i] for i in one.tolist()], pa.string()), named(one), named(two), named(three), pa.array(counts)], names=["lang", "w1", "w2", "w3", "a"])
+        back = lambda ids_: pa.array(ids.value[ids_].view(np.int64), mask=ids_ < 0)
+        return pa.table([back(one), back(two), back(three), pa.array(counts)], names=["h1", "h2", "h3", "a"])
 
-    schema = "lang string, w1 string, w2 string, w3 string, a long"
+    schema = "h1 long, h2 long, h3 long, a long"
     found = rows.mapInArrow(pack, "range long, keys binary, counts binary").groupBy("range").applyInArrow(merge, schema)
-    if whole:
-        return found
+    if many <= most_words:
+        return found, named
 
     def others(batches):
-        """Phrases with a word that has no id, as text."""
-        of = dictionary()
-        for own, tokens in _tokens(batches):
-            get, tokens = of.get(own, {}), [t for t in tokens if t]
-            known = [t in get for t in tokens]
-            count: collections.Counter = collections.Counter()
-            for size in (2, 3):
-                count.update(tuple(tokens[k : k + size]) for k in range(len(tokens) - size + 1) if not all(known[k : k + size]) and b"\n" not in tokens[k : k + size])
-            names = [[w.decode() for w in p] + [None] * (3 - len(p)) for p in count]
-            yield pa.RecordBatch.from_arrays([pa.array([own] * len(names), pa.string()), *(pa.array([x[k] for x in names], pa.string()) for k in range(3)), pa.array(list(count.values()), pa.int64())], names=["lang", "w1", "w2", "w3", "a"])
-
-    rest = rows.mapInArrow(others, schema).groupBy("lang", "w1", "w2", "w3").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
-    return found.unionByName(rest)
+        """Phrases with a word that has no id, by hashes."""
+        for batch in batches:
+            for h, follows, _, _ in _words(batch, seed):
+                none, signed, rows_ = coded(h) == 0, h.view(np.int64), []
+                for size in (2, 3):
+                    at = np.arange(max(len(h) - size + 1, 0))
+                    whole = np.logical_and.reduce([follows[at + k] for k in range(1, size)]) if len(at) else np.zeros(0, bool)
+                    some = np.logical_or.reduce([none[at + k] for k in range(size)]) if len(at) else np.zeros(0, bool)
+                    at = at[whole & some]
+                    rows_.append([pa.array(signed[at + k]) if k < size else pa.nulls(len(at), pa.int64()) for k in range(3)])
+                yield from (pa.RecordBatch.from_arrays(r, names=["h1", "h2", "h3"]) for r in rows_)
+
+    known = lambda df, k: df.join(named.select(F.col("h").alias(k)), k, "left_semi")
+    rest = staged(known(known(rows.mapInArrow(others, "h1 long, h2 long, h3 long"), "h1"), "h2"), "others")  # other words are in no frequent phrase
+    rest = rest.where("h3 is null").unionByName(known(rest.where("h3 is not null"), "h3"))
+    rest = rest.groupBy("h1", "h2", "h3").agg(F.count("*").alias("a")).where(F.col("a") >= least)
+    return found.unionByName(rest.select("h1", "h2", "h3", "a")), named
 
 
 def _score(a: str, left: str, right: str) -> Column:
@@ -197,17 +218,19 @@ def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = L
     words = rows.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = staged(words.where((F.col("n") >= least) | F.col("word").isNull()), "words")
     total, words = words.where("word is null").select("lang", "n"), words.where("word is not null")
-    found = staged(_phrases(rows, words, least, most_words), "phrases")
-
-    two, three = found.where("w3 is null").drop("w3"), found.where("w3 is not null")
-    one = lambda w, f: words.select("lang", F.col("word").alias(w), F.col("n").alias(f))
-    pair = lambda x, y, f: two.select("lang", F.col("w1").alias(x), F.col("w2").alias(y), F.col("a").alias(f))
-    over = three.select("lang", "w1", "w2", "a").union(three.select("lang", "w2", "w3", "a")).groupBy("lang", "w1", "w2").agg(F.max("a").alias("over"))
-    kept = two.join(over, ["lang", "w1", "w2"], "left").where(F.col("over").isNull() | (100 * F.col("over") < covered * F.col("a")))
-    kept = kept.join(one("w1", "l"), ["lang", "w1"]).join(one("w2", "r"), ["lang", "w2"])
-    kept = kept.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a", "l", "r", _score("a", "l", "r").alias("score"))
-    cut = three.join(one("w1", "l1"), ["lang", "w1"]).join(pair("w2", "w3", "r1"), ["lang", "w2", "w3"])
-    cut = cut.join(pair("w1", "w2", "l2"), ["lang", "w1", "w2"]).join(one("w3", "r2"), ["lang", "w3"])
+    found, named = _phrases(rows, words, least, most_words)
+    found = staged(found, "phrases")
+
+    two, three = found.where("h3 is null").drop("h3"), found.where("h3 is not null")
+    word = lambda k, f: named.select(F.col("h").alias(f"h{k}"), F.col("word").alias(f"w{k}"), F.col("n").alias(f))
+    pair = lambda x, y, f: two.select(F.col("h1").alias(x), F.col("h2").alias(y), F.col("a").alias(f))
+    over = three.select("h1", "h2", "a").union(three.select("h2", "h3", "a")).groupBy("h1", "h2").agg(F.max("a").alias("over"))
+    kept = two.join(over, ["h1", "h2"], "left").where(F.col("over").isNull() | (100 * F.col("over") < covered * F.col("a")))
+    first_word = named.select(F.col("h").alias("h1"), "lang", F.col("word").alias("w1"), F.col("n").alias("l1"))
+    kept = kept.join(first_word, "h1").join(word(2, "r"), "h2")
+    kept = kept.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a", F.col("l1").alias("l"), "r", _score("a", "l1", "r").alias("score"))
+    cut = three.join(first_word, "h1").join(pair("h2", "h3", "r1"), ["h2", "h3"])
+    cut = cut.join(pair("h1", "h2", "l2"), ["h1", "h2"]).join(word(3, "r2"), "h3").join(word(2, "n2"), "h2")
     cut = cut.withColumn("s1", _score("a", "l1", "r1")).withColumn("s2", _score("a", "l2", "r2"))
     first = F.col("s1") <= F.col("s2")
     pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
