@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .filters import having, lacking
+from .tree import climb
 
 
 def presets(grants: DataFrame) -> DataFrame:
@@ -32,15 +33,26 @@ def with_preset(grants: DataFrame, objects: DataFrame, preset: str, role: str =
     return kept.unionByName(added)
 
 
-def indexable(items: DataFrame, collections: DataFrame, creators: DataFrame, default: str = "no") -> DataFrame:
-    """(id, indexable): an item's own value, else its collection's, else its creator's, else the default.
+def indexable(items: DataFrame, creators: DataFrame, default: str = "no") -> DataFrame:
+    """(id, indexable): an item's own value, else its creator's, else the default. Its collection does not count.
 
-    collections hold their own resolved value (id, indexable); an unset one is passed over.
+    Items have id, creator_id and indexable, creators id and indexable; an unset value is null or ``inherit``.
     """
-    c = collections.select(F.col("id").alias("collection_id"), F.col("indexable").alias("_c"))
-    k = creators.select(F.col("id").alias("creator_id"), F.col("indexable").alias("_k"))
-    joined = items.join(c, "collection_id", "left").join(k, "creator_id", "left")
-    return joined.select("id", F.coalesce("indexable", "_c", "_k", F.lit(default)).alias("indexable"))
+    own = F.nullif("indexable", F.lit("inherit"))
+    k = creators.select(F.col("id").alias("creator_id"), own.alias("_k"))
+    return items.join(k, "creator_id", "left").select("id", F.coalesce(own, "_k", F.lit(default)).alias("indexable"))
+
+
+def collections_indexable(collections: DataFrame, creators: DataFrame, default: str = "no") -> DataFrame:
+    """(id, indexable): a collection's own value, else that of the nearest collection above with one.
+
+    Where none has, the topmost collection's creator decides, then the default, which is also what a loop of collections
+    comes to. Collections have id, parent_id, creator_id and indexable.
+    """
+    own = F.nullif("indexable", F.lit("inherit"))
+    way = climb(collections, "id", "parent_id", own.isNotNull())
+    top = indexable(collections, creators, default).select(F.col("id").alias("at"), "indexable")
+    return way.join(top, "at", "left").select("id", F.coalesce("indexable", F.lit(default)).alias("indexable"))
 
 
 def searchable(items: DataFrame, actors: DataFrame) -> DataFrame:

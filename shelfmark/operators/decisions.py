@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from .naming import free_names
 
 
 #: The bonus for telling names, the penalties for junk names and for a level of depth, and the cap of the size.
@@ -53,17 +54,20 @@ def organise(folders: DataFrame, categories: list[str], junk: str = "misc|temp|u
 
 
 def move_plan(decided: DataFrame, taken: DataFrame, threshold: float, key: str = "id") -> DataFrame:
-    """Decided moves and renames with their destination and status; taken has a column target.
+    """(key, action, destination, status) of each decision (action, category, target, confidence; current, where there is such a column).
 
-    Destinations that meet each other or a taken one get a number: the rank among equals, after the taken one.
+    Moves and renames of enough confidence get the first of their target, ``target (2)``, ``target (3)`` ... that neither a
+    folder (taken, column target) nor a decision with a smaller key has; others are ``low_confidence`` and have no destination. A target that is
+    where the folder is already is ``no_move_needed``, also an action that is no move, which then reads ``keep``.
     """
-    wanted = decided.where(F.col("action").isin("move", "rename"))
-    held = taken.select(F.lower("target").alias("_t")).distinct().withColumn("_held", F.lit(1))
-    rank = F.row_number().over(Window.partitionBy(F.lower("target")).orderBy(key))
-    joined = wanted.join(held, F.lower("target") == F.col("_t"), "left").withColumn("_n", rank + F.coalesce("_held", F.lit(0)))
-    out = F.when(F.col("_n") == 1, F.col("target")).otherwise(F.concat("target", F.lit(" ("), F.col("_n").cast("string"), F.lit(")")))
-    status = F.when(F.coalesce("confidence", F.lit(0.0)) >= threshold, "planned").otherwise("low_confidence")
-    return joined.select(key, "action", out.alias("destination"), status.alias("status"))
+    moves = F.col("action").isin("move", "rename")
+    stays = F.col("current").eqNullSafe(F.col("target")) if "current" in decided.columns else F.lit(False)
+    status = F.when(~moves | stays, "no_move_needed").when(F.coalesce("confidence", F.lit(0.0)) < threshold, "low_confidence").otherwise("planned")
+    judged = decided.select(key, "action", "target", status.alias("status"))
+    named = free_names(judged.where("status = 'planned'"), taken.select("target"), [], "target", key, "destination")
+    rest = judged.where("status <> 'planned'").withColumn("destination", F.lit(None).cast("string"))
+    action = F.when(F.col("status") == "no_move_needed", "keep").otherwise(F.col("action"))
+    return named.unionByName(rest).select(key, action.alias("action"), "destination", "status")
 
 
 def cross_source(packs: DataFrame, prefer: str, share: float = 0.95) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_copy_name, name_key, original_name
+from ..functions.text import is_copy_name, merge_prefix, name_key, original_name, trim_slashes
+from ..staging import staged
+from .tree import climb
 
 #: The shared files that count as evidence, the confidence from which a plan is applied, and what evidence alone is worth.
 LEAST_OVERLAP = 3
@@ -81,19 +83,68 @@ def decide(pairs: DataFrame, previews: Column, verdict: Column, confidence: Colu
     return out.withColumn("approved", (F.col("decision") == "merge") & (F.col("confidence") >= threshold))
 
 
-def merge_plan(files: DataFrame, merges: DataFrame) -> DataFrame:
-    """(source, target, file_id, action, new_name): what becomes of each source file.
+def merge_targets(merges: DataFrame) -> DataFrame:
+    """(source, target, at, status): merges in their order, with the item that each source ends up in.
 
-    files has id, item, name and digest; merges source and target. A file that the target has under the same name
-    and digest is dropped, one with another digest is renamed by it, others are adopted.
+    merges has source, target and at, a number that orders them. A target that is merged itself passes its sources on,
+    along chains of any length; sources that are merged twice go with their first merge (status ``again`` for the others),
+    and those that end in a loop stay (``loop``, without a target).
     """
-    moving = merges.join(files.withColumnRenamed("item", "source"), "source")
-    held = files.select(F.col("item").alias("target"), F.col("name").alias("_name"), F.col("digest").alias("_digest"))
-    joined = moving.join(held, (moving.target == held.target) & (F.lower("name") == F.lower("_name")), "left").drop(held.target)
-    action = F.when(F.col("_name").isNull(), "adopt").when(F.col("digest") == F.col("_digest"), "drop").otherwise("rename")
-    stem, ext = F.regexp_replace("name", r"\.[^.]*$", ""), F.regexp_extract("name", r"(\.[^.]*)$", 1)
-    renamed = F.concat(stem, F.lit("-"), F.substring(F.coalesce("digest", F.md5(F.col("id").cast("string").cast("binary"))), 1, 8), ext)
-    return joined.select("source", "target", F.col("id").alias("file_id"), action.alias("action"), F.when(action == "rename", renamed).when(action == "adopt", F.col("name")).alias("new_name"))
+    first = merges.groupBy("source").agg(F.min(F.struct("at", "target")).alias("m"))
+    edges = staged(first.select("source", F.col("m.target").alias("target"), F.col("m.at").alias("at")).where("source <> target"), "merges")
+    ends = edges.select("target").join(edges.select(F.col("source").alias("target")), "target", "left_anti").distinct()
+    nodes = edges.select(F.col("source").alias("id"), F.col("target").alias("up")).unionByName(ends.select(F.col("target").alias("id"), F.lit(None).cast(edges.schema["target"].dataType).alias("up")))
+    way = climb(nodes, "id", "up", F.lit(False)).select(F.col("id").alias("source"), F.col("at").alias("_end"))
+    used = edges.join(way, "source").select("source", F.col("at").alias("_first"), "_end")
+    joined = merges.join(used, "source", "left")
+    status = F.when(F.col("source") == F.col("target"), "loop").when(F.col("at") > F.col("_first"), "again").when(F.col("_end").isNull(), "loop").otherwise("merge")
+    return joined.select("source", F.when(status == "merge", F.col("_end")).alias("target"), "at", status.alias("status"))
+
+
+def merge_plan(files: DataFrame, merges: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """(source, target, at, file_id, action, new_name, same_as): what becomes of each source file.
+
+    files has id, item, name and digest; merges source, target and at (else the source's key), as merge_targets() resolves them. With items (id,
+    path, library_id), names get the prefix of the source's folder as seen from the target's. Merges happen in their
+    order, and a source's files in that of their ids. A file whose name the target has by then, its own or from an earlier
+    source, is dropped if the first of that name has its digest (same_as is that file), else renamed to its bare name
+    with ``_`` and its digest (of files without one, a digest of the id), which is not tested again; others are adopted.
+
+    Each name's first holder is an aggregate, so no name's files lie in one task. Renamed files can hold names
+    that others ask for, which are longer than those that they asked for themselves; so rounds go on until none changes.
+    """
+    if "at" not in merges.columns:  # then in the order of the sources
+        merges = merges.withColumn("at", F.col("source"))
+    planned = merges.join(files.select(F.col("item").alias("source"), F.col("id").alias("file_id"), "name", "digest"), "source")
+    if items is not None:
+        own = lambda k: items.select(F.col("id").alias(k), F.col("path").alias(f"_{k}"), F.col("library_id").alias(f"_{k}_library"))
+        prefix = merge_prefix(F.col("_target"), F.col("_source"), F.col("_source_library") == F.col("_target_library"))
+        planned = planned.join(own("source"), "source", "left").join(own("target"), "target", "left")
+        planned = planned.withColumn("name", F.when(prefix.isNull() | (prefix == "."), F.col("name")).otherwise(F.concat_ws("/", prefix, "name")))
+    order = F.struct("at", "source", "file_id")
+    asked = staged(planned.select("source", "target", "at", "file_id", "name", "digest", order.alias("order")), "asked")
+    nothing = F.lit(None).cast(asked.schema["order"].dataType)
+    targets = asked.select("target").distinct()
+    held = files.select(F.col("item").alias("target"), "name", "digest", F.col("id").alias("file_id")).join(targets, "target", "left_semi").withColumn("order", nothing)
+    comes = asked.select("target", "name", "digest", "file_id", "order")
+    bare = F.regexp_extract("name", r"([^/]*)$", 1)
+    stem, ending = F.regexp_replace(bare, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(bare, r"(?<=.)(\.[^.]*)$", 1)
+    mark = F.coalesce(F.nullif("digest", F.lit("")), F.substring(F.md5(F.col("file_id").cast("string").cast("binary")), 1, 12))
+    renamed, before = comes.limit(0), (-1, None)
+    while True:
+        # Of one name, the target's own file comes first, since it has no order; then the earliest.
+        all_ = held.unionByName(comes).unionByName(renamed)
+        holder = all_.groupBy("target", "name").agg(F.min(F.struct("order", "file_id", "digest")).alias("first"))
+        met = asked.join(holder, ["target", "name"]).withColumn("mine", F.coalesce(F.col("first.order") == F.col("order"), F.lit(False)) & (F.col("first.file_id") == F.col("file_id")))
+        same = F.coalesce((F.col("digest") == F.col("first.digest")) & (F.col("digest") != ""), F.lit(False))
+        action = F.when(F.col("mine"), "adopt").when(same, "drop").otherwise("rename")
+        new_name = F.when(action == "adopt", F.col("name")).when(action == "rename", F.concat(stem, F.lit("_"), mark, ending))
+        plan = staged(met.select("source", "target", "at", "file_id", action.alias("action"), new_name.alias("new_name"), F.when(action == "drop", F.col("first.file_id")).alias("same_as"), "digest", "order"), "plan")
+        renamed = plan.where("action = 'rename'").select("target", F.col("new_name").alias("name"), "digest", "file_id", "order")
+        now = tuple(renamed.agg(F.count("*"), F.sum(F.xxhash64("target", "name", "file_id").cast("decimal(38,0)"))).first())
+        if now == before or now[0] == 0:
+            return plan.drop("digest", "order")
+        before = now
 
 
 def history(plan: DataFrame) -> DataFrame:
@@ -103,12 +154,23 @@ def history(plan: DataFrame) -> DataFrame:
 
 def unmerge_plan(histories: DataFrame, now: Column, days: int = 30) -> DataFrame:
     """(source, target, file_id, action): dropped files are made again, others moved back; for merges that are not
-    undone and no older than so many days."""
+    undone, no older than so many days, and whose library (source_library_id, where there is such a column) still exists."""
     open_ = histories.where(F.col("undone_at").isNull() & (F.col("merged_at") >= now - F.make_interval(days=F.lit(days))))
+    if "source_library_id" in histories.columns:
+        open_ = open_.where("source_library_id is not null")
     files = open_.select("source", "target", F.explode("moved").alias("m"))
     return files.select("source", "target", F.col("m.file_id").alias("file_id"), F.when(F.col("m.action") == "drop", "create").otherwise("move").alias("action"))
 
 
+def unmerged_paths(histories: DataFrame, items: DataFrame) -> DataFrame:
+    """histories (id, source_library_id, source_path) with the path that the item made again gets: its old one, without
+    slashes at its ends, and with ``--unmerged-`` and the history's id if an item (library_id, path) has it by now."""
+    path = trim_slashes(F.col("source_path"))
+    taken = items.select(F.col("library_id").alias("source_library_id"), F.col("path").alias("_path"), F.lit(True).alias("_taken")).distinct()
+    joined = histories.withColumn("_path", path).join(taken, ["source_library_id", "_path"], "left")
+    return joined.withColumn("new_path", F.when(F.col("_taken"), F.concat("_path", F.lit("--unmerged-"), F.col("id").cast("string"))).otherwise(F.col("_path"))).drop("_path", "_taken")
+
+
 def apply_status(plan: DataFrame, paths: DataFrame, least: float = LEAST_CONFIDENCE) -> DataFrame:
     """plan (path_a, path_b, confidence) with a status: low_confidence, unknown_path or apply."""
     a, b = paths.select(F.col("path").alias("path_a"), F.lit(True).alias("_a")), paths.select(F.col("path").alias("path_b"), F.lit(True).alias("_b"))
@@ -150,8 +212,10 @@ def copy_passes(files: DataFrame, least: int = 1024) -> DataFrame:
 
 
 def keep_oldest(files: DataFrame, group: list[str], by: list[Column]) -> DataFrame:
-    """files with keep: true for the first of each group, by an order that ends in a key."""
-    return files.withColumn("keep", F.row_number().over(Window.partitionBy(*group).orderBy(*by)) == 1)
+    """files with keep: true for the first of each group, by an order (ascending) that ends in a key. Found by an aggregation, so that a large group is never sorted."""
+    aged = files.withColumn("_age", F.struct(*[c.alias(f"c{k}") for k, c in enumerate(by)])).withColumn("_group", F.struct(*group))
+    first = aged.groupBy("_group").agg(F.min("_age").alias("_first"))
+    return aged.join(first, "_group").withColumn("keep", F.col("_age") == F.col("_first")).drop("_age", "_group", "_first")
 
 
 def fill_blanks(own: DataFrame, other: DataFrame, key: str, columns: list[str], force: bool = False) -> DataFrame:

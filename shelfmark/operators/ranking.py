@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import collections
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import extension
+from ..staging import staged
 from .filters import file_class
 
 
@@ -21,31 +25,66 @@ def best(df: DataFrame, group: list[str], score: list[str], value: list[str]) ->
     return df.groupBy(*group).agg(top).select(*group, *[F.col(f"_top.{c}").alias(c) for c in [*score, *value]])
 
 
-def unique_names(df: DataFrame, group: list[str], name: str, key: str, out: str = "unique_name") -> DataFrame:
-    """name, with `` (2)``, `` (3)`` ... for all but the first of equal names in a group, whatever their case."""
-    k = F.row_number().over(Window.partitionBy(*group, F.lower(name)).orderBy(key))
-    return df.withColumn(out, F.when(k == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), k.cast("string"), F.lit(")"))))
-
-
 def preview_priority(filename: Column, preferred: str = "preview") -> Column:
     """0 for an image of the preferred name, 10 for other images, 50 for meshes, 100 for the rest."""
     kind = file_class(extension(filename))
     return F.when((kind == "image") & F.lower(filename).startswith(preferred), 0).when(kind == "image", 10).when(kind == "mesh", 50).otherwise(100)
 
 
-def prefix_sections(df: DataFrame, group: str, name: str, least_length: int = 3) -> DataFrame:
-    """(group, name, section): names of a group under the longest prefix that enough of them share, else null.
+#: Names that begin alike, of one group, up to which they are put into sections in one task; more go round by round.
+SECTION_ROWS = 200_000
+
+
+def _greedy(names: pd.DataFrame, longest: int, shortest: int, enough: int) -> list[str | None]:
+    """The section of each of a table of lower-cased names, from the longest prefix down."""
+    low, found = names["low"].tolist(), [None] * len(names)
+    left = sorted(range(len(low)), key=low.__getitem__)
+    for n in range(min(longest - 1, max(map(len, low))), shortest - 1, -1):
+        many = collections.Counter(low[k][:n] for k in left)
+        for prefix in (p for p, c in many.items() if c >= enough):
+            for k in left:
+                if low[k].startswith(prefix):
+                    found[k] = prefix
+            left = [k for k in left if found[k] is None]
+    return found
+
+
+def prefix_sections(df: DataFrame, group: str, name: str, least_length: int = 3, share: float = 0.05, most: int = SECTION_ROWS) -> DataFrame:
+    """(group, name, section) of each row: the section that its name falls into, lower-cased, or null.
 
-    Enough is two, and a twentieth of the group. Prefixes are counted by one aggregation over exploded prefixes.
+    Prefixes are looked at from the longest down; one that enough names have, that are in no section yet, takes them all.
+    Enough is two, and that share of the group's rows, rounded. Prefixes are as long as the longest name but one letter at
+    most, and have least_length letters at least; shorter names are one whole, as equal ones make a section. So names that
+    begin differently within least_length letters have nothing to do with each other and are told apart in tasks of their
+    own. Where over most names of a group begin alike, each length is a round of aggregations instead. Null names
+    and names under least_length letters have no section.
     """
-    rows = df.select(group, name)
-    prefixes = rows.select(group, name, F.explode(F.transform(F.sequence(F.lit(least_length), F.greatest(F.length(name), F.lit(least_length))), lambda n: F.substr(F.col(name), F.lit(1), n))).alias("section"))
-    prefixes = prefixes.where(F.length("section") >= least_length)
-    many = prefixes.groupBy(group, "section").agg(F.count_distinct(name).alias("n"))
-    sizes = rows.groupBy(group).agg(F.count("*").alias("rows"))
-    enough = many.join(sizes, group).where(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("rows") * 0.05))).select(group, "section")
-    longest = prefixes.join(enough, [group, "section"]).groupBy(group, name).agg(F.max_by("section", F.length("section")).alias("section"))
-    return rows.join(longest, [group, name], "left")
+    rows = df.select(F.col(group).alias("g"), F.col(name).alias("name"), F.lower(name).alias("low"))
+    sizes = rows.groupBy("g").agg(F.greatest(F.lit(2), F.round(F.count("*") * share).cast("int")).alias("enough"), F.max(F.length("low")).alias("longest"))
+    units = rows.where(F.length("low") >= least_length).groupBy("g", "low").agg(F.count("*").alias("n"))
+    begin = F.substring("low", 1, least_length)
+    units = staged(units.withColumn("begin", begin).join(sizes, "g"), "names")
+    many = units.groupBy("g", "begin").agg(F.sum("n").alias("rows"))
+    large = many.where(F.col("rows") > most).select("g", "begin")
+    small = units.join(many.where(F.col("rows") <= most).select("g", "begin"), ["g", "begin"], "left_semi")
+
+    def sections(names: pd.DataFrame) -> pd.DataFrame:
+        each = names.loc[names.index.repeat(names["n"])]
+        found = _greedy(each, int(names["longest"].iloc[0]), least_length, int(names["enough"].iloc[0]))
+        return pd.DataFrame({"g": each["g"], "low": each["low"], "section": found}).drop_duplicates("low").dropna()
+
+    g = units.schema["g"].dataType.simpleString()
+    out = small.groupBy("g", "begin").applyInPandas(sections, f"g {g}, low string, section string")
+    left = staged(units.join(large, ["g", "begin"], "left_semi"), "left")
+    for n in range((left.agg(F.max("longest")).first()[0] or 0) - 1, least_length - 1, -1):
+        at = left.where(F.lit(n) < F.col("longest")).withColumn("section", F.substring("low", 1, n))
+        ready = at.groupBy("g", "section").agg(F.sum("n").alias("have"), F.first("enough").alias("enough")).where("have >= enough").select("g", "section")
+        taken = staged(at.join(ready, ["g", "section"]).select("g", "low", "section"), "taken")
+        if taken.isEmpty():
+            continue
+        out = out.unionByName(taken)
+        left = staged(left.join(taken.select("g", "low"), ["g", "low"], "left_anti"), "left")
+    return rows.join(out, ["g", "low"], "left").select(F.col("g").alias(group), F.col("name").alias(name), "section")
 
 
 def healed_previews(items: DataFrame, files: DataFrame) -> DataFrame:

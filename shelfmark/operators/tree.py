@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
@@ -26,6 +26,32 @@ def below(nodes: DataFrame, roots: DataFrame, key: str, parent: str) -> DataFram
     return known
 
 
+def climb(nodes: DataFrame, key: str, parent: str, stop: Column) -> DataFrame:
+    """(key, at): for each node the nearest one on its way up, itself included, where stop holds or the way ends.
+
+    Ways are halved in each round, as every node takes over what the node that it has come to has come to, so a chain of
+    a thousand takes ten rounds. A parent that is no node ends the way at its child. Nodes whose way runs into a loop have
+    null. Keys are unique and not null; a null stop counts as false.
+    """
+    own = staged(nodes.select(F.col(key).alias("key"), F.col(parent).alias("up"), F.coalesce(stop, F.lit(False)).alias("stop")), "nodes")
+    there = own.select(F.col("key").alias("up"), F.lit(True).alias("there"))
+    ends = F.col("stop") | F.col("there").isNull()
+    begun = own.join(there, "up", "left").select("key", F.when(ends, F.col("key")).otherwise(F.col("up")).alias("at"), ends.alias("ended"))
+    begun = staged(begun, "ways")
+    open_, done = begun.where("not ended"), begun.where("ended").select("key", "at")
+    known = begun
+    for _ in range(max(begun.count(), 1).bit_length() + 1):
+        if open_.isEmpty():
+            break
+        over = known.select(F.col("key").alias("at"), F.col("at").alias("_to"), F.col("ended").alias("_ended"))
+        stepped = staged(open_.join(over, "at").select("key", F.col("_to").alias("at"), F.col("_ended").alias("ended")), "ways")
+        done = done.unionByName(stepped.where("ended").select("key", "at"))
+        open_ = stepped.where("not ended")
+        known = done.withColumn("ended", F.lit(True)).unionByName(open_)
+    found = done.unionByName(open_.select("key", F.lit(None).cast(own.schema["key"].dataType).alias("at")))
+    return found.select(F.col("key").alias(key), "at")
+
+
 def under_roots(nodes: DataFrame, wanted: DataFrame, key: str, parent: str) -> DataFrame:
     """The wanted nodes that hang off a root, at any depth."""
     roots = nodes.where(F.col(parent).isNull())

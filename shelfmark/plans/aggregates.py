@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import detectors, merging, ranking
+from ..operators import detectors, merging, naming, ranking
 from .registry import query, table
 
 
@@ -108,10 +108,38 @@ def top_three_per_group(spark, d):
     return ranking.first(table(spark, d, "customer"), ["c_nationkey"], [F.desc("c_acctbal"), F.col("c_custkey")], 3).select("c_nationkey", "c_custkey", "c_acctbal")
 
 
-@query("""SELECT p_partkey, CASE WHEN k = 1 THEN p_name ELSE p_name || ' (' || k || ')' END AS unique_name
-FROM (SELECT *, row_number() OVER (PARTITION BY p_type, lower(p_name) ORDER BY p_partkey) AS k FROM part)""")
+def _free(claims: str, taken: str) -> str:
+    """SQL that names the claims (g, i, id, name, before, after, add) of each group one after another, by the names that it has so far."""
+    return f"""WITH RECURSIVE c AS ({claims}), t AS (SELECT g, list(DISTINCT name) AS have FROM ({taken}) GROUP BY 1),
+r AS (SELECT c.g, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS got, coalesce(any_value(t.have), CAST([] AS VARCHAR[])) AS have FROM c LEFT JOIN t ON t.g = c.g GROUP BY c.g
+ UNION ALL SELECT g, i, id, got, list_append(have, got) FROM (SELECT c.g, c.i, c.id, r.have,
+  list_filter(list_transform(range(1, len(have) + 2), lambda k: CASE WHEN k = 1 THEN stem || ending ELSE stem || before || (k + add) || after || ending END), lambda x: NOT list_contains(have, x))[1] AS got
+  FROM r JOIN c ON c.g = r.g AND c.i = r.i + 1))"""
+
+
+_CLAIMS = """SELECT p_type AS g, p_partkey AS id, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS i, ' (' AS before, ')' AS after, 0 AS add, '' AS ending,
+ p_name || CASE WHEN p_size % 7 = 0 THEN ' (2)' WHEN p_size % 11 = 0 THEN ' (3)' WHEN p_size = 1 THEN ' (2) (2)' ELSE '' END AS stem FROM part"""
+
+
+@query(_free(_CLAIMS, "SELECT p_type AS g, p_name || ' (4)' AS name FROM part WHERE p_size % 13 = 0 UNION ALL SELECT p_type, p_name FROM part WHERE p_size = 50") + " SELECT id AS p_partkey, got AS unique_name FROM r WHERE id IS NOT NULL")
 def unique_destination_names(spark, d):
-    return ranking.unique_names(table(spark, d, "part"), ["p_type"], "p_name", "p_partkey").select("p_partkey", "unique_name")
+    """Names until free, with names that are taken, claims of numbered names, and chains of these."""
+    size, part = F.col("p_size"), table(spark, d, "part")
+    mark = F.when(size % 7 == 0, " (2)").when(size % 11 == 0, " (3)").when(size == 1, " (2) (2)").otherwise("")
+    claims = part.select("p_partkey", "p_type", F.concat("p_name", mark).alias("name"))
+    taken = part.where("p_size % 13 = 0").select("p_type", F.concat("p_name", F.lit(" (4)")).alias("name")).union(part.where("p_size = 50").select("p_type", "p_name"))
+    return naming.free_names(claims, taken, ["p_type"], "name", "p_partkey", "unique_name").select("p_partkey", "unique_name")
+
+
+@query(_free("SELECT p_type AS g, p_partkey AS id, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS i, '-' AS before, '' AS after, -1 AS add, '.3mf' AS ending, p_name || CASE WHEN p_size % 7 = 0 THEN '-1' ELSE '' END AS stem FROM part",
+             "SELECT p_type AS g, p_name || '-2.3mf' AS name FROM part WHERE p_size % 13 = 0") + " SELECT id AS p_partkey, got AS filename FROM r WHERE id IS NOT NULL")
+def converted_filenames(spark, d):
+    """Names of converted files: a number before the ending where one of that name is there."""
+    part = table(spark, d, "part")
+    claims = part.select("p_partkey", "p_type", F.concat("p_name", F.when(F.col("p_size") % 7 == 0, "-1").otherwise(""), F.lit(".3mf")).alias("name"))
+    taken = part.where("p_size % 13 = 0").select("p_type", F.concat("p_name", F.lit("-2.3mf")).alias("name"))
+    style = naming.Numbering("-", "", 1, keep_ending=True)
+    return naming.free_names(claims, taken, ["p_type"], "name", "p_partkey", "filename", style).select("p_partkey", "filename")
 
 
 @query("""SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1 AS keep FROM documents""")

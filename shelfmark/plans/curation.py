@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import access, decisions
+from .aggregates import _free
 from .registry import query, table
 
 
@@ -31,13 +32,30 @@ def permission_preset_applied(spark, d):
     return access.presets(access.with_preset(_grants(spark, d), some, "public")).groupBy("preset").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT c_custkey AS id, coalesce(CASE WHEN c_acctbal < 0 THEN 'no' END, CASE WHEN n_name < 'J' THEN 'yes' END, CASE c_mktsegment WHEN 'BUILDING' THEN 'yes' WHEN 'MACHINERY' THEN 'no' END, 'no') AS indexable
-FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+_CREATORS = "k AS (SELECT n_nationkey AS id, CASE WHEN n_name < 'J' THEN 'yes' WHEN n_name < 'S' THEN 'no' END AS v FROM nation)"
+
+
+def _creators(spark, d):
+    name = F.col("n_name")
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.when(name < "J", "yes").when(name < "S", "no").otherwise("inherit").alias("indexable"))
+
+
+@query(f"""WITH {_CREATORS} SELECT c_custkey AS id, coalesce(CASE WHEN c_acctbal < 0 THEN 'no' END, k.v, 'yes') AS indexable FROM customer LEFT JOIN k ON k.id = c_nationkey""")
 def effective_indexability(spark, d):
-    items = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("collection_id"), F.col("c_mktsegment").alias("creator_id"), F.when(F.col("c_acctbal") < 0, "no").alias("indexable"))
-    collections = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_name") < "J", "yes").alias("indexable"))
-    creators = spark.createDataFrame([("BUILDING", "yes"), ("MACHINERY", "no")], "id string, indexable string")
-    return access.indexable(items, collections, creators)
+    """Of items, whose collections do not count."""
+    items = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("creator_id"), F.when(F.col("c_acctbal") < 0, "no").alias("indexable"))
+    return access.indexable(items, _creators(spark, d), "yes")
+
+
+@query(f"""WITH RECURSIVE {_CREATORS}, c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 1000 > 0 THEN o_orderkey - 1 END AS parent, o_orderkey // 1000 % 25 AS creator,
+ CASE WHEN o_custkey % 97 = 0 THEN 'yes' WHEN o_custkey % 89 = 0 THEN 'no' END AS own FROM orders),
+e AS (SELECT c.id, coalesce(own, v, 'no') AS indexable FROM c LEFT JOIN k ON k.id = creator WHERE parent IS NULL UNION ALL SELECT c.id, coalesce(own, e.indexable) FROM e JOIN c ON c.parent = e.id) SELECT id, indexable FROM e""")
+def collections_indexability(spark, d):
+    """Of collections in chains of a thousand, each in the one before."""
+    k, cust = F.col("o_orderkey"), F.col("o_custkey")
+    own = F.when(cust % 97 == 0, "yes").when(cust % 89 == 0, "no")
+    collections = table(spark, d, "orders").select(k.alias("id"), F.when(k % 1000 > 0, k - 1).alias("parent_id"), (F.floor(k / 1000) % 25).alias("creator_id"), own.alias("indexable"))
+    return access.collections_indexable(collections, _creators(spark, d))
 
 
 @query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 2 = 0 OR (o_custkey % 3 = 0 AND o_orderstatus = 'F')""")
@@ -146,16 +164,20 @@ def without_sensitive(spark, d):
     return access.without_sensitive(items, "hide").select("c_custkey")
 
 
-@query("""WITH w AS (SELECT p_partkey AS id, CASE WHEN p_size < 20 THEN 'move' WHEN p_size < 40 THEN 'rename' ELSE 'keep' END AS action, p_type || '/' || p_name AS target, p_size / 50.0 AS c FROM part),
-h AS (SELECT lower('promo/' || p_name) AS t, 1 AS held FROM part GROUP BY 1),
-n AS (SELECT id, action, target, c, row_number() OVER (PARTITION BY lower(target) ORDER BY id) + coalesce(held, 0) AS n FROM w LEFT JOIN h ON t = lower(target) WHERE action <> 'keep')
-SELECT id, action, CASE WHEN n = 1 THEN target ELSE target || ' (' || n || ')' END AS destination, CASE WHEN c >= 0.5 THEN 'planned' ELSE 'low_confidence' END AS status FROM n""")
+@query(_free("""SELECT p_type AS g, p_partkey AS id, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS i, ' (' AS before, ')' AS after, 0 AS add, '' AS ending, p_type || '/' || p_name AS stem
+ FROM part WHERE p_size >= 10 AND p_size < 40 AND p_partkey % 9 > 0""", "SELECT p_type AS g, p_type || '/' || p_name || CASE WHEN p_size > 45 THEN ' (3)' ELSE '' END AS name FROM part WHERE p_size >= 44") + """
+SELECT p_partkey AS id, CASE WHEN p_size >= 40 OR p_partkey % 9 = 0 THEN 'keep' WHEN p_size < 20 THEN 'move' ELSE 'rename' END AS action, got AS destination,
+ CASE WHEN p_size >= 40 OR p_partkey % 9 = 0 THEN 'no_move_needed' WHEN p_size < 10 THEN 'low_confidence' ELSE 'planned' END AS status FROM part LEFT JOIN (SELECT id, got FROM r WHERE id IS NOT NULL) q ON q.id = p_partkey""")
 def move_plan(spark, d):
-    """Moves and renames with destinations that meet neither each other nor what is there."""
-    size = F.col("p_size")
-    parts = table(spark, d, "part")
-    decided = parts.select(F.col("p_partkey").alias("id"), F.when(size < 20, "move").when(size < 40, "rename").otherwise("keep").alias("action"), F.concat_ws("/", "p_type", "p_name").alias("target"), (size / 50).alias("confidence"))
-    return decisions.move_plan(decided, parts.select(F.concat(F.lit("promo/"), "p_name").alias("target")), 0.5)
+    """Moves and renames with destinations that neither each other nor what is there has."""
+    size, parts = F.col("p_size"), table(spark, d, "part")
+    target = F.concat_ws("/", "p_type", "p_name")
+    decided = parts.select(
+        F.col("p_partkey").alias("id"), F.when(size < 20, "move").when(size < 40, "rename").otherwise("keep").alias("action"), target.alias("target"), (size / 50).alias("confidence"),
+        F.when(F.col("p_partkey") % 9 == 0, target).otherwise("elsewhere").alias("current"),
+    )
+    there = parts.where("p_size >= 44").select(F.concat(target, F.when(size > 45, " (3)").otherwise("")).alias("target"))
+    return decisions.move_plan(decided, there, 0.2)
 
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) / 100 AS top, 'HOT,ARM_EXPOSED' AS labels FROM events""")

@@ -32,6 +32,37 @@ def burst_starts(spark, d):
     return incremental.starts(table(spark, d, "events"), ["user_id"], "ts", "15 MINUTES", "event_id").select("event_id")
 
 
+_POSTS = """WITH RECURSIVE p AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY 1 UNION ALL SELECT p.user_id, min(e.ts) FROM p JOIN events e ON e.user_id = p.user_id AND e.ts > p.ts + INTERVAL 12 HOUR GROUP BY p.user_id)
+SELECT min(event_id) AS event_id FROM p JOIN events USING (user_id, ts) GROUP BY user_id, ts"""
+
+
+@query(_POSTS)
+def suppressed_posts(spark, d):
+    """Events that are posted, each later than half a day after the user's last post."""
+    return incremental.posts(table(spark, d, "events"), ["user_id"], "ts", "12 HOURS", "event_id").select("event_id")
+
+
+@query(_POSTS)
+def streamed_posts(spark, d):
+    """The same on a stream, with the last post as the state of a user."""
+    at = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    events = incremental.file_stream(spark, d, table(spark, d, "events").schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    posts = incremental.posts(events.withWatermark("ts", "1 day"), ["user_id"], "ts", "12 HOURS", "event_id")
+    incremental.apply_once(posts, lambda b: b, f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{at}/out").select("event_id")
+
+
+@query("""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS TIMESTAMP) AS closed, false AS ok, CAST(NULL AS BIGINT) AS event_id FROM events GROUP BY 1
+ UNION ALL SELECT user_id, i, CASE WHEN event_type = 'purchase' THEN NULL WHEN ok THEN ts ELSE closed END, ok, event_id FROM (
+  SELECT e.*, closed, event_type <> 'purchase' AND (closed IS NULL OR ts >= closed + INTERVAL 3 DAY) AS ok FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+SELECT event_id FROM r WHERE ok""")
+def admitted_jobs(spark, d):
+    """Events as requests that lock their user until a purchase, three days at most."""
+    events = table(spark, d, "events").withColumn("kind", F.when(F.col("event_type") == "purchase", "done").otherwise("request"))
+    return incremental.admitted(events, ["user_id"], "ts", "kind", "3 DAYS", "event_id").select("event_id")
+
+
 @query("""WITH s AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 n AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s)
 SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM n GROUP BY user_id, k""")

@@ -118,16 +118,47 @@ def digest_pairs(spark, d):
     return merging.class_pairs(docs, ["h"], "doc_id")
 
 
-@query("""WITH f AS (SELECT l_orderkey, l_linenumber AS line, l_partkey AS name, l_suppkey AS digest FROM lineitem),
-m AS (SELECT o_orderkey AS source, o_orderkey + 1 AS target FROM orders)
-SELECT m.source, m.target, s.line, CASE WHEN t.name IS NULL THEN 'adopt' WHEN t.digest = s.digest THEN 'drop' ELSE 'rename' END AS action,
-CASE WHEN t.name IS NULL THEN s.name || '.stl' WHEN t.digest <> s.digest THEN s.name || '-' || s.digest || '.stl' END AS new_name
-FROM m JOIN f s ON s.l_orderkey = m.source LEFT JOIN f t ON t.l_orderkey = m.target AND t.name = s.name""")
-def merge_plan(spark, d):
+_LINE_ID = "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey"
+
+
+def _line_files(spark, d):
+    """Lines as files of their orders, of few names and digests, so that many meet."""
     text = lambda c: F.col(c).cast("string")
-    files = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("id"), F.col("l_orderkey").alias("item"), F.concat(text("l_partkey"), F.lit(".stl")).alias("name"), text("l_suppkey").alias("digest"))
-    merges = table(spark, d, "orders").select(F.col("o_orderkey").alias("source"), (F.col("o_orderkey") + 1).alias("target"))
-    return merging.merge_plan(files, merges).select("source", "target", F.col("file_id").alias("line"), "action", "new_name")
+    id_ = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
+    return table(spark, d, "lineitem").select(id_.alias("id"), F.col("l_orderkey").alias("item"), F.concat(F.lit("p"), (F.col("l_partkey") % 5).cast("string"), F.lit(".stl")).alias("name"), (F.col("l_suppkey") % 3).cast("string").alias("digest")).distinct()
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT DISTINCT {_LINE_ID} AS id, l_orderkey AS item, 'p' || l_partkey % 5 AS stem, CAST(l_suppkey % 3 AS VARCHAR) AS digest FROM lineitem),
+m AS (SELECT o_orderkey AS source, o_orderkey - o_orderkey % 8 AS target FROM orders WHERE o_orderkey % 8 > 0),
+e AS (SELECT target, row_number() OVER (PARTITION BY target ORDER BY -source, id) AS i, source, id, stem || '.stl' AS name, stem, digest FROM m JOIN f ON item = source),
+o AS (SELECT item, list({{'n': stem || '.stl', 'd': digest, 'f': id}} ORDER BY id) AS have FROM f GROUP BY 1),
+r AS (SELECT target, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS source, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS VARCHAR) AS new_name, CAST(NULL AS BIGINT) AS same_as,
+  coalesce(any_value(have), []) AS have FROM (SELECT DISTINCT target FROM e) t LEFT JOIN o ON item = target GROUP BY target
+ UNION ALL SELECT target, i, source, id, action, new_name, CASE action WHEN 'drop' THEN hit.f END, CASE action WHEN 'drop' THEN have ELSE list_append(have, {{'n': new_name, 'd': digest, 'f': id}}) END FROM (
+  SELECT *, CASE action WHEN 'adopt' THEN name WHEN 'rename' THEN stem || '_' || digest || '.stl' END AS new_name FROM (
+  SELECT *, CASE WHEN hit IS NULL THEN 'adopt' WHEN hit.d = digest THEN 'drop' ELSE 'rename' END AS action FROM (
+  SELECT e.*, have, list_filter(have, lambda x: x.n = name)[1] AS hit FROM r JOIN e ON e.target = r.target AND e.i = r.i + 1))))
+SELECT source, target, id AS file_id, action, new_name, same_as FROM r WHERE i > 0""")
+def merge_plan(spark, d):
+    """Seven orders into each eighth, the last first; every other one by way of the fourth of them."""
+    k = F.col("o_orderkey")
+    target = F.when((k % 8 != 4) & (k % 2 == 0), k - k % 8 + 4).otherwise(k - k % 8)
+    merges = table(spark, d, "orders").where(k % 8 > 0).select(k.alias("source"), target.alias("target"), (-k).alias("at"))
+    planned = merging.merge_targets(merges).where("status = 'merge'").drop("status")
+    return merging.merge_plan(_line_files(spark, d), planned).select("source", "target", "file_id", "action", "new_name", "same_as")
+
+
+@query("""WITH RECURSIVE m AS (SELECT o_orderkey AS source, CASE WHEN o_orderkey % 100 = 99 THEN o_orderkey - 2 WHEN o_orderkey % 100 > 0 THEN o_orderkey + CASE WHEN o_orderkey % 100 < 97 THEN -1 ELSE 1 END END AS target FROM orders WHERE o_orderkey % 100 > 0),
+r AS (SELECT source, target, 1 AS n FROM m UNION ALL SELECT r.source, m.target, n + 1 FROM r JOIN m ON m.source = r.target WHERE n < 200),
+z AS (SELECT source, max(target) FILTER (target % 100 = 0) AS target FROM r GROUP BY 1)
+SELECT source, target, CASE WHEN target IS NULL THEN 'loop' ELSE 'merge' END AS status FROM z UNION ALL SELECT o_orderkey, NULL, 'again' FROM orders WHERE o_orderkey % 100 = 50""")
+def merge_chains(spark, d):
+    """Chains of up to 96 merges, three items in a ring, and sources that are merged twice."""
+    k = F.col("o_orderkey")
+    orders = table(spark, d, "orders")
+    target = F.when(k % 100 == 99, k - 2).when(k % 100 < 97, k - 1).otherwise(k + 1)
+    merges = orders.where(k % 100 > 0).select(k.alias("source"), target.alias("target"), k.alias("at")).union(orders.where(k % 100 == 50).select(k, k + 7, k + 1_000_000))
+    return merging.merge_targets(merges).select("source", "target", "status")
 
 
 @query("""WITH m AS (SELECT o_orderkey AS source, o_orderkey + 1 AS target, o_orderdate AS merged, o_custkey % 7 = 0 AS undone FROM orders),

@@ -87,12 +87,17 @@ def inventory_catalogue(spark, d):
     return rows.groupBy("id").agg(F.min("category").alias("category"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {_FILES}, p AS (SELECT item_id, filename, substr(filename, 1, n) AS section FROM (SELECT DISTINCT item_id, filename FROM f), range(3, 20) t(n) WHERE n <= length(filename)),
-m AS (SELECT item_id, section FROM p JOIN (SELECT item_id, count(*) AS rows FROM f GROUP BY 1) USING (item_id) GROUP BY item_id, section, rows HAVING count(DISTINCT filename) >= greatest(2, ceil(rows * 0.05)))
-SELECT item_id, max(length(section)) AS longest FROM p JOIN m USING (item_id, section) GROUP BY 1""")
+@query("""WITH RECURSIVE f AS (SELECT l_partkey AS item, 'Part' || l_suppkey || '-' || l_linenumber AS filename FROM lineitem),
+g AS (SELECT item, greatest(2, CAST(round(count(*) * 0.05) AS BIGINT)) AS enough, max(length(filename)) AS longest, list(lower(filename)) AS names FROM f GROUP BY 1),
+r AS (SELECT item, enough, longest AS n, names, CAST([] AS STRUCT(name VARCHAR, section VARCHAR)[]) AS found FROM g
+ UNION ALL SELECT item, enough, n - 1, list_filter(names, lambda x: NOT list_contains(ready, x[1:n - 1])), list_concat(found, list_transform(list_filter(names, lambda x: list_contains(ready, x[1:n - 1])), lambda x: {'name': x, 'section': x[1:n - 1]})) FROM (
+  SELECT *, list_filter(list_distinct(list_transform(names, lambda x: x[1:n - 1])), lambda p: len(list_filter(names, lambda x: x[1:n - 1] = p)) >= enough) AS ready FROM r WHERE n > 3)),
+d AS (SELECT item, u.name, any_value(u.section) AS section FROM (SELECT item, unnest(found) AS u FROM r WHERE n = 3) GROUP BY item, u.name)
+SELECT f.item, filename, section FROM f LEFT JOIN d ON d.item = f.item AND d.name = lower(filename)""")
 def prefix_sections(spark, d):
-    sections = ranking.prefix_sections(_catalogue(spark, d)["files"], "item_id", "filename")
-    return sections.where("section is not null").groupBy("item_id").agg(F.max(F.length("section")).cast("long").alias("longest"))
+    """Files of each part under common beginnings of their names."""
+    files = table(spark, d, "lineitem").select(F.col("l_partkey").alias("item"), F.concat(F.lit("Part"), F.col("l_suppkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("filename"))
+    return ranking.prefix_sections(files, "item", "filename")
 
 
 @query(f"""WITH {_FILES}, k AS (SELECT id, row_number() OVER (PARTITION BY lower(filename), size ORDER BY id) AS k, count(*) OVER (PARTITION BY lower(filename), size) AS n FROM f) SELECT id, k = 1 AS keep FROM k WHERE n > 1""")
@@ -220,15 +225,18 @@ def archive_changes(spark, d):
     return archives.synchronise(stored, listed).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT p_partkey AS id FROM part WHERE p_size IN (3, 5, 8) AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N')""")
+@query("""WITH RECURSIVE t AS (SELECT 3 AS node UNION ALL SELECT n_nationkey FROM nation JOIN t ON n_nationkey % 8 = node AND n_nationkey > node)
+SELECT p_partkey AS id FROM part WHERE p_size IN (SELECT node FROM t) AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N')""")
 def filter_collection_subtree(spark, d):
     """Items of a collection and those below it, with an image since no word is searched and that is the default."""
     t = _catalogue(spark, d)
     items = t["items"].drop("collection_id").join(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("collection_id")), "id")
-    collections = spark.createDataFrame([(3, None), (5, 3), (8, 5), (9, None)], "node int, up int")
-    below = tuple(r.node for r in tree.below(collections, collections.where("node = 3"), "node", "up").collect())
-    spec = filters.FilterSpec.of({"collections": below}, default_has_image=True)
-    return filters.Catalogue(items, t["tags"], t["links"], None, t["files"]).filtered(spec).select("id")
+    k = F.col("n_nationkey")
+    collections = table(spark, d, "nation").select(k.alias("node"), F.when(k >= 8, k % 8).alias("up"))
+    below = tree.below(collections, collections.where("node = 3"), "node", "up")
+    spec = filters.FilterSpec.of({}, default_has_image=True)
+    within = filters.having(items, below, "collection_id", "node")
+    return filters.Catalogue(within, t["tags"], t["links"], None, t["files"]).filtered(spec).select("id")
 
 
 @query("""SELECT o_custkey, o_orderpriority AS role, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1""")

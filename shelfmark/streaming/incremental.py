@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def since(df: DataFrame, marks: DataFrame, group: list[str], at: str) -> DataFrame:
-    """Rows at or after their group's mark (columns group and mark); groups without a mark are whole."""
+def since(df: DataFrame, marks: DataFrame, group: list[str], at: str, now: Column | None = None, keep: str = "30 DAYS") -> DataFrame:
+    """Rows at or after their group's mark (columns group and mark); groups without a mark are whole.
+
+    With now, a mark that is older than it is kept has expired, as if there were none.
+    """
+    if now is not None:
+        marks = marks.where(~expired(F.col("mark"), now, keep))
     return df.join(marks.select(*group, "mark"), group, "left").where(F.col("mark").isNull() | (F.col(at) >= F.col("mark"))).drop("mark")
 
 
@@ -31,6 +37,78 @@ def starts(df: DataFrame, key: list[str], at: str, gap: str, tie: str) -> DataFr
     return df.withColumn("_before", before).where(F.col("_before").isNull() | (F.col(at) > F.col("_before") + F.expr(f"INTERVAL {gap}"))).drop("_before")
 
 
+#: What a gate keeps of a key: when it was last passed or locked, in microseconds; null if it is open.
+GATE_STATE = "closed_at long"
+
+
+def _passes(kind: str | None, at: int, closed: int | None, ttl: int, inclusive: bool) -> tuple[bool, int | None]:
+    """Whether an event passes a gate that was closed then, and when it is closed after it."""
+    if kind == "done":
+        return False, None
+    free = closed is None or (at >= closed + ttl if inclusive else at > closed + ttl)
+    return free, at if free else closed
+
+
+def _gated(events: DataFrame, key: list[str], at: str, ttl: str, tie: str, kind: str | None, inclusive: bool) -> DataFrame:
+    micros = int(events.sparkSession.sql(f"SELECT CAST(INTERVAL {ttl} AS INTERVAL DAY TO SECOND) AS i").first().i.total_seconds() * 1_000_000)
+    when = F.unix_micros(F.col(at).cast("timestamp"))
+    named = [F.col(c).alias(f"_key{k}") for k, c in enumerate(key)]
+    rows = events.select("*", *named, when.alias("_at"), (F.col(kind) if kind else F.lit(None).cast("string")).alias("_kind"))
+    names, out = [f"_key{k}" for k in range(len(key))], events.schema
+    if events.isStreaming:
+
+        def step(group, tables, state):
+            (closed,) = state.get if state.exists else (None,)
+            for table in tables:
+                table, keep = table.sort_values(["_at", tie]), []
+                for now, what in zip(table["_at"].tolist(), table["_kind"].tolist()):
+                    ok, closed = _passes(what, now, closed, micros, inclusive)
+                    keep.append(ok)
+                yield table.loc[keep, out.names]
+            if closed is None:
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((closed,))
+                state.setTimeoutTimestamp(max(closed + micros, state.getCurrentWatermarkMs() * 1000) // 1000 + 1)
+
+        def expiring(group, tables, state):
+            if state.hasTimedOut:
+                state.remove()
+                return
+            yield from step(group, tables, state)
+
+        return rows.groupBy(*names).applyInPandasWithState(expiring, out, GATE_STATE, "append", "EventTimeTimeout")
+
+    def run(batches):
+        before, closed = None, None
+        for batch in batches:
+            keep = []
+            for now, what, *own in zip(*(batch[c].to_pylist() for c in ("_at", "_kind", *names))):
+                if own != before:
+                    before, closed = own, None
+                ok, closed = _passes(what, now, closed, micros, inclusive)
+                keep.append(ok)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(out.names)
+
+    return rows.repartition(*names).sortWithinPartitions(*names, "_at", tie).mapInArrow(run, out)
+
+
+def posts(events: DataFrame, key: list[str], at: str, timeout: str, tie: str) -> DataFrame:
+    """Events that are posted: those later than the timeout after the last that was posted of their key.
+
+    Batches are read in order of key, time and tie, with the time of one key's last post in memory, however many events
+    it has. On a stream, which needs a watermark, that time is the key's state, and is dropped once it cannot suppress.
+    """
+    return _gated(events, key, at, timeout, tie, None, False)
+
+
+def admitted(events: DataFrame, key: list[str], at: str, kind: str, ttl: str, tie: str) -> DataFrame:
+    """Requests that are admitted: those of a key that has no lock. A request that is admitted locks its key until an
+    event of kind ``done`` or until the lock is as old as it may be. Batches and streams as for posts()."""
+    return _gated(events, key, at, ttl, tie, kind, True)
+
+
 def bursts(df: DataFrame, key: list[str], at: str, gap: str) -> DataFrame:
     """(key, start, end, n): rows of a key with less than the gap between them, as session windows; a stream needs a watermark."""
     grouped = df.groupBy(*key, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("n"))

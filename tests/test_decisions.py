@@ -1,13 +1,13 @@
 from pyspark.sql import functions as F
 
-from shelfmark.operators import access, decisions, merging, ranking
+from shelfmark.operators import access, decisions, merging, naming
 
 
 def test_moves_get_free_destinations(spark):
-    decided = spark.createDataFrame([(1, "move", "A/x", 0.9), (2, "move", "a/X", 0.95), (3, "rename", "B/y", 0.5), (4, "keep", "A/x", 1.0), (5, "move", "C/z", None)], "id long, action string, target string, confidence double")
-    taken = spark.createDataFrame([("A/X",)], "target string")
+    decided = spark.createDataFrame([(1, "move", "A/x", 0.9), (2, "move", "A/x", 0.95), (3, "rename", "B/y", 0.5), (4, "keep", "A/x", 1.0), (5, "move", "C/z", None)], "id long, action string, target string, confidence double")
+    taken = spark.createDataFrame([("A/x",), ("A/x (3)",)], "target string")
     got = {r.id: (r.destination, r.status) for r in decisions.move_plan(decided, taken, 0.8).collect()}
-    assert got == {1: ("A/x (2)", "planned"), 2: ("a/X (3)", "planned"), 3: ("B/y", "low_confidence"), 5: ("C/z", "low_confidence")}
+    assert got == {1: ("A/x (2)", "planned"), 2: ("A/x (4)", "planned"), 3: (None, "low_confidence"), 4: (None, "no_move_needed"), 5: (None, "low_confidence")}
 
 
 def test_preferred_source_wins_near_ties(spark):
@@ -44,5 +44,6 @@ def test_forced_filling_and_unique_names(spark):
     own, other = (spark.createDataFrame(r, "id long, a string") for r in ([(1, "x"), (2, " "), (3, "y")], [(1, "n"), (2, "m")]))
     assert {r.id: r.a for r in merging.fill_blanks(own, other, "id", ["a"]).collect()} == {1: "x", 2: "m", 3: "y"}
     assert {r.id: r.a for r in merging.fill_blanks(own, other, "id", ["a"], force=True).collect()} == {1: "n", 2: "m", 3: "y"}
-    names = spark.createDataFrame([(1, "g", "A"), (2, "g", "a"), (3, "h", "A")], "id long, grp string, name string")
-    assert {r.id: r.unique_name for r in ranking.unique_names(names, ["grp"], "name", "id").collect()} == {1: "A", 2: "a (2)", 3: "A"}
+    names = spark.createDataFrame([(1, "g", "A"), (2, "g", "A"), (3, "h", "A"), (4, None, "A"), (5, "g", None), (6, "g", "a")], "id long, grp string, name string")
+    got = {r.id: r.free_name for r in naming.free_names(names, names.limit(0), ["grp"], "name", "id").collect()}
+    assert got == {1: "A", 2: "A (2)", 3: "A", 4: "A", 5: None, 6: "a"}
