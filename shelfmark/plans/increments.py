@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..sources import records
+from ..operators import detectors
+from ..sources import keyed, records
 from ..staging import shared_dir
 from ..streaming import incremental
 from .registry import query, table
@@ -97,3 +98,21 @@ def export_packages(spark, d):
     p = F.from_json("json", records.PACKAGE)
     read = records.export_packages(items, tags, files).select("id", p.alias("p"))
     return read.select("id", F.col("p.title").alias("name"), F.array_join("p.keywords", ",").alias("tags"), F.array_join(F.transform("p.resources", lambda r: r["path"]), ",").alias("files"))
+
+
+@query("""WITH a AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal < 1000), b AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal BETWEEN 0 AND 2000)
+SELECT id, CASE WHEN id % 3 = 0 AND id IN (SELECT id FROM a) THEN 'resolving' ELSE 'detected' END AS state, false AS ignored FROM b""")
+def stored_problems(spark, d):
+    """Problems in a stored table: detected, some of them taken up and ignored, then detected anew, twice as one run."""
+    at = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
+    first = c.where("c_acctbal < 1000").select("id", F.lit("detected").alias("state"), F.lit(False).alias("ignored"))
+    keyed.apply_changes(at, first, ["id"], "first", buckets=8)
+    taken = first.where("id % 3 = 0").select("id", F.lit("resolving").alias("state"), F.lit(True).alias("ignored"))
+    keyed.apply_changes(at, taken, ["id"], "taken", buckets=8)
+    for _ in range(2):
+        now = c.where("c_acctbal between 0 and 2000").select("id", F.lit("detected").alias("state"), F.lit(False).alias("ignored"))
+        old = keyed.stored(spark, at, now.schema)
+        cleared = old.join(now.select("id"), "id", "left_anti").withColumn("state", F.lit("gone"))
+        keyed.apply_changes(at, detectors.update(old, now, ["id"]).drop("known").unionByName(cleared), ["id"], "second", F.col("state") == "gone", buckets=8)
+    return keyed.stored(spark, at, first.schema)

@@ -125,6 +125,32 @@ def test_archives(spark, tmp_path):
     assert {(r.pathname, r.action) for r in archives.synchronise(stored, found).collect()} == {("readme.txt", "insert"), ("parts/widget.stl", "update"), ("old.txt", "delete")}
 
 
+def test_large_archives_are_read_by_ranges(spark, tmp_path):
+    at = tmp_path / "big.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
+        z.writestr("first.txt", b"abc" * 1000, zipfile.ZIP_DEFLATED)
+        z.writestr("märz.stl", b"solid")
+    with open(at, "rb+") as f:  # an archive of over 3 GB: a hole in front of it, as of one that unpacks itself
+        small = f.read()
+    with open(at, "wb") as f:
+        f.truncate(3 << 30)
+        f.seek(3 << 30)
+        f.write(small)
+    with zipfile.ZipFile(tmp_path / "long.zip", "w") as z:
+        for k in range(300):
+            with z.open(zipfile.ZipInfo(f"d/{k}.png"), "w", force_zip64=True) as e:
+                e.write(b"x" * k)
+    (tmp_path / "cut.zip").write_bytes(small[:-30])
+    rows = archives.entries(spark, str(tmp_path), most=200).collect()
+    assert {(r.pathname, r.size) for r in rows if r.archive.endswith("big.zip")} == {("first.txt", 3000), ("märz.stl", 5)}
+    assert sum(r.status == "listed" for r in rows if "long" in r.archive) == 200 and sum(r.status == "truncated" for r in rows) == 1
+    assert [r.status for r in rows if "cut" in r.archive] == ["unreadable"]
+    big, long, cut = (f"file:{tmp_path}/{n}.zip" for n in ("big", "long", "cut"))
+    asked = spark.createDataFrame([(big, "first.txt"), (big, "märz.stl"), (big, "none"), (long, "d/299.png"), (cut, "first.txt"), (None, "x")], "archive string, pathname string")
+    got = {(r.archive, r.pathname): (r.content, r.status) for r in archives.contents(asked, longest=2999).collect()}
+    assert got == {(big, "first.txt"): (None, "too_large"), (big, "märz.stl"): (b"solid", "read"), (big, "none"): (None, "missing"), (long, "d/299.png"): (b"x" * 299, "read"), (cut, "first.txt"): (None, "unreadable")}
+
+
 def test_records(spark, tmp_path):
     (tmp_path / "plan.jsonl").write_text('{"path_a": "a", "confidence": 0.9, "signals": ["x"]}\n\nno json\n{"path_b": "b"}\n')
     rows, rejects = records.json_lines(spark, str(tmp_path / "plan.jsonl"))
@@ -200,7 +226,8 @@ def test_shallow_listing_and_new_files(spark):
     assert {r.folder for r in listing.models_with_new_files(files, known, models, datetime.datetime(2024, 1, 1)).collect()} == {"m"}
 
 
-def test_oversized_archives_are_not_opened(spark, tmp_path):
+def test_oversized_archives_are_not_opened_where_rows_hold_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "RANGES", ("s3",))
     with zipfile.ZipFile(tmp_path / "small.zip", "w") as z:
         z.writestr("a.png", b"x" * 10)
     (tmp_path / "large.zip").write_bytes(b"x" * 5000)
