@@ -178,3 +178,38 @@ def fuzzy(items: DataFrame, term: str, name: str, least: float = 0.5, score: str
         return items.where(F.lit(False)).withColumn(score, F.lit(0.0))
     found = items.withColumn(score, fuzzy_score(word, F.col(name), F.col(path) if path else None)).where(F.col(score) >= least)
     return found if first is None else found.orderBy(key).limit(first)
+
+
+def fuzzy_many(items: DataFrame, terms: DataFrame, name: str, least: float = 0.5, term: str = "term", score: str = "score", path: str | None = None) -> DataFrame:
+    """(term, items' columns, score): the items that each of a table of terms fits at least so well, as fuzzy() scores them.
+
+    Distinct names and words are indexed by their trigrams once for all terms, so that items are not read for each term;
+    near words are those with a term's first letter and about its length. Terms that fuzzy_term() rejects find nothing.
+    """
+    low = F.lower(F.trim(F.col(term)))
+    asked = terms.select(F.col(term).alias("l"), low.alias("w")).where((F.length("w") >= 3) & F.col("w").rlike(r"^[\p{L}\p{N}]+$") & ~F.col("w").isin("and", "not")).distinct()
+    wanted = asked.select("l", similarity.trigrams(F.col("w")).alias("members"))
+    texts = None
+    for column, edits in ((name, True), *([(path, False)] if path else [])):
+        own = items.select(F.col(column).alias("text"), F.lit(edits).alias("edits")).where("text is not null").distinct()
+        texts = own if texts is None else texts.unionByName(own)
+    texts = texts.groupBy("text").agg(F.max("edits").alias("edits"))
+    whole = similarity.similar_sets(wanted, texts.select(F.col("text").alias("r"), similarity.trigrams(F.col("text")).alias("members")), least).withColumnRenamed("r", "text")
+    within = texts.select("text", "edits", F.explode(F.array_distinct(similarity.words(F.col("text")))).alias("word"))
+    words = within.select("word").distinct()
+    alike = similarity.similar_sets(wanted, words.select(F.col("word").alias("r"), similarity.trigrams(F.col("word")).alias("members")), least)
+    alike = alike.select("l", F.col("r").alias("word"), "score", F.lit(False).alias("edits"))
+    lengths = F.explode(F.sequence(F.greatest(F.length("w") - 1, F.lit(3)), F.length("w") + 1)).alias("length")
+    near = asked.select("l", "w", F.substring("w", 1, 1).alias("begin"), lengths).join(words.select("word", F.substring("word", 1, 1).alias("begin"), F.length("word").alias("length")), ["begin", "length"])
+    distance = F.levenshtein("word", "w", 2)
+    worth = F.when(distance == 0, 1.0).when(distance == 1, 0.85).when(distance == 2, 0.7)
+    near = near.select("l", "word", worth.alias("score"), F.lit(True).alias("edits")).where(F.col("score") >= least)
+    found = alike.unionByName(near).withColumnRenamed("edits", "by_edits").join(within, "word").where("edits or not by_edits")
+    scored = whole.select("l", "text", "score").unionByName(found.select("l", "text", "score")).groupBy("l", "text").agg(F.max("score").alias("_score"))
+    scored = scored.withColumnRenamed("l", "_term")
+    hits = items.join(scored, F.col(name) == F.col("text")).select("_term", items["*"], "_score")
+    if path:
+        by_path = items.join(scored, F.col(path) == F.col("text")).select("_term", items["*"], "_score")
+        hits = hits.unionByName(by_path)
+        hits = hits.groupBy("_term", *items.columns).agg(F.max("_score").alias("_score"))
+    return hits.withColumnRenamed("_term", term).withColumnRenamed("_score", score)

@@ -116,3 +116,13 @@ def stored_problems(spark, d):
         cleared = old.join(now.select("id"), "id", "left_anti").withColumn("state", F.lit("gone"))
         keyed.apply_changes(at, detectors.update(old, now, ["id"]).drop("known").unionByName(cleared), ["id"], "second", F.col("state") == "gone", buckets=8)
     return keyed.stored(spark, at, first.schema)
+
+
+@query("SELECT event_id, CAST((row_number() OVER (ORDER BY event_id) - 1) // 3000 AS BIGINT) AS page FROM events")
+def resumed_pages(spark, d):
+    """Events in pages by their keys, in runs of a page each, until one finds nothing more."""
+    at = f"{shared_dir(spark)}/pages/{uuid.uuid4().hex}"
+    events = table(spark, d, "events").select("event_id")
+    while incremental.cursor_pages(events, "event_id", 3_000, lambda page: page, at, pages=1):
+        pass
+    return spark.read.parquet(f"{at}/rows").select("event_id", F.col("page").cast("long").alias("page"))

@@ -189,6 +189,23 @@ def text_leading_components(spark, d):
     return table(spark, d, "part").groupBy("p_brand", "p_size").agg(fn.leading_components(F.collect_list(path)).alias("same"))
 
 
+_TERMS = """SELECT DISTINCT substr(w, 1, length(w) - 2) || substr(w, length(w), 1) || substr(w, length(w) - 1, 1) AS term FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) UNION SELECT lower(n_name) FROM nation WHERE NOT contains(n_name, ' ')"""
+
+
+@query(f"""WITH terms AS ({_TERMS}), names AS (SELECT DISTINCT p_name FROM part), g AS (SELECT term, p_name, {_GRAMS.format("term")} AS a, {_GRAMS.format("p_name")} AS b, string_split_regex(lower(p_name), '[^a-z0-9]+') AS w FROM terms, names),
+s AS (SELECT term, p_name, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS t,
+ list_max(list_transform(list_filter(w, lambda x: x <> ''), lambda x: len(list_intersect(a, {_WORD})) / (len(a) + len({_WORD}) - len(list_intersect(a, {_WORD}))))) AS ws,
+ list_min(list_transform(list_filter(w, lambda x: x[1] = term[1] AND length(x) BETWEEN greatest(length(term) - 1, 3) AND length(term) + 1 AND levenshtein(x, term) <= 2), lambda x: levenshtein(x, term))) AS e FROM g)
+SELECT term, p_partkey, round(greatest(t, ws, CASE e WHEN 0 THEN 1 WHEN 1 THEN 0.85 WHEN 2 THEN 0.7 ELSE 0 END), 6) AS score FROM s JOIN part USING (p_name)
+WHERE greatest(t, ws, CASE e WHEN 0 THEN 1 WHEN 1 THEN 0.85 WHEN 2 THEN 0.7 ELSE 0 END) >= 0.5""")
+def search_many_terms(spark, d):
+    """All words of names, misspelt, and the names of nations, looked up at once in an index of trigrams."""
+    w, part = F.col("w"), table(spark, d, "part")
+    swapped = F.concat(F.expr("substr(w, 1, length(w) - 2)"), F.expr("substr(w, length(w), 1)"), F.expr("substr(w, length(w) - 1, 1)"))
+    terms = part.select(F.explode(F.split("p_name", " ")).alias("w")).select(swapped.alias("term")).union(table(spark, d, "nation").select(F.lower("n_name").alias("term")))
+    return search.fuzzy_many(part.select("p_partkey", "p_name"), terms, "p_name").select("term", "p_partkey", F.round("score", 6).alias("score"))
+
+
 @query(r"""WITH c AS (SELECT p_partkey AS id, p_type AS g, lower(p_name) AS n, p_partkey % 2 AS side FROM part),
 m AS (SELECT g, n, min(id) AS match FROM c WHERE side = 1 GROUP BY ALL) SELECT id, match FROM c JOIN m USING (g, n) WHERE side = 0""")
 def supported_version(spark, d):
@@ -197,6 +214,19 @@ def supported_version(spark, d):
     return similarity.best_in_group(parts.where("id % 2 = 0"), parts.where("id % 2 = 1"), ["g"], "id", "name", 0.999999).select("id", "match")
 
 
+@query(r"""WITH c AS (SELECT p_partkey AS id, p_type AS g, lower(p_name) || ' ' || p_size AS n FROM part),
+v AS (SELECT g, n, map_from_entries(list(row(ch, k))) AS m, sqrt(sum(k * k)) AS len FROM (SELECT g, n, ch, count(*) AS k FROM (SELECT g, n, unnest(string_split(n, '')) AS ch FROM (SELECT DISTINCT g, n FROM c)) GROUP BY ALL) GROUP BY ALL),
+p AS (SELECT a.g, a.n AS x, b.n AS y, list_sum(list_transform(map_keys(a.m), lambda k: a.m[k] * coalesce(b.m[k], 0))) / (a.len * b.len) AS score FROM v a JOIN v b USING (g)),
+s AS (SELECT l.id, r.id AS match, score FROM c l JOIN p ON p.g = l.g AND p.x = l.n JOIN c r ON r.g = p.g AND r.n = p.y WHERE l.id % 2 = 0 AND r.id % 2 = 1 AND score > 0.95)
+SELECT id, match, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 12) DESC, match) = 1""")
+def similar_version(spark, d):
+    """The most similar name in the same group, at a cosine of over 0.95."""
+    name = F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("g"), name.alias("name"))
+    found = similarity.best_in_group(parts.where("id % 2 = 0"), parts.where("id % 2 = 1"), ["g"], "id", "name", 0.95)
+    return found.select("id", "match", F.round("score", 6).alias("score"))
+
+
 @query(r"""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'Unnamed' ELSE substr(replace(p_name, ' ', ' ') || ' ' || p_type, 1, 100) END AS name FROM part""")
 def text_display_name(spark, d):
     k = F.col("p_partkey")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -9,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.keyed import apply_changes, stored
+from ..staging import staged
+
 
 def since(df: DataFrame, marks: DataFrame, group: list[str], at: str, now: Column | None = None, keep: str = "30 DAYS") -> DataFrame:
     """Rows at or after their group's mark (columns group and mark); groups without a mark are whole.
@@ -135,3 +140,33 @@ def apply_once(stream: DataFrame, step: Callable[[DataFrame], DataFrame], target
         step(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def cursor_pages(df: DataFrame, key: str, rows: int, step: Callable[[DataFrame], DataFrame], target: str, at: Column | None = None, keep: str = "30 DAYS", pages: int | None = None, pause: float = 0.0) -> int:
+    """Apply a step to df page by page, so many rows each in the order of a unique key, from where the last run ended; how many pages.
+
+    A page's rows are written under ``page=n`` in target/rows, then its last key is marked in target/marks. A run that is lost in between
+    writes its page again, so each row is there once, and rows that have come after the mark in the meantime are taken up next
+    time. Marks that are older than they are kept have expired, and the run begins anew. With pages, a run ends after so many; pause is seconds
+    between them. A filter on the key prunes what each page reads where the table is laid out by it.
+    """
+    spark = df.sparkSession
+    marks = f"{target.rstrip('/')}/marks"
+    now = at if at is not None else F.current_timestamp()
+    kind = df.schema[key].dataType
+    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("last", kind), T.StructField("marked_at", T.TimestampType())])
+    done = 0
+    while pages is None or done < pages:
+        known = stored(spark, marks, schema).where(~expired(F.col("marked_at"), now, keep))
+        mark = known.agg(F.max("n").alias("n"), F.max_by("last", "n").alias("last")).first()
+        page = (df if mark.n is None else df.where(F.col(key) > F.lit(mark.last))).orderBy(key).limit(rows)
+        page, n = staged(page, "page"), 0 if mark.n is None else mark.n + 1
+        last = page.agg(F.max(key)).first()[0]
+        if last is None:
+            break
+        step(page).write.mode("overwrite").parquet(f"{target.rstrip('/')}/rows/page={n}")
+        row = spark.createDataFrame([(n, last)], T.StructType(schema.fields[:2])).withColumn("marked_at", now)
+        apply_changes(marks, row, ["n"], uuid.uuid4().hex, buckets=1)
+        done += 1
+        time.sleep(pause)
+    return done
