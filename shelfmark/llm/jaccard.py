@@ -27,6 +27,8 @@ from .shingling import shingle_sets, slices
 WORDS, PERCENT = 5, 80
 #: Shingles of a block, that is, of the texts whose shingles a task deals out at once, and about those of a range.
 BLOCK, RANGE = 1 << 20, 1 << 21
+#: Sets of a part, for which what ranges have counted is summed at once.
+PART = 1 << 16
 #: Counters of shingles for the global order, and those of one row while they are summed. Shingles that share one only come to lie later in the order.
 COUNTERS, COUNTER_ROW = 1 << 22, 1 << 16
 #: What a task compares at once, in shingles; a set counts for some more.
@@ -44,30 +46,38 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
 
 
-def _digest(s: np.ndarray) -> tuple[int, int]:
+def digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set, as two signed integers."""
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes(), seed=len(s)), np.int64).tolist())
 
 
-def _prints(rows: DataFrame, words: int) -> DataFrame:
+def _prints(rows: DataFrame, words: int, repeats: bool) -> DataFrame:
     """(id, n, node, twin) of each row of (id, text): how many shingles its set has, and 128 bits that name the set."""
     schema = T.StructType([rows.schema["id"], *[T.StructField(c, T.LongType()) for c in ("n", "node", "twin")]])
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, ends in slices(batch, "text"):
-                sets = shingle_sets(data, ends, words)
-                node, twin = zip(*map(_digest, sets))
+                sets = shingle_sets(data, ends, words, repeats)
+                node, twin = zip(*map(digest, sets))
                 yield pa.RecordBatch.from_arrays([batch["id"].slice(lo, hi - lo), *(pa.array(x, pa.int64()) for x in (map(len, sets), node, twin))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def _met(rows: DataFrame, words: int, ranges: int) -> DataFrame:
+def _met(rows: DataFrame, words: int, repeats: bool, ranges: int, parts: int) -> DataFrame:
     """(node, met): at least so many shingles of a set occur in another set; sets that meet none are left out.
 
-    Counts are too large where equal sets lie in several blocks or 32 bits of two hashes agree, and never too small.
+    Counts are too large where equal sets lie in several blocks or 32 bits of two hashes agree, and never too small. What
+    blocks and ranges have counted is summed by parts of the sets, in pages.
     """
 
+    def paged(nodes: np.ndarray, met: np.ndarray):
+        """(part, nodes, how many they have met) for each part."""
+        part = nodes % parts
+        for k in np.unique(part).tolist():
+            yield k, nodes[part == k].tobytes(), met[part == k].astype(np.uint32).tobytes()
+
     def deal(batches):
         """(range, alone, nodes, many, shared, met): a block's shingles of one set, by set; those of several sets, once; and how many of these a set has."""
         held: dict[int, np.ndarray] = {}
@@ -91,17 +101,17 @@ def _met(rows: DataFrame, words: int, ranges: int) -> DataFrame:
                 who, times = np.unique(own[at[k] : at[k + 1]], return_counts=True)
                 low = [x.astype(np.uint32).tobytes() for x in (alone[at[k] : at[k + 1]], shared[at2[k] : at2[k + 1]])]
                 pages.append((k, low[0], nodes[who].tobytes(), times.astype(np.uint32).tobytes(), low[1]))
-            # A page without a range tells what the block has found by itself.
-            pages.append((-1, b"", nodes[met > 0].tobytes(), met[met > 0].astype(np.uint32).tobytes(), b""))
+            # Pages without a range tell what the block has found by itself.
+            pages += [(-1 - k, b"", who, times, b"") for k, who, times in paged(nodes[met > 0], met[met > 0])]
             held.clear()
             columns = list(zip(*pages))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["range", "alone", "nodes", "many", "shared"])
 
         for batch in batches:
             for _, _, data, ends in slices(batch, "text"):
-                for s in shingle_sets(data, ends, words):
+                for s in shingle_sets(data, ends, words, repeats):
                     if len(s):
-                        node = _digest(s)[0]
+                        node = digest(s)[0]
                         size += len(s) if node not in held else 0
                         held[node] = s
                 if size >= BLOCK:
@@ -123,19 +133,21 @@ def _met(rows: DataFrame, words: int, ranges: int) -> DataFrame:
         several = np.diff(np.append(first, len(alone))) > 1
         several |= np.isin(alone[first], shared)
         found, met = np.unique(node[np.repeat(several, np.diff(np.append(first, len(alone))))], return_counts=True)
-        return pa.table([pa.array(found, pa.int64()), pa.array(met, pa.int64())], names=["node", "met"])
+        columns = list(zip(*paged(found, met))) or [(), (), ()]
+        return pa.table([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "nodes", "many"])
 
-    def own(batches):
-        for batch in batches:
-            yield from (pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.uint32).astype(np.int64))], names=["node", "met"]) for a, b in zip(batch["nodes"].to_pylist(), batch["many"].to_pylist()))
+    def total(pages: pa.Table) -> pa.Table:
+        node, many = (np.frombuffer(b"".join(pages[c].to_pylist()), t) for c, t in (("nodes", np.int64), ("many", np.uint32)))
+        found, at = np.unique(node, return_inverse=True)
+        return pa.table([pa.array(found), pa.array(np.bincount(at.reshape(-1), weights=many, minlength=len(found)).astype(np.int64))], names=["node", "met"])
 
     pages = staged(rows.mapInArrow(deal, "range long, alone binary, nodes binary, many binary, shared binary"), "pages")
-    across = pages.where("range >= 0").groupBy("range").applyInArrow(meet, "node long, met long")
-    within = pages.where("range < 0").select("nodes", "many").mapInArrow(own, "node long, met long")
-    return across.union(within).groupBy("node").agg(F.sum("met").alias("met"))
+    across = pages.where("range >= 0").groupBy("range").applyInArrow(meet, "part long, nodes binary, many binary")
+    within = pages.where("range < 0").select((-1 - F.col("range")).alias("part"), "nodes", "many")
+    return across.unionByName(within).groupBy("part").applyInArrow(total, "node long, met long")
 
 
-def _sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def _sets(rows: DataFrame, wanted: DataFrame, words: int, repeats: bool) -> DataFrame:
     """(node, n, shingles) of the wanted sets (rep, node), read again from the rows whose ids are rep."""
     few = wanted.select(F.col("rep").alias("id")).distinct()
     few = F.broadcast(few) if wanted.count() <= BROADCAST_ROWS else few
@@ -143,8 +155,8 @@ def _sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for _, _, data, ends in slices(batch, "text"):
-                sets = [s for s in shingle_sets(data, ends, words) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(s)[0] for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "shingles"])
+                sets = [s for s in shingle_sets(data, ends, words, repeats) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s)[0] for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "shingles"])
 
     found = rows.join(few, "id", "left_semi").select("text").mapInArrow(run, "node long, n long, shingles binary")
     # Rows that repeat an id can have other texts, or the same.
@@ -286,6 +298,7 @@ def links(sets: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
     left = labelled.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("hub")).where("lo < hi").select("shingle", "hub")
     left = staged(labelled.join(left, "shingle"), "left")
     together = components(left.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct())
+    together = together.union(together.select("root", "root").distinct())
     meets = left.select("node", "label").distinct().join(together, "node").join(sizes, "node")
     meets = staged(meets, "meets")
     weight = meets.groupBy("root").agg(F.sum("weight").alias("all"))
@@ -302,6 +315,33 @@ def links(sets: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
     return staged(first.union(second), "links")
 
 
+def distinct_sets(rows: DataFrame, words: int, percent: int, repeats: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (id, text): (id, n, node, twin) of each, (node, twin, n, rep, rows) of each distinct set, and (node, n, shingles)
+    of those of them that can be similar to another. rep is the smallest id; rows with a null id are in the first alone."""
+    prints = staged(_prints(rows, words, repeats), "prints")
+    distinct = staged(prints.where("id is not null").groupBy("node", "twin", "n").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "distinct")
+    total, many = distinct.agg(F.sum("n"), F.count("*")).first()
+    met = _met(rows.where("id is not null"), words, repeats, int((total or 0) // RANGE) + 1, many // PART + 1)
+    wanted = staged(distinct.join(met, "node").where(100 * F.col("met") >= percent * F.col("n")).select("rep", "node"), "wanted")
+    return prints, distinct, staged(_sets(rows, wanted, words, repeats), "sets")
+
+
+def components_of(prints: DataFrame, distinct: DataFrame, edges: DataFrame, empty: bool = False) -> DataFrame:
+    """(id, n, node, root, component) of each row of prints: the smallest id that edges (u, v) between nodes, and equal sets,
+    reach, and a node that stands for all of them, since components can have one smallest id where rows repeat ids.
+
+    With empty, rows with an empty set are equal as others are; else each is by itself.
+    """
+    found = components(edges)
+    found = found.union(found.select("root", "root").distinct())
+    moved = distinct.join(found, "node", "left").where("rows > 1 or root is not null").withColumn("root", F.coalesce("root", "node"))
+    moved = moved if empty else moved.where("n > 0")
+    least = moved.groupBy("root").agg(F.min("rep").alias("component"))
+    moved = moved.join(least, "root").select("node", "twin", "n", "root", "component")
+    own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    return prints.join(moved, ["node", "twin", "n"], "left").select("id", "n", "node", F.coalesce("root", "node").alias("root"), own.alias("component"))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
     """(id, n_shingles, component) of each row: the size of its set, and the smallest id that its links reach, itself included.
 
@@ -312,16 +352,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     with other texts each have their own set. No rows give none; other columns are not read.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text].alias("text"))
-    prints = staged(_prints(rows, words), "prints")
-    distinct = staged(prints.where("n > 0 and id is not null").groupBy("node", "twin", "n").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "distinct")
-    total = distinct.agg(F.sum("n")).first()[0] or 0
-    met = _met(rows.where("id is not null"), words, int(total // RANGE) + 1)
-    wanted = staged(distinct.join(met, "node").where(100 * F.col("met") >= percent * F.col("n")).select("rep", "node"), "wanted")
-    sets = staged(_sets(rows, wanted, words), "sets")
-    found = components(links(sets, percent, cell))
-    found = found.union(found.select("root", "root").distinct())
-    moved = distinct.join(found, "node", "left").where("rows > 1 or root is not null").withColumn("root", F.coalesce("root", "node"))
-    least = moved.groupBy("root").agg(F.min("rep").alias("component"))
-    moved = moved.join(least, "root").select("node", "twin", "n", "component")
-    own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return prints.join(moved, ["node", "twin", "n"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component"))
+    prints, distinct, sets = distinct_sets(rows, words, percent)
+    out = components_of(prints, distinct, links(sets, percent, cell))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component")

@@ -52,8 +52,22 @@ def word_hashes(data: np.ndarray, ends: np.ndarray, gaps: np.ndarray = _SPACE) -
     return mixed(h), begin, np.searchsorted(begin, ends)
 
 
-def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; fewer words than a shingle has make one shingle, no word makes none."""
+def _numbered(h: np.ndarray) -> np.ndarray:
+    """The hashes as a sorted set, in which a repeated hash has another value each time."""
+    h = np.sort(h)
+    again = np.append(False, h[1:] == h[:-1])
+    if not again.any():
+        return h
+    first = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))
+    time = (np.arange(len(h)) - first).astype(np.uint64)
+    return np.sort(np.where(again, mixed(h + time * np.uint64(_BASE)), h))
+
+
+def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int, repeats: bool = False) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; fewer words than a shingle has make one shingle, no word makes none.
+
+    With repeats, a shingle that is there again counts as another, so that what two sets share is what their counts share.
+    """
     h, _, first = word_hashes(data, ends)
     many, factor = np.diff(first), _random(words + 1, 2000) | np.uint64(1)
     full = max(len(h) - words + 1, 0)
@@ -64,7 +78,8 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int) -> list[np.ndar
     out = []
     for lo, n in zip(first[:-1].tolist(), many.tolist()):
         if n >= words:
-            out.append(np.unique(g[lo : lo + n - words + 1]))
+            own = g[lo : lo + n - words + 1]
+            out.append(_numbered(own) if repeats else np.unique(own))
         elif n:
             out.append(mixed((h[lo : lo + n] * factor[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n) * factor[words]))
         else:
