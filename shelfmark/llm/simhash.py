@@ -19,20 +19,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import staged, text_buffers
+from . import jaccard
+from ._shared import free_name, staged, text_buffers
 from .components import components
+from .shingling import mixed, shingle_sets, slices
 
 #: A group, the rows of one side of a task's comparison, has an eighth of all fingerprints at most, and so many at most.
 #: More groups would split a large cell finer, but each pair of groups proposes links of its own.
 SHARE, GROUP = 8, 131_072
 #: Cells of a tile's matrix.
 TILE = 2_000_000
-#: Where similarities are verified: rows of fewer shingles meet by what is left of their shingles without a few.
-SHORT = 10
-#: Where similarities are verified: candidates that a row has in each component that it meets.
-TRIES = 4
-#: Where similarities are verified: shares of the radius by which links are taken, the nearest first.
-STEPS = (0.4, 0.55, 0.7, 0.85, 1)
+#: Where similarities are verified: sets of fewer shingles are compared whatever their fingerprints, which so few hashes spread too little.
+SHORT = 32
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -50,13 +48,6 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.array([digest(joined[a:b], 42) for a, b in spans], np.uint64)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """Another 64 bits from each hash."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def majority(h: np.ndarray) -> int:
     """A fingerprint whose bits are set in over half of the hashes."""
     count = np.zeros(64, np.int64)
@@ -80,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wo
             for lo, hi in zip(ends[:-1], ends[1:]):
                 h = shingle_hashes(raw[lo:hi], words)
                 a.append(majority(h))
-                b.append(majority(_mixed(h)) if bits == 128 else 0)
+                b.append(majority(mixed(h)) if bits == 128 else 0)
                 n.append(len(h))
             halves = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]
             yield pa.RecordBatch.from_arrays([batch[id_col], *halves, pa.array(n, pa.int64())], names=[id_col, "fp", "fp2", "shingles"])
@@ -88,95 +79,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wo
     return docs.select(id_col, text).mapInArrow(run, schema)
 
 
-def _tokens(h: np.ndarray) -> np.ndarray:
-    """The hashes as a sorted set, in which a repeated hash has another value each time."""
-    h = np.sort(h)
-    new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-    occurrence = np.arange(len(h)) - np.repeat(new, np.diff(np.append(new, len(h))))
-    return np.sort(h + occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def _digest(tokens: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(tokens.tobytes(), 42)).view(np.int64))
-
-
-def _most_gone(size: int, similarity: float) -> int:
-    """How many shingles two sets may have in all besides size common ones, to be as similar as asked for."""
-    return int(size * (1 - similarity) / similarity + 1e-9)
-
-
-def _subsets(tokens: np.ndarray, similarity: float) -> list[dict]:
-    """What is left of a small set of shingles without a few, for all choices of those by which similar sets can differ.
-
-    Two sets are similar exactly if one of their common subsets is left of both without more shingles gone, in sum,
-    than _most_gone() allows. A subset is named by the sum of its members' hashes.
-    """
-    own, out = _mixed(tokens), []
-    total, size = int(own.sum(dtype=np.uint64)), len(tokens)
-    for gone in range(size):
-        room = _most_gone(size - gone, similarity)
-        if gone > room:
-            break
-        for drop in itertools.combinations(map(int, own), gone):
-            left = (total - sum(drop)) & 0xFFFFFFFFFFFFFFFF
-            out.append({"subset": left - (left >> 63 << 64), "gone": gone, "room": room})
-    return out
-
-
-def _exact_prints(docs: DataFrame, text: str, words: int, bits: int, similarity: float) -> DataFrame:
-    """(id, fp, fp2, shingles, digest, subsets) of each row of (id, text): digest names the shingles with their counts."""
-    longs = [T.StructField(c, T.LongType()) for c in ("fp", "fp2", "shingles", "digest")]
-    subset = T.StructType([T.StructField("subset", T.LongType()), T.StructField("gone", T.IntegerType()), T.StructField("room", T.IntegerType())])
-    schema = T.StructType([docs.schema["id"], *longs, T.StructField("subsets", T.ArrayType(subset))])
-    kind = pa.list_(pa.struct([("subset", pa.int64()), ("gone", pa.int32()), ("room", pa.int32())]))
-
-    def run(batches):
-        for batch in batches:
-            data, ends = text_buffers(batch[text])
-            raw, rows, subsets = data.tobytes(), [], []
-            for lo, hi in zip(ends[:-1], ends[1:]):
-                h = shingle_hashes(raw[lo:hi], words)
-                tokens = _tokens(h)
-                rows.append((majority(h), majority(_mixed(h)) if bits == 128 else 0, len(h), _digest(tokens)))
-                subsets.append(_subsets(tokens, similarity) if 0 < len(h) * similarity < SHORT else [])
-            a, b, n, d = zip(*rows) if rows else ((), (), (), ())
-            halves = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays([batch["id"], *halves, pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(subsets, kind)], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
-
-
-def _similar(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
-    """Those pairs (u, v) of digests whose shingles, counted with repeats, are as similar as asked for.
-
-    reps are (rep, digest), docs (id, text).
-    """
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct()
-
-    def tokens(batches):
-        for batch in batches:
-            data, ends = text_buffers(batch[text])
-            raw = data.tobytes()
-            sets = [_tokens(shingle_hashes(raw[lo:hi], words)) for lo, hi in zip(ends[:-1], ends[1:])]
-            # Rows that repeat an id can have other texts.
-            own = [(d, s.tobytes()) for d, s in zip(batch["digest"].to_pylist(), sets) if _digest(s) == d]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], names=["digest", "tokens"])
-
-    def verify(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch["a"], batch["b"]):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    texts = docs.join(reps.join(wanted, "digest", "left_semi"), docs["id"].cast("long") == F.col("rep")).select("digest", text)
-    held = staged(texts.mapInArrow(tokens, "digest long, tokens binary").dropDuplicates(["digest"]), "tokens")
-    a, b = (held.select(F.col("digest").alias(k), F.col("tokens").alias(c)) for k, c in (("u", "a"), ("v", "b")))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
-
-
 def _cell(parts: int):
     """A fingerprint's cell: its band and the population counts of its parts, as digits to the base 65."""
     cell, width = F.col("band"), 64 // parts if parts else 0
@@ -208,43 +110,28 @@ def _tiles(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int):
         yield rows, cols, apart
 
 
-def _forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray, steps: tuple[int, ...], tries: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of links between rows left and rows right of fp (n x 2) that connect what all links within steps[-1] connect.
-
-    Links are taken by rising distance, a step at a time; a row links to the nearest rows, so many as tries, of each
-    component that it meets, so that what lies between two components does not hide their own nearest links.
-    """
-    if len(steps) > 1:  # rows that meet no other are left out of the further readings
-        meets = np.zeros(len(fp), bool)
-        for rows, cols, apart in _tiles(fp, left, right, steps[-1]):
-            near = (apart <= steps[-1]) & (rows[:, None] != cols)
-            meets[rows[near.any(axis=1)]] = meets[cols[near.any(axis=0)]] = True
-        left, right = left[meets[left]], right[meets[right]]
+def _forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of links between rows left and rows right of fp (n x 2) that connect what all links within the radius connect."""
     label, u, v = np.arange(len(fp)), [], []
-    for radius in steps:
-        for rows, cols, apart in _tiles(fp, left, right, radius):
-            near = (apart <= radius) & (label[rows][:, None] != label[cols])
-            for k in np.flatnonzero(near.any(axis=1)):
-                at = np.flatnonzero(near[k])
-                at = at[label[cols[at]] != label[rows[k]]]  # earlier rows of the tile may have joined some
-                if not len(at):
-                    continue
-                at = at[np.lexsort((apart[k, at], label[cols[at]]))]
-                found = label[cols[at]]
-                first = np.flatnonzero(np.diff(found, prepend=-1))
-                taken = at[np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at)))) < tries]
-                u.append(np.full(len(taken), rows[k]))
-                v.append(cols[taken])
-                joined = np.zeros(len(fp), bool)
-                joined[found[first]] = joined[label[rows[k]]] = True
-                label[joined[label]] = min(found[0], label[rows[k]])
+    for rows, cols, apart in _tiles(fp, left, right, radius):
+        near = (apart <= radius) & (label[rows][:, None] != label[cols])
+        for k in np.flatnonzero(near.any(axis=1)):
+            at = cols[np.flatnonzero(near[k])]
+            found, first = np.unique(label[at], return_index=True)
+            keep = found != label[rows[k]]  # earlier rows of the tile may have joined some
+            if not keep.any():
+                continue
+            u.append(np.full(int(keep.sum()), rows[k]))
+            v.append(at[first[keep]])
+            joined = np.zeros(len(fp), bool)
+            joined[found] = joined[label[rows[k]]] = True
+            label[joined[label]] = min(found[0], label[rows[k]])
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *u]), np.concatenate([none, *v])
 
 
-def links(distinct: DataFrame, radius: int, parts: int, banded: bool, tries: int = 0) -> DataFrame:
-    """(u, v): a spanning set of the links between rows (rep, fp, fp2, band) of distinct fingerprints; with tries, more of them, see _forest()."""
-    steps = tuple(sorted({round(radius * x) for x in STEPS})) if tries else (radius,)
+def links(distinct: DataFrame, radius: int, parts: int, banded: bool) -> DataFrame:
+    """(u, v): a spanning set of the links between rows (rep, fp, fp2, band) of distinct fingerprints."""
     spark = distinct.sparkSession
     cells = distinct.withColumn("cell", _cell(parts))
     counts = staged(cells.groupBy("cell").agg(F.count("*").alias("n")), "cells")  # as many as there are population counts or lengths
@@ -276,7 +163,7 @@ def links(distinct: DataFrame, radius: int, parts: int, banded: bool, tries: int
                 left = np.flatnonzero(side[lo:hi] == 0)
                 right = left if same[lo] else np.flatnonzero(side[lo:hi] == 1)
                 if len(right) and hi - lo > 1 and len(left):
-                    node, root = _forest(fp[lo:hi], left, right, steps, max(tries, 1))
+                    node, root = _forest(fp[lo:hi], left, right, radius)
                     u.append(rep[lo:hi][node])
                     v.append(rep[lo:hi][root])
             if u:
@@ -312,12 +199,10 @@ def near_duplicates(
     repeated rows share a component; a row with a null id keeps its fingerprint, takes no part in links and has a
     null component. No documents give no rows.
 
-    With similarity, links between fingerprints are candidates only, of which those hold whose shingles, counted with
-    repeats, are as similar: the sum of the smaller over the sum of the larger counts. Lengths follow from it, so
-    length_ratio and few do not apply. A task proposes, for each row, its TRIES nearest rows of each component that it
-    meets there, the nearest components first, so candidates grow with the rows, not with the square of a family of
-    near copies; two parts of a family stay apart only if none of those is similar. Rows of fewer than SHORT shingles link exactly, by what is
-    left of their shingles without a few.
+    With similarity, (id, node, root, component): rows link if their shingles, counted with repeats, are as similar, that is,
+    the sum of the smaller over the sum of the larger counts; node names a row's shingles, and root is one node for each component. Sets that cannot be similar to
+    any other go first (see jaccard.py); of the others, fingerprints tell which have another within the radius, as far as lengths allow, and
+    these are joined exactly. Sets of under SHORT shingles need no such fingerprint. Texts without words are equal.
     """
     if similarity:
         return _near_by_similarity(docs, id_col, text, words, bits, radius, parts, similarity)
@@ -337,33 +222,58 @@ def near_duplicates(
 
 
 def _near_by_similarity(docs: DataFrame, id_col: str, text: str, words: int, bits: int, radius: int, parts: int, similarity: float) -> DataFrame:
-    own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    prints = staged(_exact_prints(own, "text", words, bits, similarity), "fingerprints")
-    step = F.floor(F.log(F.greatest("shingles", F.lit(1))) / float(-np.log(similarity))).cast("long")
-    distinct = prints.where("id is not null").groupBy("digest").agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("fp", "fp2", "shingles", "subsets")])
-    distinct = staged(distinct.withColumn("band", step), "distinct")
-    far = links(distinct.where(F.col("shingles") >= SHORT).select(F.col("digest").alias("rep"), "fp", "fp2", "band"), radius, parts, True, TRIES)
-    pairs = staged(far.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    held = _similar(pairs, distinct.select("rep", "digest"), own, "text", words, similarity)
-    # Of those that have a subset in common, all link to the one that lost least for it, if they link to any.
-    short = staged(distinct.select("digest", "shingles", F.inline("subsets")), "subsets")
-    hub = short.groupBy("subset").agg(F.min(F.struct("gone", "digest")).alias("hub"), F.count("*").alias("members"), F.min("shingles").alias("least")).where((F.col("members") > 1) & (F.col("least") < SHORT))
-    near = short.join(hub, "subset").where("digest <> hub.digest and gone + hub.gone <= room").select(F.col("digest").alias("u"), F.col("hub.digest").alias("v"))
-    held = staged(held.union(near).distinct(), "verified")
-    rep = distinct.select("digest", "rep")
-    edges = held.join(rep.select(F.col("digest").alias("u"), F.col("rep").alias("a")), "u").join(rep.select(F.col("digest").alias("v"), F.col("rep").alias("b")), "v")
-    found = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    moved = distinct.join(found.withColumnRenamed("node", "rep"), "rep", "left").where("rows > 1 or root is not null").select("digest", F.coalesce("root", "rep").alias("component"))
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", F.col("id").cast("long")))
-    return prints.join(moved, "digest", "left").select(F.col("id").alias(id_col), "fp", "fp2", component.alias("component"))
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs without all but the first (by id) of each component; options as for near_duplicates().
-
-    Of rows that repeat an id one stays, and rows with a null id stay.
+    rows, percent = docs.select(docs[id_col].alias("id"), docs[text].alias("text")), round(100 * similarity)
+    prints, distinct, sets = jaccard.distinct_sets(rows, words, percent, repeats=True)
+
+    def fingerprint(batches):
+        for batch in batches:
+            h = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch["shingles"]]
+            halves = ([majority(x) for x in h], [majority(mixed(x)) if bits == 128 else 0 for x in h])
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["n"], *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in halves)], names=["rep", "n", "fp", "fp2"])
+
+    step = F.floor(F.log("n") / float(-np.log(similarity))).cast("long")
+    prints_of = staged(sets.mapInArrow(fingerprint, "rep long, n long, fp long, fp2 long").withColumn("band", step), "fingerprints")
+    # Sets with one fingerprint and length step are near as well; the smallest stands for them.
+    one = prints_of.groupBy("fp", "fp2", "band").agg(F.min("rep").alias("hub"), F.count("*").alias("many"))
+    near = links(one.select(F.col("hub").alias("rep"), "fp", "fp2", "band"), radius, parts, True)
+    near = near.select(F.explode(F.array("u", "v")).alias("hub")).union(one.where("many > 1").select("hub")).distinct()
+    meets = prints_of.join(one.join(near, "hub", "left_semi"), ["fp", "fp2", "band"], "left_semi").select("rep")
+    meets = meets.union(prints_of.where(F.col("n") < SHORT).select("rep")).distinct()
+    compared = staged(sets.join(meets, F.col("node") == F.col("rep"), "left_semi"), "compared")
+    out = jaccard.components_of(prints, distinct, jaccard.links(compared, percent), empty=True)
+    return out.select(F.col("id").alias(id_col), "node", "root", "component")
+
+
+def _with_node(docs: DataFrame, text: str, words: int, name: str) -> DataFrame:
+    """docs with the node that names a row's shingles, as near_duplicates() has it."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, ends in slices(batch, text):
+                node = [jaccard.digest(s)[0] for s in shingle_sets(data, ends, words, True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(node, pa.int64())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs without all but the first of each component; options as for near_duplicates().
+
+    The first is the row with the smallest id; with similarity, of rows that repeat that id in the component the one with
+    the smallest node, so that texts that only share an id all stay. Of rows that repeat an id and a text one stays, and
+    rows with a null id stay.
     """
-    found = near_duplicates(docs, id_col, **options)
-    first = found.where(F.col(id_col) == F.col("component")).select(id_col).distinct()
-    kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    found = near_duplicates(docs, id_col, text, **options).where(F.col(id_col).isNotNull())
+    if "node" not in found.columns:
+        first = found.where(F.col(id_col) == F.col("component")).select(id_col).distinct()
+        kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
+        return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    found = staged(found, "found")
+    first = staged(found.groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("id"), "node")).alias("first")).select("first.id", "first.node"), "first")
+    own, node = free_name(docs, "_id"), free_name(docs, "_node")
+    several = staged(found.groupBy(id_col).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select(F.col(id_col).alias(own)), "several")
+    plain = docs.join(several, F.col(id_col) == F.col(own), "left_anti").join(first.select(F.col("id").alias(own)), F.col(id_col) == F.col(own), "left_semi")
+    odd = _with_node(docs.join(several, F.col(id_col) == F.col(own), "left_semi"), text, options.get("words", 3), node)
+    odd = odd.join(first.select(F.col("id").alias(own), F.col("node").alias(own + "_node")), (F.col(id_col) == F.col(own)) & (F.col(node) == F.col(own + "_node")), "left_semi")
+    return plain.dropDuplicates([id_col]).unionByName(odd.dropDuplicates([id_col, node]).drop(node)).unionByName(docs.where(F.col(id_col).isNull()))

@@ -94,22 +94,17 @@ def test_components_of_a_long_path_and_a_hub(spark):
 
 
 @pytest.mark.parametrize("tile", [20, 2_000_000])
-def test_forest_links_the_nearest_of_each_component(monkeypatch, tile):
+def test_forest_connects_what_links_connect(monkeypatch, tile):
     monkeypatch.setattr(simhash, "TILE", tile)
-    fp = np.array([[0, 0], [1, 0], [3, 0], [7, 0], [2**63, 0]], np.uint64)
-    node, root = simhash._forest(fp, np.arange(5), np.arange(5), (1,), 1)
-    assert {frozenset(x) for x in zip(node.tolist(), root.tolist())} == {frozenset(x) for x in [(1, 0), (1, 2), (2, 3), (0, 4)]}
     rng = np.random.default_rng(1)
     fp = rng.integers(0, 1 << 60, (300, 2), np.uint64) & np.uint64(0xF3)
-    for tries, steps in ((1, (2,)), (3, (2,)), (2, (0, 1, 2))):
-        u, v = simhash._forest(fp, np.arange(200), np.arange(100, 300), steps, tries)
-        near = lambda a, b: int(np.bitwise_count(fp[a] ^ fp[b]).sum()) <= 2
-        assert all(near(a, b) for a, b in zip(u, v))
-        assert roots(range(300), zip(u.tolist(), v.tolist())) == roots(range(300), [(a, b) for a in range(200) for b in range(100, 300) if near(a, b)])
-        assert len(u) <= tries * 300
+    near = lambda a, b: int(np.bitwise_count(fp[a] ^ fp[b]).sum()) <= 2
+    u, v = simhash._forest(fp, np.arange(200), np.arange(100, 300), 2)
+    assert all(near(a, b) for a, b in zip(u, v)) and len(u) < 300
+    assert roots(range(300), zip(u.tolist(), v.tolist())) == roots(range(300), [(a, b) for a in range(200) for b in range(100, 300) if near(a, b)])
 
 
-def test_a_family_of_near_copies_gives_few_candidates(spark):
+def test_a_family_of_near_copies_is_one(spark):
     import corpus_pipeline
 
     rng = random.Random(8)
@@ -141,3 +136,47 @@ def test_pipeline_links_are_verified_and_short_texts_compared(spark):
     want = roots(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])])
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id: r.component for r in simhash.near_duplicates(docs, **corpus_pipeline.NEAR).collect()} == want
+
+
+def chains(rng, families):
+    """Families of texts of which neighbours are at 0.8 or more and ends are not, with texts at 0.7 to 0.79 to several members between them."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    texts = []
+    for _ in range(families):
+        base = [word() for _ in range(rng.randrange(60, 200))]
+        for _ in range(rng.randrange(2, 5)):
+            texts.append(list(base))
+            n = len(base)
+            for share in (0.10, 0.13, 0.16):  # a passage of another wording, or two
+                at, size = rng.randrange(n), int(n * share)
+                texts.append([*base[:at], *(word() for _ in range(size)), *base[at + size :]])
+            at, size = rng.randrange(n), max(1, int(n * 0.09))
+            base = [*base[:at], *(word() for _ in range(size)), *base[at + size :]]
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("group", [40, simhash.GROUP])
+def test_links_next_to_false_proposals_hold(spark, monkeypatch, group):
+    import collections
+
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "GROUP", group)
+    texts = chains(random.Random(3), 40)
+    sets = [collections.Counter(simhash.shingle_hashes(" ".join(t).encode(), 5).tolist()) for t in texts]
+    alike = lambda a, b: (a & b).total() / (a | b).total() >= 0.8
+    want = roots(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])])
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component for r in simhash.near_duplicates(docs, **corpus_pipeline.NEAR).collect()} == want
+
+
+def test_unequal_texts_of_one_id_stay(spark):
+    import corpus_pipeline
+
+    one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(1, one, "s"), (1, two, "s"), (1, one, "s"), (2, one, "t"), (3, two, "t"), (None, one, "u"), (4, None, "v"), (5, "", "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    kept = sorted(map(tuple, simhash.keep_first(docs, **corpus_pipeline.NEAR).collect()), key=str)
+    assert kept == sorted([(1, one, "s"), (1, two, "s"), (None, one, "u"), (4, None, "v")], key=str)
+    assert simhash.keep_first(docs.limit(0), **corpus_pipeline.NEAR).count() == 0
