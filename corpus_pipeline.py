@@ -20,7 +20,7 @@ LEAST_LANGUAGE_SCORE = 0.5
 #: Documents with this toxicity score are rejected.
 TOXIC_SCORE = 0.7
 #: Near duplicates: five-word shingles at similarity 0.8, verified. Fingerprints of 128 bits then differ in 19, with a standard deviation of 4.
-NEAR = {"words": 5, "bits": 128, "radius": 32, "parts": 0, "similarity": 0.8}
+NEAR = {"words": 5, "bits": 128, "radius": 40, "parts": 0, "similarity": 0.8}
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
