@@ -116,11 +116,40 @@ def test_inserted_and_deleted_words_and_a_long_text(spark):
 
 def test_blocks_find_every_fingerprint_within_the_radius(spark):
     rng = random.Random(3)
-    flips = [rng.sample(range(64), n) for n in (0, 1, decontam.RADIUS, decontam.RADIUS) for _ in range(50)]
-    rows = [(k, x := rng.getrandbits(63), x ^ sum(1 << b for b in f if b < 63)) for k, f in enumerate(flips)]
-    df = spark.createDataFrame(rows, "k long, a long, b long")
-    a, b = (df.selectExpr("k", f"{c} AS fp").select("k", F.inline(decontam.blocks("fp", off))) for c, off in (("a", 0), ("b", 1)))
-    assert a.join(b, ["k", "block", "value"]).select("k").distinct().count() == len(rows)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = []
+    for k, n in enumerate(n for n in (0, 1, decontam.RADIUS, decontam.RADIUS) for _ in range(50)):
+        x, y = rng.getrandbits(192), sum(1 << b for b in rng.sample(range(192), n))
+        rows.append((k, *(signed(v >> lo & (1 << 64) - 1) for v in (x, x ^ y) for lo in (0, 64, 128))))
+    df = spark.createDataFrame(rows, "k long, a0 long, a1 long, a2 long, b0 long, b1 long, b2 long")
+    listed = lambda c, off, k="k": decontam.blocks(df.selectExpr(f"{k} AS k", *[f"{c}{j} AS fp{j}" for j in range(3)]), off)
+    a = listed("a", decontam.WINDOW_OFF)
+    assert a.join(listed("b", decontam.ITEM_OFF), ["k", "block", "value"]).select("k").distinct().count() == len(rows)
+    other = listed("b", decontam.ITEM_OFF, "k + 1")  # of unrelated ones nearly nine tenths are not looked at
+    assert a.join(other, ["k", "block", "value"]).select("k").distinct().count() < 0.18 * len(rows)
+
+
+def test_fingerprints_are_majorities_of_shingles(spark):
+    rng = random.Random(4)
+    h = [rng.getrandbits(64) - (1 << 63) for _ in range(301)]
+    df = spark.createDataFrame([(x,) for x in h], "h long").select("h", *[F.xxhash64("h", F.lit(k)) for k in (1, 2)])
+    own = list(zip(*df.collect()))
+    sums = df.agg(*[F.sum(x).alias(f"d{k}") for k, x in enumerate(decontam.lanes("h"))])
+    got = sums.select(*decontam.majorities(sums.columns, "301")).first()
+    assert len(got) == 3
+    for part, fp in zip(own, got):
+        assert fp % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in part) > 301)
+
+
+def test_names_that_clash(spark, planted):
+    docs, items = planted
+    names = ["_id", "_leak", "_row", "id", "row", "s", "w", "doc", "h", "item", "pos", "size", "own", "fp"]
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", *[f"{k} AS {n}" for k, n in enumerate(names)])
+    i = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", *[f"{k} AS {n}" for k, n in enumerate(names)])
+    leaked = {k for k, _ in brute(docs, items)}
+    kept = decontam.clean(d, i)
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == sorted(k for k, _ in docs if k not in leaked)
+    assert {r.doc_id for r in decontam.find(d, i).collect()} == leaked
 
 
 def test_plan_runs_no_python(spark, planted):
