@@ -10,6 +10,7 @@ gave the same words, whose period then divides this one.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from fractions import Fraction
 
@@ -56,6 +57,22 @@ def _ones(bits: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     return start, np.flatnonzero(edge == -1) - start
 
 
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(dense ranks of keys, places in the order of keys, then place, which of these has the key of the one before), for keys below the square of their number."""
+    n = np.uint64(len(keys))
+    if len(keys) < 1 << 21:  # key and place fit into one integer
+        both = np.sort(keys * n + np.arange(len(keys), dtype=np.uint64))
+        place = (both % n).astype(np.int64)
+        own = both // n
+    else:
+        place = np.argsort(keys, kind="stable")
+        own = keys[place]
+    same = own[1:] == own[:-1]
+    ranks = np.empty(len(keys), np.uint64)
+    ranks[place] = np.concatenate((np.zeros(1, np.uint64), np.cumsum(~same).astype(np.uint64)))
+    return ranks, place, same
+
+
 def _lags(ids: np.ndarray, least: int, periods: int) -> list[int]:
     """The lags that can be the period of a run: all of which two equal word sequences, one next after the other, are that far apart.
 
@@ -64,7 +81,7 @@ def _lags(ids: np.ndarray, least: int, periods: int) -> list[int]:
     power of two.
     """
     found: set[int] = set()
-    h, width = ids.astype(np.uint64), 1
+    (h, place, same), width = _ranked(ids.astype(np.uint64)), 1
     largest = len(ids) // periods
     if periods < 3:
         return list(range(1, largest + 1))
@@ -73,14 +90,13 @@ def _lags(ids: np.ndarray, least: int, periods: int) -> list[int]:
     while width <= max(2 * largest, first) and len(h):
         lowest = 1 if width == first else width // 2
         if width >= first:
-            order = np.argsort(h, kind="stable")
-            apart = np.diff(order)[h[order][1:] == h[order][:-1]]
+            apart = np.diff(place)[same]
             found.update(np.unique(apart[(apart >= lowest) & (apart < width) & (apart <= largest)]).tolist())
         if len(h) <= width:
             break
         # Pairs of ids name sequences of twice the words, without hashes.
-        _, h = np.unique(np.stack([h[:-width], h[width:]], axis=1), axis=0, return_inverse=True)
-        h, width = h.reshape(-1).astype(np.uint64), 2 * width
+        h, place, same = _ranked(h[:-width] * (h.max() + np.uint64(1)) + h[width:])
+        width *= 2
     return sorted(found)
 
 
@@ -174,10 +190,11 @@ def _texts(batches, plant: bool):
             hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + (1 << 20), side="right")) - 1)
             raw, ids = data[ends[lo] : ends[hi]].tobytes(), batch["id"].slice(lo, hi - lo)
             of: dict[bytes, int] = {}
-            words, coded = [], []
+            words, coded, known = [], [], 0
             for a, b, key in zip(ends[lo:hi] - ends[lo], ends[lo + 1 : hi + 1] - ends[lo], ids.to_pylist()):
                 parts = raw[a:b].split()
-                code = np.fromiter((of.setdefault(w, len(of)) for w in parts), np.int64, len(parts))
+                code = np.fromiter(map(of.setdefault, parts, itertools.count(known)), np.int64, len(parts))
+                known += len(parts)
                 if plant:
                     at = planted(key, len(parts))
                     parts, code = [parts[i] for i in at.tolist()], code[at]
