@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, format_note
+from . import geometry
 from .filters import FILE_CLASSES, file_class, having, lacking
 from .tree import nested
 
 #: The severity of each category unless a user sets another.
 SEVERITY = {
     "missing": "danger", "missing_item": "danger", "missing_library": "danger", "empty": "info", "empty_file": "info", "nesting": "warning", "duplicate": "warning", "no_image": "silent", "no_mesh": "silent",
-    "no_license": "silent", "no_links": "silent", "no_creator": "silent", "no_tags": "silent", "inefficient": "info", "file_naming": "silent",
+    "no_license": "silent", "no_links": "silent", "no_creator": "silent", "no_tags": "silent", "inefficient": "info", "file_naming": "silent", "non_manifold": "warning",
 }
 RANK = {"silent": 0, "info": 1, "warning": 2, "danger": 3}
 
@@ -97,6 +98,12 @@ detector("no_image", "item")(_without("image"))
 detector("no_mesh", "item")(_without("mesh"))
 
 
+@detector("non_manifold", "file", "triangles")
+def non_manifold(t):
+    """Meshes that are no closed surfaces; triangles has the file in column mesh."""
+    return geometry.manifold(t["triangles"]).where("not manifold").select(F.col("mesh").alias("id"))
+
+
 def _blank(column: str) -> Detector:
     return lambda t: t["items"].where(F.coalesce(F.trim(F.col(column).cast("string")), F.lit("")) == "").select("id")
 

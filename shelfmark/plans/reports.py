@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import detectors, filters, merging, ranking, tree
+from ..operators import detectors, filters, geometry, merging, ranking, tree
 from ..sources import archives
 from .registry import query, table
 
@@ -239,6 +239,36 @@ def filter_collection_subtree(spark, d):
     return filters.Catalogue(within, t["tags"], t["links"], None, t["files"]).filtered(spec).select("id")
 
 
+_FACES = """c AS (SELECT p_partkey AS mesh, p_size AS s, [{'x': 0, 'y': 0, 'z': 0}, {'x': p_size, 'y': 0, 'z': 0}, {'x': 0, 'y': p_size % 7, 'z': 0}, {'x': 0, 'y': 0, 'z': p_partkey % 5}] AS p FROM part),
+f AS (SELECT mesh, p[t.a] AS a, p[t.b] AS b, p[t.c] AS c FROM c, (VALUES (1, 1, 2, 3), (2, 1, 2, 4), (3, 1, 3, 4), (4, 2, 3, 4), (5, 2, 3, 4)) t(k, a, b, c) WHERE k < 4 OR (k = 4 AND s % 3 > 0) OR (k = 5 AND s % 4 = 0))"""
+
+
+def _meshes(spark, d):
+    """Parts as tetrahedra, of which some lack a face, have one twice, or are flat."""
+    size, key = F.col("p_size"), F.col("p_partkey").cast("int")
+    point = lambda x, y, z: F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
+    zero = F.lit(0)
+    corners = table(spark, d, "part").select(F.col("p_partkey").alias("mesh"), size.alias("s"), F.array(point(zero, zero, zero), point(size, zero, zero), point(zero, size % 7, zero), point(zero, zero, key % 5)).alias("p"))
+    faces = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip("kuvw", f)]) for f in ((1, 0, 1, 2), (2, 0, 1, 3), (3, 0, 2, 3), (4, 1, 2, 3), (5, 1, 2, 3))])
+    each = corners.withColumn("f", F.explode(faces)).where("f.k < 4 or (f.k = 4 and s % 3 > 0) or (f.k = 5 and s % 4 = 0)")
+    return each.select("mesh", *[F.get("p", F.col(f"f.{n}")).alias(c) for n, c in zip("uvw", "abc")])
+
+
+@query(f"""WITH {_FACES}, g AS (SELECT * FROM f WHERE a <> b AND b <> c AND a <> c),
+e AS (SELECT mesh, least(x, y) AS u, greatest(x, y) AS v, count(*) AS n FROM (SELECT mesh, a AS x, b AS y FROM g UNION ALL SELECT mesh, b, c FROM g UNION ALL SELECT mesh, a, c FROM g) GROUP BY ALL),
+m AS (SELECT mesh, CAST(sum(n) / 3 AS BIGINT) AS triangles, count(*) AS edges, count(*) FILTER (n = 1) AS open_edges, count(*) FILTER (n > 2) AS crowded_edges FROM e GROUP BY 1)
+SELECT DISTINCT mesh, coalesce(triangles, 0) AS triangles, coalesce(edges, 0) AS edges, coalesce(open_edges, 0) AS open_edges, coalesce(crowded_edges, 0) AS crowded_edges, coalesce(open_edges + crowded_edges = 0, false) AS manifold
+FROM f LEFT JOIN m USING (mesh)""")
+def manifold_meshes(spark, d):
+    """Which meshes are closed surfaces."""
+    return geometry.manifold(_meshes(spark, d))
+
+
+@query(f"""WITH {_FACES}, q AS (SELECT mesh, unnest([a, b, c]) AS p FROM f) SELECT mesh, max(p.x) - min(p.x) AS width, max(p.y) - min(p.y) AS depth, max(p.z) - min(p.z) AS height FROM q GROUP BY 1""")
+def mesh_sizes(spark, d):
+    return geometry.bounds(_meshes(spark, d)).select("mesh", F.col("size.x").alias("width"), F.col("size.y").alias("depth"), F.col("size.z").alias("height"))
+
+
 @query("""SELECT o_custkey, o_orderpriority AS role, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1""")
 def duplicate_roles(spark, d):
     roles = table(spark, d, "orders").select("o_custkey", F.col("o_orderpriority").alias("role"))
