@@ -45,6 +45,14 @@ class Window:
         return self.cut(df, by).join(F.broadcast(count)).withColumn(more, F.col(total) > self.offset + self.size)
 
 
+def links(window: Window, total: Column) -> Column:
+    """A struct of page numbers, from 1: of the window's page, the first, the previous and the next, where there are such, and the last."""
+    page, last = window.offset // window.size + 1, F.greatest(F.ceil(total / window.size), F.lit(1)).cast("long")
+    here = F.lit(page).cast("long")
+    previous = F.when(here > 1, F.least(here - 1, last))
+    return F.struct(here.alias("page"), F.lit(1).cast("long").alias("first"), previous.alias("previous"), F.when(here < last, here + 1).alias("next"), last.alias("last"))
+
+
 def after(df: DataFrame, key: str, cursor, size: int) -> DataFrame:
     """A keyset page: the next rows by key after the cursor."""
     return df.where(F.col(key) > cursor).orderBy(key).limit(size)

@@ -31,13 +31,20 @@ def name_pairs(items: DataFrame, key: str, name: str, category: str) -> DataFram
 
 
 def overlap_pairs(facts: DataFrame, key: str, on: list[str], least: int = LEAST_OVERLAP) -> DataFrame:
-    """(a, b, overlap): all pairs of items that share so many facts, by an inverted index on the facts.
+    """(a, b, overlap): items that share so many facts, by an inverted index on the facts.
 
-    Facts that over COMMON items have are counted apart: items that share enough of them share one besides the least - 1
-    commonest of either, so those propose no pairs, and what pairs share of them is counted from each item's few.
+    Items with the very same facts pair with the smallest of them, which alone pairs with others, so that copies make no
+    square. Facts that over COMMON of these have are counted apart: items that share enough of them share one besides the
+    least - 1 commonest of either, so those propose no pairs, and what pairs share of them is counted from each item's few.
     """
-    rows = facts.select(F.col(key).alias("_item"), *on).na.drop().distinct()
-    known = rows.join(rows.groupBy(*on).agg(F.count("*").alias("_many")).where("_many > 1"), on)
+    mark = F.sum(F.xxhash64(*on).cast("decimal(38,0)"))
+    rows = staged(facts.select(F.col(key).alias("_item"), *on).na.drop().distinct(), "facts")
+    sets = rows.groupBy("_item").agg(F.count("*").alias("_size"), mark.alias("_mark"))
+    same = sets.groupBy("_size", "_mark").agg(F.min("_item").alias("a"), F.count("*").alias("_items"))
+    copies = sets.join(same.where((F.col("_items") > 1) & (F.col("_size") >= least)), ["_size", "_mark"]).where("_item > a").select("a", F.col("_item").alias("b"), F.col("_size").alias("overlap"))
+    rows = rows.join(same.where(F.col("_size") >= least).select(F.col("a").alias("_item")), "_item", "left_semi")
+    many = rows.groupBy(*on).agg(F.count("*").alias("_many")).where("_many > 1")
+    known = staged(rows.join(many, on), "known")
 
     def met(df: DataFrame) -> DataFrame:
         return df.select(*on, F.col("_item").alias("a")).join(df.select(*on, F.col("_item").alias("b")), on).where("a < b")
@@ -45,14 +52,15 @@ def overlap_pairs(facts: DataFrame, key: str, on: list[str], least: int = LEAST_
     direct = met(known.where(F.col("_many") <= COMMON)).groupBy("a", "b").agg(F.count("*").alias("overlap"))
     common = known.where(F.col("_many") > COMMON)
     if common.isEmpty():
-        return direct.where(F.col("overlap") >= least)
+        return direct.where(F.col("overlap") >= least).unionByName(copies)
     rank = F.row_number().over(Window.partitionBy("_item").orderBy(F.desc("_many"), *on))
     proposed = met(common.withColumn("_k", rank).where(F.col("_k") >= least)).select("a", "b", F.lit(0).cast("long").alias("overlap"))
     pairs = direct.unionByName(proposed).groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
     held = common.groupBy("_item").agg(F.collect_list(F.struct(*on)).alias("_facts"))
     a, b = (held.select(F.col("_item").alias(k), F.col("_facts").alias(f"_{k}")) for k in ("a", "b"))
     shared = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.size(F.array_intersect("_a", "_b"))).otherwise(0)
-    return pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", (F.col("overlap") + shared).alias("overlap")).where(F.col("overlap") >= least)
+    counted = pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", (F.col("overlap") + shared).alias("overlap"))
+    return counted.where(F.col("overlap") >= least).unionByName(copies)
 
 
 def candidates(items: DataFrame, files: DataFrame, key: str = "id", name: str = "name", category: str = "category") -> DataFrame:
@@ -83,6 +91,17 @@ def decide(pairs: DataFrame, previews: Column, verdict: Column, confidence: Colu
     return out.withColumn("approved", (F.col("decision") == "merge") & (F.col("confidence") >= threshold))
 
 
+def with_target(decided: DataFrame, names: DataFrame, previews: Column, verdict: Column) -> DataFrame:
+    """decided (a, b, decision) with source and target: without previews the item of the shorter name stays, of equal ones
+    a; with previews the verdict says which, ``b`` or else a. Those that stay separate have neither. names has id and name."""
+    own = lambda k: names.select(F.col("id").alias(k), F.length("name").alias(f"_{k}"))
+    joined = decided.join(own("a"), "a", "left").join(own("b"), "b", "left")
+    stays = F.when(previews, F.when(F.lower(verdict) == "b", F.col("b")).otherwise(F.col("a"))).when(F.col("_a") <= F.col("_b"), F.col("a")).otherwise(F.col("b"))
+    merges = F.col("decision") == "merge"
+    out = joined.withColumn("target", F.when(merges, stays)).withColumn("source", F.when(merges, F.when(stays == F.col("a"), F.col("b")).otherwise(F.col("a"))))
+    return out.drop("_a", "_b")
+
+
 def merge_targets(merges: DataFrame) -> DataFrame:
     """(source, target, at, status): merges in their order, with the item that each source ends up in.
 
@@ -211,6 +230,23 @@ def copy_passes(files: DataFrame, least: int = 1024) -> DataFrame:
     return named.unionByName(same).unionByName(repeats(rest, [F.col("size"), F.col("digest")], "sha256"))
 
 
+def numbered_copies(files: DataFrame) -> DataFrame:
+    """(id, action, new_name) of files whose stem ends in `` (n)``: what becomes of them.
+
+    files has id, folder, name and size. Where the folder has a file of the bare name, whatever its case, all go
+    (``delete``); else the one with the lowest number, then size, then name, gets the bare name (``promote``) and the others go.
+    """
+    pattern = r"^(.*) \((\d+)\)(\.[^.]*)?$"
+    part = lambda k: F.regexp_extract("name", pattern, k)
+    numbered = F.col("name").rlike(pattern)
+    marked = files.where(numbered).select("id", "folder", "name", "size", part(2).try_cast("long").alias("n"), F.concat(part(1), part(3)).alias("bare")).withColumn("low", F.lower("bare"))
+    plain = files.where(~numbered).select("folder", F.lower("name").alias("low"), F.lit(True).alias("plain")).distinct()
+    least = marked.groupBy("folder", "low").agg(F.min(F.struct(F.coalesce("n", F.lit(1 << 62)).alias("n"), "size", "name", "id")).alias("first"))
+    joined = marked.join(least, ["folder", "low"]).join(plain, ["folder", "low"], "left")
+    promoted = F.col("plain").isNull() & (F.col("id") == F.col("first.id"))
+    return joined.select("id", F.when(promoted, "promote").otherwise("delete").alias("action"), F.when(promoted, F.col("bare")).alias("new_name"))
+
+
 def keep_oldest(files: DataFrame, group: list[str], by: list[Column]) -> DataFrame:
     """files with keep: true for the first of each group, by an order (ascending) that ends in a key. Found by an aggregation, so that a large group is never sorted."""
     aged = files.withColumn("_age", F.struct(*[c.alias(f"c{k}") for k, c in enumerate(by)])).withColumn("_group", F.struct(*group))

@@ -153,3 +153,13 @@ def set_all_requested_known(spark, d):
     ids = spark.createDataFrame([(1,), (2,), (3,), (999999999,)], "id long")
     joined = ids.join(table(spark, d, "customer"), F.col("c_custkey") == F.col("id"), "left")
     return joined.agg(F.count("*").alias("asked"), F.count("c_custkey").alias("known"), (F.count("*") == F.count("c_custkey")).alias("complete"))
+
+
+@query("""WITH t AS (SELECT c_nationkey, count(*) AS total FROM customer GROUP BY 1)
+SELECT c_nationkey, total, 3 AS page, 2 AS previous, CASE WHEN total > 60 THEN 4 END AS next, CAST(ceil(total / 20) AS BIGINT) AS last FROM t WHERE total > 40""")
+def browse_page_links(spark, d):
+    """The links of the third page of each nation's customers that has one."""
+    window = browse.Window.of(40, 20)
+    totals = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("total")).where("total > 40")
+    v = totals.withColumn("v", browse.links(window, F.col("total")))
+    return v.select("c_nationkey", "total", "v.page", "v.previous", "v.next", "v.last")

@@ -86,10 +86,14 @@ def name_pairs(spark, d):
     return merging.name_pairs(table(spark, d, "part"), "p_partkey", "p_name", "p_brand")
 
 
-@query("""WITH f AS (SELECT DISTINCT l_orderkey, l_partkey, CAST(l_linenumber AS BIGINT) AS n FROM lineitem)
+@query("""WITH f AS (SELECT DISTINCT l_orderkey, l_partkey, CAST(l_linenumber AS BIGINT) AS n FROM lineitem),
+s AS (SELECT l_orderkey AS item, list(l_partkey * 100 + n ORDER BY l_partkey, n) AS facts FROM f GROUP BY 1),
+c AS (SELECT item, min(item) OVER (PARTITION BY facts) AS first, len(facts) AS size FROM s)
 SELECT a.l_orderkey AS a, b.l_orderkey AS b, count(*) AS overlap FROM f a JOIN f b ON a.l_partkey = b.l_partkey AND a.n = b.n AND a.l_orderkey < b.l_orderkey
-GROUP BY 1, 2 HAVING count(*) >= 2""")
+WHERE a.l_orderkey IN (SELECT first FROM c) AND b.l_orderkey IN (SELECT first FROM c) GROUP BY 1, 2 HAVING count(*) >= 2
+UNION ALL SELECT first, item, size FROM c WHERE first < item AND size >= 2""")
 def overlap_pairs(spark, d):
+    """Orders that share lines; those of the very same lines pair with the first of them."""
     facts = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     return merging.overlap_pairs(facts, "l_orderkey", ["l_partkey", "l_linenumber"], 2)
 
@@ -194,6 +198,40 @@ def plan_status(spark, d):
     return merging.apply_status(plan, paths).select("id", "status")
 
 
+@query("""WITH f AS (SELECT DISTINCT l_orderkey * 100000 + l_partkey AS id, l_orderkey AS folder, l_partkey % 4 AS base, l_partkey % 7 AS n, l_partkey AS size FROM lineitem),
+k AS (SELECT id, folder, n, size, CASE WHEN base % 2 = 0 AND n % 2 = 1 THEN 'FILE' ELSE 'File' END || base || CASE WHEN n > 0 THEN ' (' || n || ')' ELSE '' END || '.stl' AS name,
+ CASE WHEN base % 2 = 0 AND n % 2 = 1 THEN 'FILE' ELSE 'File' END || base || '.stl' AS bare FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY folder, lower(bare) ORDER BY n, size, name, id) AS k, max(n = 0) OVER (PARTITION BY folder, lower(bare)) AS plain FROM k)
+SELECT id, CASE WHEN k = 1 AND NOT plain THEN 'promote' ELSE 'delete' END AS action, CASE WHEN k = 1 AND NOT plain THEN bare END AS new_name FROM r WHERE n > 0""")
+def numbered_copies(spark, d):
+    """Files with a number behind their name, beside the one without it or instead of it."""
+    f = table(spark, d, "lineitem").select((F.col("l_orderkey") * 100000 + F.col("l_partkey")).alias("id"), F.col("l_orderkey").alias("folder"), F.col("l_partkey").alias("size")).distinct()
+    base, n = F.col("size") % 4, F.col("size") % 7
+    stem = F.concat(F.when((base % 2 == 0) & (n % 2 == 1), "FILE").otherwise("File"), base.cast("string"))
+    return merging.numbered_copies(f.withColumn("name", F.concat(stem, F.when(n > 0, F.concat(F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(""), F.lit(".stl"))))
+
+
+@query("""WITH k AS (SELECT p_partkey AS b, min(p_partkey) OVER (PARTITION BY p_brand, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g')) AS a FROM part),
+n AS (SELECT p_partkey AS id, p_name || CASE WHEN p_size % 3 = 0 THEN ' (2)' ELSE '' END AS name, p_size FROM part)
+SELECT a, b, CASE WHEN y.p_size > 45 THEN CASE WHEN b % 2 = 0 THEN b ELSE a END WHEN length(x.name) <= length(y.name) THEN a ELSE b END AS target,
+ CASE WHEN y.p_size > 45 THEN CASE WHEN b % 2 = 0 THEN a ELSE b END WHEN length(x.name) <= length(y.name) THEN b ELSE a END AS source FROM k JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE a < b""")
+def merge_directions(spark, d):
+    """Which of two items stays: the one of the shorter name, or what a look at both said."""
+    part = table(spark, d, "part")
+    names = part.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.when(F.col("p_size") % 3 == 0, " (2)").otherwise("")).alias("name"), "p_size")
+    pairs = merging.name_pairs(part, "p_partkey", "p_name", "p_brand").withColumn("decision", F.lit("merge")).join(names.select(F.col("id").alias("b"), "p_size"), "b")
+    return merging.with_target(pairs, names.select("id", "name"), F.col("p_size") > 45, F.when(F.col("b") % 2 == 0, "B").otherwise("a")).select("a", "b", "target", "source")
+
+
+@query("""SELECT o_orderkey AS id, trim(CASE WHEN o_orderkey % 3 = 0 THEN '/' ELSE '' END || o_orderpriority || '/' || o_custkey, '/') || CASE WHEN o_custkey % 5 = 0 THEN '--unmerged-' || o_orderkey ELSE '' END AS new_path FROM orders WHERE o_orderkey % 4 > 0""")
+def unmerged_paths(spark, d):
+    """Paths of items that are made again, of which some are taken by now."""
+    o = table(spark, d, "orders")
+    path = F.concat_ws("/", "o_orderpriority", F.col("o_custkey").cast("string"))
+    past = o.where("o_orderkey % 4 > 0").select(F.col("o_orderkey").alias("id"), F.lit(1).alias("source_library_id"), F.concat(F.when(F.col("o_orderkey") % 3 == 0, "/").otherwise(""), path).alias("source_path"))
+    return merging.unmerged_paths(past, o.where("o_custkey % 5 = 0").select(F.lit(1).alias("library_id"), path.alias("path"))).select("id", "new_path")
+
+
 @query("""WITH s AS (SELECT c_custkey AS id, 'resolving' AS state FROM customer WHERE c_custkey % 3 = 0),
 d AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal < 0)
 SELECT d.id, CASE WHEN s.state = 'resolving' THEN 'resolving' ELSE 'detected' END AS state, false AS ignored, s.id IS NOT NULL AS known FROM d LEFT JOIN s USING (id)""")
