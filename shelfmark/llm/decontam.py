@@ -3,9 +3,9 @@
 A window of a document has as many words as a benchmark item. A window can be similar to an item only if most of its
 shingles occur in items of that size, which a running sum over a document's known shingles tells for every window; all
 windows of which that holds, at every start, are fingerprinted, from running sums of their document's bits: a
-window's counts are the difference of two. Fingerprints are listed by blocks of bits, those of windows with every value one bit off and those of
-items with every value two bits off: a fingerprint within RADIUS bits has a block at most three bits off, so this finds
-every item within the radius, and few others. What is found is then verified by the exact similarity of shingle counts.
+window's counts are the difference of two. Fingerprints are listed by blocks of bits, those of items with every value up to
+three bits off, as items are few beside windows: a fingerprint within RADIUS bits has a block at most three bits off, so
+looking up a window's blocks finds every item within the radius, and few others. What is found is then verified by the exact similarity of shingle counts.
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ SIMILARITY = 0.8
 #: Longer items are looked for in equal pieces of at most so many words.
 PIECE = 4096
 #: Blocks of a fingerprint and their bits, and by how many bits those of windows and of items are listed.
-BLOCKS, WIDTH, WINDOW_OFF, ITEM_OFF = 12, 16, 1, 2
+BLOCKS, WIDTH, WINDOW_OFF, ITEM_OFF = 12, 16, 0, 3
 #: The longs of a fingerprint.
 PRINT = [f"fp{k}" for k in range(BLOCKS * WIDTH // 64)]
 #: Bits, of 192, by which fingerprints may differ: one block then differs in as many as both lists make up for. At similarity
 #: 0.8 they differ in 30, with a standard deviation of 5, at 0.85 in 24.
 RADIUS = BLOCKS * (WINDOW_OFF + ITEM_OFF + 1) - 1
-#: Bits that are counted in one long, each in so many bits of it; the last has room for carries.
-LANES, LANE = 3, 16
+#: Bits that are counted in one long, each in so many bits of it; the last has room for carries of 16 million hashes.
+LANES, LANE = 4, 13
 #: Rows of tables of items or of found documents up to which they are sent to every executor; with more, documents are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -49,7 +49,7 @@ def shingles(words: str) -> Column:
 def lanes(h: str) -> list[Column]:
     """The bits of a hash column and of others made of it, spread over the lanes of longs, so that sums of these count each bit.
 
-    Differences of such sums are sums themselves, of up to 65,535 hashes, whatever the lanes below have carried over.
+    Differences of such sums are sums themselves, of up to 8,191 hashes, whatever the lanes below have carried over.
     """
     out = []
     for own in (h, *(f"xxhash64({h}, {k})" for k in range(1, len(PRINT)))):
@@ -128,17 +128,26 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
     again = again.select("id", words("text").alias("w")).select("id", shingles("w").alias("s")).withColumn("row", F.xxhash64("s")).dropDuplicates(["id", "row"])
     doc = F.struct("id", "row").alias("doc")
     again = staged(again.join(_small(found), F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left_semi").select(doc, "s"), "again")
-    placed = again.select("doc", F.posexplode("s").alias("pos", "h"))
-    upto = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.explode(F.sequence(F.col("first") - F.col("own") + 1, F.col("stop") - F.col("own") + 1)).alias("start")
+    spans = staged(ranges.select(doc, "size", "own", start).withColumn("end", F.col("start") + F.col("own")), "spans")
+    asked = spans.select("doc", F.explode(F.array("start", "end")).alias("pos")).distinct().withColumn("asked", F.lit(True))
+    # Only the stretches of a document that windows cover, each with sums of its own.
+    covered = ranges.select(doc, (F.col("first") - F.col("own") + 1).alias("lo"), F.col("stop").alias("hi"))
+    by_start = Window.partitionBy("doc").orderBy("lo", "hi")
+    furthest = F.max("hi").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    covered = covered.withColumn("new", F.coalesce((F.col("lo") > furthest + 1).cast("int"), F.lit(1))).withColumn("stretch", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    covered = covered.groupBy("doc", "stretch").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    placed = again.join(covered, "doc").select("doc", "stretch", "lo", F.posexplode(F.slice("s", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1)).alias("p", "h"))
+    placed = placed.select("doc", "stretch", (F.col("lo") + F.col("p") + 1).alias("pos"), "h").join(asked, ["doc", "pos"], "left")
+    # Dealt out and sorted before the sums are made of the hashes, and only those kept that a window begins or ends at.
+    dealt = placed.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc", "stretch").sortWithinPartitions("doc", "stretch", "pos")
     at = [f"d{k}" for k in range(len(sums))]
-    running = placed.select("doc", "pos", *[x.alias(c) for c, x in zip(at, lanes("h"))]).select("doc", "pos", *[F.sum(c).over(upto).alias(c) for c in at])
-    running = staged(running, "running")
+    upto = Window.partitionBy("doc", "stretch").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    running = dealt.select("doc", "stretch", "pos", "asked", *[x.alias(c) for c, x in zip(at, lanes("h"))]).select("doc", "pos", "asked", *[F.sum(c).over(upto).alias(c) for c in at])
+    running = staged(running.where("asked").drop("asked"), "running")
 
-    start = F.explode(F.sequence(F.col("first") - F.col("own") + 1, F.col("stop") - F.col("own") + 1)).alias("start")
-    spans = ranges.select(doc, "size", "own", start)
-    last = running.select("doc", (F.col("pos") + 1).alias("end"), *[F.col(c).alias(f"e{c}") for c in at])
-    before = running.select("doc", (F.col("pos") + 1).alias("start"), *at)
-    summed = spans.withColumn("end", F.col("start") + F.col("own")).join(last, ["doc", "end"]).join(before, ["doc", "start"], "left")
+    last = running.select("doc", F.col("pos").alias("end"), *[F.col(c).alias(f"e{c}") for c in at])
+    summed = spans.join(last, ["doc", "end"]).join(running.withColumnRenamed("pos", "start"), ["doc", "start"], "left")
     window = ["doc", "size", "own", "start"]
     printed = summed.select(*window, *[(F.col(f"e{c}") - F.coalesce(c, F.lit(0))).alias(c) for c in at])
     printed = staged(printed.select(*window, *majorities(at, "own")), "windows")

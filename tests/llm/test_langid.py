@@ -102,3 +102,45 @@ def test_held_out_accuracy(spark):
     assert len(rows) == len(docs)
     held = [r for r in rows if r.held_out and docs[r.doc_id]]
     assert held and sum(r.lang_pred == docs[r.doc_id] for r in held) / len(held) > 0.99
+
+
+def test_sample_and_prediction_equal_brute_force(spark):
+    import collections
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    words = {"a": "the cat and hat that had on mat".split(), "b": "der hund und die katze der hut".split(), "c": "le chat et la souris du toit".split()}
+    rows = [(k, lang, " ".join(rng.choices(words[lang], k=rng.randrange(1, 9)))) for k, lang in enumerate(rng.choices("abc", [6, 3, 1], k=90))]
+    rows += [(100, "a", None), (101, None, "the hat"), (102, "c", ""), (3, "a", "the cat")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    m = langid.train(docs, max_bytes=400)
+    place = {(r.doc_id, r.text): r.p for r in docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("p")).collect()}
+    want, counts, known = collections.Counter(), {}, set()
+    for lang in "abc":
+        own = [(place[i, t], t) for i, k, t in rows if k == lang and t]
+        share = min(1.0, 400 / sum(len(t) for _, t in own))
+        sample = [t for p, t in own if p < max(int(share * (1 << 40)), min(own)[0] + 1)]
+        assert 0 < len(sample) <= len(own) and (share == 1) == (len(sample) == len(own))
+        counts[lang] = {}
+        for t in sample:
+            b = b"\0\0\0" + t.encode()
+            for i in range(3, len(b)):
+                want[lang, int.from_bytes(b[i - 3 : i + 1], "big")] += 1
+                for n in range(4):
+                    c = b[i - n : i]
+                    known.add(c)
+                    at = counts[lang].setdefault(c, {})
+                    at[b[i]] = at.get(b[i], 0) + 1
+    assert m.langs == ["a", "b", "c"]
+    assert {(m.langs[k], c): n for k, c, n in zip(m.lang.tolist(), m.code.tolist(), m.count.tolist())} == want
+    asked = [(k, " ".join(rng.choices(sum(words.values(), []), k=rng.randrange(1, 4)))) for k in range(25)] + [(99, "12 !")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(spark.createDataFrame(asked, "doc_id long, text string"), m).collect()}
+    assert got.pop(99) == ("und", 0.0)
+    for k, t in asked[:-1]:
+        b = b"\0\0\0" + t.encode()
+        bits = [-sum(np.log2(probability(counts[x], known, b[j - 3 : j], b[j])) for j in range(3, len(b))) for x in "abc"]
+        odds = [2.0 ** (min(bits) - x) for x in bits]
+        assert got[k][1] == pytest.approx(max(odds) / sum(odds), rel=1e-3)
+        assert got[k][0] == "abc"[int(np.argmin(bits))] or sorted(bits)[1] - min(bits) < 1e-3
