@@ -114,7 +114,7 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_report(_table(spark, sf_dir, "documents"), plant=True)
 
 
-@query()
+@query(jaccard.SQL)
 def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.similar_groups(_table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("component", "component_id")
