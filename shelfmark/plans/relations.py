@@ -144,9 +144,9 @@ r AS (SELECT target, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS source, CAS
   SELECT e.*, have, list_filter(have, lambda x: x.n = name)[1] AS hit FROM r JOIN e ON e.target = r.target AND e.i = r.i + 1))))
 SELECT source, target, id AS file_id, action, new_name, same_as FROM r WHERE i > 0""")
 def merge_plan(spark, d):
-    """Seven orders into each eighth, the last first; every other one by way of the fourth of them."""
+    """Seven orders into each eighth, the last first; every other one by way of the first of them."""
     k = F.col("o_orderkey")
-    target = F.when((k % 8 != 4) & (k % 2 == 0), k - k % 8 + 4).otherwise(k - k % 8)
+    target = F.when(k % 2 == 0, k - k % 8 + 1).otherwise(k - k % 8)
     merges = table(spark, d, "orders").where(k % 8 > 0).select(k.alias("source"), target.alias("target"), (-k).alias("at"))
     planned = merging.merge_targets(merges).where("status = 'merge'").drop("status")
     return merging.merge_plan(_line_files(spark, d), planned).select("source", "target", "file_id", "action", "new_name", "same_as")
@@ -166,8 +166,10 @@ def merge_chains(spark, d):
 
 
 @query("""WITH m AS (SELECT o_orderkey AS source, o_orderkey + 1 AS target, o_orderdate AS merged, o_custkey % 7 = 0 AS undone FROM orders),
-f AS (SELECT DISTINCT l_orderkey, l_linenumber * 100000 + l_partkey AS id, l_partkey AS name, l_suppkey AS digest FROM lineitem)
-SELECT source, target, s.id AS file_id, max(CASE WHEN t.name IS NOT NULL AND t.digest = s.digest THEN 'create' ELSE 'move' END) AS action FROM m JOIN f s ON s.l_orderkey = source LEFT JOIN f t ON t.l_orderkey = target AND t.name = s.name
+f AS (SELECT DISTINCT l_orderkey, l_linenumber * 100000 + l_partkey AS id, l_partkey AS name, CAST(l_suppkey AS VARCHAR) AS digest FROM lineitem),
+h AS (SELECT l_orderkey, name, min(id) AS id, arg_min(digest, (id, digest)) AS digest FROM f GROUP BY ALL)
+SELECT source, target, s.id AS file_id, max(CASE WHEN t.name IS NOT NULL THEN CASE WHEN t.digest = s.digest THEN 'create' ELSE 'move' END WHEN o.id <> s.id AND o.digest = s.digest THEN 'create' ELSE 'move' END) AS action
+FROM m JOIN f s ON s.l_orderkey = source LEFT JOIN h t ON t.l_orderkey = target AND t.name = s.name JOIN h o ON o.l_orderkey = source AND o.name = s.name
 WHERE NOT undone AND merged >= TIMESTAMP '1998-01-01' - INTERVAL 90 DAY GROUP BY ALL""")
 def unmerge_plan(spark, d):
     """What undoing recent merges does with each file, from the histories that the merges left."""
