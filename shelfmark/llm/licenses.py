@@ -114,6 +114,63 @@ RULES = [
     ("MPL-2.0", ("spdx-mpl-2.0",)),
     ("ISC", ("spdx-isc",)),
 ]
+#: Licences by their identifiers, with the names that notices have for them. Identifiers are names as well.
+NAMES = {
+    "0BSD": ("Zero-Clause BSD License",),
+    "AFL-3.0": ("Academic Free License version 3.0", "Academic Free License 3.0"),
+    "AGPL-3.0-only": ("GNU Affero General Public License version 3", "GNU Affero General Public License v3.0", "GNU AGPLv3", "AGPLv3", "AGPL v3", "AGPL-3.0"),
+    "AGPL-3.0-or-later": ("GNU Affero General Public License version 3 or later", "AGPLv3 or later"),
+    "Apache-1.1": ("Apache Software License, Version 1.1", "Apache License 1.1"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache License, v2.0", "Apache 2.0 License", "Apache 2.0", "Apache Software License 2.0"),
+    "Artistic-1.0": ("Artistic License 1.0",),
+    "Artistic-2.0": ("Artistic License 2.0", "Artistic License, Version 2.0"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "FreeBSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License", "Revised BSD License"),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0", "Boost Software License"),
+    "CC-BY-3.0": ("Creative Commons Attribution 3.0 Unported License", "CC BY 3.0"),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0"),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0"),
+    "CC-BY-NC-SA-4.0": ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "CC BY-NC-SA 4.0"),
+    "CC-BY-NC-ND-4.0": ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "CC BY-NC-ND 4.0"),
+    "CC-BY-ND-4.0": ("Creative Commons Attribution-NoDerivatives 4.0 International License", "CC BY-ND 4.0"),
+    "CC-BY-SA-3.0": ("Creative Commons Attribution-ShareAlike 3.0 Unported License", "CC BY-SA 3.0"),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0"),
+    "CC0-1.0": ("CC0 1.0 Universal", "CC0 1.0", "CC0", "Creative Commons Zero v1.0 Universal"),
+    "CDDL-1.0": ("Common Development and Distribution License 1.0", "Common Development and Distribution License, Version 1.0", "CDDL 1.0"),
+    "CDDL-1.1": ("Common Development and Distribution License 1.1", "CDDL 1.1"),
+    "ECL-2.0": ("Educational Community License, Version 2.0", "Educational Community License v2.0"),
+    "EPL-1.0": ("Eclipse Public License v1.0", "Eclipse Public License 1.0", "Eclipse Public License, Version 1.0"),
+    "EPL-2.0": ("Eclipse Public License v2.0", "Eclipse Public License 2.0", "Eclipse Public License, Version 2.0"),
+    "EUPL-1.2": ("European Union Public Licence v1.2", "European Union Public License 1.2", "EUPL v1.2"),
+    "GPL-2.0-only": ("GNU General Public License version 2", "GNU General Public License v2.0", "GNU General Public License v2", "GNU GPLv2", "GNU GPL v2", "GPLv2", "GPL v2", "GPL version 2", "GPL-2.0"),
+    "GPL-2.0-or-later": ("GNU General Public License version 2 or later", "GNU General Public License v2.0 or later", "GPLv2 or later", "GPL v2 or later", "GPL version 2 or later"),
+    "GPL-3.0-only": ("GNU General Public License version 3", "GNU General Public License v3.0", "GNU General Public License v3", "GNU GPLv3", "GNU GPL v3", "GPLv3", "GPL v3", "GPL version 3", "GPL-3.0"),
+    "GPL-3.0-or-later": ("GNU General Public License version 3 or later", "GNU General Public License v3.0 or later", "GPLv3 or later", "GPL v3 or later", "GPL version 3 or later"),
+    "ISC": ("ISC License",),
+    "LGPL-2.1-only": ("GNU Lesser General Public License version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1", "LGPL v2.1", "LGPL-2.1"),
+    "LGPL-2.1-or-later": ("GNU Lesser General Public License version 2.1 or later", "LGPLv2.1 or later"),
+    "LGPL-3.0-only": ("GNU Lesser General Public License version 3", "GNU Lesser General Public License v3.0", "GNU LGPLv3", "LGPLv3", "LGPL v3", "LGPL-3.0"),
+    "LGPL-3.0-or-later": ("GNU Lesser General Public License version 3 or later", "LGPLv3 or later"),
+    "MIT": ("MIT License", "MIT Licence", "Expat License"),
+    "MIT-0": ("MIT No Attribution License",),
+    "MPL-1.1": ("Mozilla Public License 1.1", "Mozilla Public License Version 1.1"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, Version 2.0", "Mozilla Public License v2.0"),
+    "MS-PL": ("Microsoft Public License",),
+    "NCSA": ("University of Illinois/NCSA Open Source License",),
+    "OFL-1.1": ("SIL Open Font License, Version 1.1", "SIL Open Font License 1.1"),
+    "PostgreSQL": ("PostgreSQL License",),
+    "PSF-2.0": ("Python Software Foundation License 2.0", "Python Software Foundation License"),
+    "Ruby": ("Ruby License",),
+    "Unlicense": ("The Unlicense",),
+    "WTFPL": ("Do What The F*ck You Want To Public License",),
+    "Zlib": ("zlib License",),
+}
+#: What stands before the name in a notice, and the words of which every notice or expression has one.
+GIVEN = r"\b(?:licensed|licenced|released|distributed|available|published|provided|redistributed) under (?:the (?:terms|conditions) of )?(?:(?:the|a|an) )?"
+GIVEN_WORDS = ("licensed", "licenced", "released under", "distributed under", "available under", "published under", "provided under", "spdx")
+#: Fixed value: the mark of an expression, which is on its line; and older identifiers that leave open whether later versions are meant.
+MARK = r"SPDX-License-Identifier:[^\S\n]*([^\n]*)"
+OPEN = re.compile(r"(A?L?GPL-\d\.\d)(\+?)$")
 #: A sentence ends at a blank line, or at one of .;:!? before white space or the end.
 SENTENCE_END = r"\n[^\S\n]*\n|[.;:!?](?=\s|$)"
 
@@ -123,10 +180,58 @@ def normalised(sentence: str) -> str:
     return re.sub(r"[\s!-/:-@\[-`{-~]+", " ", sentence.lower()).strip()
 
 
+def identifiers(expression: str, names=NAMES) -> list[str]:
+    """The licences of an expression (``A OR (B AND C WITH x)``), in their order; none if it is none, or of other licences.
+
+    What follows the expression on its line, as the end of a comment, is left out.
+    """
+    marks = re.findall(r"[()]|[A-Za-z0-9.+-]+|\S", expression)
+    known, out, at = {x.lower(): x for x in names}, [], 0
+
+    def word(*wanted: str) -> bool:
+        return at < len(marks) and marks[at].upper() in wanted
+
+    def one() -> bool:
+        nonlocal at
+        if word("("):
+            at += 1
+            if not any_of() or not word(")"):
+                return False
+            at += 1
+            return True
+        own = marks[at] if at < len(marks) else ""
+        if older := OPEN.match(own.upper()):
+            own = f"{older[1]}-{'or-later' if older[2] else 'only'}"
+        found = known.get(own.lower()) or (own if re.match(r"(?i)LicenseRef-[a-z0-9.-]+$", own) else None)
+        at += 1
+        if found is None:
+            return False
+        out.append(found)
+        if word("WITH"):
+            at += 2
+        return True
+
+    def any_of() -> bool:
+        nonlocal at
+        if not one():
+            return False
+        while word("OR", "AND"):
+            at += 1
+            if not one():
+                return False
+        return True
+
+    return list(dict.fromkeys(out)) if any_of() else []
+
+
 class Known:
-    """Known sentences by their pieces: a licence's sentence can hold sentence ends."""
+    """Known sentences by their pieces: a licence's sentence can hold sentence ends; and names that notices give."""
 
-    def __init__(self, sentences: dict[str, str | tuple[str, ...]]):
+    def __init__(self, sentences: dict[str, str | tuple[str, ...]], names: dict[str, tuple[str, ...]] = NAMES):
+        self.names = {normalised(x): name for name, forms in names.items() for x in (name, *forms)}
+        longest_first = sorted(self.names, key=lambda x: (-len(x), x))
+        self.given = re.compile(GIVEN + "(" + "|".join(map(re.escape, longest_first)) + r")\b") if self.names else None
+        self.identifiers = names
         self.forms = []
         for name, known in sentences.items():
             for form in (known,) if isinstance(known, str) else known:
@@ -164,19 +269,42 @@ class Known:
         return out
 
     def found(self, text: str) -> list[str]:
-        """Identifiers of the known sentences in a text, in their order."""
-        units, out = self.units(text), []
+        """Identifiers of the known sentences in a text, in their order; those of notices and expressions end in the licence's name."""
+        units, out, unknown, pieces_left = self.units(text), [], [], 0
+        stated = iter(re.findall(MARK, text, re.I))
+
+        def notices() -> None:
+            if unknown and self.given:
+                out.extend(f"notice-{self.names[x]}" for x in self.given.findall(" ".join(unknown)))
+            unknown.clear()
+
         for k, unit in enumerate(units):
             for name, pieces in self.by_first.get(unit, ()):
                 if tuple(units[k : k + len(pieces)]) == pieces:
+                    notices()
                     out.append(name)
+                    pieces_left = max(pieces_left, len(pieces))
                     break
+            marked = unit.startswith("spdx license identifier") or " spdx license identifier" in unit
+            expression = next(stated, "") if marked else ""
+            if marked and not pieces_left:
+                notices()
+                out.extend(f"spdx-{x}" for x in identifiers(expression, self.identifiers))
+            elif not pieces_left:
+                unknown.append(unit)
+            pieces_left = max(0, pieces_left - 1)
+        notices()
         return out
 
 
 def match(found: list[str], rules: list[tuple[str, tuple[str, ...]]]) -> list[tuple[str, int, int]]:
-    """(licence, first, last position) of rules whose identifiers follow each other in found; longest rules first."""
+    """(licence, first, last position) of rules whose identifiers follow each other in found; longest rules first.
+
+    An identifier of a notice or an expression is a rule by itself."""
     free, out = [True] * len(found), []
+    by_form = {x: x.partition("-")[2] for x in found if x.partition("-")[0] in ("notice", "spdx")}
+    named = {r for _, r in rules}
+    rules = [*rules, *((licence, (x,)) for x, licence in by_form.items() if (x,) not in named)]
     for licence, rule in sorted(rules, key=lambda r: -len(r[1])):
         n = len(rule)
         for i in range(len(found) - n + 1):
@@ -200,7 +328,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", known: dic
     local to a row, so nothing is shuffled.
     """
     table = Known(known)
-    words = table.words()
+    words = [*table.words(), *GIVEN_WORDS]
     schema = T.StructType([docs.schema[id_col], T.StructField("licenses", T.StringType()), T.StructField("sentences", T.StringType()), T.StructField("matches", T.IntegerType())])
 
     def rule(batches):

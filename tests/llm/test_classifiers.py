@@ -187,11 +187,35 @@ def brute_scan(text):
             n = max((n for n in range(1, len(lines) + 1) if " ".join(lines[:n]) in pieces), default=1)
             units.append(" ".join(lines[:n]))
             lines = lines[n:]
-    out = []
+    out, rest, left = [], [], 0
     for at in range(len(units)):
         fits = [(len(ps), name) for name, ps in known if units[at : at + len(ps)] == ps]
         if fits:
-            out.append(max(fits)[1])
+            out += [*brute_notices(rest), max(fits)[1]]
+            rest, left = [], max(left, max(fits)[0])
+        elif not left:
+            rest += units[at].split()
+        left = max(0, left - 1)
+    return out + brute_notices(rest)
+
+
+def brute_notices(words):
+    """Licences that words say something is given under, word by word."""
+    names = {tuple(licenses.normalised(x).split()): name for name, forms in licenses.NAMES.items() for x in (name, *forms)}
+    out, k = [], 0
+    while k + 1 < len(words):
+        at = k + 2
+        if words[k] in ("licensed", "licenced", "released", "distributed", "available", "published", "provided", "redistributed") and words[k + 1] == "under":
+            if words[at : at + 3] in (["the", "terms", "of"], ["the", "conditions", "of"]):
+                at += 3
+            elif words[at : at + 2] in (["terms", "of"], ["conditions", "of"]):
+                at += 2
+            at += words[at : at + 1] in (["the"], ["a"], ["an"])
+            fits = max((n for n in range(1, 12) if tuple(words[at : at + n]) in names), default=0)
+            if fits:
+                out.append("notice-" + names[tuple(words[at : at + fits])])
+                k = at + fits - 1
+        k += 1
     return out
 
 
@@ -241,6 +265,31 @@ def test_license_scan_equals_brute_force(spark):
     assert licenses.scan(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("This project is licensed under the MIT License.", "MIT"), ("Licensed under the MIT license, see LICENSE", "MIT"), ("SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT"),
+        ("// spdx-license-identifier: GPL-2.0", "GPL-2.0-only"), ("# SPDX-License-Identifier: LGPL-3.0-or-later", "LGPL-3.0-or-later"), ("/* SPDX-License-Identifier: ((GPL-2.0+ WITH Linux-syscall-note) OR BSD-3-Clause) */", "BSD-3-Clause,GPL-2.0-or-later"),
+        ("SPDX-License-Identifier: MIT AND (", ""), ("SPDX-License-Identifier: Unheard-Of", ""), ("SPDX-License-Identifier: LicenseRef-own AND ISC", "ISC,LicenseRef-own"), ("SPDX-License-Identifier:", ""),
+        ("It is distributed under the terms of the GNU General Public License v3.0 or later", "GPL-3.0-or-later"), ("Copyright A\nis available under an\nEclipse Public License 2.0", "EPL-2.0"),
+        ("Released under CC BY-NC-SA 4.0 and so on", "CC-BY-NC-SA-4.0"), ("we walked under the MIT dome; nothing was licensed under it", ""), ("Published under CDDL 1.0. Or licensed under the Artistic License 2.0!", "Artistic-2.0,CDDL-1.0"),
+    ],
+)
+def test_notices_and_expressions(spark, text, want):
+    (row,) = licenses.scan(spark.createDataFrame([(1, f"Some prose before. Then:\n\n{text}\n\nAnd after.")], "doc_id long, text string")).collect()
+    assert row.licenses == want and row.matches == len([x for x in want.split(",") if x])
+
+
+def test_every_name_of_a_licence_is_known():
+    known = licenses.Known(licenses.SENTENCES)
+    for name, forms in licenses.NAMES.items():
+        assert licenses.identifiers(name) == [name]
+        for form in (name, *forms):
+            text = f"All of it is released under the {form} as of today"
+            assert {x[0] for x in licenses.match(known.found(text), licenses.RULES)} == {name}
+            assert brute_notices(licenses.normalised(text).split()) == [f"notice-{name}"]
+
+
 def test_every_known_sentence_has_one_of_the_words():
     table = licenses.Known(licenses.SENTENCES)
     words = table.words()
