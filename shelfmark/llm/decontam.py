@@ -63,8 +63,10 @@ def majorities(sums: list[str], many: str) -> list[Column]:
     """The longs of a fingerprint: a bit is set if it is set in over half of so many hashes, of which sums of lanes() are given."""
     out, part = [], len(sums) // len(PRINT)
     for name, own in zip(PRINT, (sums[k : k + part] for k in range(0, len(sums), part))):
-        bits = [f"shiftleft(CAST(2 * (shiftrightunsigned({own[b // LANES]}, {LANE * (b % LANES)}) & {(1 << LANE) - 1}L) > {many} AS BIGINT), {b})" for b in range(64)]
-        out.append(F.expr(" | ".join(bits)).alias(name))
+        # One small function for all bits, as code for each of them would be long.
+        each = f"transform(array({', '.join(own)}), s -> transform(sequence(0, {LANES - 1}), k -> shiftrightunsigned(s, {LANE} * k) & {(1 << LANE) - 1}L))"
+        bits = f"transform(slice(flatten({each}), 1, 64), (n, b) -> shiftleft(CAST(2 * n > {many} AS BIGINT), b))"
+        out.append(F.expr(f"aggregate({bits}, 0L, (x, y) -> x | y)").alias(name))
     return out
 
 
