@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import staged
+from ._shared import lean, staged
 from .components import components
 from .shingling import shingle_sets, slices
 
@@ -165,6 +165,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, words: int, repeats: bool) -> Data
 
 def _counters(sets: DataFrame) -> np.ndarray:
     """How many shingles fall to each of COUNTERS counters, as far as 16 bits go: a table of one size, whatever the input."""
+    lean()
 
     def count(batches):
         total = np.zeros(COUNTERS, np.int64)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import staged, text_buffers
+from ._shared import lean, staged, text_buffers
 from .learning import Isotonic, Trees, boosted_trees, isotonic, labelled_sample
 
 #: Insults that count without any label.
@@ -102,6 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     the calibration. Texts of the same words, whatever their case, are copies: they count once, as toxic if one of them
     is. Without labels of both kinds, only the fixed insults and an even curve remain.
     """
+    lean()
 
     sample = labelled_sample(docs, labels, label, max_rows, id_col, text).select(F.col(text), F.col("label").cast("int").alias("label"))
     words = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
