@@ -21,12 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import free_name, text_buffers
+from ._shared import free_name, lean, text_buffers
 
 #: Bytes before a text, as its context.
 PAD = 3
 #: Positions that are scored together.
-WINDOW = 500_000
+WINDOW = 100_000
 UNKNOWN = "und"
 
 
@@ -149,6 +149,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", id_col: s
     share that the bound leaves, and at least the row with the smallest hash, so that a language of a few very long
     texts is learned too. It holds whatever the input's size; the number of languages is taken as small.
     """
+    lean()
     labelled = labelled.where(F.col(text).isNotNull() & (F.col(text) != "") & F.col(lang).isNotNull()).select(id_col, lang, text)
     place = F.pmod(F.xxhash64(id_col, text), F.lit(1 << 40))
     sizes = {r[0]: r[1:] for r in labelled.groupBy(lang).agg(F.sum(F.octet_length(text)), F.min(place)).collect()}
