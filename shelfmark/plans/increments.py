@@ -43,11 +43,15 @@ def suppressed_posts(spark, d):
     return incremental.posts(table(spark, d, "events"), ["user_id"], "ts", "12 HOURS", "event_id").select("event_id")
 
 
+#: Where a stream finds the events: Spark takes a single file by a pattern only, which matches a folder of files as well.
+_EVENTS = "{}/[e]vents.parquet"
+
+
 @query(_POSTS)
 def streamed_posts(spark, d):
-    """The same on a stream, with the last post as the state of a user."""
+    """The same on a stream, with the last post as the state of a user. What is there is one batch, so that no file's events come late."""
     at = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
-    events = incremental.file_stream(spark, d, table(spark, d, "events").schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = incremental.file_stream(spark, _EVENTS.format(d), table(spark, d, "events").schema, files_per_batch=None).withColumn("ts", F.col("ts").cast("timestamp"))
     posts = incremental.posts(events.withWatermark("ts", "1 day"), ["user_id"], "ts", "12 HOURS", "event_id")
     incremental.apply_once(posts, lambda b: b, f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.schema(events.schema).parquet(f"{at}/out").select("event_id")
@@ -81,7 +85,7 @@ def streamed_debounce(spark, d):
     """A file stream, one row per user and type, applied once per batch and read back."""
     at = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
-    stream = incremental.file_stream(spark, d, schema, "events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    stream = incremental.file_stream(spark, _EVENTS.format(d), schema).select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
     once = incremental.debounced(stream, ["user_id", "event_type"], "ts", "10000 days")
     incremental.apply_once(once, lambda b: b, f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.parquet(f"{at}/out").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))

@@ -6,6 +6,7 @@ import time
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,12 +65,12 @@ def _gated(events: DataFrame, key: list[str], at: str, ttl: str, tie: str, kind:
 
         def step(group, tables, state):
             (closed,) = state.get if state.exists else (None,)
-            for table in tables:
-                table, keep = table.sort_values(["_at", tie]), []
-                for now, what in zip(table["_at"].tolist(), table["_kind"].tolist()):
-                    ok, closed = _passes(what, now, closed, micros, inclusive)
-                    keep.append(ok)
-                yield table.loc[keep, out.names]
+            # A key's rows come in parts, cut anywhere, in no order.
+            table, keep = pd.concat(list(tables), ignore_index=True).sort_values(["_at", tie]), []
+            for now, what in zip(table["_at"].tolist(), table["_kind"].tolist()):
+                ok, closed = _passes(what, now, closed, micros, inclusive)
+                keep.append(ok)
+            yield table.loc[keep, out.names]
             if closed is None:
                 if state.exists:
                     state.remove()
@@ -103,7 +104,8 @@ def posts(events: DataFrame, key: list[str], at: str, timeout: str, tie: str) ->
     """Events that are posted: those later than the timeout after the last that was posted of their key.
 
     Batches are read in order of key, time and tie, with the time of one key's last post in memory, however many events
-    it has. On a stream, which needs a watermark, that time is the key's state, and is dropped once it cannot suppress.
+    it has. On a stream, which needs a watermark, that time is the key's state, and is dropped once it cannot suppress; a
+    key's events of one micro-batch are put into order in memory, and events under the watermark are dropped.
     """
     return _gated(events, key, at, timeout, tie, None, False)
 
@@ -125,9 +127,10 @@ def expired(at: Column, now: Column, keep: str) -> Column:
     return at < now - F.expr(f"INTERVAL {keep}")
 
 
-def file_stream(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
-    """A stream of a folder's Parquet files whose names match, as they come, so many in a batch."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.parquet", files_per_batch: int | None = 100) -> DataFrame:
+    """A stream of a folder's Parquet files whose names match, as they come, so many in a batch (all, if None); the path may be a pattern."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(path)
 
 
 def apply_once(stream: DataFrame, step: Callable[[DataFrame], DataFrame], target: str, checkpoint: str):

@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.plans import registry
 from shelfmark.streaming import incremental
 
 
@@ -48,3 +49,25 @@ def test_posts_on_a_stream_keep_their_state(spark, tmp_path):
     run([0, 10, 20])
     run([30, 40, 50])
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [0, 20, 40]
+
+
+def test_posts_on_a_stream_order_what_comes_in_parts(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows = [(m, "a", start + datetime.timedelta(minutes=m)) for m in (50, 40, 30, 20, 10, 0)]
+    spark.createDataFrame(rows, "id long, who string, ts timestamp").coalesce(1).write.parquet(source)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        events = incremental.file_stream(spark, source, spark.read.parquet(source).schema, files_per_batch=None).withWatermark("ts", "1 hour")
+        incremental.apply_once(incremental.posts(events, ["who"], "ts", "15 MINUTES", "id"), lambda b: b, out, state).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [0, 20, 40]
+
+
+@pytest.mark.parametrize("name", ["streamed_posts", "streamed_debounce"])
+def test_streamed_tables_may_be_folders(spark, tmp_path, name):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(7).write.parquet(str(tmp_path / "events.parquet"))
+    run = lambda d: sorted(map(tuple, registry.QUERIES[name](spark, d).collect()))
+    assert run(str(tmp_path)) == run("/root/testdata/sf0.001")
