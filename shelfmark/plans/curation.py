@@ -40,11 +40,19 @@ def _creators(spark, d):
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.when(name < "J", "yes").when(name < "S", "no").otherwise("inherit").alias("indexable"))
 
 
-@query(f"""WITH {_CREATORS} SELECT c_custkey AS id, coalesce(CASE WHEN c_acctbal < 0 THEN 'no' END, k.v, 'yes') AS indexable FROM customer LEFT JOIN k ON k.id = c_nationkey""")
+@query(f"""WITH RECURSIVE {_CREATORS}, c AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 > 0 THEN s_suppkey - 1 END AS parent, s_nationkey AS creator, CASE WHEN s_acctbal < 0 THEN 'no' WHEN s_acctbal > 9000 THEN 'yes' END AS own FROM supplier),
+e AS (SELECT c.id, coalesce(own, v, 'yes') AS indexable FROM c LEFT JOIN k ON k.id = creator WHERE parent IS NULL UNION ALL SELECT c.id, coalesce(own, e.indexable) FROM e JOIN c ON c.parent = e.id)
+SELECT 'item' AS kind, c_custkey AS id, coalesce(CASE WHEN c_acctbal < 0 THEN 'no' END, k.v, 'yes') AS indexable FROM customer LEFT JOIN k ON k.id = c_nationkey
+UNION ALL SELECT 'collection', id, indexable FROM e UNION ALL SELECT 'creator', id, coalesce(v, 'yes') FROM k""")
 def effective_indexability(spark, d):
-    """Of items, whose collections do not count."""
+    """Of all that has it: items, whose collections do not count, collections, each tenth the topmost of those after it, and creators."""
     items = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("creator_id"), F.when(F.col("c_acctbal") < 0, "no").alias("indexable"))
-    return access.indexable(items, _creators(spark, d), "yes")
+    k, balance = F.col("s_suppkey"), F.col("s_acctbal")
+    collections = table(spark, d, "supplier").select(k.alias("id"), F.when(k % 10 > 0, k - 1).alias("parent_id"), F.col("s_nationkey").alias("creator_id"), F.when(balance < 0, "no").when(balance > 9000, "yes").alias("indexable"))
+    creators = _creators(spark, d)
+    own = creators.withColumn("creator_id", F.lit(None).cast("int"))
+    found = {"item": access.indexable(items, creators, "yes"), "collection": access.collections_indexable(collections, creators, "yes"), "creator": access.indexable(own, creators, "yes")}
+    return reduce(DataFrame.unionByName, (df.select(F.lit(kind).alias("kind"), F.col("id").cast("long"), "indexable") for kind, df in found.items()))
 
 
 @query(f"""WITH RECURSIVE {_CREATORS}, c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 1000 > 0 THEN o_orderkey - 1 END AS parent, o_orderkey // 1000 % 25 AS creator,

@@ -47,3 +47,11 @@ def test_forced_filling_and_unique_names(spark):
     names = spark.createDataFrame([(1, "g", "A"), (2, "g", "A"), (3, "h", "A"), (4, None, "A"), (5, "g", None), (6, "g", "a")], "id long, grp string, name string")
     got = {r.id: r.free_name for r in naming.free_names(names, names.limit(0), ["grp"], "name", "id").collect()}
     assert got == {1: "A", 2: "A (2)", 3: "A", 4: "A", 5: None, 6: "a"}
+
+
+def test_indexability_of_items_collections_and_creators(spark):
+    from shelfmark.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    found = {r.kind: r["count"] for r in registry.QUERIES["effective_indexability"](spark, d).groupBy("kind").count().collect()}
+    assert found == {kind: spark.read.parquet(f"{d}/{t}.parquet").count() for kind, t in (("item", "customer"), ("collection", "supplier"), ("creator", "nation"))}
