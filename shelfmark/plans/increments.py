@@ -124,9 +124,10 @@ def stored_problems(spark, d):
 
 @query("SELECT event_id, CAST((row_number() OVER (ORDER BY event_id) - 1) // 3000 AS BIGINT) AS page FROM events")
 def resumed_pages(spark, d):
-    """Events in pages by their keys, in runs of a page each, until one finds nothing more."""
+    """Events in pages by their keys: a run of one page, then runs that go on from there until one finds nothing more."""
     at = f"{shared_dir(spark)}/pages/{uuid.uuid4().hex}"
     events = table(spark, d, "events").select("event_id")
-    while incremental.cursor_pages(events, "event_id", 3_000, lambda page: page, at, pages=1):
-        pass
+    pages = 1
+    while incremental.cursor_pages(events, "event_id", 3_000, lambda page: page, at, pages=pages):
+        pages = None
     return spark.read.parquet(f"{at}/rows").select("event_id", F.col("page").cast("long").alias("page"))

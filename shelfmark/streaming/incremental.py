@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.keyed import apply_changes, stored
-from ..staging import staged
+from ..staging import shared_dir, staged
 
 
 def since(df: DataFrame, marks: DataFrame, group: list[str], at: str, now: Column | None = None, keep: str = "30 DAYS") -> DataFrame:
@@ -145,31 +145,48 @@ def apply_once(stream: DataFrame, step: Callable[[DataFrame], DataFrame], target
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Pages that are written by one job, after which a mark is set.
+LAP = 1_000
+
+
+def _numbered(df: DataFrame, key: str) -> DataFrame:
+    """df with _row, its place in the order of a unique key, from 0: ranges of keys are numbered each by itself, after those before."""
+    ranges = staged(df.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # of a row per range
+    starts = ranges.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return ranges.join(F.broadcast(starts), "_range").withColumn("_row", F.col("_start") + place - 1).drop("_range", "_start")
+
+
 def cursor_pages(df: DataFrame, key: str, rows: int, step: Callable[[DataFrame], DataFrame], target: str, at: Column | None = None, keep: str = "30 DAYS", pages: int | None = None, pause: float = 0.0) -> int:
-    """Apply a step to df page by page, so many rows each in the order of a unique key, from where the last run ended; how many pages.
+    """Apply a step to df in pages, so many rows each in the order of a unique key, from where the last run ended; how many pages.
 
-    A page's rows are written under ``page=n`` in target/rows, then its last key is marked in target/marks. A run that is lost in between
-    writes its page again, so each row is there once, and rows that have come after the mark in the meantime are taken up next
-    time. Marks that are older than they are kept have expired, and the run begins anew. With pages, a run ends after so many; pause is seconds
-    between them. A filter on the key prunes what each page reads where the table is laid out by it.
+    A run numbers the rows after the mark once, and goes through their pages in laps of LAP, one by one if there is a pause (in seconds)
+    between them. The step gets the rows of a lap with the number of their page in column page, which it keeps. They are
+    written under ``page=n`` in target/rows, then the lap's last page and key are marked in target/marks. A run that is lost in between
+    writes its lap again, so each row is there once, and rows that have come after the mark in the meantime are taken up next
+    time. Marks that are older than they are kept have expired, and the run begins anew. With pages, a run ends after so many.
     """
     spark = df.sparkSession
     marks = f"{target.rstrip('/')}/marks"
     now = at if at is not None else F.current_timestamp()
     kind = df.schema[key].dataType
     schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("last", kind), T.StructField("marked_at", T.TimestampType())])
-    done = 0
-    while pages is None or done < pages:
-        known = stored(spark, marks, schema).where(~expired(F.col("marked_at"), now, keep))
-        mark = known.agg(F.max("n").alias("n"), F.max_by("last", "n").alias("last")).first()
-        page = (df if mark.n is None else df.where(F.col(key) > F.lit(mark.last))).orderBy(key).limit(rows)
-        page, n = staged(page, "page"), 0 if mark.n is None else mark.n + 1
-        last = page.agg(F.max(key)).first()[0]
-        if last is None:
-            break
-        step(page).write.mode("overwrite").parquet(f"{target.rstrip('/')}/rows/page={n}")
+    known = stored(spark, marks, schema).where(~expired(F.col("marked_at"), now, keep))
+    mark = known.agg(F.max("n").alias("n"), F.max_by("last", "n").alias("last")).first()
+    left, first = (df, 0) if mark.n is None else (df.where(F.col(key) > F.lit(mark.last)), mark.n + 1)
+    if pages is not None:
+        left = left.orderBy(key).limit(rows * pages)
+    page = F.lit(first) + F.floor(F.col("_row") / rows)
+    left = _numbered(left, key).withColumn("page", page.cast("long")).withColumn("_lap", F.floor((F.col("page") - first) / (1 if pause else LAP)))
+    at_laps = f"{shared_dir(spark)}/shelfmark/{uuid.uuid4().hex}/laps"
+    left.drop("_row").write.partitionBy("_lap").parquet(at_laps)
+    whole = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("page", T.LongType()), T.StructField("_lap", T.LongType())])).parquet(at_laps)
+    laps = sorted(whole.groupBy("_lap").agg(F.max("page").alias("n"), F.max(key).alias("last")).collect())  # one row for LAP pages
+    for lap, n, last in laps:
+        out = step(whole.where(F.col("_lap") == lap).drop("_lap"))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("page").parquet(f"{target.rstrip('/')}/rows")
         row = spark.createDataFrame([(n, last)], T.StructType(schema.fields[:2])).withColumn("marked_at", now)
         apply_changes(marks, row, ["n"], uuid.uuid4().hex, buckets=1)
-        done += 1
         time.sleep(pause)
-    return done
+    return laps[-1][1] + 1 - first if laps else 0

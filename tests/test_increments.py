@@ -71,3 +71,11 @@ def test_streamed_tables_may_be_folders(spark, tmp_path, name):
     events.repartition(7).write.parquet(str(tmp_path / "events.parquet"))
     run = lambda d: sorted(map(tuple, registry.QUERIES[name](spark, d).collect()))
     assert run(str(tmp_path)) == run("/root/testdata/sf0.001")
+
+
+def test_many_pages_take_few_jobs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "LAP", 4)
+    steps, at = [], str(tmp_path / "p")
+    rows = spark.range(0, 95).repartition(5).select("id")
+    assert incremental.cursor_pages(rows, "id", 10, lambda p: steps.append(p) or p, at) == 10
+    assert len(steps) == 3 and kept(spark, at) == [(k // 10, k) for k in range(95)]
