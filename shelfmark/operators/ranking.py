@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import collections
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import extension
 from ..staging import staged
@@ -35,17 +34,25 @@ def preview_priority(filename: Column, preferred: str = "preview") -> Column:
 SECTION_ROWS = 200_000
 
 
-def _greedy(names: pd.DataFrame, longest: int, shortest: int, enough: int) -> list[str | None]:
-    """The section of each of a table of lower-cased names, from the longest prefix down."""
-    low, found = names["low"].tolist(), [None] * len(names)
-    left = sorted(range(len(low)), key=low.__getitem__)
-    for n in range(min(longest - 1, max(map(len, low))), shortest - 1, -1):
-        many = collections.Counter(low[k][:n] for k in left)
-        for prefix in (p for p, c in many.items() if c >= enough):
-            for k in left:
-                if low[k].startswith(prefix):
-                    found[k] = prefix
-            left = [k for k in left if found[k] is None]
+def _greedy(names: dict[str, int], longest: int, shortest: int, enough: int) -> dict[str, str]:
+    """The sections of lower-cased names, each with the number of its rows, from the longest prefix down; names in none are left out."""
+    left, found = list(names), {}
+    for n in range(min(longest - 1, max(map(len, left))), shortest - 1, -1):
+        many: dict[str, int] = {}
+        for x in left:
+            many[x[:n]] = many.get(x[:n], 0) + names[x]
+        ready = {p for p, c in many.items() if c >= enough}
+        if not ready:
+            continue
+        lengths = sorted({len(p) for p in ready}, reverse=True)  # of a whole name, less than n
+        for x in left:
+            for k in lengths:
+                if x[:k] in ready:
+                    found[x] = x[:k]
+                    break
+        left = [x for x in left if x not in found]
+        if not left:
+            break
     return found
 
 
@@ -68,13 +75,33 @@ def prefix_sections(df: DataFrame, group: str, name: str, least_length: int = 3,
     large = many.where(F.col("rows") > most).select("g", "begin")
     small = units.join(many.where(F.col("rows") <= most).select("g", "begin"), ["g", "begin"], "left_semi")
 
-    def sections(names: pd.DataFrame) -> pd.DataFrame:
-        each = names.loc[names.index.repeat(names["n"])]
-        found = _greedy(each, int(names["longest"].iloc[0]), least_length, int(names["enough"].iloc[0]))
-        return pd.DataFrame({"g": each["g"], "low": each["low"], "section": found}).drop_duplicates("low").dropna()
+    g = small.schema["g"].dataType
+
+    def sections(batches):
+        # Rows come group by group; what is held is one group's names, of which there are as many as rows, at most.
+        own, names, sizes, out = None, {}, None, []
+
+        def done():
+            if names:
+                out.extend((own[0], low, section) for low, section in _greedy(names, sizes[0], least_length, sizes[1]).items())
+
+        for batch in batches:
+            for group, begin, low, n, longest, enough in zip(*(batch[c].to_pylist() for c in ("g", "begin", "low", "n", "longest", "enough"))):
+                if own != (group, begin):
+                    done()
+                    own, names, sizes = (group, begin), {}, (longest, enough)
+                names[low] = n
+            yield record(out)
+            out.clear()
+        done()
+        yield record(out)
+
+    kind = to_arrow_type(g)
+
+    def record(rows) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((kind, pa.string(), pa.string()))], names=["g", "low", "section"])
 
-    g = units.schema["g"].dataType.simpleString()
-    out = small.groupBy("g", "begin").applyInPandas(sections, f"g {g}, low string, section string")
+    out = small.repartition("g", "begin").sortWithinPartitions("g", "begin").mapInArrow(sections, f"g {g.simpleString()}, low string, section string")
     left = staged(units.join(large, ["g", "begin"], "left_semi"), "left")
     for n in range((left.agg(F.max("longest")).first()[0] or 0) - 1, least_length - 1, -1):
         at = left.where(F.lit(n) < F.col("longest")).withColumn("section", F.substring("low", 1, n))

@@ -150,3 +150,11 @@ def test_expired_marks_do_not_count(spark):
     marks = spark.createDataFrame([("a", day(3)), ("b", day(20))], "g string, mark timestamp")
     assert {r.id for r in incremental.since(rows, marks, ["g"], "ts", F.lit(datetime.datetime(2024, 2, 10))).collect()} == {1}
     assert incremental.since(rows, marks, ["g"], "ts").count() == 0
+
+
+def test_sections_of_many_groups_share_tasks(spark):
+    df = spark.range(0, 3000).select((F.col("id") % 1000).alias("g"), F.concat(F.lit("Part"), F.col("id").cast("string")).alias("n"))
+    found = ranking.prefix_sections(df, "g", "n")
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.where("g = 7").select("n", "section").collect()} == {("Part7", "part"), ("Part1007", "part"), ("Part2007", "part")}
+    assert {tuple(r) for r in found.where("g = 100").select("n", "section").collect()} == {("Part100", "part1"), ("Part1100", "part1"), ("Part2100", None)}
