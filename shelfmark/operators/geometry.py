@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CORNERS = ("a", "b", "c")
+#: Triangles whose edges a task counts, so that its memory does not grow with the table.
+TASK_ROWS = 200_000
 
 
 def manifold(triangles: DataFrame, mesh: str = "mesh") -> DataFrame:
@@ -20,7 +22,9 @@ def manifold(triangles: DataFrame, mesh: str = "mesh") -> DataFrame:
     whole = F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("c").isNotNull()
     solid = whole & (F.col("a") != F.col("b")) & (F.col("b") != F.col("c")) & (F.col("a") != F.col("c"))
     edge = lambda x, y: F.struct(F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
-    faces = triangles.select(mesh, *CORNERS).where(solid)
+    parts = int(triangles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    triangles = triangles.select(mesh, *CORNERS).repartition(max(parts, triangles.count() // TASK_ROWS + 1), mesh, *CORNERS)
+    faces = triangles.where(solid)
     edges = faces.select(mesh, F.explode(F.array(edge("a", "b"), edge("b", "c"), edge("a", "c"))).alias("edge")).groupBy(mesh, "edge").agg(F.count("*").alias("n"))
     found = edges.groupBy(mesh).agg(F.sum("n").alias("sides"), F.count("*").alias("edges"), F.count_if(F.col("n") == 1).alias("open_edges"), F.count_if(F.col("n") > 2).alias("crowded_edges"))
     meshes = triangles.select(mesh).distinct().alias("m").join(found.alias("f"), F.col(f"m.{mesh}").eqNullSafe(F.col(f"f.{mesh}")), "left")

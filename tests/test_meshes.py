@@ -6,6 +6,7 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.operators import detectors, geometry
 from shelfmark.sources import meshes
@@ -61,3 +62,11 @@ def test_surfaces_equal_counts_of_all_edges(spark):
     assert {r.mesh: tuple(r)[1:] for r in geometry.manifold(df).collect()} == want and want[60][-1]
     bad = {r.id for r in detectors.detect({"triangles": df.where("mesh >= 50")}, ["non_manifold"]).collect()}
     assert bad == {50} and geometry.manifold(df.limit(0)).count() == 0
+
+
+def test_edges_are_counted_in_as_many_tasks_as_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(geometry, "TASK_ROWS", 10)
+    one = spark.range(0, 100).coalesce(1).select((F.col("id") % 3).alias("mesh"), *[F.struct((F.col("id") + k).alias("x")).alias(c) for k, c in enumerate("abc")])
+    found = geometry.manifold(one)
+    assert ", 11), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.mesh: r.triangles for r in found.collect()} == {0: 34, 1: 33, 2: 33}
