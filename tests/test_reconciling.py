@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import access, merging, naming, ranking, tree
+from shelfmark.staging import staged
 from shelfmark.streaming import incremental
 
 
@@ -158,3 +159,17 @@ def test_sections_of_many_groups_share_tasks(spark):
     assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in found.where("g = 7").select("n", "section").collect()} == {("Part7", "part"), ("Part1007", "part"), ("Part2007", "part")}
     assert {tuple(r) for r in found.where("g = 100").select("n", "section").collect()} == {("Part100", "part1"), ("Part1100", "part1"), ("Part2100", None)}
+
+
+def test_files_of_a_merge_are_dealt_out_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(merging, "staged", lambda df, name: kept.append(name) or staged(df, name))
+    files = spark.createDataFrame([(1, 1, "a.stl", "x"), (2, 2, "a.stl", "y"), (3, 2, "b.stl", "z"), (4, 3, "b.stl", "z")], "id long, item long, name string, digest string")
+    merges = spark.createDataFrame([(2, 1), (3, 1)], "source long, target long")
+    plan = merging.merge_plan(files, merges)
+    assert {tuple(r)[3:] for r in plan.collect()} == {(2, "rename", "a_y.stl", None), (3, "adopt", "b.stl", None), (4, "drop", None, 3)}
+    assert kept == []
+    # A name that a renamed file gets is looked at again.
+    more = files.union(spark.createDataFrame([(5, 3, "a_y.stl", "w")], files.schema))
+    assert {r.file_id: r.new_name for r in merging.merge_plan(more, merges).collect()} == {2: "a_y.stl", 3: "b.stl", 4: None, 5: "a_y_w.stl"}
+    assert kept
