@@ -2,6 +2,7 @@
 
 import collections
 import decimal
+import re
 
 import duckdb
 import pytest
@@ -58,3 +59,11 @@ def test_pushdown_and_pruning(spark):
     assert "ReadSchema: struct<c_custkey:bigint,c_name:string,c_mktsegment:string>" in plan
 
 
+
+
+@pytest.mark.parametrize("name", ["merge_plan", "unmerge_plan"])
+def test_files_are_shuffled_by_their_item_once(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert any("REPARTITION_BY_COL" in line and "item" in line for line in dealt)
+    assert not any(re.search(r"hashpartitioning\(id#\d+L?, item#", line) for line in dealt)
