@@ -115,7 +115,7 @@ h AS (SELECT id, row_number() OVER (PARTITION BY size, digest ORDER BY age, fold
 SELECT id, reason FROM a UNION ALL SELECT id, 'same-name-size' FROM b UNION ALL SELECT id, 'sha256' FROM h WHERE k > 1""")
 def copy_passes(spark, d):
     """Three passes of a clean-up over the files, of which every seventh has the name of a copy."""
-    files = _catalogue(spark, d)["files"].distinct()
+    files = _catalogue(spark, d)["files"].repartition("item_id").distinct()
     name = F.when(F.col("id") % 7 == 0, F.concat(F.lit("Copy of "), "filename")).otherwise(F.col("filename"))
     rows = files.select("id", F.col("item_id").alias("folder"), name.alias("name"), "size", "digest", (F.col("id") % 1000).alias("modified"))
     return merging.copy_passes(rows, 10).select("id", "reason")

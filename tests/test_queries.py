@@ -67,3 +67,8 @@ def test_files_are_shuffled_by_their_item_once(spark, name):
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert any("REPARTITION_BY_COL" in line and "item" in line for line in dealt)
     assert not any(re.search(r"hashpartitioning\(id#\d+L?, item#", line) for line in dealt)
+
+
+def test_copy_passes_read_the_files_once(spark):
+    plan = registry.QUERIES["copy_passes"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan
