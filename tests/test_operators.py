@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark import staging
 from shelfmark.operators import detectors, merging, ranking, tree
 from shelfmark.sources import archives, listing, records
 from shelfmark.streaming import incremental
@@ -255,3 +256,12 @@ def test_staged_tables_can_be_cleared(spark, tmp_path, monkeypatch):
     df = staging.staged(spark.range(3), "rows")
     assert df.count() == 3 and (tmp_path / "shelfmark").exists()
     assert staging.clear(spark) and not (tmp_path / "shelfmark").exists() and not staging.clear(spark)
+
+
+def test_pairs_are_counted_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(staging, "PART", 20)
+    facts = spark.createDataFrame([(k, f) for k in range(40) for f in (k % 5, 10 + k % 4, 20 + k)], "item long, name long")
+    found = merging.overlap_pairs(facts, "item", ["name"], 2)
+    assert {(r.a, r.b): r.overlap for r in found.collect()} == {(a, b): 2 for b in range(40) for a in range(b) if (b - a) % 20 == 0}
+    # Facts make 140 + 180 pairs, which are counted in 16 parts; the session has 4.
+    assert "hashpartitioning(a" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 16), REPARTITION_BY_NUM" in plan
