@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, format_note
+from ..staging import dealt
 from . import geometry
 from .filters import FILE_CLASSES, file_class, having, lacking
 from .tree import nested
@@ -34,8 +35,15 @@ def detector(category: str, kind: str, *needs: str):
 
 
 def duplicates(df: DataFrame, digest: str, key: str = "id") -> DataFrame:
-    """Rows that share a digest with others: counts by partial aggregation, so no digest's rows meet in one task."""
-    return df.join(repeated(df.where(F.col(digest).isNotNull()), [digest]), digest, "left_semi").select(key)
+    """Rows that share a digest with others; rows are dealt out once, for the counts and for the join with them."""
+    rows = df.where(F.col(digest).isNotNull()).select(key, digest)
+    rows = dealt(rows, rows.count(), digest)
+    return rows.join(repeated(rows, [digest]), digest, "left_semi").select(key)
+
+
+def _fileless(items: DataFrame, files: DataFrame) -> DataFrame:
+    """Items without any of the files; an item's files count once before the join, however many they are."""
+    return lacking(items, files.select("item_id").distinct(), "id", "item_id").select("id")
 
 
 @detector("missing", "file", "listing.filename")
@@ -76,7 +84,7 @@ def inefficient(t):
 
 @detector("empty", "item")
 def empty(t):
-    return lacking(t["items"], t["files"], "id", "item_id").select("id")
+    return _fileless(t["items"], t["files"])
 
 
 @detector("nesting", "item")
@@ -91,7 +99,7 @@ def duplicate(t):
 
 
 def _without(kind: str) -> Detector:
-    return lambda t: lacking(t["items"], t["files"].where(extension(F.col("filename")).isin(FILE_CLASSES[kind])), "id", "item_id").select("id")
+    return lambda t: _fileless(t["items"], t["files"].where(extension(F.col("filename")).isin(FILE_CLASSES[kind])))
 
 
 detector("no_image", "item")(_without("image"))

@@ -1,6 +1,7 @@
 import datetime
 import io
 import json
+import re
 import zipfile
 
 import pytest
@@ -265,3 +266,17 @@ def test_pairs_are_counted_in_parts_of_bounded_size(spark, monkeypatch):
     assert {(r.a, r.b): r.overlap for r in found.collect()} == {(a, b): 2 for b in range(40) for a in range(b) if (b - a) % 20 == 0}
     # Facts make 140 + 180 pairs, which are counted in 16 parts; the session has 4.
     assert "hashpartitioning(a" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 16), REPARTITION_BY_NUM" in plan
+
+
+def test_problems_are_found_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(staging, "PART", 20)
+    items = spark.createDataFrame([(k,) for k in range(30)], "id long")
+    files = spark.createDataFrame([(k, k % 20, "a.png" if k % 2 else "b.stl", 1, None if k % 10 == 9 else f"d{k % 150}") for k in range(200)], "id long, item_id long, filename string, size long, digest string")
+    found = detectors.detect({"items": items, "files": files}, ["empty", "no_image", "duplicate"])
+    got = {c: {r.id for r in found.where(F.col("category") == c).collect()} for c in ("empty", "no_image", "duplicate")}
+    shared = {k for k in range(200) if (k < 50 or k >= 150) and k % 10 != 9}
+    assert got == {"empty": set(range(20, 30)), "no_image": {k for k in range(30) if k >= 20 or k % 2 == 0}, "duplicate": shared}
+    # 180 files have a digest: 9 parts, where the session has 4. An item's files are one row before they are joined.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(digest#\d+, 9\), REPARTITION_BY_NUM", plan)
+    assert plan.count("HashAggregate(keys=[item_id") >= 4
