@@ -280,3 +280,17 @@ def test_problems_are_found_in_parts_of_bounded_size(spark, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\(digest#\d+, 9\), REPARTITION_BY_NUM", plan)
     assert plan.count("HashAggregate(keys=[item_id") >= 4
+
+
+def test_facts_and_sets_of_items_lie_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(staging, "PART", 20)
+    parts, seen = {}, merging.staged
+    monkeypatch.setattr(merging, "staged", lambda df, name: parts.setdefault(name, df) and seen(df, name))
+    facts = spark.createDataFrame([(k, f) for k in range(40) for f in (k % 5, 10 + k % 4, 20 + k)] * 2, "item long, name long")
+    found = merging.overlap_pairs(facts, "item", ["name"], 2)
+    assert {(r.a, r.b): r.overlap for r in found.collect()} == {(a, b): 2 for b in range(40) for a in range(b) if (b - a) % 20 == 0}
+    # 240 facts are made different in 12 parts; the 120 that stay keep 6 parts when they are joined with the items that count.
+    plans = {k: df._jdf.queryExecution().executedPlan().toString() for k, df in parts.items()}
+    assert re.search(r"hashpartitioning\(_item#\d+L, 12\), REPARTITION_BY_NUM", plans["facts"])
+    assert len(re.findall(r"hashpartitioning\(_item#\d+L, 6\)", plans["known"])) >= 2 and "hashpartitioning(_item#" in plans["known"]
+    assert not re.search(r"hashpartitioning\(_item#\d+L, 4\)", plans["known"])
