@@ -4,9 +4,11 @@ The rotation (principal axes turned to fit their signs), the radius and the cell
 vector is indexed. The index is cut into shards of bounded size, each a part of one cell, so that near codes lie
 together. A shard keeps, for each substring of the codes, the positions listed by substring value; a query probes the
 values within so many bits of its own that, by the pigeonhole principle, no code within the radius is missed, and codes
-within the radius are reranked by their floats. A query goes only to shards that hold a value that it probes. Queries
-stream through each shard and leave their best rows there, which are merged at the end; a query with fewer
-than k codes within the radius is then compared with all vectors.
+within the radius are reranked by their floats. A query looks only into shards that hold a value that it probes. Shards
+lie in as many groups as there are partitions: a query goes once to each group that it has to see, a group's shards
+stream past its queries, and only each query's best of all these shards are left, to be merged with other groups' at the
+end. So queries sent and rows found grow with the queries, whatever the number of shards. A query with fewer than k codes
+within the radius is then compared with all vectors.
 """
 
 from __future__ import annotations
@@ -32,6 +34,10 @@ MOST_SHARDS = 65_536
 CELLS = 256
 #: Below that, shards of so many keep the partitions busy.
 SMALL_SHARD = 2_000
+#: Components of the queries that a group's shards stream past at once, about; with more queries, they do so several times.
+QUERY_BLOCK = 1 << 22
+#: Rows found, of all queries of a block, beyond which all but each query's best are left out.
+FOUND = 1 << 18
 #: Bits of a substring.
 WIDTH = 8
 #: Share of the sample's true neighbours that the radius has to hold.
@@ -143,6 +149,33 @@ class Shard:
         return ids[best], score[best]
 
 
+class Best:
+    """The k best ids of each of so many queries, of all that are added."""
+
+    def __init__(self, k: int):
+        self.k, self.held, self.rows, self.most = k, [], 0, FOUND
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        self.held.append((query, ids, score))
+        self.rows += len(query)
+        if self.rows > self.most:
+            self.held = [self.cut()]
+            self.rows = len(self.held[0][0])
+            self.most = max(FOUND, 2 * self.rows)
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries' positions, ids, scores), best first; an id counts once, with its best score."""
+        query, ids, score = (np.concatenate(c) for c in zip(*self.held)) if self.held else (np.zeros(0, t) for t in (np.int64, np.int64, float))
+        order = np.lexsort((-score, ids, query))
+        query, ids, score = query[order], ids[order], score[order]
+        once = np.append(True, (query[1:] != query[:-1]) | (ids[1:] != ids[:-1]))[: len(query)]
+        query, ids, score = query[once], ids[once], score[once]
+        order = np.lexsort((ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        return query[rank < self.k], ids[rank < self.k], score[rank < self.k]
+
+
 def valid(vector: str) -> Column:
     """Whether a vector takes part: not null, without null or non-finite components, not zero."""
     bad = F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -183,10 +216,11 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
 
     index = staged(index.mapInArrow(place, "cell long, x array<double>, ids array<long>, code binary"), "index")
     # A cell of many vectors is cut by hash, so that no shard is large.
+    counts = {r.cell: r["count"] for r in index.groupBy("cell").count().collect()}
     cuts, shards = {}, 0
-    for r in index.groupBy("cell").count().collect():
-        cuts[r.cell] = (shards, -(-r["count"] // size))
-        shards += cuts[r.cell][1]
+    for cell, many in counts.items():
+        cuts[cell] = (shards, -(-many // size))
+        shards += cuts[cell][1]
     table = spark.createDataFrame([(c, *v) for c, v in cuts.items()], "cell long, first long, many long")
     index = index.join(F.broadcast(table), "cell").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("x"), F.col("many"))).cast("int")).select("shard", "x", "ids", "code")
 
@@ -207,63 +241,103 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     for m, masks in enumerate(fitted.probes(substrings)):
         for mask in masks:
             reach[m] |= held[m, np.arange(256) ^ mask]
-    routes = spark.sparkContext.broadcast(reach)
+    # A group is a run of shards, so that parts of a cell lie together, with about as many vectors as others.
+    sizes = np.concatenate([np.full(n, many / n) for _, n, many in sorted((first, n, counts[c]) for c, (first, n) in cuts.items())])
+    groups = min(parts, shards)
+    group_of = np.minimum((np.cumsum(sizes) - sizes / 2) * groups // sizes.sum(), groups - 1).astype(np.int64)
+    routes = spark.sparkContext.broadcast((reach, group_of))
+    block_rows = max(1, QUERY_BLOCK // lengths.n)
+
+    def reached(codes: np.ndarray) -> np.ndarray:
+        """For each code, the shards that it has to see, as packed bits."""
+        return np.bitwise_or.reduce([routes.value[0][m, codes[:, m]] for m in range(codes.shape[1])], axis=0)
 
     def route(batches):
         for batch in batches:
             x = batch["x"].flatten().to_numpy().reshape(batch.num_rows, -1)
             codes = model.value.codes(x, query=True)
             for at in range(batch.num_rows):
-                bit = np.bitwise_or.reduce(routes.value[np.arange(codes.shape[1]), codes[at]], axis=0)
-                to = np.flatnonzero(np.unpackbits(bit, bitorder="little"))
+                shard = np.flatnonzero(np.unpackbits(reached(codes[at : at + 1])[0], bitorder="little"))
+                to = np.unique(routes.value[1][shard])
                 row = batch.slice(at, 1).take(pa.array(np.zeros(len(to), np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), row["id"], row["x"]], names=["shard", "id", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(to), row["id"], row["x"]], names=["group", "id", "x"])
 
     def probe(everything: bool):
         def run(batches):
-            number, held, shard = None, [], None
+            task = shard = codes = bits = best = None
+            asked, held = [], []
+
+            def look():
+                """Search the shard that is held for the queries that have to see it."""
+                nonlocal asked, codes, bits, best, held
+                if held and asked:
+                    if best is None:
+                        asked = [tuple(np.concatenate(c) for c in zip(*asked))]
+                        best = Best(k)
+                        if not everything:
+                            codes = model.value.codes(asked[0][1], query=True)
+                            bits = reached(codes)
+                    own, x = asked[0]
+                    to = np.arange(len(own)) if everything else np.flatnonzero(bits[:, shard // 8] >> (shard % 8) & 1)
+                    if len(to):
+                        index = Shard(model.value, np.concatenate([h[0] for h in held]), [i for h in held for i in h[1]])
+                        for q in to.tolist():
+                            ids, score = index.search(x[q], None if everything else codes[q], own[q], k)
+                            best.add(np.full(len(ids), q), ids, score)
+                held = []
+
+            def result():
+                query, ids, score = best.cut()
+                return pa.RecordBatch.from_arrays([pa.array(asked[0][0][query]), pa.array(ids), pa.array(score)], names=["query_id", "id", "score"])
+
             for batch in batches:
-                at = batch["shard"].to_numpy()
-                kinds = batch["kind"].to_numpy()
+                at, tasks = batch["shard"].to_numpy(), batch["task"].to_numpy()
                 flat = batch["x"].flatten().to_numpy().reshape(batch.num_rows, -1)
-                cuts = np.flatnonzero((np.diff(at) != 0) | (np.diff(kinds) != 0)) + 1
+                cuts = np.flatnonzero((np.diff(at) != 0) | (np.diff(tasks) != 0)) + 1
                 for lo, hi in itertools.pairwise([0, *cuts, len(at)]):
                     if hi == lo:
                         continue
-                    if at[lo] != number:
-                        number, held, shard = at[lo], [], None
-                    if kinds[lo] == 0:
+                    if (tasks[lo], at[lo]) != (task, shard):
+                        look()
+                    if tasks[lo] != task:
+                        if best is not None:
+                            yield result()
+                        asked, best = [], None
+                    task, shard = tasks[lo], at[lo]
+                    if shard < 0:
+                        asked.append((batch["id"].to_numpy()[lo:hi], flat[lo:hi]))
+                    else:
                         held.append((flat[lo:hi], batch["ids"].slice(lo, hi - lo).to_pylist()))
-                        continue
-                    if shard is None:
-                        if not held:
-                            continue
-                        shard = Shard(model.value, np.concatenate([h[0] for h in held]), [i for h in held for i in h[1]])
-                    own = batch["id"].to_numpy()[lo:hi]
-                    codes = [None] * len(own) if everything else model.value.codes(flat[lo:hi], query=True)
-                    found = [shard.search(q, c, o, k) for q, c, o in zip(flat[lo:hi], codes, own)]
-                    n = [len(f[0]) for f in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], names=["query_id", "id", "score"])
+            look()
+            if best is not None:
+                yield result()
 
         return run
 
     none = F.array().cast("array<long>")
-    stored = index.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), "x", "ids")
+    shelves = spark.createDataFrame([(s, int(g)) for s, g in enumerate(group_of)], "shard int, group long")
+    stored = index.join(F.broadcast(shelves), "shard").select("group", "shard", F.lit(0).cast("long").alias("id"), "x", "ids")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
 
-    def best(sent: DataFrame, everything: bool) -> DataFrame:
-        both = staged(stored.union(sent.select("shard", F.lit(1).alias("kind"), "id", "x", none.alias("ids"))), "dealt")
-        local = both.repartitionByRange(parts, "shard").sortWithinPartitions("shard", "kind").mapInArrow(probe(everything), "query_id long, id long, score double")
+    def best(sent: DataFrame, rows: int, everything: bool) -> DataFrame:
+        """The best of the queries sent, so many rows, to groups: each block of them sees all shards of its groups."""
+        blocks = -(-rows // block_rows)
+        task = lambda block: (block * groups + F.col("group")).alias("task")
+        mine = sent.select(task(F.pmod(F.xxhash64("id"), F.lit(blocks))), F.lit(-1).alias("shard"), "id", "x", none.alias("ids"))
+        every = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(task(F.col("block")), "shard", "id", "x", "ids")
+        both = staged(mine.union(every), "dealt")
+        local = both.repartitionByRange(blocks * parts, "task").sortWithinPartitions("task", "shard").mapInArrow(probe(everything), "query_id long, id long, score double")
         top = local.groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         return staged(top.select("query_id", "rank", F.col("id").alias(id_col), "score"), "best")
 
     asked = staged(rows.where("asks").select("id", "x").distinct(), "asked")
-    first = best(asked.mapInArrow(route, "shard int, id long, x array<double>"), False)
+    first = best(asked.mapInArrow(route, "group long, id long, x array<double>"), max(1, asked.count()), False)
     enough = min(k, numbered.select("id").distinct().limit(k + 1).count() - 1)
     full = first.where(F.col("rank") == enough).select(F.col("query_id").alias("id"))
     short = asked.join(full, "id", "left_anti") if enough > 0 else asked.limit(0)
-    if short.isEmpty():
+    few = short.count()
+    if few == 0:
         return first
-    all_shards = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    second = best(short.select("id", "x", all_shards).select("shard", "id", "x"), True)
+    all_groups = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group")
+    second = best(short.select("id", "x", all_groups).select("group", "id", "x"), few, True)
     return first.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(second)

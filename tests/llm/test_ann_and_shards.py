@@ -78,6 +78,40 @@ def test_clustered_vectors_and_outliers_are_routed_and_found(spark, monkeypatch)
     assert sum(len(got[q] & {i for _, i in w}) for q, w in want.items()) / (20 * len(want)) >= 0.95
 
 
+def test_queries_go_once_to_a_group_of_shards_and_leave_their_best(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 50)  # 40 shards or more, in 4 groups
+    x = np.random.default_rng(7).normal(size=(2000, 32))
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    dealt, found, staged = [], [], ann.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        dealt.extend([out.count()] * (name == "dealt"))
+        return out
+
+    monkeypatch.setattr(ann, "staged", counted)
+    for block in (1 << 22, 30 * 32):
+        monkeypatch.setattr(ann, "QUERY_BLOCK", block, raising=False)
+        found.append({(r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(vectors, F.col("vec_id") % 20 == 0, k=20).collect()})
+        monkeypatch.setattr(ann, "FOUND", 100, raising=False)
+    assert dealt[0] <= 2000 + 4 * 100 and found[0] == found[1]
+    want = brute([(k, v.tolist()) for k, v in enumerate(x)], 20)
+    pairs = {(q, i) for q, _, i, _ in found[0]}
+    assert sum((q, i) in pairs for q, w in want.items() for _, i in w) >= 0.95 * 20 * len(want)
+
+
+def test_the_best_of_several_shards_are_kept(monkeypatch):
+    monkeypatch.setattr(ann, "FOUND", 10)
+    rng, best, rows = np.random.default_rng(2), ann.Best(3), {}
+    for _ in range(40):
+        query, ids, score = rng.integers(0, 4, 6), rng.integers(0, 30, 6), rng.integers(0, 50, 6).astype(float)
+        best.add(query, ids, score)
+        for q, i, v in zip(query.tolist(), ids.tolist(), score.tolist()):
+            rows[q, i] = max(v, rows.get((q, i), v))
+    want = [(q, i, v) for q in range(4) for v, i in sorted(((-v, i) for (p, i), v in rows.items() if p == q))[:3] for v in [-v]]
+    assert list(zip(*(c.tolist() for c in best.cut()))) == want and best.rows <= 30
+
+
 def test_within_holds_every_code_of_the_radius():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 24))
