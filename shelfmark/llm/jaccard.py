@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import lean, staged
+from ._shared import lean, staged, unvarint, varint
 from .components import components
 from .shingling import shingle_sets, slices
 
@@ -33,6 +33,8 @@ PART = 1 << 16
 COUNTERS, COUNTER_ROW = 1 << 22, 1 << 16
 #: What a task compares at once, in shingles; a set counts for some more.
 CELL, SET = 1 << 22, 256
+#: Bytes of a set's node by which ranges know it: most of a page where a set has one shingle in a range, as with large inputs.
+TAG = 6
 #: Sets up to which their ids are sent to every executor that reads texts again; with more, texts are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -51,6 +53,21 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes(), seed=len(s)), np.int64).tolist())
 
 
+def _tag(node: np.ndarray) -> np.ndarray:
+    return node & np.int64((1 << 8 * TAG) - 1)
+
+
+def _packed(tags: np.ndarray) -> bytes:
+    return tags.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :TAG].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    """The tags that _packed() packed."""
+    out = np.zeros((len(data) // TAG, 8), np.uint8)
+    out[:, :TAG] = np.frombuffer(data, np.uint8).reshape(-1, TAG)
+    return out.view("<i8").reshape(-1)
+
+
 def _prints(rows: DataFrame, words: int, repeats: bool) -> DataFrame:
     """(id, n, node, twin) of each row of (id, text): how many shingles its set has, and 128 bits that name the set."""
     schema = T.StructType([rows.schema["id"], *[T.StructField(c, T.LongType()) for c in ("n", "node", "twin")]])
@@ -66,17 +83,18 @@ def _prints(rows: DataFrame, words: int, repeats: bool) -> DataFrame:
 
 
 def _met(rows: DataFrame, words: int, repeats: bool, ranges: int, parts: int) -> DataFrame:
-    """(node, met): at least so many shingles of a set occur in another set; sets that meet none are left out.
+    """(tag, met): at least so many shingles of a set occur in another set; sets that meet none are left out.
 
-    Counts are too large where equal sets lie in several blocks or 32 bits of two hashes agree, and never too small. What
+    Counts are too large where equal sets lie in several blocks, or 32 bits of two hashes or the tags of two sets agree. They
+    are too small only if two sets of different blocks share shingles and their tags, of 48 bits, agree by chance. What
     blocks and ranges have counted is summed by parts of the sets, in pages.
     """
 
     def paged(nodes: np.ndarray, met: np.ndarray):
-        """(part, nodes, how many they have met) for each part."""
+        """(part, nodes, how many they have met) for each part; nodes are tags."""
         part = nodes % parts
         for k in np.unique(part).tolist():
-            yield k, nodes[part == k].tobytes(), met[part == k].astype(np.uint32).tobytes()
+            yield k, _packed(nodes[part == k]), varint(met[part == k])[0].tobytes()
 
     def deal(batches):
         """(range, alone, nodes, many, shared, met): a block's shingles of one set, by set; those of several sets, once; and how many of these a set has."""
@@ -84,7 +102,7 @@ def _met(rows: DataFrame, words: int, repeats: bool, ranges: int, parts: int) ->
         size = 0
 
         def flush():
-            nodes, sets = np.array(list(held), np.int64), list(held.values())
+            nodes, sets = _tag(np.array(list(held), np.int64)), list(held.values())
             h, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             _, first, many = np.unique(h, return_index=True, return_counts=True)
             single = np.zeros(len(h), bool)
@@ -100,7 +118,7 @@ def _met(rows: DataFrame, words: int, repeats: bool, ranges: int, parts: int) ->
             for k in np.flatnonzero((np.diff(at) > 0) | (np.diff(at2) > 0)).tolist():
                 who, times = np.unique(own[at[k] : at[k + 1]], return_counts=True)
                 low = [x.astype(np.uint32).tobytes() for x in (alone[at[k] : at[k + 1]], shared[at2[k] : at2[k + 1]])]
-                pages.append((k, low[0], nodes[who].tobytes(), times.astype(np.uint32).tobytes(), low[1]))
+                pages.append((k, low[0], _packed(nodes[who]), varint(times)[0].tobytes(), low[1]))
             # Pages without a range tell what the block has found by itself.
             pages += [(-1 - k, b"", who, times, b"") for k, who, times in paged(nodes[met > 0], met[met > 0])]
             held.clear()
@@ -123,11 +141,11 @@ def _met(rows: DataFrame, words: int, repeats: bool, ranges: int, parts: int) ->
     def meet(pages: pa.Table) -> pa.Table:
         join = lambda c, t: np.frombuffer(b"".join(pages[c].to_pylist()), t)
         alone, shared = join("alone", np.uint32), join("shared", np.uint32)
-        node = np.repeat(join("nodes", np.int64), join("many", np.uint32))
+        node = np.repeat(_unpacked(b"".join(pages["nodes"].to_pylist())), unvarint(join("many", np.uint8)))
         order = np.lexsort((node, alone))
         alone, node = alone[order], node[order]
-        new = np.append(True, alone[1:] != alone[:-1])
-        other = np.append(True, node[1:] != node[:-1]) | new
+        new = np.append(True, alone[1:] != alone[:-1])[: len(alone)]
+        other = np.append(True, node[1:] != node[:-1])[: len(alone)] | new
         alone, node, new = alone[other], node[other], new[other]  # a set once, however many blocks it is in
         first = np.flatnonzero(new)
         several = np.diff(np.append(first, len(alone))) > 1
@@ -137,14 +155,14 @@ def _met(rows: DataFrame, words: int, repeats: bool, ranges: int, parts: int) ->
         return pa.table([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "nodes", "many"])
 
     def total(pages: pa.Table) -> pa.Table:
-        node, many = (np.frombuffer(b"".join(pages[c].to_pylist()), t) for c, t in (("nodes", np.int64), ("many", np.uint32)))
+        node, many = _unpacked(b"".join(pages["nodes"].to_pylist())), unvarint(np.frombuffer(b"".join(pages["many"].to_pylist()), np.uint8))
         found, at = np.unique(node, return_inverse=True)
-        return pa.table([pa.array(found), pa.array(np.bincount(at.reshape(-1), weights=many, minlength=len(found)).astype(np.int64))], names=["node", "met"])
+        return pa.table([pa.array(found), pa.array(np.bincount(at.reshape(-1), weights=many, minlength=len(found)).astype(np.int64))], names=["tag", "met"])
 
     pages = staged(rows.mapInArrow(deal, "range long, alone binary, nodes binary, many binary, shared binary"), "pages")
     across = pages.where("range >= 0").groupBy("range").applyInArrow(meet, "part long, nodes binary, many binary")
     within = pages.where("range < 0").select((-1 - F.col("range")).alias("part"), "nodes", "many")
-    return across.unionByName(within).groupBy("part").applyInArrow(total, "node long, met long")
+    return across.unionByName(within).groupBy("part").applyInArrow(total, "tag long, met long")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, words: int, repeats: bool) -> DataFrame:
@@ -323,7 +341,7 @@ def distinct_sets(rows: DataFrame, words: int, percent: int, repeats: bool = Fal
     distinct = staged(prints.where("id is not null").groupBy("node", "twin", "n").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "distinct")
     total, many = distinct.agg(F.sum("n"), F.count("*")).first()
     met = _met(rows.where("id is not null"), words, repeats, int((total or 0) // RANGE) + 1, many // PART + 1)
-    wanted = staged(distinct.join(met, "node").where(100 * F.col("met") >= percent * F.col("n")).select("rep", "node"), "wanted")
+    wanted = staged(distinct.withColumn("tag", F.col("node").bitwiseAND((1 << 8 * TAG) - 1)).join(met, "tag").where(100 * F.col("met") >= percent * F.col("n")).select("rep", "node"), "wanted")
     return prints, distinct, staged(_sets(rows, wanted, words, repeats), "sets")
 
 

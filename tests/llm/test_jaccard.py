@@ -70,6 +70,26 @@ def test_families_equal_brute_force(spark, monkeypatch, cell):
     assert got == expected(rows)
 
 
+def test_pages_stay_small_with_a_range_for_every_few_shingles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 2000)
+    monkeypatch.setattr(jaccard, "RANGE", 16)
+    pages, staged = [], jaccard.staged
+    monkeypatch.setattr(jaccard, "staged", lambda df, name: pages.extend([out := staged(df, name)] * (name == "pages")) or (out if name == "pages" else staged(df, name)))
+    rows = families(random.Random(9))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = expected(rows)
+    assert {r.doc_id: (r.n_shingles, r.component) for r in jaccard.similar_groups(docs).collect()} == want
+    # Each shingle has 4 bytes, and 7 at most tell whose it is, though nearly each is the only one of its set in a range; once they were 12.
+    dealt = pages[0].where("range >= 0").selectExpr("sum(octet_length(alone))", "sum(octet_length(nodes) + octet_length(many))").first()
+    assert dealt[0] > 4000 and dealt[1] <= 7 * dealt[0] / 4
+
+
+def test_tags_are_packed_and_unpacked():
+    node = np.array([0, 1, -1, 1 << 62, -(1 << 62) + 12345, (1 << 48) - 1], np.int64)
+    assert jaccard._unpacked(jaccard._packed(jaccard._tag(node))).tolist() == [n % (1 << 48) for n in node.tolist()]
+    assert len(jaccard._unpacked(b"")) == 0
+
+
 def test_a_large_family_that_differs_from_its_smallest(spark):
     rng = random.Random(2)
     base = [f"w{k}" for k in range(200)]
